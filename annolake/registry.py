@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from .catalogue import base, frozen, jobs, layouts, reports  # noqa: F401  each registers its queries
+
 
 def queries() -> dict:
-    return {}
+    return dict(base.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(base.SQL)
