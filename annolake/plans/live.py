@@ -39,14 +39,17 @@ def rewritten(spec: dict[str, dict], roots: DataFrame) -> dict[str, dict]:
     to: dict[int, list[int]] = {}
     for a, b in roots.collect():  # ids named in filters, not rows
         to.setdefault(a, []).append(b)
-    out: dict[str, dict] = {k: dict(v) for k, v in spec.items()}
-    for kind in ("equal", "in"):
-        for c in [c for c in out.get(kind, {}) if c.endswith("root_id")]:
-            value = out[kind].pop(c)
-            named = value if kind == "in" else [value]
-            out.setdefault("in", {})[c] = sorted({b for a in named for b in to.get(a, [])})
-    for c in [c for c in out.get("notin", {}) if c.endswith("root_id")]:
-        out["notin"][c] = sorted({b for a in out["notin"][c] for b in to.get(a, [])})
+    out = {k: dict(v) for k, v in without_roots(spec).items()}
+    for kind, by in spec.items():
+        for c, value in by.items():
+            if not c.endswith("root_id"):
+                continue
+            if kind not in ("equal", "in", "notin"):
+                raise ValueError(f"a root cannot be translated in a filter {kind!r}")
+            named = [value] if kind == "equal" else value
+            there = {b for a in named for b in to.get(a, [])}
+            into = out.setdefault("notin" if kind == "notin" else "in", {})
+            into[c] = sorted(there & set(into[c]) if c in into else there)
     return {k: v for k, v in out.items() if v}
 
 
