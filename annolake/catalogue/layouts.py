@@ -97,6 +97,16 @@ def uniform_bounds(t: Tables) -> DataFrame:
     return t.spark.createDataFrame([(i + 1, round(x, 6)) for i, x in enumerate(cuts)], "i int, cut double")
 
 
+def _code(of: str) -> str:
+    return "(" + " + ".join(f"(((CAST({of}(pre_pt_position_{a}) AS BIGINT) >> {i}) & 1) << {3 * i + k})" for i in range(17) for k, a in enumerate("xyz")) + ")"
+
+
+@query(f"SELECT k AS i, CAST(lo + (hi - lo) * k // 4 AS BIGINT) AS cut FROM (SELECT {_code('min')} AS lo, {_code('max')} AS hi FROM anno), (VALUES (1), (2), (3)) v(k)", "anno")
+def morton_bounds(t: Tables) -> DataFrame:
+    """Evenly spaced codes between those of the extent's corners."""
+    return t.spark.createDataFrame(list(enumerate(aggregates.uniform_morton_cuts(t.anno, POINT, 4), 1)), "i int, cut long")
+
+
 @query("SELECT id, CAST(id > 3750 AS INT) + CAST(id > 7500 AS INT) + CAST(id > 11250 AS INT) AS id_partition FROM anno", "anno")
 def range_bucket(t: Tables) -> DataFrame:
     """Right-closed buckets (L1)."""

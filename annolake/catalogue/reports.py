@@ -105,13 +105,13 @@ def property_discovery(t: Tables) -> DataFrame:
 
 
 @query(
-    f"""SELECT level, cx, cy, CAST(sum(n) AS BIGINT) AS n, CAST(sum(8 + n * 36) AS BIGINT) AS bytes FROM (
+    f"""SELECT level, cx, cy, CAST(sum(n) AS BIGINT) AS n, CAST(sum(n * 36) AS BIGINT) AS bytes FROM (
  SELECT 0 AS level, CAST(least(1, floor(pre_pt_position_x * 2 / 100000.0)) AS INT) AS cx, CAST(least(1, floor(pre_pt_position_y * 2 / 80000.0)) AS INT) AS cy, count(*) AS n FROM anno GROUP BY ALL) GROUP BY ALL""",
     "anno",
 )
 def packed_blocks(t: Tables) -> DataFrame:
-    """Packed annotation blocks: lengths by cell (V6); their bytes are tested."""
+    """Packed annotation blocks: lengths by cell, without each block's count (V6); their bytes are tested."""
     rows = report.pyramid(t.anno, POINT, _BOX, [(2, 2, 1)], 1 << 40, t.anno.count())
     packed = report.packed_rows(rows.join(t.anno, "id"), [POINT, "post_pt_position"], ["size"])
-    blocks = report.packed_blocks(packed, 1 << 40)
-    return blocks.groupBy("level", "cx", "cy").agg(F.sum("n").alias("n"), F.sum(F.length("data")).alias("bytes"))
+    blocks = report.packed_blocks(packed)
+    return blocks.groupBy("level", "cx", "cy").agg(F.sum("n").alias("n"), F.sum(F.length("data") - 8).alias("bytes"))

@@ -8,6 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import scalar
 from ..schema import AXES, point_columns
 
 
@@ -102,6 +103,16 @@ def uniform_cuts(df: DataFrame, column: str, n: int) -> list[float]:
     return [] if lo is None or n <= 1 else [float(x) for x in np.linspace(lo, hi, n + 1)[1:-1]]
 
 
+def uniform_morton_cuts(df: DataFrame, point: str, n: int) -> list[int]:
+    """n - 1 evenly spaced Morton codes between those of the extent's corners."""
+    corners = df.agg(*[f(f"{point}_{a}").alias(f"{k}_{a}") for k, f in (("lo", F.min), ("hi", F.max)) for a in AXES])
+    row = corners.select(*[scalar.morton(*[F.col(f"{k}_{a}") for a in AXES]).alias(k) for k in ("lo", "hi")]).first()
+    if row["lo"] is None or n <= 1:
+        return []
+    span = row["hi"] - row["lo"]
+    return [row["lo"] + span * i // n for i in range(1, n)]
+
+
 def partitions_for(rows: int, bytes_per_row: float = 200, target: int = 256 << 20) -> int:
     return max(1, int(np.ceil(rows * bytes_per_row / target)))
 

@@ -21,7 +21,7 @@ class Layout:
 
     name: str
     column: str
-    kind: str = "range"  # range, uniform, hash or morton
+    kind: str = "range"  # range, uniform, hash, morton or morton_uniform
     n: int = 1
     bounds: tuple | None = None
     bloom: bool = False
@@ -29,7 +29,7 @@ class Layout:
 
 def with_code(df: DataFrame, spec: Layout) -> tuple[DataFrame, str]:
     """``df`` with the column that the layout goes by: the Morton code for a point."""
-    if spec.kind != "morton":
+    if not spec.kind.startswith("morton"):
         return df, spec.column
     c = f"{spec.column}_morton"
     return df.withColumn(c, scalar.morton(*[F.col(f"{spec.column}_{a}") for a in "xyz"])), c
@@ -50,6 +50,8 @@ def bounds_of(df: DataFrame, specs: list[Layout]) -> dict[str, list]:
     for s in specs:
         if s.bounds is None and s.kind == "uniform":
             out[s.name] = aggregates.uniform_cuts(df, s.column, s.n)
+        if s.bounds is None and s.kind == "morton_uniform":
+            out[s.name] = aggregates.uniform_morton_cuts(df, s.column, s.n)
     return out
 
 

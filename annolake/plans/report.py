@@ -71,15 +71,16 @@ def by_id(df: DataFrame, ids: list[int], ref: DataFrame | None = None) -> DataFr
     return some.join(r, some["id"] == r["target_id"])
 
 
-def by_relationship(df: DataFrame, root: str, objects: DataFrame) -> DataFrame:
-    """(root_id, n, ids): rows that touch each of the objects, all objects in one job.
+def by_relationship(df: DataFrame, root: str, objects: DataFrame, per_block: int = 10_000) -> DataFrame:
+    """(root_id, block, n, ids): rows that touch each of the objects, all objects in one job.
 
-    Ids are dealt to blocks of a thousandth of their hash, so that an object with very many rows is
-    no single group: a row is one block of one object's ids.
+    An object with more than ``per_block`` rows is several blocks by the ids' hash, so that one with
+    very many is no single group.
     """
-    hits = df.join(objects.select(F.col("root_id").alias("_o")), F.col(root) == F.col("_o"), "left_semi")
-    block = F.pmod(F.xxhash64("id"), F.lit(16))
-    return hits.groupBy(F.col(root).alias("root_id"), block.alias("block")).agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list("id")).alias("ids"))
+    hits = df.join(objects.select(F.col("root_id").alias("_o")), F.col(root) == F.col("_o"), "left_semi").select(F.col(root).alias("root_id"), "id")
+    sizes = hits.groupBy("root_id").agg(F.ceil(F.count(F.lit(1)) / per_block).cast("int").alias("blocks"))
+    dealt = hits.join(sizes, "root_id").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    return dealt.groupBy("root_id", "block").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list("id")).alias("ids"))
 
 
 def discovered(df: DataFrame) -> dict:
