@@ -158,11 +158,11 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     made = rows.mapInArrow(run, "id long, f array<binary>, y int, s array<binary>").cache()
     # the sample's features by count, so that the driver gets only those that occur three times
     often = made.select(F.explode("f").alias("f")).groupBy("f").count().where("count >= 3")
-    known = {bytes(r[0]) for r in often.orderBy(F.desc("count"), "f").limit(50 * FEATURES).select("f").toLocalIterator()}
+    known = {f: f for r in often.orderBy(F.desc("count"), "f").limit(50 * FEATURES).select("f").toLocalIterator() for f in (bytes(r[0]),)}
     got = []
     pairs = []
     for r in made.orderBy("id", "y").toLocalIterator():
-        got.append(([f for x in r["f"] if (f := bytes(x)) in known], r["y"]))
+        got.append(([f for x in r["f"] if (f := known.get(bytes(x)))], r["y"]))  # each feature is one object
         for s in r["s"]:
             words = bytes(s).split(b" ")
             pairs += [(features(words), features(x)) for x in swaps(words)]
