@@ -55,7 +55,8 @@ def without_shared(docs: DataFrame, sites: int = SITES, lg_k: int = LG_K) -> Dat
     lines = docs.where("doc_id is not null").select("doc_id", F.explode(F.split("text", "\n")).alias("l"))
     hit = lines.select("doc_id", _key(F.col("l")).alias("line")).join(bad, "line").where("doc_id <> stays_in")
     of_doc = written(hit.groupBy(F.col("doc_id").alias("hit_id")).agg(F.collect_set("line").alias("hit_lines")), "lines-hit")
-    joined = docs.join(of_doc, docs["doc_id"] == F.col("hit_id"), "left")
+    # the same plan at every size: hits grow with the documents
+    joined = docs.join(of_doc.hint("merge"), docs["doc_id"] == F.col("hit_id"), "left")
     all_lines = F.split(docs["text"], "\n")
     kept = F.filter(all_lines, lambda x: ~F.array_contains("hit_lines", _key(x)) | (F.length(F.trim(x)) == 0))
     was_hit = F.col("hit_id").isNotNull()
