@@ -201,7 +201,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, least: float = LEAST) -> DataFr
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
     bad = written(leaks(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("gone_id")).distinct(), "leaks")
-    return docs.join(small_or_shuffled(bad), docs["doc_id"] == F.col("gone_id"), "left_anti")
+    return docs.join(small_or_shuffled(bad), docs["doc_id"] == bad["gone_id"], "left_anti")
 
 
 def op6_seeded_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -49,31 +49,33 @@ def spread(docs: DataFrame, sites: int = SITES, lg_k: int = LG_K) -> DataFrame:
     return clear.unionByName(close.join(exact.where(F.col("sites") >= sites).select("line"), "line", "left_semi"))
 
 
-def without_shared(docs: DataFrame, sites: int = SITES, lg_k: int = LG_K) -> DataFrame:
-    """The rows of ``docs`` with their text freed of boilerplate lines, and ``removed_lines``."""
+def without_shared(docs: DataFrame, sites: int = SITES, lg_k: int = LG_K, counts: bool = False) -> DataFrame:
+    """The rows of ``docs`` with their text freed of boilerplate lines; with ``counts``, also all_lines and removed_lines."""
     bad = small_or_shuffled(written(spread(docs, sites, lg_k), "lines-shared").select(F.col("line"), F.col("first_doc").alias("stays_in")))
     lines = docs.where("doc_id is not null").select("doc_id", F.explode(F.split("text", "\n")).alias("l"))
     hit = lines.select("doc_id", _key(F.col("l")).alias("line")).join(bad, "line").where("doc_id <> stays_in")
     of_doc = written(hit.groupBy(F.col("doc_id").alias("hit_id")).agg(F.collect_set("line").alias("hit_lines")), "lines-hit")
     # the same plan at every size: hits grow with the documents
-    joined = docs.join(of_doc.hint("merge"), docs["doc_id"] == F.col("hit_id"), "left")
+    joined = docs.join(of_doc.hint("merge"), docs["doc_id"] == of_doc["hit_id"], "left")
     all_lines = F.split(docs["text"], "\n")
-    kept = F.filter(all_lines, lambda x: ~F.array_contains("hit_lines", _key(x)) | (F.length(F.trim(x)) == 0))
-    was_hit = F.col("hit_id").isNotNull()
+    kept = F.filter(all_lines, lambda x: ~F.array_contains(of_doc["hit_lines"], _key(x)) | (F.length(F.trim(x)) == 0))
+    was_hit = of_doc["hit_id"].isNotNull()
     text = F.when(was_hit, F.array_join(kept, "\n")).otherwise(docs["text"])
     removed = F.when(was_hit, F.size(all_lines) - F.size(kept)).otherwise(0).cast("long")
     out = [text.alias("text") if c == "text" else docs[c] for c in docs.columns]
-    return joined.select(*out, removed.alias("removed_lines"), F.when(docs["text"].isNull(), 0).otherwise(F.size(all_lines)).cast("long").alias("all_lines"))
+    if counts:
+        out += [removed.alias("removed_lines"), F.when(docs["text"].isNull(), 0).otherwise(F.size(all_lines)).cast("long").alias("all_lines")]
+    return joined.select(*out)
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without cross-site lines."""
-    return without_shared(docs).drop("removed_lines", "all_lines")
+    return without_shared(docs)
 
 
 def op8_line_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``documents`` without cross-site lines: counts and a digest of what is left of each text."""
-    out = without_shared(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    out = without_shared(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), counts=True)
     return out.select(
         "doc_id",
         F.col("all_lines").alias("n_lines"),

@@ -179,21 +179,22 @@ def number(rows: DataFrame) -> DataFrame:
 def rewrite(docs: DataFrame, placed: DataFrame, out: str, affected: list[int] | None = None) -> str:
     """Write documents as ``out/shard=N`` folders by a plan; with ``affected``, only those shards.
 
-    Documents join the plan on doc_id, text_crc32 and size; repeated rows are told apart by their
-    number among equals. Only folders of affected shards are replaced.
+    Documents join the plan on doc_id and text_crc32. Only folders of affected shards are replaced.
     """
-    keyed = docs.withColumn("text_crc32", F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")))
-    target = placed.select("doc_id", "text_crc32", "size", "shard", "slot")
-    keys = ["doc_id", "text_crc32"]
-    if placed.groupBy(*keys).count().where("count > 1").limit(1).count():
-        own = Window.partitionBy(*keys)
-        keyed = keyed.withColumn("copy", F.row_number().over(own.orderBy(F.lit(0))))
-        target = target.withColumn("copy", F.row_number().over(own.orderBy("shard", "slot")))
-        keys = [*keys, "copy"]
+    # a document's columns as one, so that none of its names clashes with the plan's
+    names = [c for c in docs.columns if c not in ("shard", "slot")]
+    crc = F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
+    keyed = docs.select(F.struct(*names).alias("document"), F.col("doc_id").alias("own_id"), crc.alias("own_crc"))
+    target = placed.select("doc_id", "text_crc32", "shard", "slot")
+    on = [keyed["own_id"].eqNullSafe(target["doc_id"]), keyed["own_crc"] == target["text_crc32"]]
+    if placed.groupBy("doc_id", "text_crc32").count().where("count > 1").limit(1).count():
+        # repeated rows are told apart by their number among equals
+        keyed = keyed.withColumn("own_copy", F.row_number().over(Window.partitionBy("own_id", "own_crc").orderBy(F.lit(0))))
+        target = target.withColumn("copy", F.row_number().over(Window.partitionBy("doc_id", "text_crc32").orderBy("shard", "slot")))
+        on = [keyed["own_id"].eqNullSafe(target["doc_id"]), keyed["own_crc"] == target["text_crc32"], keyed["own_copy"] == target["copy"]]
     if affected is not None:
         target = target.where(F.col("shard").isin(affected))
-    kept = [keyed[c] for c in docs.columns if c not in ("shard", "slot")]
-    joined = keyed.join(target, [keyed[c].eqNullSafe(target[c]) for c in keys]).select(*kept, target["shard"], target["slot"])
+    joined = keyed.join(target, on).select("document.*", "shard", "slot")
     joined.write.option("partitionOverwriteMode", "dynamic").mode("overwrite").partitionBy("shard").parquet(out)
     return out
 
