@@ -17,7 +17,6 @@ of all; equal texts get equal scores; repeated label rows count once each.
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import alnum_words, table
+from .common import alnum_words, table, written
 
 #: Most labelled rows that the model is fitted on.
 SAMPLE = 16_000
@@ -83,52 +82,32 @@ class Model:
         return float(1 / (1 + np.exp(-min(30.0, max(-30.0, z)))))
 
 
-def fit(rows: list[tuple[list[bytes], int]], pairs: list[tuple[set[bytes], set[bytes]]], penalty: float = SWAP_PENALTY, rounds: int = 300) -> Model:
-    """Fit by gradient steps with momentum on the sum of both losses, weights held small."""
-    n = len(rows)
-    toxic = sum(y for _, y in rows)
+def solve(names: list[bytes], rows: list[tuple[list[int], int]], changes: list[list[int]], penalty: float = SWAP_PENALTY, rounds: int = 300) -> Model:
+    """Fit by gradient steps with momentum on the sum of both losses, weights held small.
+
+    ``rows``: numbers of a row's features, and its label. ``changes``: for each pair of sentences
+    the features that only the first has as number + 1, those that only the second has negated.
+    """
+    n, toxic = len(rows), sum(y for _, y in rows)
     share = (toxic + 0.5) / (n + 1)
     constant = float(np.log(share / (1 - share)))
     if not toxic or toxic == n:
         return Model({}, constant)
-    seen, seen_toxic = Counter(), Counter()
-    for f, y in rows:
-        seen.update(f)
-        if y:
-            seen_toxic.update(f)
-
-    def apart(f: bytes) -> float:
-        a, b, p = seen_toxic[f] / toxic, (seen[f] - seen_toxic[f]) / (n - toxic), seen[f] / n
-        return abs(a - b) / np.sqrt(max(p * (1 - p), 1e-9) * (1 / toxic + 1 / (n - toxic)))
-
-    strong = sorted(((-apart(f), f) for f, c in seen.items() if c >= 3))[:FEATURES]
-    kept = [f for z, f in strong if z < -3.5] + sorted({f for p in pairs for s in p for f in s if f in seen and f in _KIND})
-    names = list(dict.fromkeys(kept))
-    number = {f: k for k, f in enumerate(names)}
-    row, col = [], []
-    for r, (f, _) in enumerate(rows):
-        ids = [number[x] for x in f if x in number]
-        row += [r] * len(ids)
-        col += ids
-    row, col = np.array(row, int), np.array(col, int)
+    row = np.repeat(np.arange(n), [len(f) for f, _ in rows])
+    col = np.array([k for f, _ in rows for k in f], int)
     y = np.array([y for _, y in rows], float)
-    change_row, change_col, change = [], [], []
-    for r, (a, b) in enumerate(pairs):
-        for f, sign in [(f, 1.0) for f in a - b] + [(f, -1.0) for f in b - a]:
-            if f in number:
-                change_row.append(r)
-                change_col.append(number[f])
-                change.append(sign)
-    change_row, change_col, change = np.array(change_row, int), np.array(change_col, int), np.array(change)
+    pair = np.repeat(np.arange(len(changes)), [len(c) for c in changes])
+    signed = np.array([k for c in changes for k in c], int)
+    turned, sign = np.abs(signed) - 1, np.sign(signed).astype(float)
     w, bias = np.zeros(len(names)), constant
     m, v, mb, vb = np.zeros(len(names)), np.zeros(len(names)), 0.0, 0.0
     for step in range(1, rounds + 1):
         z = bias + np.bincount(row, w[col], n)
         err = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) / n
         g = np.bincount(col, err[row], len(names)) + 1e-4 * w
-        if len(pairs):
-            d = np.bincount(change_row, change * w[change_col], len(pairs))
-            g += penalty * 2 * np.bincount(change_col, change * d[change_row], len(names)) / len(pairs)
+        if len(changes):
+            d = np.bincount(pair, sign * w[turned], len(changes))
+            g += penalty * 2 * np.bincount(turned, sign * d[pair], len(names)) / len(changes)
         gb = err.sum()
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         mb, vb = 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
@@ -138,36 +117,58 @@ def fit(rows: list[tuple[list[bytes], int]], pairs: list[tuple[set[bytes], set[b
     return Model({f: float(x) for f, x in zip(names, w, strict=True) if abs(x) > 1e-3}, float(bias))
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """Fit on the bounded sample; features are made in tasks, of whole texts."""
+def strong_features(made: DataFrame, n: int, toxic: int) -> list[bytes]:
+    """Features whose share differs most between the labels, and group terms, counted by Spark."""
+    seen = made.select("y", F.explode("f").alias("f")).groupBy("f").agg(F.count(F.lit(1)).alias("k"), F.sum("y").alias("t"))
+    p = F.col("k") / n
+    gap = F.abs(F.col("t") / toxic - (F.col("k") - F.col("t")) / (n - toxic))
+    apart = gap / F.sqrt(F.greatest(p * (1 - p), F.lit(1e-9)) * (1 / toxic + 1 / (n - toxic)))
+    strong = seen.where("k >= 3").withColumn("apart", apart).where("apart > 3.5").orderBy(F.desc("apart"), "f").limit(FEATURES)
+    groups = seen.where(F.col("f").isin([bytearray(w) for w in _KIND]))
+    return sorted({bytes(r[0]) for part in (strong, groups) for r in part.select("f").collect()})
+
+
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, penalty: float = SWAP_PENALTY) -> Model:
+    """Fit on the bounded sample. Tasks make features of whole texts; the driver gets, for each
+    sampled row, the numbers of the kept features that it has.
+    """
     own = labels.where("toxic is not null and doc_id is not null").select(F.col("doc_id").alias("id"), F.col("toxic").cast("int").alias("y"))
     own = own.where(F.pmod(F.crc32(F.col("id").cast("string").cast("binary")), F.lit(4)) != 2)
     own = own.orderBy(F.xxhash64("id"), "id", "y").limit(sample)
-    rows = docs.select("doc_id", "text").join(F.broadcast(own), docs["doc_id"] == F.col("id")).select("id", "text", "y")
+    rows = docs.select("doc_id", "text").join(F.broadcast(own), docs["doc_id"] == F.col("id")).select("text", "y")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.int64(), pa.list_(pa.binary()), pa.int32(), pa.list_(pa.binary())]
+    def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.list_(pa.binary()), pa.int32(), pa.list_(pa.binary())]
+        for b in batches:
+            f, s = [], []
+            for t in b.column(0).to_pylist():
+                f.append(sorted(features(alnum_words(t))))
+                s.append([b" ".join(x) for x in sentences_with_groups(t or "")])
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip((f, b.column(1), s), kinds, strict=True)], ["f", "y", "s"])
+
+    made = written(rows.mapInArrow(featured, "f array<binary>, y int, s array<binary>"), "toxicity-features")
+    n, toxic = made.agg(F.count(F.lit(1)), F.coalesce(F.sum("y"), F.lit(0))).first()
+    if not toxic or toxic == n:
+        return solve([], [([], 1)] * toxic + [([], 0)] * (n - toxic), [])
+    names = strong_features(made, n, toxic)
+
+    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = {f: k for k, f in enumerate(names)}
         for b in batches:
-            out = []
-            for i, t, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                said = [b" ".join(s) for s in sentences_with_groups(t or "")]
-                out.append((i, sorted(features(alnum_words(t))), y, said))
-            cols = list(zip(*out, strict=True)) or [()] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["id", "f", "y", "s"])
-
-    made = rows.mapInArrow(run, "id long, f array<binary>, y int, s array<binary>").cache()
-    # the sample's features by count, so that the driver gets only those that occur three times
-    often = made.select(F.explode("f").alias("f")).groupBy("f").count().where("count >= 3")
-    known = {f: f for r in often.orderBy(F.desc("count"), "f").limit(50 * FEATURES).select("f").toLocalIterator() for f in (bytes(r[0]),)}
-    got = []
-    pairs = []
-    for r in made.orderBy("id", "y").toLocalIterator():
-        got.append(([f for x in r["f"] if (f := known.get(bytes(x)))], r["y"]))  # each feature is one object
-        for s in r["s"]:
-            words = bytes(s).split(b" ")
-            pairs += [(features(words), features(x)) for x in swaps(words)]
-    made.unpersist()
-    return fit(got, pairs)
+            ids, pairs = [], []
+            for f, s in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True):
+                ids.append([number[x] for x in f if x in number])
+                turned = []
+                for words in (x.split(b" ") for x in s):
+                    here = features(words)
+                    for there in map(features, swaps(words)):
+                        turned.append([number[x] + 1 for x in here - there if x in number] + [-number[x] - 1 for x in there - here if x in number])
+                pairs.append(turned)
+            cols = [pa.array(ids, pa.list_(pa.int32())), b.column(1), pa.array(pairs, pa.list_(pa.list_(pa.int32())))]
+            yield pa.RecordBatch.from_arrays(cols, ["ids", "y", "pairs"])
+
+    got = sorted(map(tuple, made.mapInArrow(numbered, "ids array<int>, y int, pairs array<array<int>>").collect()))
+    return solve(names, [(ids, y) for ids, y, _ in got], [c for _, _, pairs in got for c in pairs], penalty)
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
