@@ -61,5 +61,15 @@ def small_or_shuffled(ids: DataFrame, most: int = BROADCAST_IDS) -> DataFrame:
     return F.broadcast(ids) if ids.count() <= most else ids
 
 
+#: Rows of a batch that goes to a Python worker: texts are long, so fewer than Spark's own 10,000.
+BATCH_ROWS = 1000
+
+
+def bounded(docs: DataFrame) -> DataFrame:
+    """``docs``, after the session was told to hand texts to Python in batches of bounded size."""
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    return docs
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

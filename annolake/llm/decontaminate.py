@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from .common import alnum_words, small_or_shuffled, table, written
+from .common import alnum_words, bounded, small_or_shuffled, table, written
 
 N = 3
 SPREAD = 4
@@ -176,7 +176,7 @@ COLUMNS = "doc_id long, item_id long, score double, item_from long, item_to long
 def leaks(docs: DataFrame, benchmark: DataFrame, least: float = LEAST) -> DataFrame:
     """A row for each document and item that align: score from ``least`` to 1, and word spans."""
     spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     out = None
     for block in blocks(benchmark):
         items = Items(block)

@@ -17,7 +17,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import alnum_words, table
+from .common import alnum_words, bounded, table
 
 # Phrases whose plain places are counted.
 BASE = {
@@ -136,7 +136,7 @@ def scan_licences(docs: DataFrame, text: str = "text") -> DataFrame:
             cols = list(zip(*rows, strict=True)) or [()] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names)
 
-    return docs.select("doc_id", text).mapInArrow(run, COLUMNS)
+    return bounded(docs).select("doc_id", text).mapInArrow(run, COLUMNS)
 
 
 def op9_fuzzy_licences(spark: SparkSession, sf_dir: str) -> DataFrame:

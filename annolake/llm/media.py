@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import table
+from .common import bounded, table
 
 SAMPLE = 576
 FILLER = b"\xff"
@@ -196,7 +196,7 @@ def store(docs: DataFrame, text: str = "text") -> DataFrame:
                 cols = [some.column(0), pa.array([len(x) for x in raw], pa.int64()), pa.array([container(x) for x in raw], pa.binary())]
                 yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_bytes", "media"])
 
-    return docs.select("doc_id", text).mapInArrow(run, "doc_id long, n_bytes long, media binary")
+    return bounded(docs).select("doc_id", text).mapInArrow(run, "doc_id long, n_bytes long, media binary")
 
 
 FACTS = (

@@ -6,9 +6,14 @@ documents whose sets have similarity s meet with probability
 ``(1 - (1 - s**r)**m) * (1 - (1 - s**q)**n)``: at 0.8 and the defaults all but 0.0004 do, at 0.85
 all but 0.00003. Every link is confirmed on the full sets.
 
-Documents with equal sets are one node. In a table, a node is first compared with the smallest of
-its bucket only; buckets whose nodes that did not join into one component are compared across
-components until none is left untested, so large groups cost a row a member and no link is lost.
+Documents with equal sets are one node. A shingle that no other candidate node has is in no
+intersection, so each node's number of own shingles bounds its similarity with any other, exactly.
+In a table, a node is first compared only with the node of its bucket that has the least share of
+own shingles - in a group of edited copies the one nearest their source. Buckets whose nodes did
+not join into one component are then compared across components, as far as a tighter bound allows
+a link: two sets share no more than the smaller number of frequent shingles and the common rare
+ones, of which a bitmap of rare shingles tells the most there can be. So large groups cost a row a
+member and no link is lost.
 
 Defined cases: null and blank texts have no set and link with nothing; a text with fewer words than
 a shingle is one shingle of the whole; rows that share a doc_id are one document; a null doc_id is
@@ -21,17 +26,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from .common import small_or_shuffled, table, written
+from .common import bounded, small_or_shuffled, table, written
 from .components import components
 
 #: Tuples in either collection, and minhashes in a tuple of either.
 TABLES = (12, 12)
 TUPLE = (3, 3)
 _BLOCK = 4096
+#: Nodes that have a shingle up to which it counts as rare.
+RARE = 64
+#: 64-bit words of a node's bitmap of rare shingles.
+WORDS = 4
 
 
 def shingle_set(text: str | None, width: int) -> np.ndarray:
@@ -99,15 +108,51 @@ def signatures(docs: DataFrame, width: int, tables: tuple[int, int] = TABLES, si
 
 
 def buckets(nodes: DataFrame) -> DataFrame:
-    """(key, id, n, leader, leader_n) of every table bucket that holds two or more nodes."""
+    """(key, id, n) of every table bucket that holds two or more nodes."""
     left = nodes.select("id", "n", "right", F.posexplode("left").alias("i", "x"))
     pairs = left.select("id", "n", "i", "x", F.posexplode("right").alias("j", "y"))
     keys = pairs.select(F.xxhash64("i", "j", "x", "y").alias("key"), "id", "n")
     same = Window.partitionBy("key")
-    found = keys.withColumn("lead", F.min(F.struct("id", "n")).over(same)).withColumn("last", F.max("id").over(same))
-    return found.where("lead.id < last").select(
-        "key", "id", "n", F.col("lead.id").alias("leader"), F.col("lead.n").alias("leader_n")
-    )
+    found = keys.withColumn("first", F.min("id").over(same)).withColumn("last", F.max("id").over(same))
+    return found.where("first < last").select("key", "id", "n")
+
+
+def shingles(texts: DataFrame, width: int) -> DataFrame:
+    """(id, s): a row a node and shingle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 256):
+                some = b.slice(at, 256)
+                sets = [shingle_set(t, width).view(np.int64) for t in some.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(sets, pa.list_(pa.int64()))], ["id", "s"])
+
+    return texts.select("id", "text").mapInArrow(run, "id long, s array<long>").select("id", F.explode("s").alias("s"))
+
+
+def own_shingles(texts: DataFrame, width: int) -> DataFrame:
+    """(id, own): how many of a node's shingles no other node has; nodes without any are left out."""
+    once = shingles(texts, width).groupBy("s").agg(F.count(F.lit(1)).alias("k"), F.min("id").alias("id")).where("k = 1")
+    return once.groupBy("id").agg(F.count(F.lit(1)).alias("own"))
+
+
+def rare_shingles(texts: DataFrame, width: int, most: int = RARE) -> DataFrame:
+    """(id, few, rare, b0, b1, ...): how many of a node's shingles at most ``most`` nodes have, how many
+    of those two or more have, and a bitmap of the latter by their hash.
+    """
+    each = shingles(texts, width)
+    often = each.groupBy("s").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") <= most)
+    bit = F.pmod(F.xxhash64("s"), F.lit(64 * WORDS))
+    one = F.expr("shiftleft(1L, CAST(bit % 64 AS INT))")
+    rows = each.join(often, "s").withColumn("bit", bit).withColumn("one", one)
+    bits = [F.coalesce(F.bit_or(F.when((F.col("k") > 1) & (F.floor(F.col("bit") / 64) == w), F.col("one"))), F.lit(0)).alias(f"b{w}") for w in range(WORDS)]
+    return rows.groupBy("id").agg(F.count(F.lit(1)).alias("few"), F.count_if(F.col("k") > 1).alias("rare"), *bits)
+
+
+def may_link(n: str, own: str, m: str, other: str, percent: int) -> Column:
+    """Whether two sets of sizes n and m with so many shingles of their own can reach the similarity."""
+    shared = F.least(F.col(n) - F.col(own), F.col(m) - F.col(other))
+    return 100 * shared >= percent * (F.col(n) + F.col(m) - shared)
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
@@ -146,7 +191,7 @@ def near_copies(docs: DataFrame, width: int = 5, percent: int = 80, tables: tupl
 
     Documents link where ``100 * intersection >= percent * union`` of their ``width``-word shingles.
     """
-    sig = written(signatures(docs, width, tables, sizes), "minhash-signatures")
+    sig = written(signatures(bounded(docs), width, tables, sizes), "minhash-signatures")
     sets = sig.where("n_shingles > 0 and doc_id is not null")
     groups = sets.groupBy("n_shingles", "f1", "f2").agg(F.min(F.struct("doc_id", "left", "right")).alias("m"))
     nodes = groups.select(F.col("m.doc_id").alias("id"), F.col("n_shingles").alias("n"), "m.left", "m.right")
@@ -156,24 +201,38 @@ def near_copies(docs: DataFrame, width: int = 5, percent: int = 80, tables: tupl
     texts = written(
         whole.join(small_or_shuffled(ids), "id", "left_semi").groupBy("id").agg(F.min("text").alias("text")), "minhash-texts"
     )
-    alike = f"100 * least(n, m) >= {percent} * greatest(n, m)"  # the sizes alone rule the others out
-    tested = written(
-        confirmed(
-            found.where("id <> leader").withColumn("m", F.col("leader_n")).where(alike)
-            .select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct(),
-            texts, width, percent,
+    own = small_or_shuffled(written(own_shingles(texts, width), "minhash-own"))
+    same = Window.partitionBy("key")
+    rows = found.join(own, "id", "left").select("key", "id", "n", F.coalesce("own", F.lit(0)).alias("own"))
+    lead = F.min(F.struct((F.col("own") / F.col("n")).alias("share"), "id", "n", "own")).over(same)
+    rows = written(
+        rows.withColumn("lead", lead).select(
+            "key", "id", "n", "own", F.col("lead.id").alias("leader"), F.col("lead.n").alias("m"), F.col("lead.own").alias("other")
         ),
-        "minhash-tested",
-    )
+        "minhash-rows",
+    )
+    led = rows.where("id <> leader").where(may_link("n", "own", "m", "other", percent))
+    pairs = led.select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct()
+    tested = written(confirmed(pairs, texts, width, percent), "minhash-tested")
     links = tested.where("linked").select("a", "b")
     labels = components(links)
     # buckets that are more than one component: their nodes across components, not tested yet
-    lab = found.join(labels, "id", "left").withColumn("c", F.coalesce("component", "id"))
-    same = Window.partitionBy("key")
+    lab = rows.join(labels, "id", "left").withColumn("c", F.coalesce("component", "id"))
+    # those whose own shingles leave no room for a link with any other node are settled
+    lab = lab.where(100 * (F.col("n") - F.col("own")) >= percent * F.col("n"))
     mixed = lab.withColumn("lo", F.min("c").over(same)).withColumn("hi", F.max("c").over(same)).where("lo < hi")
     mixed = written(mixed.select("key", "id", "n", "c"), "minhash-mixed")
-    other = mixed.select("key", F.col("id").alias("id2"), F.col("n").alias("m"), F.col("c").alias("c2"))
-    cross = mixed.join(other, "key").where("c < c2").where(alike)
+    some = written(mixed.select("id").distinct(), "minhash-ids")
+    rare = written(rare_shingles(texts.join(small_or_shuffled(some), "id", "left_semi"), width), "minhash-rare")
+    bits = [f"b{w}" for w in range(WORDS)]
+    full = mixed.join(rare, "id", "left").select("key", "id", "n", "c", *[F.coalesce(x, F.lit(0)).alias(x) for x in ("few", "rare", *bits)])
+    set_bits = sum((F.bit_count(x) for x in bits), F.lit(0))
+    full = full.select("key", "id", "n", "c", (F.col("n") - F.col("few")).alias("often"), "rare", (F.col("rare") - set_bits).alias("hidden"), *bits)
+    other = full.select("key", *[F.col(x).alias(f"{x}2") for x in full.columns if x != "key"])
+    # rare shingles that share a bit with another of their node are hidden: all of them may be common
+    common = sum((F.bit_count(F.col(x).bitwiseAND(F.col(f"{x}2"))) for x in bits), F.lit(0))
+    shared = F.least("often", "often2") + F.least("rare", "rare2", common + F.least("hidden", "hidden2"))
+    cross = full.join(other, "key").where("c < c2").where(100 * shared >= percent * (F.col("n") + F.col("n2") - shared))
     pairs = cross.select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct()
     rest = written(
         confirmed(pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti"), texts, width, percent), "minhash-tested"
@@ -186,16 +245,16 @@ def near_copies(docs: DataFrame, width: int = 5, percent: int = 80, tables: tupl
         .join(node_of.select("id", F.coalesce("component", "id").alias("component")), "id")
         .drop("id")
     )
-    own = sets.select("doc_id", "n_shingles", "f1", "f2").join(of_group, ["n_shingles", "f1", "f2"])
-    out = sig.join(own.groupBy("doc_id").agg(F.min("component").alias("component")), "doc_id", "left")
+    each = sets.select("doc_id", "n_shingles", "f1", "f2").join(of_group, ["n_shingles", "f1", "f2"])
+    out = sig.join(each.groupBy("doc_id").agg(F.min("component").alias("component")), "doc_id", "left")
     component = F.coalesce("component", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: five words a shingle, 0.8."""
-    gone = near_copies(docs).where(~F.col("kept")).select(F.col("doc_id").alias("gone_id")).distinct()
-    return docs.join(small_or_shuffled(gone), docs["doc_id"] == F.col("gone_id"), "left_anti")
+    gone = written(near_copies(docs).where(~F.col("kept")).select(F.col("doc_id").alias("gone_id")).distinct(), "minhash-gone")
+    return docs.join(small_or_shuffled(gone), docs["doc_id"] == gone["gone_id"], "left_anti")
 
 
 def op3_tensored_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

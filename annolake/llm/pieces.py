@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import table
+from .common import bounded, table
 
 MARK = "▁"
 BEGIN, END = 1, 2
@@ -329,7 +329,7 @@ def encode_texts(docs: DataFrame, model: str, text: str = "text") -> DataFrame:
             cols = [b.column(0), pa.array([x.astype("i4") for x in ids], pa.list_(pa.int32())), pa.array([c.decode(x) for x in ids], pa.string())]
             yield pa.RecordBatch.from_arrays(cols, ["doc_id", "ids", "decoded"])
 
-    return docs.select("doc_id", text).mapInArrow(run, "doc_id long, ids array<int>, decoded string")
+    return bounded(docs).select("doc_id", text).mapInArrow(run, "doc_id long, ids array<int>, decoded string")
 
 
 def digests(docs: DataFrame, model: str, text: str = "text") -> DataFrame:
@@ -350,7 +350,7 @@ def digests(docs: DataFrame, model: str, text: str = "text") -> DataFrame:
             cols = [b.column(0), pa.array(n, pa.int64()), pa.array(ids_hex, pa.string()), pa.array(text_hex, pa.string())]
             yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select("doc_id", text).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return bounded(docs).select("doc_id", text).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def model_path() -> str:

@@ -19,6 +19,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from .common import bounded
+
 KINDS = ("email", "ip", "card", "phone")
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -260,7 +262,7 @@ def find_pii(docs: DataFrame, text: str = "text") -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names)
 
     schema = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long"
-    return docs.select("doc_id", text).mapInArrow(run, schema)
+    return bounded(docs).select("doc_id", text).mapInArrow(run, schema)
 
 
 def op2_deobfuscated_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,7 +27,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import filesystem, read_buffer, shared_dir, table, written
+from .common import bounded, filesystem, read_buffer, shared_dir, table, written
 
 END_ID = 2
 #: Entries either half of the memory of encoded words holds.
@@ -127,7 +127,7 @@ def write(docs: DataFrame, vocabulary: str, out: str, end_id: int = END_ID, part
     """Write token files to ``out`` (a folder all executors reach); the parts table, with bases."""
     spark = docs.sparkSession
     n = parts or max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     # the parts are numbered in the order of their ranges
     ordered = rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
     numbered = ordered.select(F.spark_partition_id().alias("part"), "doc_id", "text")

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import alnum_words, table, written
+from .common import alnum_words, bounded, table, written
 
 #: Most labelled rows that the model is fitted on.
 SAMPLE = 16_000
@@ -135,7 +135,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, penalty: flo
     own = labels.where("toxic is not null and doc_id is not null").select(F.col("doc_id").alias("id"), F.col("toxic").cast("int").alias("y"))
     own = own.where(F.pmod(F.crc32(F.col("id").cast("string").cast("binary")), F.lit(4)) != 2)
     own = own.orderBy(F.xxhash64("id"), "id", "y").limit(sample)
-    rows = docs.select("doc_id", "text").join(F.broadcast(own), docs["doc_id"] == F.col("id")).select("text", "y")
+    rows = bounded(docs).select("doc_id", "text").join(F.broadcast(own), docs["doc_id"] == F.col("id")).select("text", "y")
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [pa.list_(pa.binary()), pa.int32(), pa.list_(pa.binary())]
@@ -181,7 +181,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
             scores = [m.score(t) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scores, pa.float64())], ["doc_id", "score"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double")
+    return bounded(docs).select("doc_id", "text").mapInArrow(run, "doc_id long, score double")
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -195,7 +195,7 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         for b in batches:
             yield b.filter(pa.array([m.score(t) < THRESHOLD for t in b.column(at).to_pylist()], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return bounded(docs).mapInArrow(run, docs.schema)
 
 
 def op5_counterfactual_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
