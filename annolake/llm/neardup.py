@@ -107,11 +107,17 @@ def signatures(docs: DataFrame, width: int, tables: tuple[int, int] = TABLES, si
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
 
 
-def buckets(nodes: DataFrame) -> DataFrame:
-    """(key, id, n) of every table bucket that holds two or more nodes."""
+def _bits(tables: tuple[int, int]) -> int:
+    """Low bits of a key that hold its table's number."""
+    return max(1, (tables[0] * tables[1] - 1).bit_length())
+
+
+def buckets(nodes: DataFrame, tables: tuple[int, int] = TABLES) -> DataFrame:
+    """(key, id, n) of every table bucket that holds two or more nodes; a key ends in its table's number."""
     left = nodes.select("id", "n", "right", F.posexplode("left").alias("i", "x"))
     pairs = left.select("id", "n", "i", "x", F.posexplode("right").alias("j", "y"))
-    keys = pairs.select(F.xxhash64("i", "j", "x", "y").alias("key"), "id", "n")
+    number = (F.col("i") * tables[1] + F.col("j")).cast("long")
+    keys = pairs.select(F.shiftleft(F.xxhash64("i", "j", "x", "y"), _bits(tables)).bitwiseOR(number).alias("key"), "id", "n")
     same = Window.partitionBy("key")
     found = keys.withColumn("first", F.min("id").over(same)).withColumn("last", F.max("id").over(same))
     return found.where("first < last").select("key", "id", "n")
@@ -195,7 +201,7 @@ def near_copies(docs: DataFrame, width: int = 5, percent: int = 80, tables: tupl
     sets = sig.where("n_shingles > 0 and doc_id is not null")
     groups = sets.groupBy("n_shingles", "f1", "f2").agg(F.min(F.struct("doc_id", "left", "right")).alias("m"))
     nodes = groups.select(F.col("m.doc_id").alias("id"), F.col("n_shingles").alias("n"), "m.left", "m.right")
-    found = written(buckets(nodes), "minhash-buckets")
+    found = written(buckets(nodes, tables), "minhash-buckets")
     ids = written(found.select("id").distinct(), "minhash-ids")
     whole = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
     texts = written(
@@ -228,11 +234,20 @@ def near_copies(docs: DataFrame, width: int = 5, percent: int = 80, tables: tupl
     full = mixed.join(rare, "id", "left").select("key", "id", "n", "c", *[F.coalesce(x, F.lit(0)).alias(x) for x in ("few", "rare", *bits)])
     set_bits = sum((F.bit_count(x) for x in bits), F.lit(0))
     full = full.select("key", "id", "n", "c", (F.col("n") - F.col("few")).alias("often"), "rare", (F.col("rare") - set_bits).alias("hidden"), *bits)
+    # a pair meets in every table of a common left and a common right tuple: it is taken in the first
+    sides = [F.transform(x, lambda v: F.pmod(v, F.lit(2**31 - 1)).cast("int")).alias(x) for x in ("left", "right")]
+    tuples = written(nodes.join(small_or_shuffled(some), "id", "left_semi").select("id", *sides), "minhash-tuples")
+    full = full.join(tuples, "id")
+    table = F.col("key").bitwiseAND(F.lit(2 ** _bits(tables) - 1))
+    place = {"left": F.floor(table / tables[1]), "right": table % tables[1]}
+    first = [F.array_position(F.zip_with(x, f"{x}2", lambda a, b: a == b), F.lit(True)) == at + 1 for x, at in place.items()]
     other = full.select("key", *[F.col(x).alias(f"{x}2") for x in full.columns if x != "key"])
     # rare shingles that share a bit with another of their node are hidden: all of them may be common
     common = sum((F.bit_count(F.col(x).bitwiseAND(F.col(f"{x}2"))) for x in bits), F.lit(0))
     shared = F.least("often", "often2") + F.least("rare", "rare2", common + F.least("hidden", "hidden2"))
-    cross = full.join(other, "key").where("c < c2").where(100 * shared >= percent * (F.col("n") + F.col("n2") - shared))
+    cross = full.join(other, "key").where("c < c2").where(
+        (100 * shared >= percent * (F.col("n") + F.col("n2") - shared)) & first[0] & first[1]
+    )
     pairs = cross.select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct()
     rest = written(
         confirmed(pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti"), texts, width, percent), "minhash-tested"
