@@ -1,22 +1,27 @@
-"""Benchmark leaks: rare n-gram seeds, then local alignment.
-
-Every word n-gram of a benchmark item is counted in the corpus; in each stretch of ``SPREAD``
-consecutive n-grams of an item the rarest is a seed. So common phrases seed nothing where a rarer
-one is near, yet every part of every item has a seed, however often it leaked. Where a document
-holds a seed, the words around it are aligned with the item (Smith-Waterman: 2 a match, -1 a
-mismatch or gap); the score over that of the item's own is kept if it reaches ``LEAST``.
+"""Benchmark leaks: rare words as seeds, then local alignment.
+
+An alignment (Smith-Waterman: 2 a match, -1 a mismatch or gap) is kept if its score over that of the
+item's own reaches ``LEAST``. So it must match a fixed number of the item's words in a stretch of a
+bounded length; of any choice of the item's places all but a bounded number must be matched too. The
+seeds are the places of the item's rarest words, as many as leave out only common ones. Runs of
+matches are parted by a mismatch or gap at least, so a score is at most one more than the matched
+words and matched pairs of neighbours. Documents that hold too few of an item's seeds and pairs
+cannot align with it; in the others the stretches with enough of its words and pairs are aligned.
+These bounds lose nothing: what full alignment of every document with every item finds is found,
+whatever was edited and however often an item leaked.
 
 The benchmark is taken in blocks of at most ``BLOCK_WORDS`` words, each a bounded query set against
 all documents; documents are never shuffled.
 
-Defined cases: null and blank texts hold no leak; items without words match nothing; items shorter
-than a seed are their own seed; a repeated item or document row gets rows of its own; no documents
+Defined cases: null and blank texts hold no leak; items without words match nothing; items of fewer than
+``N`` words match only as a whole; a repeated item or document row gets rows of its own; no documents
 or no benchmark give no rows.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
+import math
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,15 +43,9 @@ def hashes(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(xxh3_64_intdigest, words), np.uint64, len(words))
 
 
-def grams(h: np.ndarray, n: int) -> np.ndarray:
-    """Hashes of the n-grams at each place."""
-    if len(h) < n:
-        return np.empty(0, np.uint64)
-    acc = np.full(len(h) - n + 1, n, np.uint64)
-    for i in range(n):
-        acc = (acc ^ h[i : len(h) - n + 1 + i]) * np.uint64(0x9E3779B97F4A7C15)
-        acc ^= acc >> np.uint64(32)
-    return acc
+def pairs(h: np.ndarray) -> np.ndarray:
+    """Hashes of neighbouring words."""
+    return (h[:-1] * np.uint64(0x9E3779B97F4A7C15)) ^ (h[1:] * np.uint64(0xC2B2AE3D27D4EB4F))
 
 
 def align(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int, int, int]:
@@ -76,29 +75,91 @@ def align(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int, int, int]:
 
 
 class Items:
-    """A block of items: word hashes, and n-grams with their places."""
+    """A block of items: word hashes, and what an alignment of a score from ``least`` must hold."""
 
-    def __init__(self, rows: list[tuple[int, str]]):
+    def __init__(self, rows: list[tuple[int, str]], least: float = LEAST):
         self.ids = [i for i, _ in rows]
-        self.words = [hashes(alnum_words(t)) for _, t in rows]
-        self.n = [min(N, len(w)) for w in self.words]
-        self.grams = [grams(w, n) if n else np.empty(0, np.uint64) for w, n in zip(self.words, self.n, strict=True)]
-        self.lengths = sorted({n for n in self.n if n})
+        self.grams = [hashes(alnum_words(t)) for _, t in rows]
+        self.least = [least if len(g) >= N else 1.0 for g in self.grams]
+        self.need = [x * MATCH * len(g) for x, g in zip(self.least, self.grams, strict=True)]
+        #: Matches that the score takes, and the document's words that it may span.
+        self.matches = [min(len(g), max(1, math.ceil(n / MATCH - 1e-9))) for n, g in zip(self.need, self.grams, strict=True)]
+        self.span = [len(g) + int((MATCH * len(g) - n) / -max(MISS, GAP) + 1e-9) for n, g in zip(self.need, self.grams, strict=True)]
+        #: Seeds that must be matched: half of the matches, so that the commonest words are no seeds.
+        self.enough = [max(1, m // 2) for m in self.matches]
 
     def all(self) -> np.ndarray:
         return np.unique(np.concatenate([np.empty(0, np.uint64), *self.grams]))
 
     def seeds(self, count: dict[int, int]) -> dict[int, list[tuple[int, int]]]:
-        """Seed n-gram -> (item, place): the rarest of each stretch, the first of equals."""
+        """Seed word -> (item, place): the item's rarest places, equals spread over it.
+
+        At most ``len - matches`` places stay unmatched, so ``enough`` of these are matched.
+        """
         out = defaultdict(list)
         for k, g in enumerate(self.grams):
             df = [count.get(x, 0) for x in g.tolist()]
-            chosen = {min(range(s, min(s + SPREAD, len(df))), key=lambda p: (df[p], p)) for s in range(max(1, len(df) - SPREAD + 1)) if len(df)}
+            chosen = sorted(range(len(df)), key=lambda p: (df[p], p % SPREAD, p))[: len(df) - self.matches[k] + self.enough[k]]
             for p in sorted(chosen):
                 out[int(g[p])].append((k, p))
         return out
 
 
+class Places:
+    """Sorted keys, and for each the items that hold it, with at how many places."""
+
+    def __init__(self, keys: np.ndarray, items: list[list[int]]):
+        counts = [Counter(x) for x in items]
+        self.keys = keys
+        self.first = np.concatenate(([0], np.cumsum([len(c) for c in counts], dtype=np.int64)))
+        self.item = np.array([k for c in counts for k in c], np.int64)
+        self.times = np.array([n for c in counts for n in c.values()], np.int64)
+
+    def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where h holds keys, and which."""
+        if not len(self.keys):
+            return np.empty(0, np.int64), np.empty(0, np.int64)
+        at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
+        where = (self.keys[at] == h).nonzero()[0]
+        return where, at[where]
+
+    def held(self, keys: np.ndarray, n_items: int) -> np.ndarray:
+        """How many places of each item hold one of the keys."""
+        keys = np.unique(keys)
+        low = self.first[keys]
+        n = self.first[keys + 1] - low
+        at = np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())
+        return np.bincount(self.item[at], self.times[at], n_items)
+
+
+class Index:
+    """Seeds and pairs of a block's items."""
+
+    def __init__(self, items: Items, seeds: dict[int, list[tuple[int, int]]]):
+        words = items.all()
+        self.words = Places(words, [[k for k, _ in seeds.get(w, ())] for w in words.tolist()])
+        self.own = [np.unique(np.searchsorted(words, g)) for g in items.grams]
+        self.pairs = [pairs(g) for g in items.grams]
+        at = defaultdict(list)
+        for k, g in enumerate(self.pairs):
+            for x in g.tolist():
+                at[x].append(k)
+        self.pair = Places(np.array(sorted(at), np.uint64), [at[x] for x in sorted(at)])
+        self.enough = np.array(items.enough)
+        seeded = np.array(items.enough) - items.matches + [len(g) for g in items.grams]
+        #: The score's bound without seeds and pairs: words that are no seeds count as matched.
+        self.rest = 1 + (MATCH - 1) * (np.array([len(g) for g in items.grams]) - seeded)
+        self.need = np.array(items.need) - 1e-9
+
+    def candidates(self, words: np.ndarray, doc_pairs: np.ndarray) -> list[int]:
+        """Items with enough seeds and pairs among those of a document."""
+        seeds = self.words.held(words, len(self.need))
+        if not (seeds >= self.enough).any():
+            return []
+        both = (MATCH - 1) * seeds + self.pair.held(self.pair.find(doc_pairs)[1], len(self.need))
+        return ((seeds >= self.enough) & (both + self.rest >= self.need)).nonzero()[0].tolist()
+
+
 def blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
     """Items in ascending order, in blocks of at most ``BLOCK_WORDS`` words (one item at least)."""
     now, size = [], 0
@@ -115,18 +176,16 @@ def blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
 
 
 def frequencies(docs: DataFrame, items: Items) -> dict[int, int]:
-    """In how many documents each n-gram of the block occurs: at most a row an n-gram."""
-    known, lengths = items.all(), items.lengths
+    """In how many documents each word of the block occurs: at most a row a word."""
+    known = items.all()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = np.zeros(len(known), np.int64)
         for b in batches:
             for t in b.column(0).to_pylist():
-                h = hashes(alnum_words(t))
-                for n in lengths:
-                    g = np.unique(grams(h, n))
-                    at = np.minimum(np.searchsorted(known, g), len(known) - 1)
-                    count[at[known[at] == g]] += 1
+                h = hashes(list(set(alnum_words(t))))
+                at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+                count[at[known[at] == h]] += 1
         hit = count.nonzero()[0]
         yield pa.RecordBatch.from_arrays([pa.array(hit.astype("i8")), pa.array(count[hit])], ["gram", "n"])
 
@@ -134,33 +193,29 @@ def frequencies(docs: DataFrame, items: Items) -> dict[int, int]:
     return {int(known[g]): n for g, n in got}
 
 
-def leaks_of(h: np.ndarray, items: Items, seeds: dict[int, list[tuple[int, int]]], keys: np.ndarray, least: float) -> list[tuple]:
+def leaks_of(h: np.ndarray, items: Items, index: Index) -> list[tuple]:
     """(item, score, matched from, to in the item, from, to in the document) of one document."""
-    windows = defaultdict(list)
-    for n in items.lengths:
-        g = grams(h, n)
-        if not len(g):
-            continue
-        at = np.minimum(np.searchsorted(keys, g), len(keys) - 1)
-        for p in (keys[at] == g).nonzero()[0].tolist():
-            for k, q in seeds[int(g[p])]:
-                if items.n[k] == n:
-                    size = len(items.words[k])
-                    pad = size // 3 + 2
-                    windows[k].append((max(0, p - q - pad), min(len(h), p - q + size + pad)))
+    known, held = index.words.find(h)
     out = []
-    for k, found in sorted(windows.items()):
-        item, best = items.words[k], None
-        need = least * MATCH * len(item)
+    for k in index.candidates(held, pairs(h)):
+        item, need, best = items.grams[k], items.need[k], None
+        on = known[np.isin(held, index.own[k])]
+        more = items.matches[k] - 1
+        if len(on) <= more:
+            continue
+        # an alignment begins with a match, and so many more follow within its span
+        starts = on[: len(on) - more]
         merged: list[list[int]] = []
-        for s, e in sorted(found):
+        for s in starts[on[more:] - starts < items.span[k]].tolist():
+            e = min(len(h), s + items.span[k])
             if merged and s <= merged[-1][1]:
-                merged[-1][1] = max(e, merged[-1][1])
+                merged[-1][1] = e
             else:
                 merged.append([s, e])
         for s, e in merged:
             w = h[s:e]
-            if MATCH * int(np.isin(item, w).sum()) < need:  # no alignment can score more
+            words = int(np.isin(item, w).sum())  # no alignment can score more than these bounds
+            if MATCH * words < need or (MATCH - 1) * words + int(np.isin(index.pairs[k], pairs(w)).sum()) + 1 < need:
                 continue
             score, i0, i1, j0, j1 = align(item, w)
             if score >= need and (best is None or score > best[1]):
@@ -179,15 +234,14 @@ def leaks(docs: DataFrame, benchmark: DataFrame, least: float = LEAST) -> DataFr
     rows = bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     out = None
     for block in blocks(benchmark):
-        items = Items(block)
-        seeds = dict(items.seeds(frequencies(rows, items)))
+        items = Items(block, least)
+        index = Index(items, items.seeds(frequencies(rows, items)))
 
-        def run(batches: Iterator[pa.RecordBatch], items: Items = items, seeds: dict = seeds) -> Iterator[pa.RecordBatch]:
-            keys = np.array(sorted(seeds), np.uint64)
+        def run(batches: Iterator[pa.RecordBatch], items: Items = items, index: Index = index) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 found = []
                 for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                    found += [(i, items.ids[k], *rest) for k, *rest in leaks_of(hashes(alnum_words(t)), items, seeds, keys, least)]
+                    found += [(i, items.ids[k], *rest) for k, *rest in leaks_of(hashes(alnum_words(t)), items, index)]
                 cols = list(zip(*found, strict=True)) or [()] * 7
                 kinds = [pa.int64()] * 2 + [pa.float64()] + [pa.int64()] * 4
                 names = [c.split()[0] for c in COLUMNS.split(", ")]
