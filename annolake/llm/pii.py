@@ -24,7 +24,6 @@ from .common import bounded
 KINDS = ("email", "ip", "card", "phone")
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-_LOCAL_TAIL = re.compile(r"[A-Za-z0-9._%+-]+\Z")
 # a digit before the first one would itself begin the match, so looking back changes nothing
 _IP = re.compile(r"(?<![0-9])[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 _CARD = re.compile(r"(?<![0-9])[0-9](?:[\x20-]?[0-9])+")
@@ -103,11 +102,13 @@ _PLUS = re.compile(r"plus[\s-]+", re.I)
 _TOKEN = re.compile(rf"({_NAME})(?![^\W_])|([0-9]+)|([\s,.-]+)|(\+\s*)", re.I)
 _AT = r"(?:\s{0,3}[\[({<]\s{0,3}(?:at|@)\s{0,3}[\])}>]\s{0,3}|\s{1,3}at\s{1,3})"
 _DOT = r"(?:\s{0,3}[\[({<]\s{0,3}(?:dot|\.)\s{0,3}[\])}>]\s{0,3}|\s{1,3}dot\s{1,3})"
-_AT_SIGN = re.compile(_AT, re.I)
+_AT_SIGN = re.compile(rf"{_AT}|\s{{0,3}}@\s{{0,3}}", re.I)
+_APART = re.compile(r"\s+@\s+")
 _DOT_OR_POINT = re.compile(rf"(?:{_DOT}|\.)", re.I)
 _DOT_SIGN = re.compile(_DOT, re.I)
 _LABEL = re.compile(r"[A-Za-z0-9-]+")
-_NAME_DOT = re.compile(rf"[A-Za-z0-9_%+-]+{_DOT}\Z", re.I)
+_LONGEST_DOT = 17  # characters: four gaps of three, brackets, "dot"
+_POINTS = re.compile(rf"(?<![0-9])[0-9]++(?:(?:{_DOT}|\.)[0-9]++){{3}}", re.I)
 _PIECES = ("at", "@")
 
 
@@ -178,7 +179,8 @@ def spelled_digits(t: str) -> list[tuple[int, int, str]]:
 def spelled_addresses(t: str) -> list[tuple[int, int, str]]:
     """Disguised "at" and "dot" of whole addresses.
 
-    A bare "at" counts only if a disguised "dot" follows, so "look at example.com" stays as it is.
+    A bare "at", and an "@" without spaces on both sides, counts only if a disguised "dot" follows,
+    so "look at example.com" stays as it is.
     """
     out, done = [], 0
     for m in _AT_SIGN.finditer(t):
@@ -192,24 +194,28 @@ def spelled_addresses(t: str) -> list[tuple[int, int, str]]:
             if label:
                 dots.append((dot.start(), dot.end()))
         spelled = [d for d in dots if t[d[0] : d[1]] != "."]
-        if not dots or not spelled and not any(b in m[0] for b in "[({<"):
+        if not dots or not spelled and not any(b in m[0] for b in "[({<") and not _APART.fullmatch(m[0]):
             continue
         before, at = [], m.start()
-        while at > done:  # the local part's own disguised dots
-            low = max(done, at - 80)
-            tail = _LOCAL_TAIL.search(t, low, at)
-            name = tail and _NAME_DOT.search(t, low, tail.start())
-            dot = name and [x for x in _DOT_SIGN.finditer(t, name.start(), name.end())]
-            if not dot or dot[-1].end() != tail.start():
+        while True:  # the local part's own disguised dots
+            while at > done and t[at - 1] in _LOCAL:
+                at -= 1
+            dot = next((s for s in range(max(done, at - _LONGEST_DOT), at) if _DOT_SIGN.fullmatch(t, s, at)), done)
+            if dot <= done or t[dot - 1] not in _LOCAL or t[dot - 1] == ".":
                 break
-            before.insert(0, (dot[-1].start(), dot[-1].end(), "."))
-            at = dot[-1].start()
+            before.insert(0, (dot, at, "."))
+            at = dot
         out += before + [(m.start(), m.end(), "@")] + [(a, b, ".") for a, b in spelled]
         done = end
     return out
 
 
-TRANSDUCERS = (look_alikes, spelled_digits, spelled_addresses)
+def spelled_points(t: str) -> list[tuple[int, int, str]]:
+    """Disguised dots between four groups of digits."""
+    return [(d.start(), d.end(), ".") for m in _POINTS.finditer(t) for d in _DOT_SIGN.finditer(t, m.start(), m.end())]
+
+
+TRANSDUCERS = (look_alikes, spelled_digits, spelled_addresses, spelled_points)
 
 
 def added(t: str, base: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
