@@ -83,13 +83,39 @@ def grid_cells(df: DataFrame, size: int) -> DataFrame:
 
 
 def discrete_cuts(df: DataFrame, columns: list[str], n: int) -> dict[str, list]:
-    """n - 1 cut points of each column by share of rows, all columns in one pass, in its own type."""
+    """n - 1 cut points of each column by share of rows, in its own type: the rows of ranks ceil(rows * i / n).
+
+    Values are counted first, then blocks of the column's range; only the blocks that hold a cut are
+    ranked, so no task sees all values of a column. Nulls do not count; NaN comes last.
+    """
     if n <= 1:
         return {c: [] for c in columns}
-    shares = ", ".join(repr(i / n) for i in range(1, n))
-    row = df.agg(*[F.expr(f"percentile_disc(array({shares})) WITHIN GROUP (ORDER BY `{c}`)").alias(c) for c in columns]).first()
-    whole = {c for c, t in df.dtypes if t in ("int", "bigint", "smallint", "tinyint")}
-    return {c: [int(v) if c in whole else v for v in row[c] or []] for c in columns}
+    return {c: _cuts(df.select(F.col(c).alias("v")).where("v IS NOT NULL"), n) for c in columns}
+
+
+def _cuts(values: DataFrame, n: int) -> list:
+    kind = values.dtypes[0][1]
+    counted = values.groupBy("v").agg(F.count(F.lit(1)).alias("n"))
+    parts = max(8, int(values.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    ends = [x for x in sorted(set(values.approxQuantile("v", [i / parts for i in range(1, parts)], 0.01))) if x == x]
+    block = sum(((F.col("v") > F.lit(x)).cast("int") for x in ends), F.lit(0))
+    placed = counted.withColumn("block", block)
+    sizes = {r[0]: r[1] for r in placed.groupBy("block").agg(F.sum("n")).collect()}
+    total, base, bases = sum(sizes.values()), 0, {}
+    for b in sorted(sizes):
+        bases[b] = base
+        base += sizes[b]
+    ranks = [-(-total * i // n) for i in range(1, n)] if total else []
+    if not ranks:
+        return []
+    held = sorted({b for r in ranks for b in sizes if bases[b] < r <= bases[b] + sizes[b]})
+    upto = Window.partitionBy("block").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    start = F.create_map(*[F.lit(x) for b in held for x in (b, bases[b])])
+    ranked_values = placed.where(F.col("block").isin(held)).withColumn("upto", F.sum("n").over(upto) + start[F.col("block")])
+    hit = reduce(lambda a, b: a | b, [(F.col("upto") >= r) & (F.col("upto") - F.col("n") < r) for r in sorted(set(ranks))])
+    rows = ranked_values.where(hit).select("v", "upto", "n").collect()
+    found = {r: v for v, upto_, k in rows for r in ranks if upto_ - k < r <= upto_}
+    return [int(found[r]) if kind in ("int", "bigint", "smallint", "tinyint") else found[r] for r in ranks]
 
 
 def sampled_cuts(df: DataFrame, columns: list[str], n: int, rows: int, most: int = 500_000) -> dict[str, list]:
