@@ -1,17 +1,23 @@
 """A toxicity classifier regularised by counterfactuals.
 
 Words, and the first letters of long words, feed a logistic model. Besides the labels' loss it is
-trained on pairs of sentences: one that names an identity group, and the same sentence with the
-group swapped for another or left out. The squared change of the score is added to the loss, so
-that naming a group does not by itself raise a score.
+trained on pairs of sentences taken from the labelled rows: a sentence that names an identity group,
+and the same sentence with the group swapped for another or left out; and a sentence that names
+none, with one group and with another put in after its first article (or at its beginning), and
+without. The squared change of the score is added to the loss, so that naming a group does not by
+itself raise a score. Each distinct change counts once, however many sentences show it: a group that
+few rows name is held as firmly as one that many do.
 
 It is fitted on the driver from a bounded sample of labelled rows (``SAMPLE`` rows of at most
-``FEATURES`` features, those whose hashed doc_id is smallest); Spark extracts the features, and
-every whole text is scored in tasks. Weights are a table of at most ``FEATURES`` entries.
+``FEATURES`` features and those of group terms, rows whose hashed doc_id is smallest; of each row at
+most ``SENTENCES`` sentences, cut to ``WINDOW`` words, so at most ``SAMPLE * SENTENCES * 3`` pairs).
+Spark extracts the features and counts the pairs, and every whole text is scored in tasks.
 
 Defined cases: a null text is an empty one and gets the score of no evidence; rows without a label
 are not learnt from; without any toxic and any other label, the share of toxic labels is the score
-of all; equal texts get equal scores; repeated label rows count once each.
+of all; equal texts get equal scores; repeated label rows count once each; of sentences or features
+that tie, those with the smaller hash or name come first; an empty table gives no rows; other
+columns, of whatever name, are no input.
 """
 
 from __future__ import annotations
@@ -23,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from xxhash import xxh3_64_intdigest
 
 from .common import alnum_words, bounded, table, written
 
@@ -30,24 +37,31 @@ from .common import alnum_words, bounded, table, written
 SAMPLE = 16_000
 #: Most features it keeps: those whose share differs most between the two labels.
 FEATURES = 4_000
+#: Most sentences of a row that counterfactuals are made of, and most words of one.
+SENTENCES = 2
+WINDOW = 64
 #: Weight of the score changes between counterfactual sentences.
 SWAP_PENALTY = 1.0
 THRESHOLD = 0.3
 STEM = 5
 
-# Terms that name groups, by kind; swaps stay within a kind.
+# Terms that name groups, by language and kind; swaps stay within a kind.
 IDENTITY_TERMS = (
-    "women men girls boys woman man girl boy",
-    "muslims christians jews hindus buddhists atheists muslim christian jewish hindu buddhist atheist",
-    "black white asian latino african arab european",
-    "gay lesbian straight transgender bisexual queer",
-    "immigrants refugees foreigners natives",
-    "frauen männer mädchen jungen muslime christen juden",
-    "femmes hommes filles garçons musulmans chrétiens juifs",
-    "mujeres hombres niñas niños musulmanes cristianos judíos",
+    ("en", "women men girls boys woman man girl boy"),
+    ("en", "muslims christians jews hindus buddhists atheists muslim christian jewish hindu buddhist atheist"),
+    ("en", "black white asian latino african arab european"),
+    ("en", "gay lesbian straight transgender bisexual queer"),
+    ("en", "immigrants refugees foreigners natives"),
+    ("de", "frauen männer mädchen jungen muslime christen juden"),
+    ("fr", "femmes hommes filles garçons musulmans chrétiens juifs"),
+    ("es", "mujeres hombres niñas niños musulmanes cristianos judíos"),
 )
-_KIND = {w.encode(): k for k, line in enumerate(IDENTITY_TERMS) for w in line.split()}
-_OF_KIND = [[w.encode() for w in line.split()] for line in IDENTITY_TERMS]
+# Articles, by language; a group is put in after the first of a sentence.
+ARTICLES = {"en": "the a an these those", "de": "der die das den dem ein eine einen", "fr": "le les des un une du", "es": "el los las una unos unas"}
+_KIND = {w.encode(): k for k, (_, line) in enumerate(IDENTITY_TERMS) for w in line.split()}
+_OF_KIND = [[w.encode() for w in line.split()] for _, line in IDENTITY_TERMS]
+_KINDS_OF = {x: [k for k, (y, _) in enumerate(IDENTITY_TERMS) if y == x] for x in ARTICLES}
+_ARTICLE = {w.encode(): x for x, line in ARTICLES.items() for w in line.split()}
 _SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
 
 
@@ -57,8 +71,21 @@ def features(words: list[bytes]) -> set[bytes]:
     return found | {w[:STEM] + b"*" for w in found if len(w) > STEM}
 
 
-def sentences_with_groups(text: str) -> list[list[bytes]]:
-    return [w for s in _SENTENCE.split(text) if (w := alnum_words(s)) and any(x in _KIND for x in w)]
+def sentences(text: str, most: int = SENTENCES) -> list[list[bytes]]:
+    """A few sentences of a text, those that name groups first, long ones around the first group or article."""
+    out = []
+    for s in _SENTENCE.split(text):
+        words = alnum_words(s)
+        if not words:
+            continue
+        at = next((i for i, w in enumerate(words) if w in _KIND), -1)
+        named = at >= 0
+        if not named:
+            at = next((i for i, w in enumerate(words) if w in _ARTICLE), 0)
+        start = max(0, min(at - WINDOW // 2, len(words) - WINDOW))
+        words = words[start : start + WINDOW]
+        out.append((not named, xxh3_64_intdigest(b" ".join(words)), words))
+    return [w for _, _, w in sorted(out)[:most]]
 
 
 def swaps(words: list[bytes]) -> list[list[bytes]]:
@@ -69,11 +96,30 @@ def swaps(words: list[bytes]) -> list[list[bytes]]:
     return out
 
 
+def inserted(words: list[bytes]) -> list[list[bytes]]:
+    """A sentence that names no group with one, and with the next of its kind, put in."""
+    at = next((i for i, w in enumerate(words) if w in _ARTICLE), None)
+    language = "en" if at is None else _ARTICLE[words[at]]
+    h = xxh3_64_intdigest(b" ".join(words))
+    terms = _OF_KIND[_KINDS_OF[language][h % len(_KINDS_OF[language])]]
+    i = (h >> 8) % len(terms)
+    slot = 0 if at is None else at + 1
+    return [[*words[:slot], terms[(i + step) % len(terms)], *words[slot:]] for step in (0, 1)]
+
+
+def counterfactuals(words: list[bytes]) -> list[tuple[list[bytes], list[bytes]]]:
+    """Pairs of sentences whose scores should not differ."""
+    if any(w in _KIND for w in words):
+        return [(words, x) for x in swaps(words)]
+    one, other = inserted(words)
+    return [(one, other), (one, words), (other, words)]
+
+
 class Model:
-    """Weights by feature, and a constant."""
+    """Weights by feature, and a constant; ``pairs``: how many pairs of sentences it was held to."""
 
-    def __init__(self, weights: dict[bytes, float], constant: float):
-        self.weights, self.constant = weights, constant
+    def __init__(self, weights: dict[bytes, float], constant: float, pairs: int = 0):
+        self.weights, self.constant, self.pairs = weights, constant, pairs
         self.known = frozenset(weights)
 
     def score(self, text: str | None) -> float:
@@ -85,8 +131,9 @@ class Model:
 def solve(names: list[bytes], rows: list[tuple[list[int], int]], changes: list[list[int]], penalty: float = SWAP_PENALTY, rounds: int = 300) -> Model:
     """Fit by gradient steps with momentum on the sum of both losses, weights held small.
 
-    ``rows``: numbers of a row's features, and its label. ``changes``: for each pair of sentences
-    the features that only the first has as number + 1, those that only the second has negated.
+    ``rows``: numbers of a row's features, and its label. ``changes``: for each distinct change
+    between paired sentences the features that only the first has as number + 1, those that only
+    the second has negated.
     """
     n, toxic = len(rows), sum(y for _, y in rows)
     share = (toxic + 0.5) / (n + 1)
@@ -107,25 +154,24 @@ def solve(names: list[bytes], rows: list[tuple[list[int], int]], changes: list[l
         g = np.bincount(col, err[row], len(names)) + 1e-4 * w
         if len(changes):
             d = np.bincount(pair, sign * w[turned], len(changes))
-            g += penalty * 2 * np.bincount(turned, sign * d[pair], len(names)) / len(changes)
+            g += penalty * 2 * np.bincount(turned, sign * d[pair], len(names))
         gb = err.sum()
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         mb, vb = 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
-        rate = 0.05
+        rate = 0.05 * min(1.0, 2 * (1 - step / (rounds + 1)))  # smaller in the second half, to settle
         w -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
         bias -= rate * (mb / (1 - 0.9**step)) / (np.sqrt(vb / (1 - 0.999**step)) + 1e-8)
     return Model({f: float(x) for f, x in zip(names, w, strict=True) if abs(x) > 1e-3}, float(bias))
 
 
 def strong_features(made: DataFrame, n: int, toxic: int) -> list[bytes]:
-    """Features whose share differs most between the labels, and group terms, counted by Spark."""
+    """Features whose share differs most between the labels, counted by Spark, and those of group terms."""
     seen = made.select("y", F.explode("f").alias("f")).groupBy("f").agg(F.count(F.lit(1)).alias("k"), F.sum("y").alias("t"))
     p = F.col("k") / n
     gap = F.abs(F.col("t") / toxic - (F.col("k") - F.col("t")) / (n - toxic))
     apart = gap / F.sqrt(F.greatest(p * (1 - p), F.lit(1e-9)) * (1 / toxic + 1 / (n - toxic)))
     strong = seen.where("k >= 3").withColumn("apart", apart).where("apart > 3.5").orderBy(F.desc("apart"), "f").limit(FEATURES)
-    groups = seen.where(F.col("f").isin([bytearray(w) for w in _KIND]))
-    return sorted({bytes(r[0]) for part in (strong, groups) for r in part.select("f").collect()})
+    return sorted({bytes(r[0]) for r in strong.select("f").collect()} | features(list(_KIND)))
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, penalty: float = SWAP_PENALTY) -> Model:
@@ -143,7 +189,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, penalty: flo
             f, s = [], []
             for t in b.column(0).to_pylist():
                 f.append(sorted(features(alnum_words(t))))
-                s.append([b" ".join(x) for x in sentences_with_groups(t or "")])
+                s.append([b" ".join(x) for x in sentences(t or "")])
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip((f, b.column(1), s), kinds, strict=True)], ["f", "y", "s"])
 
     made = written(rows.mapInArrow(featured, "f array<binary>, y int, s array<binary>"), "toxicity-features")
@@ -155,20 +201,26 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, penalty: flo
     def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = {f: k for k, f in enumerate(names)}
         for b in batches:
-            ids, pairs = [], []
-            for f, s in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True):
-                ids.append([number[x] for x in f if x in number])
-                turned = []
-                for words in (x.split(b" ") for x in s):
-                    here = features(words)
-                    for there in map(features, swaps(words)):
-                        turned.append([number[x] + 1 for x in here - there if x in number] + [-number[x] - 1 for x in there - here if x in number])
-                pairs.append(turned)
-            cols = [pa.array(ids, pa.list_(pa.int32())), b.column(1), pa.array(pairs, pa.list_(pa.list_(pa.int32())))]
-            yield pa.RecordBatch.from_arrays(cols, ["ids", "y", "pairs"])
-
-    got = sorted(map(tuple, made.mapInArrow(numbered, "ids array<int>, y int, pairs array<array<int>>").collect()))
-    return solve(names, [(ids, y) for ids, y, _ in got], [c for _, _, pairs in got for c in pairs], penalty)
+            ids = [[number[x] for x in f if x in number] for f in b.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.list_(pa.int32())), b.column(1)], ["ids", "y"])
+
+    def turned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = {f: k for k, f in enumerate(names)}
+        for b in batches:
+            out = []
+            for words in (x.split(b" ") for s in b.column(0).to_pylist() for x in s):
+                for one, other in counterfactuals(words):
+                    here, there = features(one), features(other)
+                    change = [number[x] + 1 for x in here - there if x in number] + [-number[x] - 1 for x in there - here if x in number]
+                    if change:
+                        out.append(sorted(change))
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.list_(pa.int32()))], ["change"])
+
+    got = sorted(map(tuple, made.select("f", "y").mapInArrow(numbered, "ids array<int>, y int").collect()))
+    changes = made.select("s").mapInArrow(turned, "change array<int>").groupBy("change").agg(F.count(F.lit(1)).alias("k")).collect()
+    model = solve(names, got, sorted(list(r[0]) for r in changes), penalty)
+    model.pairs = sum(r[1] for r in changes)
+    return model
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
