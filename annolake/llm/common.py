@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
 import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
@@ -24,10 +25,15 @@ def alnum_words(text: str | None) -> list[bytes]:
 def shared_dir(spark: SparkSession, what: str) -> str:
     """A new folder for one run of an operator, under the folder that driver and executors share.
 
-    It lies under ``spark.checkpoint.dir``; only where that is unset, as in tests, under
-    ``/tmp/checkpoints``.
+    It lies under ``spark.checkpoint.dir``. Where that is unset a folder of this machine serves a
+    local session, as in tests; on a cluster, whose executors could not see it, that is an error.
     """
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file:///tmp/checkpoints"
+    conf = spark.sparkContext.getConf()
+    base = conf.get("spark.checkpoint.dir")
+    if not base:
+        if not conf.get("spark.master", "").split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = "file:///tmp/checkpoints"
     return f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
@@ -44,12 +50,16 @@ def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
 
 
-def read_buffer(fs: pafs.FileSystem, path: str) -> pa.Buffer:
-    """A file's bytes: memory-mapped where the file system is local, read otherwise."""
-    if isinstance(fs, pafs.LocalFileSystem):
-        return pa.memory_map(path).read_buffer()
-    with fs.open_input_file(path) as f:
-        return f.read_buffer()
+class RangeReader:
+    """Ranges of a file's bytes: memory-mapped where the file system is local, else only what is asked for is read."""
+
+    def __init__(self, fs: pafs.FileSystem, path: str):
+        self.file = pa.memory_map(path) if isinstance(fs, pafs.LocalFileSystem) else fs.open_input_file(path)
+
+    def numbers(self, kind: np.dtype, start: int, count: int) -> np.ndarray:
+        """``count`` numbers from the ``start``-th on."""
+        size = kind.itemsize
+        return np.frombuffer(self.file.read_at(count * size, start * size), kind) if count else np.empty(0, kind)
 
 
 #: Ids up to this many (eight bytes each) may be broadcast; larger sets are joined by a shuffle.
@@ -66,7 +76,10 @@ BATCH_ROWS = 1000
 
 
 def bounded(docs: DataFrame) -> DataFrame:
-    """``docs``, after the session was told to hand texts to Python in batches of bounded size."""
+    """``docs``, after the session was told to hand texts to Python in batches of at most so many rows.
+
+    The setting holds when the plan runs, so it stays; Spark itself bounds a batch's bytes (64 MB).
+    """
     docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     return docs
 

@@ -4,18 +4,23 @@ One folder holds, for each part: ``N.bin`` ids one after another as unsigned int
 the vocabulary allows, else 32), ``N.idx`` 64-bit offsets of the documents in it and its end, and
 ``N.doc`` their 64-bit ids. ``parts`` is a table of the parts in order with their counts; a part's
 base, the number of ids before it, is a prefix sum of the counts. Parts hold ascending ranges of
-doc_id, so start = base + offset.
+doc_id, so start = base + offset. The number of parts follows from the texts' bytes, so a part is
+about ``PART_BYTES`` of text at any input, and parts are read in ranges of documents.
 
 A file is written under a name of its own by each attempt, and only attempts that the parts table
 names count, so retries leave no double rows. Texts are encoded in pre-tokens, which are kept in a
 memory of bounded size.
 
 Defined cases: a null text is an empty one and has the end id only; a null doc_id sorts first;
-repeated rows are kept and lie next to each other; an empty table gives an empty parts table.
+repeated rows are kept and lie next to each other, in several parts if there are many; documents
+that share a doc_id lie in the order of their texts' hashes; an empty table gives an empty parts
+table; other columns, of whatever name, are not read. A vocabulary file with a normaliser, another
+pre-tokenizer or another model is refused.
 """
 
 from __future__ import annotations
 
+import json
 import struct
 import uuid
 import zlib
@@ -27,12 +32,16 @@ import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import bounded, filesystem, read_buffer, shared_dir, table, written
+from .common import RangeReader, bounded, filesystem, shared_dir, table, written
 
 END_ID = 2
 #: Entries either half of the memory of encoded words holds.
 MEMORY = 400_000
 NO_ID = -(1 << 63)
+#: Bytes of text that a part is meant for.
+PART_BYTES = 1 << 30
+#: Documents of a part that one task reads.
+READ_DOCS = 1 << 16
 #: Rows (documents) of one written or read batch.
 BATCH = 512
 
@@ -51,6 +60,7 @@ class WordEncoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        _refuse_others(path)
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
@@ -86,6 +96,16 @@ class WordEncoder:
         return struct.pack(f"<{len(ids)}{self.pack}", *ids)
 
 
+def _refuse_others(path: str) -> None:
+    """Only byte-level pair encoding with the usual pattern is encoded pre-token by pre-token."""
+    with open(path, encoding="utf-8") as f:
+        said = json.load(f)
+    pre, model = said.get("pre_tokenizer") or {}, said.get("model") or {}
+    plain = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
+    if said.get("normalizer") or not plain or model.get("type") != "BPE" or model.get("dropout") or model.get("ignore_merges"):
+        raise ValueError(f"{path}: not a byte-level vocabulary of pairs with the usual pre-tokens")
+
+
 class _Parts(dict):
     """Ids of parts seen; when full, what was kept becomes the older half and is asked before encoding."""
 
@@ -126,10 +146,12 @@ def encoder(path: str) -> WordEncoder:
 def write(docs: DataFrame, vocabulary: str, out: str, end_id: int = END_ID, parts: int | None = None) -> DataFrame:
     """Write token files to ``out`` (a folder all executors reach); the parts table, with bases."""
     spark = docs.sparkSession
-    n = parts or max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    rows = bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    # the parts are numbered in the order of their ranges
-    ordered = rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
+    rows = bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("h"), F.monotonically_increasing_id().alias("at"))
+    if parts is None:
+        size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        parts = max(-(-size // PART_BYTES), int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    # the parts are numbered in the order of their ranges; many rows of one doc_id may be several parts
+    ordered = rows.repartitionByRange(parts, "doc_id", "h", "at").sortWithinPartitions("doc_id", "h", "at")
     numbered = ordered.select(F.spark_partition_id().alias("part"), "doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,26 +201,28 @@ def read(parts: DataFrame, folder_uri: str) -> DataFrame:
         for b in batches:
             for p in b.to_pylist():
                 kind = np.dtype("<u2" if p["width"] == 2 else "<u4")
-                path = f"{folder}/{p['name']}"
-                idx = np.frombuffer(read_buffer(fs, f"{path}.idx"), "<u8")
-                doc = np.frombuffer(read_buffer(fs, f"{path}.doc"), "<i8")
-                ids = np.frombuffer(read_buffer(fs, f"{path}.bin"), kind)
-                for at in range(0, len(doc), 8 * BATCH):
-                    cut = idx[at : at + 8 * BATCH + 1]
-                    crc = [zlib.crc32(ids[x:y].astype("<u4").tobytes()) for x, y in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
-                    own = doc[at : at + 8 * BATCH]
+                idx, doc, ids = (RangeReader(fs, f"{folder}/{p['name']}.{k}") for k in ("idx", "doc", "bin"))
+                end = min(p["first"] + READ_DOCS, p["n_docs"])
+                for at in range(p["first"], end, BATCH):
+                    n = min(BATCH, end - at)
+                    cut = idx.numbers(np.dtype("<u8"), at, n + 1).astype("i8")
+                    tokens = ids.numbers(kind, int(cut[0]), int(cut[-1] - cut[0]))
+                    inner = (cut - cut[0]).tolist()
+                    crc = [zlib.crc32(tokens[x:y].astype("<u4").tobytes()) for x, y in zip(inner, inner[1:], strict=False)]
+                    own = doc.numbers(np.dtype("<i8"), at, n)
                     yield pa.RecordBatch.from_arrays(
                         [
                             pa.array(own, pa.int64(), mask=own == NO_ID),
-                            pa.array(cut[:-1].astype("i8") + p["base"], pa.int64()),
-                            pa.array(np.diff(cut).astype("i8"), pa.int64()),
+                            pa.array(cut[:-1] + p["base"], pa.int64()),
+                            pa.array(np.diff(cut), pa.int64()),
                             pa.array(crc, pa.int64()),
                         ],
                         ["doc_id", "start", "n_tokens", "ids_crc32"],
                     )
 
-    n = parts.count()
-    spread = parts.repartitionByRange(max(1, n), "part") if n else parts
+    ranges = parts.withColumn("first", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_docs") - 1, F.lit(READ_DOCS).cast("long"))))
+    n = ranges.count()  # a row a part and range
+    spread = ranges.repartitionByRange(max(1, n), "part", "first") if n else ranges
     return spread.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
