@@ -10,9 +10,13 @@ that hold a cut are split, document by document.
 A second, smaller flow then evens out what the cuts left over with the smallest documents of the
 shards that are too full.
 
+Only files of shards that lose or gain documents are rewritten, into a folder of their own: the old
+files stay as they are until all is there, so a lost executor or a stopped job costs no data.
+
 Defined cases: a null text counts as no bytes (size 1); a null or out-of-range old shard becomes
-shard 0; repeated rows are placed one by one; an empty table gives no rows; columns besides those
-named are carried by ``reshard`` only if asked for in ``keep``.
+shard 0; capacities that hold less than there is are an error; repeated rows are placed one by one;
+of rows of equal size those with the smaller hash come first; an empty table gives no rows; a
+table's own columns named ``shard`` or ``slot`` give way to the plan's, others are carried as they are.
 """
 
 from __future__ import annotations
@@ -26,19 +30,19 @@ from .common import shared_dir, written
 
 #: Blocks an old shard is cut into; the block totals (shards x blocks rows) stay small at any input.
 BLOCKS = 1024
+#: Blocks that rows of about one size in one shard are dealt to.
+SALT = 64
 
 
 def solve_flow(supply: list[int], capacity: list[int]) -> dict[tuple[int, int], int]:
     """Bytes from old shard i to new shard j, moving as few as possible.
 
     Transport network source -> old -> new -> sink with cost 0 on i -> i and 1 elsewhere, solved by
-    cheapest augmenting paths; costs are 0 and 1 only, so a deque serves as the queue. Capacities
-    are raised evenly if they hold less than there is.
+    cheapest augmenting paths; costs are 0 and 1 only, so a deque serves as the queue.
     """
     n, m = len(supply), len(capacity)
-    short = sum(supply) - sum(capacity)
-    if short > 0 and m:
-        capacity = [c + short // m + (j < short % m) for j, c in enumerate(capacity)]
+    if sum(supply) > sum(capacity):
+        raise ValueError(f"the new shards take {sum(capacity)} bytes of {sum(supply)}")
     flow: dict[tuple[int, int], int] = {}
     left, room = list(supply), list(capacity)
     for i in range(min(n, m)):
@@ -96,18 +100,12 @@ def intervals(flow: dict[tuple[int, int], int], n_old: int) -> list[tuple[int, i
     return out
 
 
-def _dest(old: Column, start: Column, cuts: list[tuple[int, int, int, int]]) -> Column:
-    """The new shard of byte ``start`` of old shard ``old``; beyond the last cut, the last one's."""
+def _ends(rows: DataFrame, old: str, cuts: list[tuple[int, int, int, int]]) -> DataFrame:
+    """A row a shard: where its intervals end, and the new shard of each. As many rows as shards."""
     by: dict[int, list[tuple[int, int]]] = {}
     for i, j, _, to in cuts:
         by.setdefault(i, []).append((to, j))
-    out = F.lit(None).cast("int")
-    for i, ends in by.items():
-        inner = F.lit(ends[-1][1])
-        for to, j in reversed(ends[:-1]):
-            inner = F.when(start < to, F.lit(j)).otherwise(inner)
-        out = F.when(old == i, inner).otherwise(out)
-    return F.coalesce(out, old)
+    return rows.sparkSession.createDataFrame(list(by.items()), f"{old} int, ends array<struct<upto:long,dest:int>>")
 
 
 def _totals(rows: DataFrame, shard: str, n: int) -> list[int]:
@@ -129,25 +127,30 @@ def _cut(rows: DataFrame, old: str, block: Column, order: list[Column], cuts: li
     inside = Window.partitionBy(old, "block").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     placed = b.withColumn("upto", F.sum("size").over(inside)).join(F.broadcast(at), [old, "block"])
     middle = F.col("block_at") + F.col("upto") - F.floor((F.col("size") + 1) / 2)
-    return placed.withColumn("dest", _dest(F.col(old), middle, cuts)).drop("block", "upto", "block_at")
+    # the first interval that ends beyond the row's middle; beyond all, the last one
+    at = F.filter("ends", lambda x: x["upto"] > F.col("middle"))
+    dest = F.coalesce(F.get(at, F.lit(0))["dest"], F.element_at("ends", -1)["dest"], F.col(old))
+    placed = placed.withColumn("middle", middle).join(F.broadcast(_ends(rows, old, cuts)), old, "left")
+    return placed.withColumn("dest", dest).drop("block", "upto", "block_at", "middle", "ends")
 
 
-def plan(docs: DataFrame, old_shard: Column, capacities: list[int] | int, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def plan(docs: DataFrame, old_shard: Column, capacities: list[int] | int, old_shards: int | None = None, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """Where each document goes: doc_id, size, text_crc32, old_shard, shard, slot.
 
-    ``capacities``: bytes each new shard takes, or a number of shards of equal size. ``slot``
-    counts from 0 without gaps in each new shard. Rows keep their shard where the flow lets them.
+    ``capacities``: bytes each new shard takes, or a number of shards of equal size; ``old_shards``:
+    how many there are now, as many as new ones if not given. ``slot`` counts from 0 without gaps in
+    each new shard. Rows keep their shard where the flow lets them.
     """
+    n_new = capacities if isinstance(capacities, int) else len(capacities)
+    n_old = max(n_new, old_shards or 0)
+    old = old_shard.cast("int")
     rows = docs.select(
         F.col(doc_id).alias("doc_id"),
         (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long").alias("size"),
         F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary")).alias("text_crc32"),
-        F.coalesce(old_shard.cast("int"), F.lit(0)).alias("old_shard"),
+        F.when(old.between(0, n_old - 1), old).otherwise(0).alias("old_shard"),
     )
     rows = written(rows, "shard-sizes")
-    n_new = capacities if isinstance(capacities, int) else len(capacities)
-    n_old = max(n_new, (rows.agg(F.max("old_shard")).first()[0] or 0) + 1)
-    rows = rows.withColumn("old_shard", F.when(F.col("old_shard").between(0, n_old - 1), F.col("old_shard")).otherwise(0))
     supply = _totals(rows, "old_shard", n_old)
     total = sum(supply)
     if isinstance(capacities, int):
@@ -160,14 +163,14 @@ def plan(docs: DataFrame, old_shard: Column, capacities: list[int] | int, text:
     got = _totals(placed, "dest", n_new)
     rest = intervals(solve_flow(got, capacities), n_new)
     size_class = F.greatest(F.lit(0), F.lit(255) - F.floor(F.log2(F.col("size")) * 8).cast("int"))
-    by_size = size_class * 16 + F.pmod(F.xxhash64("doc_id"), F.lit(16))  # salted: many rows may be of one size
+    by_size = size_class * SALT + F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(SALT))  # many rows may be of one size
     even = _cut(placed.withColumnRenamed("dest", "first"), "first", by_size, [F.col("size").desc(), *order], rest)
     return number(even.drop("first").withColumnRenamed("dest", "shard"))
 
 
 def number(rows: DataFrame) -> DataFrame:
     """``rows`` with ``slot``: 0, 1, ... in each shard, by blocks of a hash of the document."""
-    b = rows.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(BLOCKS)))
+    b = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(BLOCKS)))
     upto = Window.partitionBy("shard").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     counts = b.groupBy("shard", "block").agg(F.count(F.lit(1)).alias("n"))
     base = counts.select("shard", "block", F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("base"))
@@ -176,6 +179,13 @@ def number(rows: DataFrame) -> DataFrame:
     return b.join(F.broadcast(base), ["shard", "block"]).withColumn("slot", slot).drop("block", "base")
 
 
+def store(docs: DataFrame, shard: Column, out: str) -> DataFrame:
+    """Write documents as ``out/shard=N`` folders, as they lie in the tasks; the table read back."""
+    rows = docs.select(*[c for c in docs.columns if c not in ("shard", "slot")], shard.cast("int").alias("shard"))
+    rows.write.option("compression", "zstd").partitionBy("shard").parquet(out)
+    return docs.sparkSession.read.schema(rows.schema).parquet(out)
+
+
 def rewrite(docs: DataFrame, placed: DataFrame, out: str, affected: list[int] | None = None) -> str:
     """Write documents as ``out/shard=N`` folders by a plan; with ``affected``, only those shards.
 
@@ -195,7 +205,8 @@ def rewrite(docs: DataFrame, placed: DataFrame, out: str, affected: list[int] |
     if affected is not None:
         target = target.where(F.col("shard").isin(affected))
     joined = keyed.join(target, on).select("document.*", "shard", "slot")
-    joined.write.option("partitionOverwriteMode", "dynamic").mode("overwrite").partitionBy("shard").parquet(out)
+    files = joined.write.option("partitionOverwriteMode", "dynamic").option("compression", "zstd").mode("overwrite")
+    files.partitionBy("shard").parquet(out)
     return out
 
 
@@ -206,22 +217,37 @@ def affected(placed: DataFrame) -> list[int]:
     return sorted(r[0] for r in both.collect())
 
 
+def reshard(stored: DataFrame, capacities: list[int] | int, out: str, old_shards: int | None = None) -> tuple[DataFrame, DataFrame, list[int]]:
+    """Move a stored table (doc_id, text, ..., shard) to new shards: the rewritten files, as a table,
+    the plan of all rows, and which shards were rewritten. Files of other shards stay where they are
+    and are not read beyond the columns that the plan needs.
+    """
+    placed = written(plan(stored, F.col("shard"), capacities, old_shards), "shard-plan")
+    changed = affected(placed)
+    some = stored.where(F.col("shard").isin(changed))  # what moves lies in shards that change
+    rewrite(some, placed.where(F.col("shard").isin(changed)), out, changed)
+    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in stored.schema if f.name not in ("shard", "slot")]
+    files = stored.sparkSession.read.schema(", ".join([*kinds, "slot long", "shard int"])).parquet(out)
+    return files, placed, changed
+
+
 def op1_flow_reshard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``documents`` moved from shards by source to 16 of equal size, written, and read back.
+    """``documents``, stored in 16 shards by source, moved to 16 of equal size, and read back.
 
-    Law ``bytes``. Old shards lie by a hash of the source, so a hot source fills one of them.
+    Law ``bytes``. Old shards lie by a hash of the source, so a hot source fills one of them. Rows
+    of rewritten shards are read from the new files; shards that stay as they are keep their files.
     """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    docs = docs.select("doc_id", "text", "source")
-    placed = written(plan(docs, F.pmod(F.crc32(F.coalesce("source", F.lit("")).cast("binary")), F.lit(16)), 16), "shard-plan")
-    out = rewrite(docs.select("doc_id", "text"), placed, shared_dir(spark, "shards"))
-    files = spark.read.schema("doc_id long, text string, slot long, shard int").parquet(out)
-    return files.select(
+    source = F.pmod(F.crc32(F.coalesce("source", F.lit("")).cast("binary")), F.lit(16))
+    stored = store(docs.select("doc_id", "text", "source"), source, shared_dir(spark, "old-shards"))
+    files, placed, changed = reshard(stored.select("doc_id", "text", "shard"), 16, shared_dir(spark, "shards"))
+    moved = files.select(
         "doc_id",
         (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"),
         F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"),
-        F.lit("bytes").alias("law"),
-        F.col("shard").cast("int"),
+        "shard",
         "slot",
-        F.lit(None).cast("int").alias("grown_shard"),
     )
+    stayed = placed.where(~F.col("shard").isin(changed)).select(*moved.columns)
+    every = moved.unionByName(stayed)
+    return every.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
