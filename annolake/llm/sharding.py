@@ -125,7 +125,7 @@ def _cut(rows: DataFrame, old: str, block: Column, order: list[Column], cuts: li
     upto = Window.partitionBy(old).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     at = sums.select(old, "block", F.coalesce(F.sum("block_size").over(upto), F.lit(0)).alias("block_at"))
     inside = Window.partitionBy(old, "block").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    placed = b.withColumn("upto", F.sum("size").over(inside)).join(F.broadcast(at), [old, "block"])
+    placed = b.withColumn("upto", F.sum("size").over(inside)).join(at, [old, "block"])  # rows lie by these keys already
     middle = F.col("block_at") + F.col("upto") - F.floor((F.col("size") + 1) / 2)
     # the first interval that ends beyond the row's middle; beyond all, the last one
     at = F.filter("ends", lambda x: x["upto"] > F.col("middle"))
@@ -176,7 +176,7 @@ def number(rows: DataFrame) -> DataFrame:
     base = counts.select("shard", "block", F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("base"))
     inside = Window.partitionBy("shard", "block").orderBy("doc_id", "text_crc32", "size")
     slot = (F.col("base") + F.row_number().over(inside) - 1).cast("long")
-    return b.join(F.broadcast(base), ["shard", "block"]).withColumn("slot", slot).drop("block", "base")
+    return b.join(base, ["shard", "block"]).withColumn("slot", slot).drop("block", "base")
 
 
 def store(docs: DataFrame, shard: Column, out: str) -> DataFrame:
