@@ -6,18 +6,23 @@ documents whose sets have similarity s meet with probability
 ``(1 - (1 - s**r)**m) * (1 - (1 - s**q)**n)``: at 0.8 and the defaults all but 0.0004 do, at 0.85
 all but 0.00003. Every link is confirmed on the full sets.
 
-Documents with equal sets are one node. A shingle that no other candidate node has is in no
+Rows with equal sets are one node. A shingle that no other candidate node has is in no
 intersection, so each node's number of own shingles bounds its similarity with any other, exactly.
 In a table, a node is first compared only with the node of its bucket that has the least share of
-own shingles - in a group of edited copies the one nearest their source. Buckets whose nodes did
-not join into one component are then compared across components, as far as a tighter bound allows
-a link: two sets share no more than the smaller number of frequent shingles and the common rare
-ones, of which a bitmap of rare shingles tells the most there can be. So large groups cost a row a
-member and no link is lost.
+own shingles - in a group of edited copies the one nearest their source. In buckets whose nodes did
+not join into one component, those outside the largest component are then compared with the nodes
+of other components, as far as a tighter bound allows a link: two sets share no more than the
+smaller number of frequent shingles and the common rare ones, of which a bitmap of rare shingles
+tells the most there can be. So large groups cost a row a member and no link is lost.
+
+What is known of a bucket is aggregated before it is shuffled and joined back to its rows, so a
+bucket with very many nodes is no single task: adaptive execution splits such a key's rows.
 
 Defined cases: null and blank texts have no set and link with nothing; a text with fewer words than
-a shingle is one shingle of the whole; rows that share a doc_id are one document; a null doc_id is
-its own document with a null component and is kept; an empty table gives no rows.
+a shingle is one shingle of the whole; rows that share a doc_id are one document, which links with
+whatever any of its rows links with (``n_shingles`` is the row's own); a null doc_id is its own
+document with a null component and is kept; of equal sets or shares the smaller id leads; repeated
+rows are all kept or all not; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -26,7 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
@@ -85,7 +90,7 @@ def _tuples(s: np.ndarray, tables: tuple[int, int], sizes: tuple[int, int]) -> t
 
 
 def signatures(docs: DataFrame, width: int, tables: tuple[int, int] = TABLES, sizes: tuple[int, int] = TUPLE) -> DataFrame:
-    """doc_id, n_shingles, a fingerprint of the set, and the two collections (null without a set)."""
+    """doc_id, h (the text's hash), n_shingles, a fingerprint of the set, and the two collections (null without a set)."""
     kind = pa.list_(pa.int64())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -100,11 +105,12 @@ def signatures(docs: DataFrame, width: int, tables: tuple[int, int] = TABLES, si
                 x, y = _tuples(s, tables, sizes) if len(s) else (None, None)
                 left.append(x)
                 right.append(y)
-            cols = [b.column(0), pa.array(n, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array(left, kind), pa.array(right, kind)]
-            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_shingles", "f1", "f2", "left", "right"])
+            cols = [b.column(0), b.column(2), pa.array(n, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array(left, kind), pa.array(right, kind)]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "h", "n_shingles", "f1", "f2", "left", "right"])
 
-    schema = "doc_id long, n_shingles long, f1 long, f2 long, left array<long>, right array<long>"
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
+    schema = "doc_id long, h long, n_shingles long, f1 long, f2 long, left array<long>, right array<long>"
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("h"))
+    return rows.mapInArrow(run, schema)
 
 
 def _bits(tables: tuple[int, int]) -> int:
@@ -118,9 +124,8 @@ def buckets(nodes: DataFrame, tables: tuple[int, int] = TABLES) -> DataFrame:
     pairs = left.select("id", "n", "i", "x", F.posexplode("right").alias("j", "y"))
     number = (F.col("i") * tables[1] + F.col("j")).cast("long")
     keys = pairs.select(F.shiftleft(F.xxhash64("i", "j", "x", "y"), _bits(tables)).bitwiseOR(number).alias("key"), "id", "n")
-    same = Window.partitionBy("key")
-    found = keys.withColumn("first", F.min("id").over(same)).withColumn("last", F.max("id").over(same))
-    return found.where("first < last").select("key", "id", "n")
+    shared = keys.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("key")
+    return keys.join(shared, "key", "left_semi").select("key", "id", "n")
 
 
 def shingles(texts: DataFrame, width: int) -> DataFrame:
@@ -198,72 +203,72 @@ def near_copies(docs: DataFrame, width: int = 5, percent: int = 80, tables: tupl
     Documents link where ``100 * intersection >= percent * union`` of their ``width``-word shingles.
     """
     sig = written(signatures(bounded(docs), width, tables, sizes), "minhash-signatures")
-    sets = sig.where("n_shingles > 0 and doc_id is not null")
-    groups = sets.groupBy("n_shingles", "f1", "f2").agg(F.min(F.struct("doc_id", "left", "right")).alias("m"))
-    nodes = groups.select(F.col("m.doc_id").alias("id"), F.col("n_shingles").alias("n"), "m.left", "m.right")
-    found = written(buckets(nodes, tables), "minhash-buckets")
-    ids = written(found.select("id").distinct(), "minhash-ids")
-    whole = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
-    texts = written(
-        whole.join(small_or_shuffled(ids), "id", "left_semi").groupBy("id").agg(F.min("text").alias("text")), "minhash-texts"
+    has_set = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
+    sets = sig.where(has_set)
+    same_set = ["n_shingles", "f1", "f2"]
+    groups = sets.groupBy(*same_set).agg(F.min(F.struct("doc_id", "h", "left", "right")).alias("m"))
+    nodes = written(
+        groups.select(F.monotonically_increasing_id().alias("id"), *same_set, F.col("m.doc_id").alias("doc"), "m.h", "m.left", "m.right"), "minhash-nodes"
     )
+    links = node_links(docs, nodes.withColumnRenamed("n_shingles", "n"), width, percent, tables)
+    # rows that share a doc_id are one document: their nodes are linked
+    of_row = written(sets.select("doc_id", *same_set).join(nodes.select("id", *same_set), same_set).select("doc_id", "n_shingles", "id"), "minhash-rows")
+    shared = of_row.groupBy("doc_id").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a < z")
+    both = of_row.join(shared, "doc_id").where("id <> a").select("a", F.col("id").alias("b"))
+    labels = components(written(links.union(both), "minhash-links"))
+    roots = labels.join(nodes.select("id", "doc"), "id").groupBy("component").agg(F.min("doc").alias("root"))
+    root_of = labels.join(small_or_shuffled(written(roots, "minhash-roots")), "component").select("id", "root")
+    found = nodes.select("id", "doc").join(root_of, "id", "left").select("id", F.coalesce("root", "doc").alias("component_id"))
+    known = written(of_row.join(found, "id").select("doc_id", "n_shingles", "component_id"), "minhash-known")
+    # rows without a set: of a document that has other rows, or by themselves
+    of_doc = known.groupBy("doc_id").agg(F.min("component_id").alias("c"))
+    rest = sig.where(~has_set | F.col("doc_id").isNull()).select("doc_id", "n_shingles").join(of_doc, "doc_id", "left")
+    out = known.unionByName(rest.select("doc_id", "n_shingles", F.coalesce("c", "doc_id").alias("component_id")))
+    return out.withColumn("kept", F.col("component_id").eqNullSafe(F.col("doc_id")))
+
+
+def node_links(docs: DataFrame, nodes: DataFrame, width: int, percent: int, tables: tuple[int, int]) -> DataFrame:
+    """Links (a, b) of nodes (id, n, doc, h, left, right) that give the components of all of them."""
+    found = written(buckets(nodes, tables), "minhash-buckets")
+    ids = written(nodes.select("id", "doc", "h").join(found.select("id").distinct(), "id", "left_semi"), "minhash-ids")
+    whole = docs.select(F.col("doc_id").cast("long").alias("doc"), F.xxhash64("text").alias("h"), "text")
+    texts = written(whole.join(small_or_shuffled(ids), ["doc", "h"]).groupBy("id").agg(F.min("text").alias("text")), "minhash-texts")
     own = small_or_shuffled(written(own_shingles(texts, width), "minhash-own"))
-    same = Window.partitionBy("key")
-    rows = found.join(own, "id", "left").select("key", "id", "n", F.coalesce("own", F.lit(0)).alias("own"))
-    lead = F.min(F.struct((F.col("own") / F.col("n")).alias("share"), "id", "n", "own")).over(same)
-    rows = written(
-        rows.withColumn("lead", lead).select(
-            "key", "id", "n", "own", F.col("lead.id").alias("leader"), F.col("lead.n").alias("m"), F.col("lead.own").alias("other")
-        ),
-        "minhash-rows",
-    )
-    led = rows.where("id <> leader").where(may_link("n", "own", "m", "other", percent))
+    with_own = written(found.join(own, "id", "left").select("key", "id", "n", F.coalesce("own", F.lit(0)).alias("own")), "minhash-own-rows")
+    lead = with_own.groupBy("key").agg(F.min(F.struct((F.col("own") / F.col("n")).alias("share"), "id", "n", "own")).alias("lead"))
+    lead = lead.select("key", F.col("lead.id").alias("leader"), F.col("lead.n").alias("m"), F.col("lead.own").alias("other"))
+    led = with_own.join(lead, "key").where("id <> leader").where(may_link("n", "own", "m", "other", percent))
     pairs = led.select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct()
     tested = written(confirmed(pairs, texts, width, percent), "minhash-tested")
     links = tested.where("linked").select("a", "b")
-    labels = components(links)
-    # buckets that are more than one component: their nodes across components, not tested yet
-    lab = rows.join(labels, "id", "left").withColumn("c", F.coalesce("component", "id"))
-    # those whose own shingles leave no room for a link with any other node are settled
-    lab = lab.where(100 * (F.col("n") - F.col("own")) >= percent * F.col("n"))
-    mixed = lab.withColumn("lo", F.min("c").over(same)).withColumn("hi", F.max("c").over(same)).where("lo < hi")
-    mixed = written(mixed.select("key", "id", "n", "c"), "minhash-mixed")
+    # buckets of more than one component: their nodes across components, not tested yet
+    lab = with_own.join(components(links), "id", "left").withColumn("c", F.coalesce("component", "id"))
+    # nodes whose own shingles leave no room for a link with any other are settled
+    lab = written(lab.where(100 * (F.col("n") - F.col("own")) >= percent * F.col("n")).select("key", "id", "n", "c"), "minhash-labelled")
+    parts = lab.groupBy("key", "c").agg(F.count(F.lit(1)).alias("k"))
+    tops = parts.groupBy("key").agg(F.max_by("c", F.struct("k", "c")).alias("top"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+    mixed = written(lab.join(tops.select("key", "top"), "key"), "minhash-mixed")
     some = written(mixed.select("id").distinct(), "minhash-ids")
     rare = written(rare_shingles(texts.join(small_or_shuffled(some), "id", "left_semi"), width), "minhash-rare")
     bits = [f"b{w}" for w in range(WORDS)]
-    full = mixed.join(rare, "id", "left").select("key", "id", "n", "c", *[F.coalesce(x, F.lit(0)).alias(x) for x in ("few", "rare", *bits)])
+    full = mixed.join(rare, "id", "left").select("key", "id", "n", "c", "top", *[F.coalesce(x, F.lit(0)).alias(x) for x in ("few", "rare", *bits)])
     set_bits = sum((F.bit_count(x) for x in bits), F.lit(0))
-    full = full.select("key", "id", "n", "c", (F.col("n") - F.col("few")).alias("often"), "rare", (F.col("rare") - set_bits).alias("hidden"), *bits)
+    full = full.select("key", "id", "n", "c", "top", (F.col("n") - F.col("few")).alias("often"), "rare", (F.col("rare") - set_bits).alias("hidden"), *bits)
     # a pair meets in every table of a common left and a common right tuple: it is taken in the first
-    sides = [F.transform(x, lambda v: F.pmod(v, F.lit(2**31 - 1)).cast("int")).alias(x) for x in ("left", "right")]
-    tuples = written(nodes.join(small_or_shuffled(some), "id", "left_semi").select("id", *sides), "minhash-tuples")
-    full = full.join(tuples, "id")
+    tuples = written(nodes.select("id", "left", "right").join(small_or_shuffled(some), "id", "left_semi"), "minhash-tuples")
+    full = written(full.join(tuples, "id"), "minhash-full")
     table = F.col("key").bitwiseAND(F.lit(2 ** _bits(tables) - 1))
     place = {"left": F.floor(table / tables[1]), "right": table % tables[1]}
     first = [F.array_position(F.zip_with(x, f"{x}2", lambda a, b: a == b), F.lit(True)) == at + 1 for x, at in place.items()]
-    other = full.select("key", *[F.col(x).alias(f"{x}2") for x in full.columns if x != "key"])
+    other = full.select("key", *[F.col(x).alias(f"{x}2") for x in full.columns if x not in ("key", "top")])
     # rare shingles that share a bit with another of their node are hidden: all of them may be common
     common = sum((F.bit_count(F.col(x).bitwiseAND(F.col(f"{x}2"))) for x in bits), F.lit(0))
     shared = F.least("often", "often2") + F.least("rare", "rare2", common + F.least("hidden", "hidden2"))
-    cross = full.join(other, "key").where("c < c2").where(
-        (100 * shared >= percent * (F.col("n") + F.col("n2") - shared)) & first[0] & first[1]
-    )
+    strays = full.where("c <> top").join(other, "key").where("c <> c2 AND (c2 = top OR id < id2)")
+    cross = strays.where((100 * shared >= percent * (F.col("n") + F.col("n2") - shared)) & first[0] & first[1])
     pairs = cross.select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct()
-    rest = written(
-        confirmed(pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti"), texts, width, percent), "minhash-tested"
-    ).where("linked").select("a", "b")
-    if rest.limit(1).count():
-        labels = components(links.union(rest))
-    node_of = nodes.select("id", "n").join(labels, "id", "left")
-    of_group = (
-        groups.select("n_shingles", "f1", "f2", F.col("m.doc_id").alias("id"))
-        .join(node_of.select("id", F.coalesce("component", "id").alias("component")), "id")
-        .drop("id")
-    )
-    each = sets.select("doc_id", "n_shingles", "f1", "f2").join(of_group, ["n_shingles", "f1", "f2"])
-    out = sig.join(each.groupBy("doc_id").agg(F.min("component").alias("component")), "doc_id", "left")
-    component = F.coalesce("component", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
+    rest = confirmed(pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti"), texts, width, percent)
+    return links.union(rest.where("linked").select("a", "b"))
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
