@@ -1,12 +1,15 @@
 """Personal data under disguise, with spans of the source text.
 
-Finite transducers rewrite a text step by step - look-alike letters, spelled digits, spelled "at"
-and "dot" - and each keeps the segments it changed, so that a span found in the last text maps back
-through every step to characters of the first. Plain detection runs on the source text; what only
-shows after rewriting is added to it.
+Finite transducers rewrite a text step by step - character references, look-alike letters, spelled
+digits, spelled "at" and "dot" - and each keeps the segments it changed, so that a span found in the
+last text maps back through every step to characters of the first. Plain detection runs on the
+source text; what only shows after rewriting is added to it, also where it is a wider form of a
+plain one. White space around a disguised sign counts up to ``GAP`` characters.
 
 Defined cases: a null text is an empty one; an empty text has no spans; texts are read whole, in
-time linear in their length; equal rows get equal results.
+time linear in their length; equal and repeated rows get equal results; of spans that begin together
+the kinds come in their order; an empty table gives no rows; other columns, of whatever name, are
+not read.
 """
 
 from __future__ import annotations
@@ -79,6 +82,7 @@ _LOOK_ALIKES = (
 LOOK_ALIKES = {ord(p[0]): p[1] for p in _LOOK_ALIKES.split(" ")} | {c: chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)}
 # Arabic-Indic and other decimal digits by their rule: ten in a row from a zero.
 LOOK_ALIKES |= {z + d: str(d) for z in (0x0660, 0x06F0, 0x0966, 0x1D7CE, 0x1D7D8, 0x1D7E2, 0x1D7EC, 0x1D7F6) for d in range(10)}
+_LOOK_ALIKE = frozenset(map(chr, LOOK_ALIKES))
 _LOOKS = re.compile("[" + "".join(re.escape(chr(c)) for c in sorted(LOOK_ALIKES)) + "]")
 
 # The digits' names in English, German, French and Spanish.
@@ -97,17 +101,28 @@ _NAMES = {
 DIGIT_NAMES = {name: d for d, names in _NAMES.items() for name in names.split()}
 _NAME = "(?:" + "|".join(sorted(DIGIT_NAMES, key=len, reverse=True)) + ")"
 _UNIT = rf"(?:{_NAME}(?![^\W_])|[0-9]+)"
-_SPELLED = re.compile(rf"(?<![^\W_])(?:plus[\s-]+|\+\s*)?(?:(?:{_UNIT})(?:[\s,.-]{{1,3}}{_UNIT}){{3,}})", re.I)
+_SPELLED = re.compile(rf"(?<![^\W_])(?:plus[\s-]+|\+\s*)?(?:(?:{_UNIT})(?:[\s,.-]{{1,3}}{_UNIT}){{3,}})")  # of lowered text
 _PLUS = re.compile(r"plus[\s-]+", re.I)
 _TOKEN = re.compile(rf"({_NAME})(?![^\W_])|([0-9]+)|([\s,.-]+)|(\+\s*)", re.I)
-_AT = r"(?:\s{0,3}[\[({<]\s{0,3}(?:at|@)\s{0,3}[\])}>]\s{0,3}|\s{1,3}at\s{1,3})"
-_DOT = r"(?:\s{0,3}[\[({<]\s{0,3}(?:dot|\.)\s{0,3}[\])}>]\s{0,3}|\s{1,3}dot\s{1,3})"
-_AT_SIGN = re.compile(rf"{_AT}|\s{{0,3}}@\s{{0,3}}", re.I)
+#: Most white space on a side of a disguised sign, and inside its brackets.
+GAP = 3
+_S0, _S1 = rf"\s{{0,{GAP}}}", rf"\s{{1,{GAP}}}"
+_AT = rf"(?:{_S0}[\[({{<]{_S0}(?:at|@){_S0}[\])}}>]{_S0}|{_S1}at{_S1})"
+_DOT = rf"(?:{_S0}[\[({{<]{_S0}(?:dot|\.){_S0}[\])}}>]{_S0}|{_S1}dot{_S1})"
+_AT_SIGN = re.compile(rf"{_AT}|{_S0}@{_S0}", re.I)
+_AT_CORE = re.compile(r"@|(?<![^\W_])at(?![^\W_])")  # of lowered text
 _APART = re.compile(r"\s+@\s+")
 _DOT_OR_POINT = re.compile(rf"(?:{_DOT}|\.)", re.I)
 _DOT_SIGN = re.compile(_DOT, re.I)
+# Usual endings; only before one of these a dot may stand apart, or all signs be bare words.
+_ENDINGS = "com|org|net|edu|gov|io|co|uk|de|fr|es|eu|info|biz|ca|au|nl|ch|se|pl|jp|cn|br|ru|tv|app|dev|ai"
+_ENDING = re.compile(_ENDINGS, re.I)
+_APART_DOT = re.compile(rf"{_S1}\.{_S1}(?=(?:{_ENDINGS})(?![A-Za-z0-9-]))", re.I)
 _LABEL = re.compile(r"[A-Za-z0-9-]+")
-_LONGEST_DOT = 17  # characters: four gaps of three, brackets, "dot"
+_LONGEST_DOT = 4 * GAP + 5  # characters: four gaps, brackets, "dot"
+# References by name.
+_NAMED = {"commat": "@", "period": ".", "plus": "+", "hyphen": "-", "dash": "-"}
+_REFERENCE = re.compile(r"&(?:#([0-9]{2,3})|#[xX]([0-9a-fA-F]{2})|(" + "|".join(_NAMED) + "));")
 _POINTS = re.compile(rf"(?<![0-9])[0-9]++(?:(?:{_DOT}|\.)[0-9]++){{3}}", re.I)
 _PIECES = ("at", "@")
 
@@ -147,8 +162,24 @@ class Step:
         return s, e, touched
 
 
+def references(t: str) -> list[tuple[int, int, str]]:
+    """Character references of printable ASCII characters."""
+    out = []
+    for m in _REFERENCE.finditer(t) if "&" in t else ():
+        c = _NAMED[m[3]] if m[3] else chr(int(m[1]) if m[1] else int(m[2], 16))
+        if " " <= c <= "~":
+            out.append((m.start(), m.end(), c))
+    return out
+
+
+def lowered(t: str) -> str:
+    """A text in lower case, character by character: the few letters that would become two stay."""
+    low = t.lower()
+    return low if len(low) == len(t) else "".join(c if len(c.lower()) > 1 else c.lower() for c in t)
+
+
 def look_alikes(t: str) -> list[tuple[int, int, str]]:
-    if t.isascii():
+    if t.isascii() or _LOOK_ALIKE.isdisjoint(t):
         return []
     return [(m.start(), m.end(), LOOK_ALIKES[ord(m[0])]) for m in _LOOKS.finditer(t)]
 
@@ -156,7 +187,7 @@ def look_alikes(t: str) -> list[tuple[int, int, str]]:
 def spelled_digits(t: str) -> list[tuple[int, int, str]]:
     """Runs of four or more digits of which three or more are spelled; gaps shrink to a space."""
     out = []
-    for m in _SPELLED.finditer(t):
+    for m in _SPELLED.finditer(lowered(t)):
         at, found, names = m.start(), [], 0
         plus = _PLUS.match(t, at)
         if plus:
@@ -176,25 +207,46 @@ def spelled_digits(t: str) -> list[tuple[int, int, str]]:
     return out
 
 
+def _signs(t: str) -> Iterator[re.Match]:
+    """Places that may be an "at", from left to right, with the space and brackets around them."""
+    done = 0
+    for core in _AT_CORE.finditer(lowered(t)):
+        if core.start() < done:
+            continue
+        for s in range(max(done, core.start() - 2 * GAP - 1), core.start() + 1):
+            m = _AT_SIGN.match(t, s)
+            if m and m.end() >= core.end():
+                done = m.end()
+                yield m
+                break
+
+
 def spelled_addresses(t: str) -> list[tuple[int, int, str]]:
     """Disguised "at" and "dot" of whole addresses.
 
-    A bare "at", and an "@" without spaces on both sides, counts only if a disguised "dot" follows,
-    so "look at example.com" stays as it is.
+    A bare "at" counts only if a disguised "dot" follows, so "look at example.com" stays as it is; an
+    "@" without spaces on both sides if one follows, or one in brackets stands before it.
     """
     out, done = [], 0
-    for m in _AT_SIGN.finditer(t):
+    for m in _signs(t):
         if m.start() < done or m.start() == 0 or t[m.start() - 1] not in _LOCAL:
             continue
         label, dots, end = _LABEL.match(t, m.end()), [], 0
+        apart = _APART.fullmatch(m[0])  # then dots may stand apart too
         while label:
             end = label.end()
-            dot = _DOT_OR_POINT.match(t, end)
+            dot = _DOT_OR_POINT.match(t, end) or (apart and _APART_DOT.match(t, end))
             label = dot and _LABEL.match(t, dot.end())
             if label:
                 dots.append((dot.start(), dot.end()))
+        if not dots:
+            continue
         spelled = [d for d in dots if t[d[0] : d[1]] != "."]
-        if not dots or not spelled and not any(b in m[0] for b in "[({<") and not _APART.fullmatch(m[0]):
+        bracketed = any(b in t[m.start() : end] for b in "[({<")
+        if "@" not in m[0] and not bracketed and not _ENDING.fullmatch(t, max(e for _, e in dots), end):
+            continue  # words that happen to follow one another
+        disguised = spelled or apart or any(b in m[0] for b in "[({<")
+        if not disguised and m[0] != "@":
             continue
         before, at = [], m.start()
         while True:  # the local part's own disguised dots
@@ -203,8 +255,12 @@ def spelled_addresses(t: str) -> list[tuple[int, int, str]]:
             dot = next((s for s in range(max(done, at - _LONGEST_DOT), at) if _DOT_SIGN.fullmatch(t, s, at)), done)
             if dot <= done or t[dot - 1] not in _LOCAL or t[dot - 1] == ".":
                 break
+            if not disguised and not any(b in t[dot:at] for b in "[({<"):
+                break  # in a plain address a bare word "dot" is a word
             before.insert(0, (dot, at, "."))
             at = dot
+        if not disguised and not before:
+            continue
         out += before + [(m.start(), m.end(), "@")] + [(a, b, ".") for a, b in spelled]
         done = end
     return out
@@ -215,11 +271,13 @@ def spelled_points(t: str) -> list[tuple[int, int, str]]:
     return [(d.start(), d.end(), ".") for m in _POINTS.finditer(t) for d in _DOT_SIGN.finditer(t, m.start(), m.end())]
 
 
-TRANSDUCERS = (look_alikes, spelled_digits, spelled_addresses, spelled_points)
+TRANSDUCERS = (references, look_alikes, spelled_digits, spelled_addresses, spelled_points)
 
 
 def added(t: str, base: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
-    """Identifiers that show only after rewriting, as spans of the source; none overlaps a base one."""
+    """Identifiers that show only after rewriting, as spans of the source. One that touches a base
+    span counts only if it holds it, and more, and is of its kind.
+    """
     steps, now = [], t
     for f in TRANSDUCERS:
         changes = f(now)
@@ -228,15 +286,22 @@ def added(t: str, base: list[tuple[int, int, str]]) -> list[tuple[int, int, str]
             now = steps[-1].text
     if not steps:
         return []
-    taken = sorted((s, e) for s, _, e in base)
+    taken = sorted((s, e, k) for s, k, e in base)
     out = []
     for s, kind, e in detect(now):
         touched = False
         for step in reversed(steps):
             s, e, hit = step.back(s, e)
             touched |= hit
-        k = bisect_right(taken, (s, 1 << 60))
-        if touched and not (k and taken[k - 1][1] > s) and not (k < len(taken) and taken[k][0] < e):
+        if not touched:
+            continue
+        # base spans of different kinds may overlap, but those of one kind do not: few lie before s
+        k = bisect_right(taken, (s, -1, -1))
+        near = taken[max(0, k - len(KINDS)) : k]
+        while k < len(taken) and taken[k][0] < e:
+            near.append(taken[k])
+            k += 1
+        if all(b <= s or (a >= s and b <= e and b - a < e - s and of == kind) for a, b, of in near):
             out.append((s, kind, e))
     return out
 
