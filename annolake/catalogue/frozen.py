@@ -119,9 +119,9 @@ def filter_any_root_missing(t: Tables) -> DataFrame:
     return filters.any_root_missing(t.seg, ROOTS).select("id")
 
 
-@query("SELECT id FROM seg WHERE (pre_pt_root_id IS NULL OR pre_pt_root_id = 0)", "seg")
+@query("SELECT id FROM seg WHERE (pre_pt_root_id IS NULL OR pre_pt_root_id = 0) AND (post_pt_root_id IS NULL OR post_pt_root_id = 0)", "seg")
 def filter_all_roots_missing(t: Tables) -> DataFrame:
-    return filters.all_roots_missing(t.seg, ROOTS[:1]).select("id")
+    return filters.all_roots_missing(t.seg, ROOTS).select("id")
 
 
 @query("SELECT id FROM seg WHERE pre_pt_root_id IN (200001, 100021) OR post_pt_root_id IN (200001, 100021)", "seg")

@@ -10,7 +10,7 @@ from ..operators import aggregates, filters, lineage
 from ..plans import live, maintain
 from ..plans import versions as v
 from ..sources import columnfiles
-from ..store import shared_dir, written
+from ..store import current, shared_dir, written
 from ..streaming import jobs as streams
 from .base import Tables, query, ts
 
@@ -263,14 +263,18 @@ def ingest_missing(t: Tables) -> DataFrame:
     return maintain.ingested(t.anno, t.seg, POINTS, t.voxels, VOXEL_SCALE, t.lineage, ts(V2))
 
 
-@query("SELECT count(*) AS n, count(DISTINCT id) AS ids FROM anno WHERE valid OR id IN (SELECT id FROM seg)", "anno", "seg")
+@query(
+    f"""SELECT * FROM seg UNION ALL SELECT k.id, k.pre_pt_supervoxel_id, l.root_id, k.post_pt_supervoxel_id, m.root_id FROM ({_LOOKED.format(rows=_MISSING)}) k
+LEFT JOIN lineage l ON l.supervoxel_id = k.pre_pt_supervoxel_id AND {_in_force('l', V2)} LEFT JOIN lineage m ON m.supervoxel_id = k.post_pt_supervoxel_id AND {_in_force('m', V2)}""",
+    "anno", "seg", "voxels", "lineage",
+)
 def ingest_appended(t: Tables) -> DataFrame:
     """The segmentation table after its missing rows were appended."""
     path = shared_dir(t.spark, "seg")
     t.seg.write.parquet(path)
     new = written(maintain.ingested(t.anno, t.seg, POINTS, t.voxels, VOXEL_SCALE, t.lineage, ts(V2)), "new")
     new.write.mode("append").parquet(path)
-    return t.spark.read.parquet(path).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("id").alias("ids"))
+    return t.spark.read.parquet(path)
 
 
 _EXPIRED = f"(SELECT root_id FROM lineage WHERE valid_to > TIMESTAMP '{V2}' AND valid_to <= TIMESTAMP '{V4}')"
@@ -293,11 +297,10 @@ def fill_sparse(t: Tables) -> DataFrame:
     return maintain.filled(t.seg, ROOTS, t.lineage, ts(V2)).select("id", "pre_pt_root_id")
 
 
-@query(f"SELECT s.id, l.root_id AS pre_pt_root_id FROM seg s LEFT JOIN lineage l ON l.supervoxel_id = s.pre_pt_supervoxel_id AND {_in_force('l', V2)} WHERE s.id >= 100 AND s.id < 9000 AND (s.pre_pt_root_id IS NULL OR s.pre_pt_root_id = 0)", "seg", "lineage")
+@query(f"SELECT s.id, l.root_id AS pre_pt_root_id FROM seg s LEFT JOIN lineage l ON l.supervoxel_id = s.pre_pt_supervoxel_id AND {_in_force('l', V2)} WHERE s.id >= 100 AND s.id < 50000 AND (s.pre_pt_root_id IS NULL OR s.pre_pt_root_id = 0) AND (s.post_pt_root_id IS NULL OR s.post_pt_root_id = 0)", "seg", "lineage")
 def fill_dense(t: Tables) -> DataFrame:
     """Rows of an id range without any root."""
-    seg = t.seg.drop("post_pt_root_id", "post_pt_supervoxel_id")
-    return maintain.filled_range(seg, ["pre_pt_root_id"], t.lineage, ts(V2), 100, 9000).select("id", "pre_pt_root_id")
+    return maintain.filled_range(t.seg, ROOTS, t.lineage, ts(V2), 100, 50_000).select("id", "pre_pt_root_id")
 
 
 @query("SELECT id, CASE WHEN pre_pt_root_id NOT IN (200001, 100021) THEN pre_pt_root_id END AS pre_pt_root_id, CASE WHEN post_pt_root_id NOT IN (200001, 100021) THEN post_pt_root_id END AS post_pt_root_id FROM seg", "seg")
@@ -306,17 +309,17 @@ def reset_bad_roots(t: Tables) -> DataFrame:
     return maintain.reset(t.seg, ROOTS, [200001, 100021]).select("id", *ROOTS)
 
 
-@query("SELECT coalesce(s.id, n.id) AS id, coalesce(CASE WHEN n.pre_pt_root_id > 0 THEN n.pre_pt_root_id END, s.pre_pt_root_id, 0) AS pre_pt_root_id, coalesce(s.post_pt_root_id, 0) AS post_pt_root_id FROM seg s FULL JOIN (SELECT id, CASE WHEN id % 2 = 0 THEN 0 ELSE id END AS pre_pt_root_id FROM anno WHERE id % 5 = 0) n ON n.id = s.id", "seg", "anno")
+@query("SELECT coalesce(s.id, n.id) AS id, coalesce(CASE WHEN n.pre_pt_root_id > 0 THEN n.pre_pt_root_id END, s.pre_pt_root_id, 0) AS pre_pt_root_id, coalesce(s.post_pt_root_id, 0) AS post_pt_root_id FROM seg s FULL JOIN (SELECT id, CASE WHEN id % 2 = 0 THEN 0 ELSE id END AS pre_pt_root_id FROM anno) n ON n.id = s.id", "seg", "anno")
 def upsert_positive(t: Tables) -> DataFrame:
     """Positive new values win, absent ones are 0."""
-    new = t.anno.where("id % 5 = 0").selectExpr("id", "CASE WHEN id % 2 = 0 THEN 0 ELSE id END AS pre_pt_root_id")
+    new = t.anno.selectExpr("id", "CASE WHEN id % 2 = 0 THEN 0 ELSE id END AS pre_pt_root_id")
     return maintain.upserted_positive(t.seg.select("id", *ROOTS), new).select("id", *ROOTS)
 
 
-@query("SELECT coalesce(s.id, n.id) AS id, CASE WHEN n.id IS NOT NULL THEN n.pre_pt_root_id ELSE s.pre_pt_root_id END AS pre_pt_root_id FROM seg s FULL JOIN (SELECT id, id * 10 AS pre_pt_root_id FROM anno WHERE id % 5 = 0) n ON n.id = s.id", "seg", "anno")
+@query("SELECT coalesce(s.id, n.id) AS id, CASE WHEN n.id IS NOT NULL THEN n.pre_pt_root_id ELSE s.pre_pt_root_id END AS pre_pt_root_id FROM seg s FULL JOIN (SELECT id, id * 10 AS pre_pt_root_id FROM anno WHERE valid) n ON n.id = s.id", "seg", "anno")
 def upsert_by_key(t: Tables) -> DataFrame:
     """Rows that are there are updated, others inserted."""
-    new = t.anno.where("id % 5 = 0").selectExpr("id", "id * 10 AS pre_pt_root_id")
+    new = filters.valid(t.anno).selectExpr("id", "id * 10 AS pre_pt_root_id")
     return maintain.upserted(t.seg.select("id", "pre_pt_root_id"), new)
 
 
@@ -348,23 +351,30 @@ def remaining_chunks(t: Tables) -> DataFrame:
     return maintain.remaining(cells, ledger, ["cx", "cy"]).select("cx", "cy", "rank")
 
 
+_FULL = f"""SELECT * FROM seg UNION ALL SELECT k.id, k.pre_pt_supervoxel_id, l.root_id, k.post_pt_supervoxel_id, m.root_id FROM ({_LOOKED.format(rows=_MISSING)}) k
+LEFT JOIN lineage l ON l.supervoxel_id = k.pre_pt_supervoxel_id AND {_in_force('l', V4)} LEFT JOIN lineage m ON m.supervoxel_id = k.post_pt_supervoxel_id AND {_in_force('m', V4)}"""
+
+
 @query(
-    "SELECT count(*) AS n FROM anno WHERE valid OR id IN (SELECT id FROM seg)",
-    "anno", "seg",
+    f"""SELECT s.id, CASE WHEN s.stale THEN coalesce(l.root_id, s.pre_pt_root_id) ELSE s.pre_pt_root_id END AS pre_pt_root_id,
+ CASE WHEN s.stale THEN coalesce(m.root_id, s.post_pt_root_id) ELSE s.post_pt_root_id END AS post_pt_root_id
+FROM (SELECT *, pre_pt_root_id IS NULL OR post_pt_root_id IS NULL OR pre_pt_root_id IN {_EXPIRED} OR post_pt_root_id IN {_EXPIRED} AS stale FROM ({_FULL})) s
+LEFT JOIN lineage l ON l.supervoxel_id = s.pre_pt_supervoxel_id AND {_in_force('l', V4)} LEFT JOIN lineage m ON m.supervoxel_id = s.post_pt_supervoxel_id AND {_in_force('m', V4)}""",
+    "anno", "seg", "voxels", "lineage",
 )
 def update_live(t: Tables) -> DataFrame:
     """Missing rows added and expired roots refreshed in one go."""
     out = maintain.updated({"anno": (t.anno, t.seg, POINTS)}, t.voxels, VOXEL_SCALE, t.lineage, ts(V2), ts(V4))
-    return out["anno"].agg(F.count(F.lit(1)).alias("n"))
+    return out["anno"].select("id", *ROOTS)
 
 
-@query("SELECT count(*) AS n, CAST(sum(id) AS BIGINT) AS ids FROM anno", "anno")
+@query("SELECT id, tag, valid FROM anno", "anno")
 def staged_transfer(t: Tables) -> DataFrame:
     """Staged, counted, put in place of a smaller table."""
     path = shared_dir(t.spark, "production")
     t.anno.limit(10).write.parquet(path)
     maintain.transferred(t.spark, t.anno, path, overwrite=True)
-    return t.spark.read.parquet(path).agg(F.count(F.lit(1)).alias("n"), F.sum("id").alias("ids"))
+    return t.spark.read.parquet(current(t.spark, path)).select("id", "tag", "valid")
 
 
 @query("SELECT o_orderkey AS id, o_custkey AS pre, o_orderkey * 2 AS sv, o_orderkey * 3 AS root FROM orders")
@@ -389,28 +399,36 @@ def missing_chunks(t: Tables) -> DataFrame:
     return columnfiles.missing_chunks(t.spark, ids, [], 1000, t.orders.where("o_orderkey % 3 <> 0").selectExpr("o_orderkey AS id"))
 
 
-@query("SELECT count(*) AS n, count(DISTINCT id) AS ids FROM anno a WHERE valid AND id NOT IN (SELECT id FROM seg WHERE id % 2 = 0)", "anno", "seg")
+@query(
+    f"""SELECT k.id, k.pre_pt_supervoxel_id, l.root_id AS pre_pt_root_id, k.post_pt_supervoxel_id, m.root_id AS post_pt_root_id FROM ({_LOOKED.format(rows=_MISSING)}) k
+LEFT JOIN lineage l ON l.supervoxel_id = k.pre_pt_supervoxel_id AND {_in_force('l', V2)} LEFT JOIN lineage m ON m.supervoxel_id = k.post_pt_supervoxel_id AND {_in_force('m', V2)}
+UNION ALL SELECT * FROM seg""",
+    "anno", "seg", "voxels", "lineage",
+)
 def stream_ingest(t: Tables) -> DataFrame:
     """New annotations as a stream of files, run to its end twice."""
     source, target, check = (shared_dir(t.spark, x) for x in ("arrivals", "seg", "stream"))
     t.anno.repartition(4, "id").write.parquet(source)
-    seg = t.seg.where("id % 2 = 0")
-    seg.write.parquet(target)
+    t.seg.write.parquet(target)
     for run in range(2):  # the second finds nothing new
         streams.ingest(t.spark, source, t.anno.schema, target, f"{check}-{run}", t.seg.schema, POINTS, written(t.voxels, "voxels"), VOXEL_SCALE, written(t.lineage, "lineage"), V2).awaitTermination()
-    new = t.spark.read.schema(t.seg.schema).parquet(target).join(seg.select("id"), "id", "left_anti")
-    return new.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("id").alias("ids"))
+    return t.spark.read.schema(t.seg.schema).parquet(target)
 
 
 @query(
-    f"SELECT s.id, coalesce(l.root_id, s.pre_pt_root_id) AS pre_pt_root_id FROM seg s LEFT JOIN lineage l ON l.supervoxel_id = s.pre_pt_supervoxel_id AND l.valid_from = TIMESTAMP '{MERGE}'",
+    f"""SELECT s.id, coalesce(l.root_id, s.pre_pt_root_id) AS pre_pt_root_id, coalesce(m.root_id, s.post_pt_root_id) AS post_pt_root_id
+FROM seg s LEFT JOIN lineage l ON l.supervoxel_id = s.pre_pt_supervoxel_id AND {_in_force('l', V4)} LEFT JOIN lineage m ON m.supervoxel_id = s.post_pt_supervoxel_id AND {_in_force('m', V4)}""",
     "seg", "lineage",
 )
 def stream_refresh(t: Tables) -> DataFrame:
-    """Lineage changes as a stream of files (R2)."""
+    """Lineage changes as a stream of files (R2): the newest rows come first, then all others, closed
+    ones and ones that are late among them; a file a batch, and the deltas put together at the end.
+    """
     source, target, check = (shared_dir(t.spark, x) for x in ("changes", "seg", "stream"))
-    changes = t.lineage.where(F.col("valid_from") == ts(MERGE))
-    changes.repartition(2, "supervoxel_id").write.parquet(source)
+    newest = F.col("valid_from") == ts(MERGE)
     t.seg.write.parquet(target)
-    streams.refresh(t.spark, source, t.lineage.schema, target, check, ROOTS).awaitTermination()
-    return t.spark.read.schema(t.seg.schema).parquet(target).select("id", "pre_pt_root_id")
+    for rows in (t.lineage.where(newest), t.lineage.where(~newest)):
+        rows.coalesce(1).write.mode("append").parquet(source)
+        streams.refresh(t.spark, source, t.lineage.schema, target, check, ROOTS, V4, files_per_batch=1).awaitTermination()
+    streams.compacted(t.spark, target)
+    return streams.latest_rows(t.spark, target).select("id", *ROOTS)

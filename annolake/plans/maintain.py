@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import scalar
 from ..operators import aggregates, filters, lineage
 from ..schema import supervoxel_of
-from ..store import exists, replace
+from ..store import current, exists, replace, written
 
 
 def missing(anno: DataFrame, seg: DataFrame) -> DataFrame:
@@ -126,15 +126,16 @@ def updated(tables: dict[str, tuple[DataFrame, DataFrame, list[str]]], voxels: D
 
 
 def transferred(spark: SparkSession, df: DataFrame, target: str, overwrite: bool = False) -> int:
-    """Write beside a target, compare row counts, and put it in place; gives the number of rows."""
+    """Write a staged copy, compare row counts, and only then write it as the target's next version,
+    which readers find by ``store.current``; gives the number of rows.
+    """
     if exists(spark, target) and not overwrite:
         raise FileExistsError(target)
-    staged = f"{target}.staged"
-    df.write.mode("overwrite").parquet(staged)
-    wrote, had = spark.read.parquet(staged).count(), df.count()
+    staged = written(df, "staged")
+    wrote, had = staged.count(), df.count()
     if wrote != had:
-        raise ValueError(f"{wrote} of {had} rows reached {staged}")
-    replace(spark, staged, target)
-    return wrote
-
-
+        raise ValueError(f"{wrote} of {had} rows were staged for {target}")
+    reached = spark.read.schema(df.schema).parquet(replace(staged, target)).count()
+    if reached != wrote:
+        raise ValueError(f"{reached} of {wrote} rows reached {current(spark, target)}")
+    return reached

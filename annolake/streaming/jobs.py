@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators import lineage
 from ..plans import maintain
 from ..schema import supervoxel_of
-from ..store import exists, replace
+from ..store import children, current, exists, remove, replace, written
 
 
 def _current(spark: SparkSession, path: str, schema) -> DataFrame:
@@ -35,28 +36,62 @@ def ingest(
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def refresh(spark: SparkSession, source: str, schema, target: str, checkpoint: str, roots: list[str], files_per_batch: int = 100) -> StreamingQuery:
-    """Bring roots up to date as lineage rows arrive: each batch's rows with open ends replace roots
-    of their supervoxels. The stream's checkpoint stands for the time of the last update.
+def refresh(
+    spark: SparkSession, source: str, schema, target: str, checkpoint: str, roots: list[str], when: str, lines: DataFrame | None = None, files_per_batch: int = 100,
+) -> StreamingQuery:
+    """Bring roots up to date as lineage rows arrive: of the rows in force at ``when``, the latest of
+    each supervoxel counts - among those that arrive, those of earlier batches, and ``lines``, what
+    was known before. So a closed row, or one that comes late, changes nothing.
+
+    Each batch writes only the rows it changes, as a delta beside the table (``latest_rows`` reads
+    both, ``compacted`` puts them together), and the lineage rows it took. Both lie under the batch's
+    number, so a batch that is run again writes the same. The checkpoint belongs to one target.
     """
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(source)
 
     def batch(df: DataFrame, number: int) -> None:
         s = df.sparkSession
-        last = df.groupBy("supervoxel_id").agg(F.max_by("root_id", "valid_from").alias("_root"))
-        seg = s.read.parquet(target)
-        out = seg
-        for r in roots:
-            m = last.select(F.col("supervoxel_id").alias("_sv"), "_root")
-            out = out.join(m, F.col(supervoxel_of(r)) == F.col("_sv"), "left")
-            out = out.withColumn(r, F.coalesce("_root", r)).drop("_sv", "_root")
-        staged = f"{target}.batch{number}"
-        out.select(*seg.columns).write.mode("overwrite").parquet(staged)
-        replace(s, staged, target)
+        at = F.lit(when).cast("timestamp_ntz")
+        now = df.where((F.col("valid_from") <= at) & (at < F.col("valid_to"))).select("supervoxel_id", "root_id", "valid_from")
+        now.write.mode("overwrite").parquet(f"{target}.lines/{number}")
+        taken = [n for n in children(s, f"{target}.lines") if n.isdigit() and int(n) <= number]
+        known = s.read.schema(now.schema).parquet(*[f"{target}.lines/{n}" for n in taken])
+        if lines is not None:
+            before = lines.where((F.col("valid_from") <= at) & (at < F.col("valid_to"))).select(*now.columns)
+            known = known.unionByName(before)
+        touched = s.read.schema(now.schema).parquet(f"{target}.lines/{number}").select("supervoxel_id").distinct()
+        last = known.join(touched, "supervoxel_id", "left_semi").groupBy("supervoxel_id").agg(F.max_by("root_id", "valid_from").alias("_root"))
+        seg = latest_rows(s, target, before=number)
+        out, changed = seg, F.lit(False)
+        for i, r in enumerate(roots):
+            m = last.select(F.col("supervoxel_id").alias(f"_sv{i}"), F.col("_root").alias(f"_root{i}"))
+            out = out.join(m, F.col(supervoxel_of(r)) == F.col(f"_sv{i}"), "left")
+            changed |= F.col(f"_root{i}").isNotNull() & ~F.col(f"_root{i}").eqNullSafe(F.col(r))
+        new = {r: F.coalesce(f"_root{i}", r) for i, r in enumerate(roots)}
+        out.where(changed).withColumns(new).select(*seg.columns).write.mode("overwrite").parquet(f"{target}.delta/{number}")
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def open_roots(lines: DataFrame, when: str) -> DataFrame:
-    """Roots in force at a time, as a batch of changes."""
-    return lineage.at_time(lines, F.lit(when).cast("timestamp_ntz"))
+def latest_rows(spark: SparkSession, target: str, before: int | None = None) -> DataFrame:
+    """A table's rows with those that deltas (of batches before a number) changed, each once."""
+    base = spark.read.parquet(current(spark, target))
+    numbers = sorted(int(n) for n in children(spark, f"{target}.delta") if n.isdigit())
+    numbers = [n for n in numbers if (before is None or n < before) and exists(spark, f"{target}.delta/{n}/_SUCCESS")]
+    if not numbers:
+        return base
+    parts = [spark.read.schema(base.schema).parquet(f"{target}.delta/{n}").withColumn("_n", F.lit(n)) for n in numbers]
+    deltas = reduce(lambda a, b: a.unionAll(b), parts)
+    newest = deltas.groupBy("id").agg(F.max_by(F.struct(*base.columns), "_n").alias("r")).select("r.*")
+    return base.join(newest.select("id"), "id", "left_anti").unionByName(newest)
+
+
+def compacted(spark: SparkSession, target: str) -> None:
+    """Write table and deltas as the table's next version, then remove the deltas it holds. To be
+    called while no batch runs; deltas that stay after a stop in between are merged once more.
+    """
+    numbers = [n for n in children(spark, f"{target}.delta") if n.isdigit()]
+    rows = written(latest_rows(spark, target), "compacted")
+    replace(rows, target)
+    for n in numbers:
+        remove(spark, f"{target}.delta/{n}")
