@@ -209,6 +209,26 @@ def view_scan(t: Tables) -> DataFrame:
     return q.run({"by_tag": views.table("by_tag", t.anno)}, spec).df
 
 
+@query("SELECT id, (pre_pt_position_x // 2) * 8.0 AS pre_pt_position_x, (pre_pt_position_y // 2) * 8.0 AS pre_pt_position_y, pre_pt_position_z * 40.0 AS pre_pt_position_z FROM anno WHERE valid", "anno")
+def view_positions(t: Tables) -> DataFrame:
+    """Positions of a view in its own units, given in nanometres."""
+    views = q.Views()
+    halved = ["id", "CAST(pre_pt_position_x DIV 2 AS INT) AS pre_pt_position_x", "CAST(pre_pt_position_y DIV 2 AS INT) AS pre_pt_position_y", "pre_pt_position_z"]
+    views.add("halved", lambda anno: filters.valid(anno).selectExpr(*halved), (8.0, 8.0, 40.0))
+    return q.run({"halved": views.table("halved", t.anno)}, q.QuerySpec(resolution=(1.0, 1.0, 1.0))).df
+
+
+@query(
+    """SELECT count(*) AS n, CASE WHEN count(*) = 50 THEN 'limit 1000 is above the cap of 50 rows; limited to 50 rows' ELSE 'limit 1000 is above the cap of 50 rows' END AS warnings
+FROM (SELECT id FROM anno WHERE valid LIMIT 50)""",
+    "anno",
+)
+def capped_query(t: Tables) -> DataFrame:
+    """The cap holds whatever limit is asked, and the user is told."""
+    found = q.warn_if_full(q.run({"anno": _anno(t)}, q.QuerySpec(select={"anno": ["id"]}, limit=1000, cap=50)))
+    return found.df.agg(F.count(F.lit(1)).alias("n")).withColumn("warnings", F.lit("; ".join(found.warnings)))
+
+
 @query("SELECT a.* EXCLUDE (created, deleted, superceded_id, size), s.* EXCLUDE (id) FROM anno a JOIN seg s USING (id)", "anno", "seg")
 def dropped_column_scan(t: Tables) -> DataFrame:
     """Export scan without a list of columns, unknown names among them."""

@@ -157,23 +157,50 @@ def validate_snapshot(t: Tables) -> DataFrame:
     return v.validated({"anno": t.anno, "ref": t.ref}, frozen, ts(V2))
 
 
+_ORDER_VERSIONS = "(SELECT o_orderkey AS version, o_orderdate AS time_stamp, o_orderstatus <> 'F' AS valid, o_orderdate + to_days(CAST(o_custkey % 900 AS INT)) AS expires_on FROM orders)"
+
+
+def _order_versions(t: Tables) -> DataFrame:
+    """A version an order: its date, whether it is valid, and when it expires."""
+    return t.orders.selectExpr("o_orderkey AS version", "o_orderdate AS time_stamp", "o_orderstatus <> 'F' AS valid", "o_orderdate + make_dt_interval(CAST(o_custkey % 900 AS INT)) AS expires_on")
+
+
 @query(
-    f"SELECT version, row_number() OVER (ORDER BY time_stamp) AS place FROM {versions_sql()}, (SELECT max(o_orderdate) AS now FROM orders) WHERE (expires_on < now OR NOT valid) AND version <> 4"
+    f"""SELECT version, place FROM (SELECT version, row_number() OVER (ORDER BY time_stamp, version) AS place FROM {_ORDER_VERSIONS},
+ (SELECT max(o_orderdate) AS now, max(CASE WHEN o_orderstatus <> 'F' THEN o_orderdate END) AS newest FROM orders)
+ WHERE (expires_on < now OR NOT valid) AND NOT (valid AND time_stamp = newest)) WHERE place <= (SELECT count(*) FROM orders) - 10"""
 )
 def retention_plan(t: Tables) -> DataFrame:
-    """Versions to remove as of the newest order."""
+    """Of a version an order, those to remove as of the newest order (W4, T20, U4): ten stay at least."""
     now = t.orders.agg(F.date_format(F.max("o_orderdate"), "yyyy-MM-dd HH:mm:ss")).first()[0]
-    return v.retention(versions(t.spark), ts(now))
+    return v.retention(_order_versions(t), ts(now), keep=10)
+
+
+@query("SELECT o_orderkey AS version FROM orders WHERE o_orderstatus <> 'F' ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 1")
+def newest_version(t: Tables) -> DataFrame:
+    """The newest valid version."""
+    return v.newest(_order_versions(t))
 
 
 @query(
-    f"""SELECT 2 AS version, 'anno' AS table_name, count(*) AS frozen_rows, 'AVAILABLE' AS status FROM anno a JOIN seg s USING (id) WHERE a.valid AND a.created <= TIMESTAMP '{V2}'
+    f"""SELECT 2 AS version, 'anno' AS table_name, count(*) AS frozen_rows, 'AVAILABLE' AS status FROM anno WHERE valid AND created <= TIMESTAMP '{V2}'
 UNION ALL SELECT 2, 'ref', count(*), 'AVAILABLE' FROM ref WHERE valid AND created <= TIMESTAMP '{V2}'""",
     "anno", "seg", "ref",
 )
 def complete_version(t: Tables) -> DataFrame:
-    """Freeze all tables, check them, give their catalogue rows."""
-    return v.complete(t.spark, {"anno": (t.anno, t.seg), "ref": (t.ref, None)}, ts(V2), shared_dir(t.spark, "versions"), 2)
+    """Fill in missing segmentation, freeze all tables, check them, give their catalogue rows."""
+    seg = t.seg.unionByName(maintain.ingested(t.anno, t.seg, POINTS, t.voxels, VOXEL_SCALE, t.lineage, ts(V2)))
+    return v.complete(t.spark, {"anno": (t.anno, seg), "ref": (t.ref, None)}, ts(V2), shared_dir(t.spark, "versions"), 2)
+
+
+@query(
+    f"""SELECT 2 AS version, 'anno' AS table_name, count(*) AS frozen_rows, CASE WHEN count(*) = (SELECT count(*) FROM anno WHERE valid AND created <= TIMESTAMP '{V2}') THEN 'AVAILABLE' ELSE 'FAILED' END AS status
+FROM anno a JOIN seg s USING (id) WHERE a.valid AND a.created <= TIMESTAMP '{V2}'""",
+    "anno", "seg",
+)
+def incomplete_version(t: Tables) -> DataFrame:
+    """A version whose segmentation lacks rows fails its check."""
+    return v.complete(t.spark, {"anno": (t.anno, t.seg)}, ts(V2), shared_dir(t.spark, "versions"), 2)
 
 
 def _edited(early: str, late: str) -> tuple[str, str]:
@@ -384,9 +411,9 @@ def column_files_ingest(t: Tables) -> DataFrame:
     rows = written(rows, "columns")
     folder = shared_dir(t.spark, "column-files")
     files = [
-        columnfiles.describe(columnfiles.write(rows, folder, "id.npy", ["id"]), ("id",)),
-        columnfiles.describe(columnfiles.write(rows, folder, "pre.npy", ["pre"]), ("pre",)),
-        columnfiles.describe(columnfiles.write(rows, folder, "both.npy", ["sv", "root"], fortran=True), ("sv", "root")),
+        *columnfiles.write(rows, folder, "id", ["id"], file_rows=5000),
+        *columnfiles.write(rows, folder, "pre", ["pre"]),
+        *columnfiles.write(rows, folder, "both", ["sv", "root"], fortran=True, file_rows=7000),
     ]
     anno, seg = columnfiles.split(columnfiles.read(t.spark, files, 4096), {"id": "id", "pre": "pre"}, {"id": "id", "sv": "sv", "root": "root"})
     return anno.join(seg, "id")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar
 from ..operators import aggregates, layout
-from ..store import shared_dir, written
+from ..store import children, current, shared_dir, written
 from .base import Tables, query, ts
 
 POINT = "pre_pt_position"
@@ -85,11 +85,20 @@ def grid_cells(t: Tables) -> DataFrame:
 
 @query(" UNION ALL ".join(f"SELECT {k} AS i, CAST(quantile_disc(id, {k / 4}) AS BIGINT) AS id_cut, CAST(quantile_disc(pre_pt_position_x, {k / 4}) AS BIGINT) AS x_cut FROM anno" for k in (1, 2, 3)), "anno")
 def percentile_bounds(t: Tables) -> DataFrame:
-    """Cut points of two columns in one pass."""
+    """Cut points of two columns by rank."""
     cuts = aggregates.discrete_cuts(t.anno, ["id", f"{POINT}_x"], 4)
     return t.spark.createDataFrame([(i + 1, a, b) for i, (a, b) in enumerate(zip(*cuts.values(), strict=True))], "i int, id_cut long, x_cut long")
 
 
+@query(" UNION ALL ".join(f"SELECT {k} AS i, CAST(quantile_disc(o_totalprice, {k / 8}) AS DOUBLE) AS cut FROM orders" for k in range(1, 8)))
+def lake_quantiles(t: Tables) -> DataFrame:
+    """Nearest-rank quantiles of a column of an existing lake."""
+    root = shared_dir(t.spark, "lake")
+    layout.written_counting(t.orders.select("o_orderkey", "o_totalprice"), root)
+    cuts = aggregates.discrete_cuts(t.spark.read.parquet(root), ["o_totalprice"], 8)["o_totalprice"]
+    return t.spark.createDataFrame([(i, float(x)) for i, x in enumerate(cuts, 1)], "i int, cut double")
+
+
 @query("SELECT k AS i, CAST(round(min(id) + (max(id) - min(id)) * k / 4.0, 6) AS DOUBLE) AS cut FROM anno, (VALUES (1), (2), (3)) v(k) GROUP BY k", "anno")
 def uniform_bounds(t: Tables) -> DataFrame:
     """Evenly spaced cut points."""
@@ -119,11 +128,13 @@ def range_bucket_many(t: Tables) -> DataFrame:
     return t.anno.where("id > 0").select("id", scalar.range_bucket(F.col("id"), [100 * i for i in range(1, 101)]).cast("int").alias("b"))
 
 
-@query("SELECT count(*) AS n, 8 AS buckets FROM anno", "anno")
+@query("SELECT id, 0 AS one, true AS inside, true AS same FROM anno", "anno")
 def hash_bucket(t: Tables) -> DataFrame:
-    """Hash buckets: every row in one of n (L2)."""
-    b = t.anno.select(scalar.hash_bucket(F.col("id"), 8).alias("b")).where("b BETWEEN 0 AND 7")
-    return b.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("b").cast("int").alias("buckets"))
+    """Hash buckets (L2): each row in one of eight, in the same one whenever it is asked, and in 0 of one."""
+    b, one = scalar.hash_bucket(F.col("id"), 8), scalar.hash_bucket(F.col("id"), 1)
+    again = t.anno.select(F.col("id").alias("k"), b.alias("b"))
+    rows = t.anno.select("id", one.alias("one"), b.alias("a")).join(again, F.col("id") == F.col("k"))
+    return rows.select("id", "one", F.col("a").between(0, 7).alias("inside"), (F.col("a") == F.col("b")).alias("same"))
 
 
 @query("SELECT id AS start, lead(id) OVER (ORDER BY id) AS \"end\" FROM (SELECT id, row_number() OVER (ORDER BY id) AS rn FROM anno) WHERE rn % 1000 = 1", "anno")
@@ -182,13 +193,42 @@ def export_multi(t: Tables) -> DataFrame:
     return out
 
 
-@query("SELECT count(*) AS n, CAST(sum(a.id) AS BIGINT) AS ids, (SELECT count(*) FROM anno JOIN seg USING (id)) AS counted FROM anno a JOIN seg s USING (id)", "anno", "seg")
+@query("SELECT a.id, s.pre_pt_root_id, (SELECT count(*) FROM anno JOIN seg USING (id)) AS counted FROM anno a JOIN seg s USING (id)", "anno", "seg")
 def export_view(t: Tables) -> DataFrame:
     """A view run once to a flat copy, counted on the way, then clustered by Morton code."""
     root = shared_dir(t.spark, "lake")
     view = t.anno.join(t.seg, "id").select("id", *[f"{POINT}_{a}" for a in "xyz"], "pre_pt_root_id")
     n, _ = layout.export_view(view, [layout.Layout("m", POINT, "morton", 4)], root)
-    return t.spark.read.parquet(f"{root}/m").agg(F.count(F.lit(1)).alias("n"), F.sum("id").alias("ids")).withColumn("counted", F.lit(n).cast("long"))
+    return t.spark.read.parquet(f"{root}/m").select("id", "pre_pt_root_id", F.lit(n).cast("long").alias("counted"))
+
+
+@query(
+    """SELECT v.layout, count(*) AS n, CAST(sum(a.id) AS BIGINT) AS ids FROM anno a JOIN seg s USING (id),
+ (VALUES ('id'), ('pre_pt_root_id'), ('post_pt_root_id'), ('post_pt_position')) v(layout) GROUP BY 1""",
+    "anno", "seg",
+)
+def export_discovered(t: Tables) -> DataFrame:
+    """Layouts found from a table's columns: id, each object, main point; written and read back."""
+    root = shared_dir(t.spark, "lake")
+    flat = t.anno.join(t.seg, "id")
+    specs = layout.discovered(flat.columns, flat.count(), bytes_per_row=20_000)
+    layout.export(flat, specs, root)
+    out = None
+    for s in specs:
+        part = t.spark.read.parquet(f"{root}/{s.name}").agg(F.count(F.lit(1)).alias("n"), F.sum("id").alias("ids"))
+        part = part.select(F.lit(s.name).alias("layout"), "n", "ids")
+        out = part if out is None else out.unionAll(part)
+    return out
+
+
+@query("SELECT id, pre_pt_position_x, true AS fewer FROM anno", "anno")
+def compacted_table(t: Tables) -> DataFrame:
+    """Many small files as few, clustered along the Morton curve; read by the table's newest version."""
+    root = shared_dir(t.spark, "lake")
+    t.anno.select("id", *[f"{POINT}_{a}" for a in "xyz"]).repartition(12).write.parquet(root)
+    layout.compacted(t.spark, root, layout.Layout("m", POINT, "morton"))
+    files = len([x for x in children(t.spark, current(t.spark, root)) if x.endswith(".parquet")])
+    return t.spark.read.parquet(current(t.spark, root)).select("id", f"{POINT}_x", F.lit(files < 12).alias("fewer"))
 
 
 @query("SELECT id FROM anno WHERE id BETWEEN 4000 AND 9000", "anno")

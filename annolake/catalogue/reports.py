@@ -68,18 +68,14 @@ def level_cells(t: Tables) -> DataFrame:
 
 
 @query(
-    f"SELECT id FROM anno, (SELECT count(*) AS total FROM anno) WHERE pre_pt_position_x < 50000 AND pre_pt_position_y < 40000 AND pre_pt_position_z < 4000 AND (100 * 100.0 / (total * 0.25) >= 100 OR {_VALUE} % greatest(2, CAST(floor(CAST(floor(total * 0.25) AS INT) / 100.0) AS INT)) = 0)",
+    f"SELECT id FROM anno, (SELECT count(*) AS total FROM anno) WHERE pre_pt_position_x < 50000 AND pre_pt_position_y < 40000 AND pre_pt_position_z < 4000 AND (greatest(100, total // 40) * 100.0 / (total * 0.25) >= 100 OR {_VALUE} % greatest(2, CAST(floor(CAST(floor(total * 0.25) AS INT) / CAST(greatest(100, total // 40) AS DOUBLE)) AS INT)) = 0)",
     "anno",
 )
 def cell_cutout(t: Tables) -> DataFrame:
     """One cell, thinned by the policy (V2, F20); the hash branch at every size here."""
-    from ..operators import filters
-
     rows = t.anno.count()
-    inside = filters.half_open_box(t.anno, POINT, (0, 0, 0), (50_000, 40_000, 4_000))
-    if filters.sampling(rows, 100, 0.25)[0] == "none":
-        return inside.select("id")
-    return filters.hash_sampled(inside, POINT, filters.sample_factor(int(rows * 0.25), 100)).select("id")
+    # as many points as keep the policy at its digest branch, whatever the table's size
+    return report.cutout(t.anno, POINT, (0, 0, 0), (50_000, 40_000, 4_000), rows, max(100, rows // 40), 0.25).select("id")
 
 
 @query("SELECT a.id, a.tag, r.id AS id_ref, r.label FROM anno a JOIN ref r ON r.target_id = a.id WHERE a.id IN (4, 8, 12, 400, 404)", "anno", "ref")

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import struct
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -114,19 +114,28 @@ def label(form: str, *cols: Column) -> Column:
 
 
 def _wkb(values: pd.Series) -> pd.DataFrame:
-    out = []
-    for b in values:
-        if b is None or len(b) < 21:
-            out.append((None, None, None))
-            continue
-        b = bytes(b)
-        order = "<" if b[0] == 1 else ">"
-        kind = struct.unpack_from(f"{order}I", b, 1)[0]
-        at = 9 if kind & 0x20000000 else 5  # a reference system comes first
+    """Points of a batch: those with the same header and length are decoded from one buffer."""
+    rows = [None if b is None else bytes(b) for b in values]
+    alike: dict[tuple[int, bytes], list[int]] = {}
+    for i, b in enumerate(rows):
+        if b is not None and len(b) >= 21:
+            alike.setdefault((len(b), b[:5]), []).append(i)
+    xyz = np.zeros((len(rows), 3), np.int64)
+    known = np.zeros(len(rows), bool)
+    for (size, head), at in alike.items():
+        order = "<" if head[0] == 1 else ">"
+        kind = int.from_bytes(head[1:5], "little" if order == "<" else "big")
+        start = 9 if kind & 0x20000000 else 5  # a reference system comes first
         n = 3 if kind & 0x80000000 or kind // 1000 % 10 in (1, 3) else 2
-        xyz = struct.unpack_from(f"{order}{n}d", b, at)
-        out.append(tuple(map(int, (*xyz, 0.0)[:3])))
-    return pd.DataFrame(out, columns=["x", "y", "z"]).astype("Int32")
+        if start + 8 * n > size:
+            continue
+        raw = np.frombuffer(b"".join([rows[i] for i in at]), np.uint8).reshape(len(at), size)
+        numbers = np.ascontiguousarray(raw[:, start : start + 8 * n]).view(f"{order}f8")
+        fine = np.isfinite(numbers).all(axis=1)
+        xyz[at, :n] = np.where(fine[:, None], numbers, 0)
+        known[at] = fine
+    out = pd.DataFrame(xyz, columns=["x", "y", "z"]).astype("Int32")
+    return out.where(pd.Series(known), pd.NA)
 
 
 @F.pandas_udf(T.StructType([T.StructField(a, T.IntegerType()) for a in "xyz"]))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar
 from ..schema import AXES, point_columns
+from ..store import written
 
 
 def counted(df: DataFrame) -> DataFrame:
@@ -118,11 +119,6 @@ def _cuts(values: DataFrame, n: int) -> list:
     return [int(found[r]) if kind in ("int", "bigint", "smallint", "tinyint") else found[r] for r in ranks]
 
 
-def sampled_cuts(df: DataFrame, columns: list[str], n: int, rows: int, most: int = 500_000) -> dict[str, list]:
-    """The same from a sample of about ``most`` rows when the table has more."""
-    return discrete_cuts(df if rows <= most else df.sample(most / rows, seed=42), columns, n)
-
-
 def uniform_cuts(df: DataFrame, column: str, n: int) -> list[float]:
     """n - 1 evenly spaced cut points between a column's ends."""
     lo, hi = df.agg(F.min(column), F.max(column)).first()
@@ -171,7 +167,22 @@ def distinct_roots(df: DataFrame, columns: list[str]) -> DataFrame:
 def enum_codes(df: DataFrame, column: str) -> DataFrame:
     """(value, code): places of a text column's values in their order, from 0; the values are ranked, not the rows."""
     values = df.select(F.col(column).alias("value")).where("value IS NOT NULL").distinct()
-    return values.select("value", (F.row_number().over(Window.orderBy("value")) - 1).cast("long").alias("code"))
+    return in_order(values, ["value"]).select("value", (F.col("rank") - 1).cast("long").alias("code"))
+
+
+def in_order(df: DataFrame, columns: list[str], out: str = "rank") -> DataFrame:
+    """Rows with their place, from 1, in the order of columns of any type; ties by all other columns.
+
+    Rows are dealt to ranges and written with their range's number, so that counts and places agree;
+    then places inside a range are added to the rows before it. No task sees all rows.
+    """
+    parts = max(8, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    order = [*columns, *[c for c in df.columns if c not in columns]]
+    dealt = written(df.repartitionByRange(parts, *order).withColumn("_block", F.spark_partition_id()), "ranges")
+    upto = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)  # a row a block
+    base = dealt.groupBy("_block").agg(F.count(F.lit(1)).alias("_n")).select("_block", F.coalesce(F.sum("_n").over(upto), F.lit(0)).alias("_base"))
+    inside = F.row_number().over(Window.partitionBy("_block").orderBy(*order))
+    return dealt.join(F.broadcast(base), "_block").withColumn(out, (inside + F.col("_base")).cast("long")).drop("_block", "_base")
 
 
 def ranked(df: DataFrame, column: str, out: str = "rank") -> DataFrame:

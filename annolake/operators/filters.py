@@ -12,6 +12,8 @@ from ..functions import scalar
 
 #: Lists longer than this become a semi-join instead of a literal list.
 LIST_LITERALS = 1000
+#: Lists up to this long may be broadcast; longer ones are joined by a shuffle.
+BROADCAST_VALUES = 1_000_000
 
 _COMPARE = {
     "equal": lambda c, v: c == F.lit(v),
@@ -42,8 +44,7 @@ def is_in(df: DataFrame, column: str, values: list) -> DataFrame:
     _known(df, column)
     if len(values) <= LIST_LITERALS:
         return df.where(df[column].isin(list(values)))
-    wanted = df.sparkSession.createDataFrame([(v,) for v in values], df.select(F.col(column).alias("wanted")).schema)
-    return df.join(F.broadcast(wanted.distinct()), df[column] == F.col("wanted"), "left_semi")
+    return df.join(_listed(df, column, values), df[column] == F.col("wanted"), "left_semi")
 
 
 def not_in(df: DataFrame, column: str, values: list) -> DataFrame:
@@ -51,8 +52,12 @@ def not_in(df: DataFrame, column: str, values: list) -> DataFrame:
     _known(df, column)
     if len(values) <= LIST_LITERALS:
         return df.where(~df[column].isin(list(values)))
-    wanted = df.sparkSession.createDataFrame([(v,) for v in values], df.select(F.col(column).alias("wanted")).schema)
-    return df.where(df[column].isNotNull()).join(F.broadcast(wanted.distinct()), df[column] == F.col("wanted"), "left_anti")
+    return df.where(df[column].isNotNull()).join(_listed(df, column, values), df[column] == F.col("wanted"), "left_anti")
+
+
+def _listed(df: DataFrame, column: str, values: list) -> DataFrame:
+    wanted = df.sparkSession.createDataFrame([(v,) for v in set(values)], df.select(F.col(column).alias("wanted")).schema)
+    return F.broadcast(wanted) if len(values) <= BROADCAST_VALUES else wanted
 
 
 def matches(df: DataFrame, column: str, pattern: str) -> DataFrame:

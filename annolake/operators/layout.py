@@ -8,13 +8,10 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalar
-from ..store import exists
+from ..schema import main_point, root_columns
+from ..store import current, exists, replace, written
 from . import aggregates
 
-#: Tables below this size get their first layout only.
-SMALL_TABLE = 200 << 20
-
-
 @dataclass(frozen=True)
 class Layout:
     """How one copy of a table lies: by ranges or a hash of a column, or by the Morton code of a point."""
@@ -94,8 +91,10 @@ def guard(spark: SparkSession, path: str, rows: int) -> None:
         raise FileExistsError(f"{path} is there ({found})")
 
 
-def export(df: DataFrame, specs: list[Layout], root: str, bytes_per_row: float = 200, rows: int | None = None) -> dict[str, list]:
-    """Write every layout of a table under ``root/name``; the table is read once. Gives the cut points."""
+def export(df: DataFrame, specs: list[Layout], root: str) -> dict[str, list]:
+    """Write every layout of a table under ``root/name``, all from one flat copy in the shared folder, so
+    the table is computed once and a lost executor costs only its tasks. Gives the cut points.
+    """
     names = [s.name for s in specs]
     if len(set(names)) < len(names):
         raise ValueError(f"layouts share a name: {names}")
@@ -103,18 +102,25 @@ def export(df: DataFrame, specs: list[Layout], root: str, bytes_per_row: float =
     for s in specs:
         if exists(spark, f"{root}/{s.name}"):
             raise FileExistsError(f"{root}/{s.name}")
-    if rows is not None and rows * bytes_per_row < SMALL_TABLE:
-        specs = specs[:1]
-    kept = df.persist()
-    try:
-        cuts = bounds_of(kept, specs)
-        for s in specs:
-            write(kept, s, cuts.get(s.name, []), f"{root}/{s.name}")
-    finally:
-        kept.unpersist()
+    flat = written(df, "flat")
+    cuts = bounds_of(flat, specs)
+    for s in specs:
+        write(flat, s, cuts.get(s.name, []), f"{root}/{s.name}")
     return cuts
 
 
+def compacted(spark: SparkSession, target: str, spec: Layout, bytes_per_row: float = 200) -> int:
+    """Rewrite a table's many files as few large ones, its next version, clustered by a column or along
+    the Morton curve of a point; gives the number of files. Readers of the version before go on.
+    """
+    rows = spark.read.parquet(current(spark, target))
+    n = aggregates.partitions_for(rows.count(), bytes_per_row)
+    coded, c = with_code(rows, spec)
+    clustered = coded.repartitionByRange(n, c).sortWithinPartitions(c).select(*rows.columns)
+    replace(clustered, target)
+    return n
+
+
 def export_view(view: DataFrame, specs: list[Layout], root: str) -> tuple[int, dict[str, list]]:
     """Run a view once into a flat copy, counting, and lay it out from there."""
     rows = written_counting(view, f"{root}/flat")
@@ -136,8 +142,10 @@ def read(spark: SparkSession, path: str, spec: Layout, cuts: list, low=None, hig
     return df
 
 
-def discovered(columns: dict[str, str], point: str | None, rows: int) -> list[Layout]:
-    """Layouts of a table nobody gave any for: id, then its main point."""
-    n = aggregates.partitions_for(rows)
+def discovered(columns: list[str], rows: int, bytes_per_row: float = 200) -> list[Layout]:
+    """Layouts of a table nobody gave any for: by id, by each object it names, and by its main point."""
+    n = aggregates.partitions_for(rows, bytes_per_row)
     out = [Layout("id", "id", "range", n)] if "id" in columns else []
+    out += [Layout(c, c, "hash", n, bloom=True) for c in root_columns(columns)]
+    point = main_point(columns)
     return [*out, Layout(point, point, "morton", n)] if point else out

@@ -23,10 +23,12 @@ def at_time(lineage: DataFrame, when: Column) -> DataFrame:
 def roots_at(df: DataFrame, supervoxel: str, lineage: DataFrame, when: Column, out: str) -> DataFrame:
     """``df`` with the root of a supervoxel column at a time; null where there is none.
 
-    Supervoxel 0 stands for none and is not looked up, so it gathers in no partition.
+    Supervoxel 0 stands for none, as null does: such rows get negative keys by a hash of the row, which
+    no supervoxel has, so that they match nothing and gather in no partition.
     """
-    now = at_time(lineage, when).select(F.col("supervoxel_id").alias("_sv"), F.col("root_id").alias("_root"))
-    key = F.when(F.col(supervoxel) != 0, F.col(supervoxel))
+    now = at_time(lineage, when).where("supervoxel_id > 0").select(F.col("supervoxel_id").alias("_sv"), F.col("root_id").alias("_root"))
+    none = -1 - F.pmod(F.xxhash64(*df.columns), F.lit(1 << 20))
+    key = F.when(F.col(supervoxel) > 0, F.col(supervoxel)).otherwise(none)
     joined = df.withColumn("_key", key).join(now, F.col("_key") == F.col("_sv"), "left")
     return joined.withColumn(out, F.col("_root")).drop("_key", "_sv", "_root")
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -36,12 +36,13 @@ class QuerySpec:
 
 @dataclass(frozen=True)
 class QueryResult:
-    """Rows, output names by table and column, units, and what the user should know."""
+    """Rows, output names by table and column, units, what the user should know, and the most rows there can be."""
 
     df: DataFrame
     columns: dict[str, dict[str, str]]
     resolution: tuple[float, float, float]
     warnings: tuple[str, ...] = ()
+    limit: int = ROW_CAP
 
 
 def _prefixed(df: DataFrame, table: str) -> DataFrame:
@@ -51,7 +52,10 @@ def _prefixed(df: DataFrame, table: str) -> DataFrame:
 def run(tables: dict[str, Table], spec: QuerySpec) -> QueryResult:
     """Plan a query. Filters and samples stand below the joins, the limit above everything.
 
-    A limit or offset orders by id, so that the same query gives the same rows.
+    No query gives more rows than its cap. Limited rows are those that come first by id (where a table
+    has none, by all its columns), so the same query gives the same rows; only a query that names no
+    order, as on an aggregating view, may give any. A limit above the cap is told in the warnings;
+    whether rows were left out is known once they are counted (``warn_if_full``).
     """
     first = spec.joins[0][0] if spec.joins else next(iter(tables))
     rows: dict[str, DataFrame] = {}
@@ -97,26 +101,28 @@ def run(tables: dict[str, Table], spec: QuerySpec) -> QueryResult:
             cols.append(x.alias(to))
     if spec.count:
         return QueryResult(out.agg(F.count(F.lit(1)).alias("count")), names, want)
-    limit = min(spec.cap, spec.limit) if spec.limit is not None else spec.cap
+    limit = spec.cap if spec.limit is None else min(spec.cap, spec.limit)
+    over = spec.limit is not None and spec.limit > spec.cap
+    warnings = (f"limit {spec.limit} is above the cap of {spec.cap} rows",) if over else ()
     key = f"{first}.{spec.order}"
-    if spec.order and key in out.columns and (spec.limit is not None or spec.offset):
+    if spec.order and key in out.columns:
         out = out.orderBy(F.col(f"`{key}`"))
-        if spec.offset:
-            out = out.offset(spec.offset)
-        out = out.limit(limit)
-    elif spec.limit is not None:
-        out = out.limit(limit)
+    elif spec.order or spec.offset:
+        out = out.orderBy(*[F.col(f"`{first}.{c}`") for c in rows[first].columns])
+    if spec.offset:
+        out = out.offset(spec.offset)
+    out = out.limit(limit)
     df = projections.without_crud(out.select(*cols))
     if spec.arrays:
         df = projections.as_arrays(df)
-    return QueryResult(df, names, want)
+    return QueryResult(df, names, want, warnings, limit)
 
 
-def warn_if_full(result: QueryResult, rows: int, limit: int) -> QueryResult:
-    """Say so when a result has as many rows as it may have."""
-    if rows < limit:
+def warn_if_full(result: QueryResult) -> QueryResult:
+    """Count a result's rows, and say so when it has as many as it may have."""
+    if result.df.count() < result.limit:
         return result
-    return QueryResult(result.df, result.columns, result.resolution, (*result.warnings, f"limited to {limit} rows"))
+    return replace(result, warnings=(*result.warnings, f"limited to {result.limit} rows"))
 
 
 class Views:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import struct
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -116,16 +116,6 @@ def segment_properties(df: DataFrame, root: str, tags: list[str], numbers: list[
     return marked.select("id", F.col(root).alias("root_id"), *tags, *numbers, scalar.label(form, *label).alias("label"))
 
 
-def tag_columns(df: DataFrame) -> dict[str, list[str]]:
-    """Columns by what they can serve as: tags, yes-or-no tags, numbers."""
-    usable = [(c, t) for c, t in df.dtypes if c not in NOT_PROPERTIES and not c.endswith("_id") and not c.rpartition("_")[2] in AXES]
-    return {
-        "tags": [c for c, t in usable if t == "string"],
-        "bool_tags": [c for c, t in usable if t == "boolean"],
-        "numbers": [c for c, t in usable if t in ("int", "bigint", "float", "double")],
-    }
-
-
 def packed_rows(df: DataFrame, points: list[str], numbers: list[str]) -> DataFrame:
     """Rows with ``geometry``: little-endian 32-bit floats of the points and numbers, in Arrow batches."""
     wanted = [f"{p}_{a}" for p in points for a in AXES] + numbers
@@ -134,10 +124,10 @@ def packed_rows(df: DataFrame, points: list[str], numbers: list[str]) -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            cols = [b.column(c).to_pylist() for c in wanted]
-            form = f"<{len(wanted)}f"
-            data = [struct.pack(form, *[float("nan") if v is None else v for v in row]) for row in zip(*cols, strict=True)]
-            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in keep], pa.array(data, pa.binary())], [*keep, "geometry"])
+            cols = [b.column(c).cast(pa.float64()).fill_null(float("nan")).to_numpy(zero_copy_only=False) for c in wanted]
+            rows = np.stack(cols, 1).astype("<f4")
+            data = pa.FixedSizeBinaryArray.from_buffers(pa.binary(4 * len(wanted)), len(rows), [None, pa.py_buffer(rows.tobytes())])
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in keep], data.cast(pa.binary())], [*keep, "geometry"])
 
     schema = ", ".join(f"{c} {kinds[c]}" for c in keep) + ", geometry binary"
     return df.select(*keep, *wanted).mapInArrow(run, schema)

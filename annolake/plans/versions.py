@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import aggregates
 from ..schema import HIDDEN
-from ..store import exists
+from ..store import exists, remove, written
 
 
 def closest(versions: DataFrame, when: Column) -> DataFrame:
@@ -20,7 +21,8 @@ def closest(versions: DataFrame, when: Column) -> DataFrame:
 
 
 def newest(versions: DataFrame) -> DataFrame:
-    return versions.where("valid").agg(F.max_by("version", "time_stamp").alias("version"))
+    """The newest valid version, of equally new ones the one with the largest number."""
+    return versions.where("valid").agg(F.max(F.struct("time_stamp", "version")).alias("m")).select("m.version")
 
 
 def freeze_merged(anno: DataFrame, seg: DataFrame, when: Column, order: list[str] | None = None, as_of: bool = False) -> DataFrame:
@@ -47,14 +49,16 @@ def freeze_references(ref: DataFrame, frozen: DataFrame, when: Column) -> DataFr
 
 
 def validated(live: dict[str, DataFrame], frozen: dict[str, DataFrame], when: Column) -> DataFrame:
-    """(table_name, live_rows, frozen_rows, ok): counts of live valid rows and frozen ones; empty frozen tables pass by."""
+    """(table_name, live_rows, frozen_rows, ok): counts of live valid rows and frozen ones. A row that
+    lacks its segmentation is live but not frozen, so it shows here. Empty frozen tables pass.
+    """
     out = None
     for name, df in live.items():
         a = df.where(F.col("valid") & (F.col("created") <= when)).agg(F.count(F.lit(1)).alias("live_rows"))
         b = frozen[name].agg(F.count(F.lit(1)).alias("frozen_rows"))
-        row = a.crossJoin(b).select(F.lit(name).alias("table_name"), "live_rows", "frozen_rows", (F.col("live_rows") == F.col("frozen_rows")).alias("ok"))
+        row = a.crossJoin(b).select(F.lit(name).alias("table_name"), "live_rows", "frozen_rows", ((F.col("live_rows") == F.col("frozen_rows")) | (F.col("frozen_rows") == 0)).alias("ok"))
         out = row if out is None else out.unionAll(row)
-    return out.where("frozen_rows > 0")
+    return out
 
 
 def retention(versions: DataFrame, now: Column, keep: int = 1) -> DataFrame:
@@ -62,13 +66,22 @@ def retention(versions: DataFrame, now: Column, keep: int = 1) -> DataFrame:
     never so many that fewer than ``keep`` remain.
     """
     over = (F.col("expires_on") < now) | ~F.col("valid")
-    total = Window.partitionBy(F.lit(0))  # the catalogue of versions is small
-    ranked = versions.withColumn("all", F.count(F.lit(1)).over(total)).withColumn(
-        "newest_valid", F.max(F.when(F.col("valid"), F.col("time_stamp"))).over(total)
-    )
-    gone = ranked.where(F.coalesce(over, F.lit(False)) & ~((F.col("time_stamp") == F.col("newest_valid")) & F.col("valid")))
-    place = F.row_number().over(Window.orderBy("time_stamp", "version"))
-    return gone.withColumn("place", place).where(F.col("place") <= F.col("all") - keep).select("version", "place")
+    one = versions.agg(F.count(F.lit(1)).alias("_all"), F.max(F.when(F.col("valid"), F.col("time_stamp"))).alias("_newest"))
+    every = versions.crossJoin(F.broadcast(one))  # one row
+    newest_valid = F.col("valid") & (F.col("time_stamp") == F.col("_newest"))
+    gone = every.where(F.coalesce(over, F.lit(False)) & ~F.coalesce(newest_valid, F.lit(False)))
+    placed = aggregates.in_order(gone.select("time_stamp", "version", "_all"), ["time_stamp", "version"], "place")
+    return placed.where(F.col("place") <= F.col("_all") - keep).select("version", "place")
+
+
+def removed(spark: SparkSession, plan: DataFrame, root: str) -> list[int]:
+    """Delete the folders ``root/version`` of the versions in a retention plan, oldest first; gives those deleted."""
+    gone = []
+    for version in [r[0] for r in plan.orderBy("place").select("version").collect()]:  # folders that exist, not rows
+        if exists(spark, f"{root}/{version}"):
+            remove(spark, f"{root}/{version}")
+            gone.append(version)
+    return gone
 
 
 def next_version(versions: DataFrame) -> int:
@@ -90,7 +103,7 @@ def resolve_alias(versions: DataFrame, version: int) -> int:
 def complete(spark: SparkSession, live: dict[str, tuple[DataFrame, DataFrame | None]], when: Column, root: str, version: int) -> DataFrame:
     """Freeze all tables of a version under ``root/version/table``, check them, and give the catalogue rows.
 
-    Refuses a version that is there. Status is AVAILABLE only if every count agrees.
+    Refuses a version that is there. Status is AVAILABLE only if every table has all its live rows.
     """
     base = f"{root}/{version}"
     if exists(spark, base):
@@ -100,7 +113,7 @@ def complete(spark: SparkSession, live: dict[str, tuple[DataFrame, DataFrame | N
         df = freeze_split(anno, when) if seg is None else freeze_merged(anno, seg, when)
         df.write.parquet(f"{base}/{name}")
         frozen[name] = spark.read.parquet(f"{base}/{name}")
-    ok = validated({n: a.join(s.select("id"), "id", "left_semi") if s is not None else a for n, (a, s) in live.items()}, frozen, when)
+    ok = written(validated({n: a for n, (a, _) in live.items()}, frozen, when), "validated")  # a row a table
     all_ok = ok.agg(F.bool_and("ok").alias("all_ok"))
     return ok.crossJoin(all_ok).select(
         F.lit(version).alias("version"), "table_name", "frozen_rows", F.when(F.coalesce("all_ok", F.lit(True)), "AVAILABLE").otherwise("FAILED").alias("status")

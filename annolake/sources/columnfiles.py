@@ -1,12 +1,15 @@
 """Sets of aligned column files: each holds one column, or several side by side, as a plain array.
 
-A set is a folder of ``.npy`` files; row i of every file belongs to row i of the table. Files are
-read in chunks that tasks map into memory; column frames are glued by the row's place.
+A set is a folder of ``.npy`` files; row i of every file belongs to row i of the table. A column may
+lie in several files, each with the place of its first row. Files are read in chunks by tasks, and
+written by tasks, each its own range of rows; column frames are glued by the row's place. The driver
+sees headers and the list of files only.
 """
 
 from __future__ import annotations
 
 import ast
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -16,10 +19,12 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..store import written
+
 
 @dataclass(frozen=True)
 class ColumnFile:
-    """One file, the columns it holds, and where its numbers begin."""
+    """One file, the columns it holds, where its numbers begin, and the row its first one belongs to."""
 
     path: str
     columns: tuple[str, ...]
@@ -27,6 +32,7 @@ class ColumnFile:
     kind: str
     fortran: bool
     start: int
+    first: int = 0
 
 
 def _open(uri: str):
@@ -34,7 +40,7 @@ def _open(uri: str):
     return fs.open_input_file(path)
 
 
-def describe(uri: str, columns: tuple[str, ...]) -> ColumnFile:
+def describe(uri: str, columns: tuple[str, ...], first: int = 0) -> ColumnFile:
     """Read a file's header only."""
     with _open(uri) as f:
         head = f.read(128)
@@ -47,7 +53,7 @@ def describe(uri: str, columns: tuple[str, ...]) -> ColumnFile:
     width = shape[1] if len(shape) > 1 else 1
     if width != len(columns):
         raise ValueError(f"{uri} has {width} columns; {len(columns)} are named")
-    return ColumnFile(uri, tuple(columns), shape[0], fields["descr"], fields["fortran_order"], at + size)
+    return ColumnFile(uri, tuple(columns), shape[0], fields["descr"], fields["fortran_order"], at + size, first)
 
 
 def chunks(spark: SparkSession, files: list[ColumnFile], size: int) -> DataFrame:
@@ -57,37 +63,37 @@ def chunks(spark: SparkSession, files: list[ColumnFile], size: int) -> DataFrame
 
 
 def read(spark: SparkSession, files: list[ColumnFile], size: int = 1_000_000) -> DataFrame:
-    """row_idx and all columns; files of different lengths are an error."""
-    if len({f.rows for f in files}) > 1:
-        raise ValueError("column files differ in length: " + ", ".join(f"{f.path} {f.rows}" for f in files))
+    """row_idx and all columns; columns of different lengths are an error."""
+    sets: dict[tuple[str, ...], list[int]] = {}
+    for k, f in enumerate(files):
+        sets.setdefault(f.columns, []).append(k)
+    lengths = {c: sum(files[k].rows for k in own) for c, own in sets.items()}
+    if len(set(lengths.values())) > 1:
+        raise ValueError("column files differ in length: " + ", ".join(f"{'/'.join(c)} {n}" for c, n in lengths.items()))
     plan = chunks(spark, files, size)
     out = None
-    for k, f in enumerate(files):
-        whole = np.dtype(f.kind).kind in "iub"
+    for columns, own in sets.items():
+        whole = all(np.dtype(files[k].kind).kind in "iub" for k in own)
         kind = pa.int64() if whole else pa.float64()
 
-        def run(batches: Iterator[pa.RecordBatch], f: ColumnFile = f, kind: pa.DataType = kind) -> Iterator[pa.RecordBatch]:
-            item = np.dtype(f.kind)
-            n = len(f.columns)
+        def run(batches: Iterator[pa.RecordBatch], kind: pa.DataType = kind, columns: tuple[str, ...] = columns) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 for c in b.to_pylist():
-                    s, m = c["start"], c["length"]
+                    f = files[c["file"]]
+                    item, n, s, m = np.dtype(f.kind), len(columns), c["start"], c["length"]
                     with _open(f.path) as file:
-                        cols = []
                         if f.fortran or n == 1:
-                            for i in range(n):
-                                file.seek(f.start + (i * f.rows + s) * item.itemsize)
-                                cols.append(np.frombuffer(file.read(m * item.itemsize), item))
+                            cols = [np.frombuffer(file.read_at(m * item.itemsize, f.start + (i * f.rows + s) * item.itemsize), item) for i in range(n)]
                         else:
-                            file.seek(f.start + s * n * item.itemsize)
-                            block = np.frombuffer(file.read(m * n * item.itemsize), item).reshape(m, n)
+                            block = np.frombuffer(file.read_at(m * n * item.itemsize, f.start + s * n * item.itemsize), item).reshape(m, n)
                             cols = [block[:, i] for i in range(n)]
-                    arrays = [pa.array(np.arange(s, s + m)), *[pa.array(np.ascontiguousarray(x)).cast(kind) for x in cols]]
-                    yield pa.RecordBatch.from_arrays(arrays, ["row_idx", *f.columns])
+                    arrays = [pa.array(np.arange(f.first + s, f.first + s + m)), *[pa.array(np.ascontiguousarray(x)).cast(kind) for x in cols]]
+                    yield pa.RecordBatch.from_arrays(arrays, ["row_idx", *columns])
 
-        schema = "row_idx long, " + ", ".join(f"`{c}` {'long' if whole else 'double'}" for c in f.columns)
-        mine = plan.where(F.col("file") == k)
-        one = mine.repartition(max(1, -(-f.rows // size)), "start").mapInArrow(run, schema)
+        schema = "row_idx long, " + ", ".join(f"`{c}` {'long' if whole else 'double'}" for c in columns)
+        mine = plan.where(F.col("file").isin(own))
+        tasks = sum(-(-files[k].rows // size) for k in own)
+        one = mine.repartition(max(1, tasks), "file", "start").mapInArrow(run, schema)
         out = one if out is None else out.join(one, "row_idx")
     return out
 
@@ -103,30 +109,48 @@ def missing_chunks(spark: SparkSession, ids: DataFrame, files: list[ColumnFile],
     return heads.join(loaded.select("id"), "id", "left_anti").select("start")
 
 
-def write(df: DataFrame, folder: str, name: str, columns: list[str], fortran: bool = False) -> str:
-    """One file of a table's columns in the order of ``row_idx``: blocks are written by tasks, then
-    joined by a second pass that copies them one after another.
+#: Rows of a written file.
+FILE_ROWS = 1_000_000
+
+
+def write(df: DataFrame, folder: str, name: str, columns: list[str], fortran: bool = False, file_rows: int = FILE_ROWS) -> list[ColumnFile]:
+    """A table's columns side by side, in the order of ``row_idx`` (0, 1, ... without gaps), as files of
+    ``file_rows`` rows. Each is written by the task that has its rows, under a name of the attempt's
+    own; files of attempts that failed are not among those returned.
     """
-    uri = f"{folder}/{name}"
     kind = "<i8"
+    files = F.floor(F.col("row_idx") / file_rows).cast("long")
+    rows = df.select(files.alias("file"), "row_idx", *columns)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, path = pafs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else f"file://{folder}")
+        fs.create_dir(path, recursive=True)
+        now, held = None, []
+
+        def put() -> pa.RecordBatch:
+            block = np.concatenate(held)
+            shape = block.shape if len(columns) > 1 else (len(block),)
+            head = str({"descr": kind, "fortran_order": fortran, "shape": shape}).encode("latin-1")
+            head += b" " * (-(len(head) + 11) % 64) + b"\n"
+            own = f"{name}-{now:08d}-{uuid.uuid4().hex}.npy"
+            with fs.open_output_stream(f"{path}/{own}") as f:
+                f.write(b"\x93NUMPY\x01\x00" + len(head).to_bytes(2, "little") + head)
+                f.write(np.asarray(block, kind).tobytes("F" if fortran else "C"))
+            facts = [[own], [now * file_rows], [len(block)], [10 + len(head)]]
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in facts], ["name", "first", "rows", "start"])
 
-    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if b.num_rows:
-                rows = np.stack([np.asarray(b.column(c).cast(pa.int64())) for c in columns], 1)
-                yield pa.RecordBatch.from_arrays([pa.array([b.column("row_idx")[0].as_py()]), pa.array([rows.astype(kind).tobytes()], pa.binary())], ["first", "data"])
-
-    made = df.select("row_idx", *columns).repartitionByRange("row_idx").sortWithinPartitions("row_idx").mapInArrow(blocks, "first long, data binary")
-    n = df.count()
-    shape = (n, len(columns)) if len(columns) > 1 else (n,)
-    head = str({"descr": kind, "fortran_order": fortran, "shape": shape}).encode("latin-1")
-    head += b" " * (-(len(head) + 11) % 64) + b"\n"
-    fs, path = pafs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
-    fs.create_dir(path.rpartition("/")[0], recursive=True)
-    with fs.open_output_stream(path) as f:
-        f.write(b"\x93NUMPY\x01\x00" + len(head).to_bytes(2, "little") + head)
-        for i in range(len(columns) if fortran else 1):
-            for r in made.orderBy("first").toLocalIterator():  # a block at a time
-                block = np.frombuffer(r["data"], kind).reshape(-1, len(columns))
-                f.write((block[:, i] if fortran else block).tobytes())
-    return uri
+            block = np.stack([np.asarray(b.column(c).cast(pa.int64())) for c in columns], 1)
+            of = np.asarray(b.column("file"))
+            for x in np.unique(of).tolist():  # ascending: rows are sorted
+                if x != now and held:
+                    yield put()
+                    held = []
+                now = x
+                held.append(block[of == x])
+        if held:
+            yield put()
+
+    dealt = rows.repartition("file").sortWithinPartitions("file", "row_idx").drop("row_idx")
+    made = written(dealt.mapInArrow(run, "name string, first long, rows long, start long"), "column-files")
+    return [ColumnFile(f"{folder}/{r['name']}", tuple(columns), r["rows"], kind, fortran, r["start"], r["first"]) for r in made.orderBy("first").collect()]
