@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_or_shuffled, table, written
+from .common import BROADCAST_IDS, small_or_shuffled, table, written
 
 #: Sites from which on a line is boilerplate.
 SITES = 8
@@ -49,11 +49,27 @@ def spread(docs: DataFrame, sites: int = SITES, lg_k: int = LG_K) -> DataFrame:
     return clear.unionByName(close.join(exact.where(F.col("sites") >= sites).select("line"), "line", "left_semi"))
 
 
+#: Parts that a shared line's occurrences are dealt to where lines are joined by a shuffle.
+SALT = 64
+
+
+def _shared(lines: DataFrame, bad: DataFrame, most: int | None = None) -> DataFrame:
+    """``lines`` that are in ``bad``: by a broadcast up to a number of lines, beyond it by a shuffle that
+    deals each line, hot by definition, to ``SALT`` parts.
+    """
+    most = BROADCAST_IDS if most is None else most
+    if bad.count() <= most:
+        return lines.join(F.broadcast(bad), "line")
+    dealt = lines.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALT)).cast("int"))
+    copies = bad.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    return dealt.join(copies, ["line", "salt"]).drop("salt")
+
+
 def without_shared(docs: DataFrame, sites: int = SITES, lg_k: int = LG_K, counts: bool = False) -> DataFrame:
     """The rows of ``docs`` with their text freed of boilerplate lines; with ``counts``, also all_lines and removed_lines."""
-    bad = small_or_shuffled(written(spread(docs, sites, lg_k), "lines-shared").select(F.col("line"), F.col("first_doc").alias("stays_in")))
+    bad = written(spread(docs, sites, lg_k), "lines-shared").select(F.col("line"), F.col("first_doc").alias("stays_in"))
     lines = docs.where("doc_id is not null").select("doc_id", F.explode(F.split("text", "\n")).alias("l"))
-    hit = lines.select("doc_id", _key(F.col("l")).alias("line")).join(bad, "line").where("doc_id <> stays_in")
+    hit = _shared(lines.select("doc_id", _key(F.col("l")).alias("line")), bad).where("doc_id <> stays_in")
     of_doc = written(hit.groupBy(F.col("doc_id").alias("hit_id")).agg(F.collect_set("line").alias("hit_lines")), "lines-hit")
     # the same plan at every size: hits grow with the documents
     joined = docs.join(of_doc.hint("merge"), docs["doc_id"] == of_doc["hit_id"], "left")
