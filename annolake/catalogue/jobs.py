@@ -366,6 +366,17 @@ def spatial_lookup(t: Tables) -> DataFrame:
     return maintain.whole_lookup(t.anno, t.seg, POINTS, t.voxels, VOXEL_SCALE, t.lineage, ts(V2)).select("id", "pre_pt_supervoxel_id")
 
 
+@query(_LOOKED.format(rows="(SELECT * FROM anno WHERE valid)"), "anno", "voxels")
+def resumed_lookup(t: Tables) -> DataFrame:
+    """The same by cells, a part of them a run, until none is left."""
+    ledger, target = shared_dir(t.spark, "ledger"), shared_dir(t.spark, "looked-up")
+    anno, voxels = written(t.anno, "anno"), written(t.voxels, "voxels")
+    n = anno.selectExpr(*[f"floor({POINTS[0]}_{a} / 32768)" for a in "xyz"]).distinct().count()
+    while maintain.lookup_some(anno, POINTS, voxels, VOXEL_SCALE, ledger, target, 32_768, n // 2 + 1):
+        pass
+    return t.spark.read.parquet(target).drop("run")
+
+
 _CELLS = "SELECT DISTINCT CAST(floor(pre_pt_position_x / 8192) AS BIGINT) AS cx, CAST(floor(pre_pt_position_y / 8192) AS BIGINT) AS cy FROM anno"
 
 

@@ -76,11 +76,13 @@ def replaced(df: DataFrame, column: str, mapping: DataFrame) -> DataFrame:
 def refreshed(df: DataFrame, roots: list[str], lineage: DataFrame, when: Column) -> DataFrame:
     """Each root column brought to a time: only roots not in force are looked up anew by supervoxel.
 
-    Rows without a lookup (supervoxel null or the sentinel 1) keep their root.
+    Rows without a lookup (supervoxel null or the sentinel 1) keep their root. Which roots are in force
+    is asked of the rows as they came, so one column's joins are no part of another's.
     """
+    given = df
     for root in roots:
         sv = supervoxel_of(root)
-        stale = latest(df.select(F.col(root).alias("root_id")), lineage, when).where(~F.col("is_latest"))
+        stale = latest(given.select(F.col(root).alias("root_id")), lineage, when).where(~F.col("is_latest"))
         marked = df.join(stale.select(F.col("root_id").alias("_stale")), F.col(root) == F.col("_stale"), "left")
         look = F.when((F.col("_stale").isNotNull() | F.col(root).isNull()) & (F.coalesce(F.col(sv), F.lit(1)) != 1), F.col(sv))
         found = roots_at(marked.withColumn("_look", F.coalesce(look, F.lit(0))), "_look", lineage, when, "_found")

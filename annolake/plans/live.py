@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import filters, lineage
 from ..schema import root_columns
+from ..store import written
 
 
 def combined(frozen: DataFrame, delta: DataFrame, version_time: Column, query_time: Column, forward: bool = True) -> DataFrame:
@@ -85,7 +86,7 @@ def at_time(
     early, late = (version_time, query_time) if forward else (query_time, version_time)
     edited = filters.edited_between(anno, early, late)
     delta = filters.apply(edited, without_roots(spec)).join(seg, "id")
-    rows = combined(asked, delta, version_time, query_time, forward)
+    rows = written(combined(asked, delta, version_time, query_time, forward), "combined")  # read again for each root
     fresh = lineage.refreshed(rows, root_columns(rows.columns), table, query_time)
     out = filters.apply(fresh, spec)
     return out if limit is None else out.orderBy("id").limit(limit)

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalar
 from ..operators import aggregates, filters, lineage
-from ..schema import supervoxel_of
-from ..store import current, exists, replace, written
+from ..schema import AXES, supervoxel_of
+from ..store import children, current, exists, replace, written
 
 
 def missing(anno: DataFrame, seg: DataFrame) -> DataFrame:
@@ -115,6 +114,30 @@ def remaining(cells: DataFrame, ledger: DataFrame, keys: list[str]) -> DataFrame
     return rows.withColumn("rank", rank).where("rank IS NOT NULL")
 
 
+def lookup_some(anno: DataFrame, points: list[str], voxels: DataFrame, scale: tuple, ledger: str, target: str, size: int, cells: int) -> int:
+    """Look up the points of the next ``cells`` cells still to do, and note them in the ledger; gives how many.
+
+    A run's rows are written before its cells are noted, both under the run's number: a run that
+    stopped in between is done again and writes the same place. Call until it gives 0.
+    """
+    spark = anno.sparkSession
+    keys = [f"c{a}" for a in AXES]
+    # rows without the first point have no cell of their own
+    places = [F.coalesce(F.floor(F.col(f"{points[0]}_{a}") / size).cast("long"), F.lit(0)).alias(f"c{a}") for a in AXES]
+    keyed = filters.valid(anno).select("*", *places)
+    runs = [n for n in children(spark, ledger) if n.startswith("run=") and exists(spark, f"{ledger}/{n}/_SUCCESS")]
+    kind = ", ".join(f"{k} long" for k in keys) + ", status string"
+    noted = spark.read.schema(kind).parquet(*[f"{ledger}/{n}" for n in runs]) if runs else spark.createDataFrame([], kind)
+    todo = remaining(keyed.select(*keys).distinct(), noted, keys).orderBy("rank", *keys).limit(cells)
+    some = written(todo.select(*keys), "cells")
+    n = some.count()
+    if n:
+        rows = keyed.join(some, keys, "left_semi").drop(*keys)
+        looked_up(rows, points, voxels, scale).write.mode("overwrite").parquet(f"{target}/run={len(runs)}")
+        some.withColumn("status", F.lit("completed")).write.mode("overwrite").parquet(f"{ledger}/run={len(runs)}")
+    return n
+
+
 def updated(tables: dict[str, tuple[DataFrame, DataFrame, list[str]]], voxels: DataFrame, scale: tuple, lines: DataFrame, since: Column, when: Column) -> dict[str, DataFrame]:
     """For every table: missing segmentation added, expired roots refreshed."""
     out = {}
