@@ -9,7 +9,8 @@ all but 0.00003. Every link is confirmed on the full sets.
 Rows with equal sets are one node. A shingle that no other candidate node has is in no
 intersection, so each node's number of own shingles bounds its similarity with any other, exactly.
 In a table, a node is first compared only with the node of its bucket that has the least share of
-own shingles - in a group of edited copies the one nearest their source. In buckets whose nodes did
+own shingles - in a group of edited copies the one nearest their source. A node whose own shingles
+rule out a link with every size that its bucket holds leaves it before that. In buckets whose nodes did
 not join into one component, those outside the largest component are then compared with the nodes
 of other components, as far as a tighter bound allows a link: two sets share no more than the
 smaller number of frequent shingles and the common rare ones, of which a bitmap of rare shingles
@@ -235,16 +236,22 @@ def node_links(docs: DataFrame, nodes: DataFrame, width: int, percent: int, tabl
     texts = written(whole.join(small_or_shuffled(ids), ["doc", "h"]).groupBy("id").agg(F.min("text").alias("text")), "minhash-texts")
     own = small_or_shuffled(written(own_shingles(texts, width), "minhash-own"))
     with_own = written(found.join(own, "id", "left").select("key", "id", "n", F.coalesce("own", F.lit(0)).alias("own")), "minhash-own-rows")
-    lead = with_own.groupBy("key").agg(F.min(F.struct((F.col("own") / F.col("n")).alias("share"), "id", "n", "own")).alias("lead"))
-    lead = lead.select("key", F.col("lead.id").alias("leader"), F.col("lead.n").alias("m"), F.col("lead.own").alias("other"))
-    led = with_own.join(lead, "key").where("id <> leader").where(may_link("n", "own", "m", "other", percent))
+    lead = with_own.groupBy("key").agg(
+        F.min(F.struct((F.col("own") / F.col("n")).alias("share"), "id", "n", "own")).alias("lead"),
+        F.min("n").alias("least"),
+        F.max(100 * F.col("n") - (100 + percent) * F.col("own")).alias("most"),
+    )
+    lead = lead.select("key", "least", "most", F.col("lead.id").alias("leader"), F.col("lead.n").alias("m"), F.col("lead.own").alias("other"))
+    # a node whose own shingles leave no room for a link with any size of its bucket is settled there
+    room = ((100 + percent) * (F.col("n") - F.col("own")) >= percent * (F.col("n") + F.col("least"))) & (F.col("most") >= percent * F.col("n"))
+    unsettled = written(with_own.join(lead, "key").where(room).drop("least", "most"), "minhash-unsettled")
+    led = unsettled.where("id <> leader").where(may_link("n", "own", "m", "other", percent))
     pairs = led.select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct()
     tested = written(confirmed(pairs, texts, width, percent), "minhash-tested")
     links = tested.where("linked").select("a", "b")
     # buckets of more than one component: their nodes across components, not tested yet
-    lab = with_own.join(components(links), "id", "left").withColumn("c", F.coalesce("component", "id"))
-    # nodes whose own shingles leave no room for a link with any other are settled
-    lab = written(lab.where(100 * (F.col("n") - F.col("own")) >= percent * F.col("n")).select("key", "id", "n", "c"), "minhash-labelled")
+    lab = unsettled.join(components(links), "id", "left").withColumn("c", F.coalesce("component", "id"))
+    lab = written(lab.select("key", "id", "n", "c"), "minhash-labelled")
     parts = lab.groupBy("key", "c").agg(F.count(F.lit(1)).alias("k"))
     tops = parts.groupBy("key").agg(F.max_by("c", F.struct("k", "c")).alias("top"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
     mixed = written(lab.join(tops.select("key", "top"), "key"), "minhash-mixed")
