@@ -178,9 +178,13 @@ def sampling_policy(t: Tables) -> DataFrame:
     return df.select("id")
 
 
-@query()
+@query(
+    """SELECT a.id, s.pre_pt_root_id FROM anno a LEFT JOIN seg s USING (id), (SELECT count(*) AS n FROM anno)
+WHERE n <= 1000 OR CAST('0x' || substr(md5('42:' || a.id), 1, 8) AS BIGINT) < CAST(floor(1000 * CAST(100 AS DOUBLE) / n / 100 * 4294967296) AS BIGINT)""",
+    "anno", "seg",
+)
 def pct_sample(t: Tables) -> DataFrame:
-    """About 1000 rows of the annotation table, sampled below the join with segmentation."""
+    """About 1000 rows of the annotation table, sampled below the join with segmentation."""
     some = filters.percent_sampled(t.anno, 1000, t.anno.count())
     return some.join(t.seg, "id", "left").select("id", "pre_pt_root_id")
 
@@ -391,8 +395,9 @@ def csv_ingest(t: Tables) -> DataFrame:
         F.col("o_orderpriority").alias("prio"), F.col("o_totalprice").alias("price"), F.lit("x").alias("junk"),
     )
     raw.write.csv(path, header=True)
+    texts = ", ".join(f"{c} string" for c in ("key", "pre", "px", "py", "pz", "label", "price", "junk"))
     mapping = {"id": "key", "pre_pt_position": "pre", "post_pt_position": ["px", "py", "pz"], "tag": "label", "size": "price"}
-    rows = csv.ingest(csv.read(t.spark, path), SYNAPSE, mapping, "2000-01-01 00:00:00", ignore=("junk",), transform=lambda df: df.withColumnRenamed("prio", "label"))
+    rows = csv.ingest(csv.read(t.spark, path), SYNAPSE, mapping, "2000-01-01 00:00:00", ignore=("junk",), transform=lambda df: csv.by_chunks(df, lambda rows: rows.rename(columns={"prio": "label"}), texts))
     whole, _ = csv.with_points(rows, SYNAPSE)
     return whole.select("id", "valid", "tag", "pre_pt_position_x", "post_pt_position_y")
 

@@ -253,10 +253,10 @@ _NOW = _in_force("l", BETWEEN)
     "anno", "seg", "lineage",
 )
 def query_at_time(t: Tables) -> DataFrame:
-    """Any time: translated filters, version, delta, refreshed roots, filters again."""
+    """Any time: translated filters, version, delta, refreshed roots, filters again, columns asked for."""
     frozen = written(v.freeze_merged(t.anno, t.seg, ts(V2), as_of=True), "version")
     spec = {"in": {"pre_pt_root_id": [300001, 300003, 100021]}, "notin": {"tag": ["5-LOW"]}}
-    return live.at_time(frozen, t.anno, t.seg, t.lineage, ts(V2), ts(BETWEEN), spec).select("id", "pre_pt_root_id", "tag")
+    return live.at_time(frozen, t.anno, t.seg, t.lineage, ts(V2), ts(BETWEEN), spec, select=["id", "pre_pt_root_id", "tag"])
 
 
 @query("SELECT a.id FROM anno a LEFT JOIN seg s USING (id) WHERE a.valid AND s.id IS NULL", "anno", "seg")
@@ -410,7 +410,7 @@ def update_live(t: Tables) -> DataFrame:
 def staged_transfer(t: Tables) -> DataFrame:
     """Staged, counted, put in place of a smaller table."""
     path = shared_dir(t.spark, "production")
-    t.anno.limit(10).write.parquet(path)
+    filters.valid(t.anno).write.parquet(path)
     maintain.transferred(t.spark, t.anno, path, overwrite=True)
     return t.spark.read.parquet(current(t.spark, path)).select("id", "tag", "valid")
 
@@ -430,11 +430,11 @@ def column_files_ingest(t: Tables) -> DataFrame:
     return anno.join(seg, "id")
 
 
-@query("SELECT CAST(rn - 1 AS BIGINT) AS start FROM (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) AS rn FROM orders) WHERE (rn - 1) % 1000 = 0 AND o_orderkey % 3 = 0")
+@query("SELECT CAST(rn - 1 AS BIGINT) AS start FROM (SELECT o_orderkey, o_orderstatus, row_number() OVER (ORDER BY o_orderkey) AS rn FROM orders) WHERE (rn - 1) % 1000 = 0 AND o_orderstatus = 'F'")
 def missing_chunks(t: Tables) -> DataFrame:
-    """Chunks whose first id is not in the table."""
+    """Chunks whose first id is not in the table, here that of orders still open."""
     ids = aggregates.ranked(t.orders.select("o_orderkey"), "o_orderkey").selectExpr("rank - 1 AS row_idx", "o_orderkey AS id")
-    return columnfiles.missing_chunks(t.spark, ids, [], 1000, t.orders.where("o_orderkey % 3 <> 0").selectExpr("o_orderkey AS id"))
+    return columnfiles.missing_chunks(t.spark, ids, [], 1000, t.orders.where("o_orderstatus <> 'F'").selectExpr("o_orderkey AS id"))
 
 
 @query(

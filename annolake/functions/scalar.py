@@ -54,6 +54,12 @@ def point_text(x: Column, y: Column, z: Column) -> Column:
     return F.format_string("POINTZ(%d %d %d)", x, y, z)
 
 
+def drawn(key: Column, seed: int) -> Column:
+    """A number from 0 to 2**32 - 1 that stands for a key and a seed; null keys have one, too."""
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), key.cast("string")))
+    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("long")
+
+
 def sample_value(x: Column, y: Column, z: Column) -> Column:
     """A row's place in a deterministic sample: weighted character codes of its point's MD5."""
     h = F.md5(F.format_string("POINT Z (%d %d %d)", x, y, z).cast("binary"))

@@ -140,14 +140,20 @@ def sampling(rows: int, max_points: int, volume_share: float = 1.0) -> tuple[str
     return ("percent", pct) if pct < 5 else ("hash", float(sample_factor(int(rows * volume_share), max_points)))
 
 
-def percent_sampled(df: DataFrame, wanted: int, stored_rows: int, seed: int = 42) -> DataFrame:
-    """About ``wanted`` rows of a table by its stored row count; all of them if it has no more."""
+def percent_sampled(df: DataFrame, wanted: int, stored_rows: int, seed: int = 42, key: str = "id") -> DataFrame:
+    """About ``wanted`` rows of a table by its stored row count; all of them if it has no more.
+
+    Each row is drawn by its key and the seed alone, so the same rows come however the table is
+    split; a table without the key is left to Spark's sampler.
+    """
     if wanted >= stored_rows:
         return df
     pct = wanted * 100.0 / stored_rows
     if not 0 < pct <= 100:
         raise FilterError(f"not a percentage: {pct}")
-    return df.sample(fraction=pct / 100, seed=seed)
+    if key not in df.columns:
+        return df.sample(fraction=pct / 100, seed=seed)
+    return df.where(scalar.drawn(F.col(key), seed) < F.lit(int(pct / 100 * 2**32)))
 
 
 def apply(df: DataFrame, filters: dict[str, dict]) -> DataFrame:

@@ -105,7 +105,8 @@ def without_crud(df: DataFrame) -> DataFrame:
 
 
 def created_columns(columns: list[str]) -> list[str]:
-    return [c for c in columns if c == "created" or c.startswith("created")]
+    """Columns of creation times, suffixed or not."""
+    return [c for c in columns if c.startswith("created")]
 
 
 def null_profile(df: DataFrame) -> DataFrame:

@@ -71,13 +71,14 @@ def named_roots(spec: dict[str, dict]) -> list[int]:
 
 def at_time(
     frozen: DataFrame, anno: DataFrame, seg: DataFrame, table: DataFrame, version_time: Column, query_time: Column, spec: dict[str, dict],
-    forward: bool = True, limit: int | None = None,
+    forward: bool = True, limit: int | None = None, select: list[str] | None = None,
 ) -> DataFrame:
     """Rows of a table at any time that satisfy filters as they hold at that time.
 
     Roots named in filters are translated to the version's time, the version is asked, rows edited
     since are taken from the live tables, roots are brought to the query time, and all filters are
-    applied again. The limit comes last.
+    applied again. The limit comes last, and of the columns those asked for: supervoxels that only
+    served to bring roots to the time leave.
     """
     spark = frozen.sparkSession
     roots = spark.createDataFrame([(r,) for r in named_roots(spec)], "root_id long")
@@ -89,4 +90,5 @@ def at_time(
     rows = written(combined(asked, delta, version_time, query_time, forward), "combined")  # read again for each root
     fresh = lineage.refreshed(rows, root_columns(rows.columns), table, query_time)
     out = filters.apply(fresh, spec)
-    return out if limit is None else out.orderBy("id").limit(limit)
+    out = out if limit is None else out.orderBy("id").limit(limit)
+    return out if select is None else out.select(*select)

@@ -36,13 +36,16 @@ class QuerySpec:
 
 @dataclass(frozen=True)
 class QueryResult:
-    """Rows, output names by table and column, units, what the user should know, and the most rows there can be."""
+    """Rows, output names by table and column, units, what the user should know, the most rows there can
+    be, and the columns of creation times that were there before edit columns left.
+    """
 
     df: DataFrame
     columns: dict[str, dict[str, str]]
     resolution: tuple[float, float, float]
     warnings: tuple[str, ...] = ()
     limit: int = ROW_CAP
+    created: tuple[str, ...] = ()
 
 
 def _prefixed(df: DataFrame, table: str) -> DataFrame:
@@ -115,7 +118,8 @@ def run(tables: dict[str, Table], spec: QuerySpec) -> QueryResult:
     df = projections.without_crud(out.select(*cols))
     if spec.arrays:
         df = projections.as_arrays(df)
-    return QueryResult(df, names, want, warnings, limit)
+    created = tuple(projections.created_columns([to for by in names.values() for to in by.values()]))
+    return QueryResult(df, names, want, warnings, limit, created)
 
 
 def warn_if_full(result: QueryResult) -> QueryResult:

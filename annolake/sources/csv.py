@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions import scalar
 from ..operators import aggregates
@@ -16,12 +20,22 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.csv(path, header=True)
 
 
+def by_chunks(df: DataFrame, transform: Callable[[pd.DataFrame], pd.DataFrame], schema: StructType | str) -> DataFrame:
+    """``df`` after a function of pandas frames, which sees a batch of its rows at a time, in the tasks."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        return map(transform, frames)
+
+    return df.mapInPandas(run, schema)
+
+
 def ingest(raw: DataFrame, schema: SchemaSpec, mapping: dict[str, str | list[str]], created: str, ignore: tuple[str, ...] = (), counter: int = 0, order: str | None = None, transform=None) -> DataFrame:
     """Annotations of a schema from text columns.
 
     ``mapping``: our column or point -> theirs; a point is one text column ("[x, y, z]") or three.
     Values that do not parse become null; edit columns are filled; ids continue from ``counter`` in
-    the order of a column, or are the mapped ones. ``transform`` changes the raw frame first.
+    the order of a column, or are the mapped ones. ``transform`` changes the raw frame first, as a
+    whole or, with ``by_chunks``, a batch at a time.
     """
     if transform:
         raw = raw.transform(transform)
