@@ -21,7 +21,7 @@ or no benchmark give no rows.
 from __future__ import annotations
 
 import math
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,7 +35,8 @@ from .common import alnum_words, bounded, small_or_shuffled, table, written
 N = 3
 SPREAD = 4
 LEAST = 0.5
-BLOCK_WORDS = 200_000
+#: Words of a block of items, each of which is two passes over the documents: about 80 MB in a worker.
+BLOCK_WORDS = 1_000_000
 MATCH, MISS, GAP = 2, -1, -1
 
 
@@ -106,14 +107,22 @@ class Items:
 
 
 class Places:
-    """Sorted keys, and for each the items that hold it, with at how many places."""
+    """Sorted keys, and for each the items that hold it, with at how many places.
 
-    def __init__(self, keys: np.ndarray, items: list[list[int]]):
-        counts = [Counter(x) for x in items]
-        self.keys = keys
-        self.first = np.concatenate(([0], np.cumsum([len(c) for c in counts], dtype=np.int64)))
-        self.item = np.array([k for c in counts for k in c], np.int64)
-        self.times = np.array([n for c in counts for n in c.values()], np.int64)
+    ``key`` and ``item`` run side by side, an entry a place; ``keys`` are the sorted keys if there are
+    more than those.
+    """
+
+    def __init__(self, key: np.ndarray, item: np.ndarray, keys: np.ndarray | None = None):
+        order = np.lexsort((item, key))
+        key, item = key[order], item[order]
+        new = np.ones(len(key), bool)
+        new[1:] = (key[1:] != key[:-1]) | (item[1:] != item[:-1])
+        at = new.nonzero()[0]
+        self.item = item[at]
+        self.times = np.diff(np.append(at, len(key)))
+        self.keys = np.unique(key) if keys is None else keys
+        self.first = np.append(np.searchsorted(key[at], self.keys), len(at))
 
     def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Where h holds keys, and which."""
@@ -137,14 +146,11 @@ class Index:
 
     def __init__(self, items: Items, seeds: dict[int, list[tuple[int, int]]]):
         words = items.all()
-        self.words = Places(words, [[k for k, _ in seeds.get(w, ())] for w in words.tolist()])
+        places = [(w, k) for w, at in seeds.items() for k, _ in at]
+        self.words = Places(np.array([w for w, _ in places], np.uint64), np.array([k for _, k in places], np.int64), words)
         self.own = [np.unique(np.searchsorted(words, g)) for g in items.grams]
         self.pairs = [pairs(g) for g in items.grams]
-        at = defaultdict(list)
-        for k, g in enumerate(self.pairs):
-            for x in g.tolist():
-                at[x].append(k)
-        self.pair = Places(np.array(sorted(at), np.uint64), [at[x] for x in sorted(at)])
+        self.pair = Places(np.concatenate([np.empty(0, np.uint64), *self.pairs]), np.repeat(np.arange(len(self.pairs)), [len(g) for g in self.pairs]))
         self.enough = np.array(items.enough)
         seeded = np.array(items.enough) - items.matches + [len(g) for g in items.grams]
         #: The score's bound without seeds and pairs: words that are no seeds count as matched.
@@ -189,8 +195,8 @@ def frequencies(docs: DataFrame, items: Items) -> dict[int, int]:
         hit = count.nonzero()[0]
         yield pa.RecordBatch.from_arrays([pa.array(hit.astype("i8")), pa.array(count[hit])], ["gram", "n"])
 
-    got = docs.select("text").mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n")).collect()
-    return {int(known[g]): n for g, n in got}
+    got = docs.select("text").mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).toArrow()
+    return dict(zip(known[got["gram"].to_numpy()].tolist(), got["n"].to_pylist(), strict=True))
 
 
 def leaks_of(h: np.ndarray, items: Items, index: Index) -> list[tuple]:
