@@ -100,8 +100,9 @@ def narrowed(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.withColumns({c: F.col(c).cast("long" if whole[c] in (True, None) else "double") for c in columns})
 
 
-def without_crud(df: DataFrame) -> DataFrame:
-    return df.drop(*HIDDEN)
+def hidden(names: dict[str, dict[str, str]], asked: dict[str, list[str]]) -> list[str]:
+    """Names that edit columns have in a result, by table and column; a creation time that was asked for stays."""
+    return [to for t, by in names.items() for c, to in by.items() if c in HIDDEN and not (c == "created" and c in asked.get(t, ()))]
 
 
 def created_columns(columns: list[str]) -> list[str]:

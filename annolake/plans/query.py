@@ -37,7 +37,7 @@ class QuerySpec:
 @dataclass(frozen=True)
 class QueryResult:
     """Rows, output names by table and column, units, what the user should know, the most rows there can
-    be, and the columns of creation times that were there before edit columns left.
+    be, and the names of creation times among the tables' columns, whether given or not.
     """
 
     df: DataFrame
@@ -115,7 +115,7 @@ def run(tables: dict[str, Table], spec: QuerySpec) -> QueryResult:
     if spec.offset:
         out = out.offset(spec.offset)
     out = out.limit(limit)
-    df = projections.without_crud(out.select(*cols))
+    df = out.select(*cols).drop(*projections.hidden(names, spec.select or {}))
     if spec.arrays:
         df = projections.as_arrays(df)
     created = tuple(projections.created_columns([to for by in names.values() for to in by.values()]))
