@@ -35,7 +35,7 @@ from .common import alnum_words, bounded, small_or_shuffled, table, written
 N = 3
 SPREAD = 4
 LEAST = 0.5
-#: Words of a block of items, each of which is two passes over the documents: about 80 MB in a worker.
+#: Words of a block of items, each of which is two passes over the documents; its index is sent as about 47 MB.
 BLOCK_WORDS = 1_000_000
 MATCH, MISS, GAP = 2, -1, -1
 
