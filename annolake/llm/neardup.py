@@ -17,7 +17,9 @@ smaller number of frequent shingles and the common rare ones, of which a bitmap
 tells the most there can be. So large groups cost a row a member and no link is lost.
 
 What is known of a bucket is aggregated before it is shuffled and joined back to its rows, so a
-bucket with very many nodes is no single task: adaptive execution splits such a key's rows.
+bucket with very many nodes is no single task: adaptive execution splits such a key's rows. Rows find
+the node of their set, and nodes the root of their component, without a hot key in a shuffle: the
+fewer than 1 / ``HOT`` sets or components that hold more than that share of them are broadcast.
 
 Defined cases: null and blank texts have no set and link with nothing; a text with fewer words than
 a shingle is one shingle of the whole; rows that share a doc_id are one document, which links with
@@ -47,6 +49,8 @@ _BLOCK = 4096
 RARE = 64
 #: 64-bit words of a node's bitmap of rare shingles.
 WORDS = 4
+#: A key with more than this share of a table's rows is hot; there are fewer such keys than 1 / HOT.
+HOT = 0.001
 
 
 def shingle_set(text: str | None, width: int) -> np.ndarray:
@@ -198,6 +202,15 @@ def confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> D
     return both.select("a", "b", "s", "t").mapInArrow(run, cols)
 
 
+def looked_up(rows: DataFrame, keyed: DataFrame, on: list[str]) -> DataFrame:
+    """``rows`` joined with ``keyed``, a row a key, whose ``hot`` tells the keys of more than ``HOT`` of all rows.
+
+    Those, fewer than 1 / ``HOT``, are broadcast, and their rows stay where they are; the others are shuffled.
+    """
+    hot, rest = F.broadcast(keyed.where("hot").drop("hot")), keyed.where("NOT hot").drop("hot")
+    return rows.join(hot, on).unionByName(rows.join(hot.select(*on), on, "left_anti").join(rest, on))
+
+
 def near_copies(docs: DataFrame, width: int = 5, percent: int = 80, tables: tuple[int, int] = TABLES, sizes: tuple[int, int] = TUPLE) -> DataFrame:
     """A row a document: doc_id, n_shingles, component_id (smallest doc_id reachable), kept.
 
@@ -207,20 +220,24 @@ def near_copies(docs: DataFrame, width: int = 5, percent: int = 80, tables: tupl
     has_set = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
     sets = sig.where(has_set)
     same_set = ["n_shingles", "f1", "f2"]
-    groups = sets.groupBy(*same_set).agg(F.min(F.struct("doc_id", "h", "left", "right")).alias("m"))
+    hot = F.count(F.lit(1)) > HOT * sets.count()
+    groups = sets.groupBy(*same_set).agg(F.min(F.struct("doc_id", "h", "left", "right")).alias("m"), hot.alias("hot"))
     nodes = written(
-        groups.select(F.monotonically_increasing_id().alias("id"), *same_set, F.col("m.doc_id").alias("doc"), "m.h", "m.left", "m.right"), "minhash-nodes"
+        groups.select(F.monotonically_increasing_id().alias("id"), *same_set, "hot", F.col("m.doc_id").alias("doc"), "m.h", "m.left", "m.right"), "minhash-nodes"
     )
     links = node_links(docs, nodes.withColumnRenamed("n_shingles", "n"), width, percent, tables)
     # rows that share a doc_id are one document: their nodes are linked
-    of_row = written(sets.select("doc_id", *same_set).join(nodes.select("id", *same_set), same_set).select("doc_id", "n_shingles", "id"), "minhash-rows")
+    of_row = looked_up(sets.select("doc_id", *same_set), nodes.select("id", *same_set, "hot"), same_set)
+    of_row = written(of_row.select("doc_id", "n_shingles", "id"), "minhash-rows")
     shared = of_row.groupBy("doc_id").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a < z")
     both = of_row.join(shared, "doc_id").where("id <> a").select("a", F.col("id").alias("b"))
     labels = components(written(links.union(both), "minhash-links"))
-    roots = labels.join(nodes.select("id", "doc"), "id").groupBy("component").agg(F.min("doc").alias("root"))
-    root_of = labels.join(small_or_shuffled(written(roots, "minhash-roots")), "component").select("id", "root")
-    found = nodes.select("id", "doc").join(root_of, "id", "left").select("id", F.coalesce("root", "doc").alias("component_id"))
-    known = written(of_row.join(found, "id").select("doc_id", "n_shingles", "component_id"), "minhash-known")
+    hot = F.count(F.lit(1)) > HOT * labels.count()
+    roots = labels.join(nodes.select("id", "doc"), "id").groupBy("component").agg(F.min("doc").alias("root"), hot.alias("hot"))
+    root_of = looked_up(labels, written(roots, "minhash-roots"), ["component"]).select("id", "root")
+    found = nodes.select("id", "doc", "hot").join(root_of, "id", "left").select("id", F.coalesce("root", "doc").alias("component_id"), "hot")
+    known = looked_up(of_row, written(found, "minhash-found"), ["id"]).select("doc_id", "n_shingles", "component_id")
+    known = written(known, "minhash-known")
     # rows without a set: of a document that has other rows, or by themselves
     of_doc = known.groupBy("doc_id").agg(F.min("component_id").alias("c"))
     rest = sig.where(~has_set | F.col("doc_id").isNull()).select("doc_id", "n_shingles").join(of_doc, "doc_id", "left")
