@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, licences, lines, media, neardup, pieces, pii, sharding, tokenfiles, toxicity
+from . import decontaminate, licences, lines, media, neardup, pieces, pii, sharding, simhash, tokenfiles, toxicity
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         lines.op8_line_spread,
         licences.op9_fuzzy_licences,
         tokenfiles.op10_token_files,
+        simhash.op11_deletion_variants,
     )
     return {f.__name__: f for f in found}
 
