@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, licences, lines, media, neardup, pieces, pii, sharding, simhash, tokenfiles, toxicity
+from . import centroids, decontaminate, licences, lines, media, neardup, pieces, pii, sharding, simhash, tokenfiles, toxicity, trie
 
 
 def queries() -> dict:
@@ -18,9 +18,11 @@ def queries() -> dict:
         licences.op9_fuzzy_licences,
         tokenfiles.op10_token_files,
         simhash.op11_deletion_variants,
+        centroids.op12_rotated_centroids,
+        trie.op13_prefix_rollup,
     )
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_line_spread": lines.OP8_SQL}
+    return {"op8_line_spread": lines.OP8_SQL, "op12_rotated_centroids": centroids.OP12_SQL, "op13_prefix_rollup": trie.OP13_SQL}
