@@ -27,7 +27,8 @@ SQL = {
     "seg": """
  SELECT o.o_orderkey AS id, 1000 + o.o_custkey AS pre_pt_supervoxel_id,
   CASE WHEN o.o_orderkey % 89 = 0 THEN NULL WHEN o.o_orderkey % 83 = 0 THEN 0 ELSE a.root_id END AS pre_pt_root_id,
-  1000 + (o.o_orderkey*13) % 150 AS post_pt_supervoxel_id, b.root_id AS post_pt_root_id
+  1000 + (o.o_orderkey*13) % 150 AS post_pt_supervoxel_id,
+  CASE WHEN o.o_orderkey % 267 = 0 THEN NULL WHEN o.o_orderkey % 445 = 0 OR o.o_orderkey % 249 = 0 THEN 0 WHEN o.o_orderkey % 415 = 0 THEN NULL ELSE b.root_id END AS post_pt_root_id
  FROM {orders} o
  LEFT JOIN {lineage} a ON a.supervoxel_id = 1000 + o.o_custkey AND a.valid_from <= TIMESTAMP '1998-01-01 00:00:00' AND TIMESTAMP '1998-01-01 00:00:00' < a.valid_to
  LEFT JOIN {lineage} b ON b.supervoxel_id = 1000 + (o.o_orderkey*13) % 150 AND b.valid_from <= TIMESTAMP '1998-01-01 00:00:00' AND TIMESTAMP '1998-01-01 00:00:00' < b.valid_to

@@ -2,17 +2,14 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..operators import filters, projections
 from ..schema import Table
 
-#: Most rows a query gives unless its caller sets another cap.
-ROW_CAP = 200_000
-
 
 @dataclass(frozen=True)
 class QuerySpec:
@@ -29,7 +26,7 @@ class QuerySpec:
     sample: dict[str, int] = field(default_factory=dict)
     offset: int = 0
     limit: int | None = None
-    cap: int = ROW_CAP
+    cap: int | None = None
     count: bool = False
     order: str | None = "id"
 
@@ -37,15 +34,23 @@ class QuerySpec:
 @dataclass(frozen=True)
 class QueryResult:
     """Rows, output names by table and column, units, what the user should know, the most rows there can
-    be, and the names of creation times among the tables' columns, whether given or not.
+    be (None: no bound), the names of creation times among the tables' columns, whether given or not,
+    and where rows are bounded, what counts them as the query runs.
     """
 
     df: DataFrame
     columns: dict[str, dict[str, str]]
     resolution: tuple[float, float, float]
     warnings: tuple[str, ...] = ()
-    limit: int = ROW_CAP
+    limit: int | None = None
     created: tuple[str, ...] = ()
+    seen: Observation | None = None
+
+    def told(self) -> tuple[str, ...]:
+        """The warnings once the rows were read: also whether there were as many as there may be."""
+        if self.seen is None or self.seen.get["n"] < self.limit:
+            return self.warnings
+        return (*self.warnings, f"limited to {self.limit} rows")
 
 
 def _prefixed(df: DataFrame, table: str) -> DataFrame:
@@ -55,10 +60,11 @@ def _prefixed(df: DataFrame, table: str) -> DataFrame:
 def run(tables: dict[str, Table], spec: QuerySpec) -> QueryResult:
     """Plan a query. Filters and samples stand below the joins, the limit above everything.
 
-    No query gives more rows than its cap. Limited rows are those that come first by id (where a table
-    has none, by all its columns), so the same query gives the same rows; only a query that names no
-    order, as on an aggregating view, may give any. A limit above the cap is told in the warnings;
-    whether rows were left out is known once they are counted (``warn_if_full``).
+    A query gives all its rows, in no order, unless it asks for a limit, an offset or a cap. Then they
+    are those that come first by id (where a table has none, by all its columns), so the same query
+    gives the same rows; only one that names no order, as on an aggregating view, may give any. A
+    limit above the cap is told in the warnings, and after the rows were read, whether there were as many
+    as there may be (``QueryResult.told``).
     """
     first = spec.joins[0][0] if spec.joins else next(iter(tables))
     rows: dict[str, DataFrame] = {}
@@ -104,29 +110,26 @@ def run(tables: dict[str, Table], spec: QuerySpec) -> QueryResult:
             cols.append(x.alias(to))
     if spec.count:
         return QueryResult(out.agg(F.count(F.lit(1)).alias("count")), names, want)
-    limit = spec.cap if spec.limit is None else min(spec.cap, spec.limit)
-    over = spec.limit is not None and spec.limit > spec.cap
+    over = spec.limit is not None and spec.cap is not None and spec.limit > spec.cap
     warnings = (f"limit {spec.limit} is above the cap of {spec.cap} rows",) if over else ()
-    key = f"{first}.{spec.order}"
-    if spec.order and key in out.columns:
-        out = out.orderBy(F.col(f"`{key}`"))
-    elif spec.order or spec.offset:
-        out = out.orderBy(*[F.col(f"`{first}.{c}`") for c in rows[first].columns])
+    limit = min((n for n in (spec.limit, spec.cap) if n is not None), default=None)
+    if limit is not None or spec.offset:
+        key = f"{first}.{spec.order}"
+        if spec.order and key in out.columns:
+            out = out.orderBy(F.col(f"`{key}`"))
+        elif spec.order or spec.offset:
+            out = out.orderBy(*[F.col(f"`{first}.{c}`") for c in rows[first].columns])
     if spec.offset:
         out = out.offset(spec.offset)
-    out = out.limit(limit)
+    seen = None
+    if limit is not None:
+        seen = Observation()
+        out = out.limit(limit).observe(seen, F.count(F.lit(1)).alias("n"))
     df = out.select(*cols).drop(*projections.hidden(names, spec.select or {}))
     if spec.arrays:
         df = projections.as_arrays(df)
     created = tuple(projections.created_columns([to for by in names.values() for to in by.values()]))
-    return QueryResult(df, names, want, warnings, limit, created)
-
-
-def warn_if_full(result: QueryResult) -> QueryResult:
-    """Count a result's rows, and say so when it has as many as it may have."""
-    if result.df.count() < result.limit:
-        return result
-    return replace(result, warnings=(*result.warnings, f"limited to {result.limit} rows"))
+    return QueryResult(df, names, want, warnings, limit, created, seen)
 
 
 class Views:
