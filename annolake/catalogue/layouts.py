@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalar
-from ..operators import aggregates, layout
+from ..operators import aggregates, layout, manifest
 from ..store import children, current, shared_dir, written
 from .base import Tables, query, ts
 
@@ -90,6 +90,22 @@ def percentile_bounds(t: Tables) -> DataFrame:
     return t.spark.createDataFrame([(i + 1, a, b) for i, (a, b) in enumerate(zip(*cuts.values(), strict=True))], "i int, id_cut long, x_cut long")
 
 
+_SHARE = "SELECT '{c}' AS column_name, {k} AS i, round((SELECT count(*) FROM anno WHERE {c} <= q.cut) / (SELECT count(*) FROM anno), 2) AS share FROM (SELECT quantile_disc({c}, {k} / 5) AS cut FROM anno) q"
+
+
+@query(" UNION ALL ".join(_SHARE.format(c=c, k=k) for c in ("id", "pre_pt_position_x", "size") for k in (1, 2, 3, 4)), "anno")
+def sketched_bounds(t: Tables) -> DataFrame:
+    """Cut points of three columns from sketches of two parts of a table, put together: the share of rows up to
+    each, which is within the sketches' error of the fifths asked for (A7, L3).
+    """
+    columns = ["id", f"{POINT}_x", "size"]
+    parts = [aggregates.sketched(t.anno.where(x), columns) for x in ("valid", "NOT valid")]
+    cuts = aggregates.sketched_cuts(aggregates.merged_sketches(parts[0].unionAll(parts[1])), 5).collect()  # a row a cut point
+    upto = [(F.count_if(F.col(r["column_name"]) <= r["cut"]) / F.count(r["column_name"])) for r in cuts]
+    each = [F.struct(F.lit(r["column_name"]).alias("column_name"), F.lit(r["i"]).alias("i"), F.round(x, 2).alias("share")) for r, x in zip(cuts, upto, strict=True)]
+    return t.anno.agg(F.array(*each).alias("r")).select(F.explode("r").alias("r")).select("r.*")
+
+
 @query(" UNION ALL ".join(f"SELECT {k} AS i, CAST(quantile_disc(o_totalprice, {k / 8}) AS DOUBLE) AS cut FROM orders" for k in range(1, 8)))
 def lake_quantiles(t: Tables) -> DataFrame:
     """Nearest-rank quantiles of a column of an existing lake."""
@@ -122,19 +138,16 @@ def range_bucket(t: Tables) -> DataFrame:
     return layout.bucketed(t.anno.select("id"), layout.Layout("id", "id", "range", 4), [3750, 7500, 11250])
 
 
-@query("SELECT id, CAST(least(100, (id + 99) // 100 - 1) AS INT) AS b FROM anno WHERE id > 0", "anno")
+@query("SELECT id, CAST(greatest(0, least(100, (id + 99) // 100 - 1)) AS INT) AS b FROM anno", "anno")
 def range_bucket_many(t: Tables) -> DataFrame:
     """The same with a hundred cut points."""
-    return t.anno.where("id > 0").select("id", scalar.range_bucket(F.col("id"), [100 * i for i in range(1, 101)]).cast("int").alias("b"))
+    return t.anno.select("id", scalar.range_bucket(F.col("id"), [100 * i for i in range(1, 101)]).cast("int").alias("b"))
 
 
-@query("SELECT id, 0 AS one, true AS inside, true AS same FROM anno", "anno")
+@query("SELECT id, CAST(CAST('0x' || substr(md5(CAST(id AS VARCHAR)), 1, 8) AS BIGINT) % 8 AS INT) AS bucket, 0 AS one FROM anno", "anno")
 def hash_bucket(t: Tables) -> DataFrame:
-    """Hash buckets (L2): each row in one of eight, in the same one whenever it is asked, and in 0 of one."""
-    b, one = scalar.hash_bucket(F.col("id"), 8), scalar.hash_bucket(F.col("id"), 1)
-    again = t.anno.select(F.col("id").alias("k"), b.alias("b"))
-    rows = t.anno.select("id", one.alias("one"), b.alias("a")).join(again, F.col("id") == F.col("k"))
-    return rows.select("id", "one", F.col("a").between(0, 7).alias("inside"), (F.col("a") == F.col("b")).alias("same"))
+    """Hash buckets (L2): each row in one of eight, and in 0 of one."""
+    return t.anno.select("id", scalar.hash_bucket(F.col("id"), 8).alias("bucket"), scalar.hash_bucket(F.col("id"), 1).alias("one"))
 
 
 @query("SELECT id AS start, lead(id) OVER (ORDER BY id) AS \"end\" FROM (SELECT id, row_number() OVER (ORDER BY id) AS rn FROM anno) WHERE rn % 1000 = 1", "anno")
@@ -240,6 +253,24 @@ def lake_read(t: Tables) -> DataFrame:
     return layout.read(t.spark, f"{root}/id", spec, list(spec.bounds), 4000, 9000).select("id")
 
 
+@query("SELECT id, post_pt_position_z FROM anno WHERE pre_pt_position_x >= 20000 AND pre_pt_position_x < 61000 AND pre_pt_position_y >= 3000 AND pre_pt_position_y < 52001 AND pre_pt_position_z >= 500 AND pre_pt_position_z < 3100", "anno")
+def clustered_box_read(t: Tables) -> DataFrame:
+    """A box from a table along the Morton curve: files by the box's ranges of codes."""
+    root = shared_dir(t.spark, "lake")
+    layout.export(t.anno.drop("created", "deleted"), [layout.Layout("m", POINT, "morton", 8, files=64)], root)
+    return manifest.read_box(t.spark, f"{root}/m", POINT, (20_000, 3_000, 500), (61_000, 52_001, 3_100)).select("id", "post_pt_position_z")
+
+
+@query("SELECT id, pre_pt_root_id FROM seg WHERE pre_pt_root_id IN (SELECT root_id FROM lineage WHERE valid_to > TIMESTAMP '9000-01-01 00:00:00')", "seg", "lineage")
+def filtered_root_read(t: Tables) -> DataFrame:
+    """Rows of the objects in force now, from the files whose filters may hold one."""
+    root = shared_dir(t.spark, "lake")
+    spec = layout.Layout("sv", "pre_pt_supervoxel_id", "range", 4, files=32, filters=("pre_pt_root_id",))
+    layout.export(t.seg, [spec], root)
+    roots = t.lineage.where(F.col("valid_to") > ts("9000-01-01 00:00:00")).select(F.col("root_id").alias("value"))
+    return manifest.read_values(t.spark, f"{root}/sv", "pre_pt_root_id", roots).select("id", "pre_pt_root_id")
+
+
 @query("SELECT 'partial' AS before, 'complete' AS after, count(*) AS n FROM anno", "anno")
 def output_guard(t: Tables) -> DataFrame:
     """An output that is there, in part and as a whole."""

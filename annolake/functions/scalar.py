@@ -90,18 +90,25 @@ def parse_point(text: Column) -> Column:
 def range_bucket(c: Column, cuts: list) -> Column:
     """Bucket by cut points: right-closed, so a value equal to a cut lies below it; null stays null.
 
-    Without cuts every row, null ones too, is in bucket 0. Few cuts are a sum of comparisons; many
-    are an array of which the smaller ones are counted.
+    Without cuts every row, null ones too, is in bucket 0. Few cuts are a sum of comparisons; in many
+    the bucket is searched by halves, so a row costs the logarithm of their number.
     """
     if not cuts:
         return F.lit(0)
-    if len(cuts) <= 64:
+    n = len(cuts)
+    if n <= 64:
         return sum(((c > F.lit(x)).cast("int") for x in cuts[1:]), (c > F.lit(cuts[0])).cast("int"))
-    return F.when(c.isNotNull(), F.size(F.filter(F.array(*map(F.lit, cuts)), lambda x: x < c)))
+    table = F.array(*map(F.lit, cuts))
+    steps = F.array(*[F.lit(1 << k) for k in range(n.bit_length() - 1, -1, -1)])
+    found = F.aggregate(steps, F.lit(0), lambda at, step: F.when((at + step <= n) & (F.get(table, at + step - 1) < c), at + step).otherwise(at))
+    return F.when(c.isNotNull(), found)
 
 
 def hash_bucket(c: Column, n: int) -> Column:
-    return F.lit(0) if n <= 1 else F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    """Bucket by a digest of the value's text, which other engines have, too; null values are in bucket 0."""
+    if n <= 1:
+        return F.lit(0)
+    return F.coalesce(F.conv(F.substring(F.md5(c.cast("string")), 1, 8), 16, 10).cast("long") % n, F.lit(0)).cast("int")
 
 
 def rounded(c: Column) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from functools import reduce
 
 import numpy as np
@@ -83,40 +84,194 @@ def grid_cells(df: DataFrame, size: int) -> DataFrame:
     return e.select(number.alias("cell"), "ix", "iy", "iz", *lows, *highs)
 
 
+#: Size of a quantile sketch, and the largest error of a rank that it gives, as a share of all rows, in 99 of 100 cases.
+SKETCH_K = 2048
+RANK_ERROR = 0.0024
+#: Ranks at which a sketch is asked: so many even shares.
+GRID = 512
+#: Distinct values of a column that one task may rank.
+RANKED_VALUES = 1 << 20
+
+_KEYS = {"tinyint": "bigint", "smallint": "bigint", "int": "bigint", "bigint": "bigint", "float": "double", "double": "double"}
+
+
+def _key(c: Column, kind: str) -> Column:
+    """The number that stands for a value in sketches and blocks: never falls where the value rises."""
+    return F.unix_date(c).cast("bigint") if kind == "date" else c.cast(_KEYS.get(kind, "double"))
+
+
+def _sketch(key: Column, kind: str) -> Column:
+    return (F.kll_sketch_agg_bigint if kind == "bigint" else F.kll_sketch_agg_double)(key, SKETCH_K)
+
+
+def _asked(sketch: str, kind: str, shares: list[float]) -> Column:
+    quantile = F.kll_sketch_get_quantile_bigint if kind == "bigint" else F.kll_sketch_get_quantile_double
+    return quantile(sketch, F.array(*map(F.lit, shares)))
+
+
+def sketched(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(column_name, key, n, sketch) of each column, in one aggregation: mergeable sketches of its values, which
+    are few kilobytes however many rows there are. Nulls and NaN do not count. ``merged_sketches`` adds
+    those of several tables or of parts of one.
+    """
+    kinds = dict(df.dtypes)
+    fine = {c: F.nanvl(F.col(c), F.lit(None)) if kinds[c] in ("float", "double") else F.col(c) for c in columns}
+    keys = {c: _key(fine[c], kinds[c]) for c in columns}
+    of = {c: "bigint" if kinds[c] == "date" else _KEYS.get(kinds[c], "double") for c in columns}
+    one = df.agg(*[x for i, c in enumerate(columns) for x in (F.count(keys[c]).alias(f"n{i}"), _sketch(keys[c], of[c]).alias(f"s{i}"))])
+    rows = ", ".join(f"'{c}', '{of[c]}', n{i}, s{i}" for i, c in enumerate(columns))
+    return one.selectExpr(f"stack({len(columns)}, {rows}) AS (column_name, key, n, sketch)")
+
+
+def merged_sketches(sketches: DataFrame) -> DataFrame:
+    """Sketches of the same columns put together."""
+    parts = []
+    for key, merge in (("bigint", F.kll_merge_agg_bigint), ("double", F.kll_merge_agg_double)):
+        mine = sketches.where((F.col("key") == key) & (F.col("n") > 0))
+        parts.append(mine.groupBy("column_name", "key").agg(F.sum("n").alias("n"), merge("sketch").alias("sketch")))
+    return parts[0].unionAll(parts[1])
+
+
+def sketched_cuts(sketches: DataFrame, n: int) -> DataFrame:
+    """(column_name, i, cut): n - 1 cut points of each column, each within ``RANK_ERROR`` of its rank."""
+    shares = [i / n for i in range(1, n)]
+    out = None
+    for key in ("bigint", "double"):
+        mine = sketches.where((F.col("key") == key) & (F.col("n") > 0))
+        cuts = mine.select("column_name", F.posexplode(_asked("sketch", key, shares)).alias("i", "cut")).select("column_name", (F.col("i") + 1).alias("i"), F.col("cut").cast("double").alias("cut"))
+        out = cuts if out is None else out.unionAll(cuts)
+    return out
+
+
 def discrete_cuts(df: DataFrame, columns: list[str], n: int) -> dict[str, list]:
     """n - 1 cut points of each column by share of rows, in its own type: the rows of ranks ceil(rows * i / n).
 
-    Values are counted first, then blocks of the column's range; only the blocks that hold a cut are
-    ranked, so no task sees all values of a column. Nulls do not count; NaN comes last.
+    Nulls do not count; NaN comes last.
     """
-    if n <= 1:
-        return {c: [] for c in columns}
-    return {c: _cuts(df.select(F.col(c).alias("v")).where("v IS NOT NULL"), n) for c in columns}
-
-
-def _cuts(values: DataFrame, n: int) -> list:
-    kind = values.dtypes[0][1]
-    counted = values.groupBy("v").agg(F.count(F.lit(1)).alias("n"))
-    parts = max(8, int(values.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    ends = [x for x in sorted(set(values.approxQuantile("v", [i / parts for i in range(1, parts)], 0.01))) if x == x]
-    block = sum(((F.col("v") > F.lit(x)).cast("int") for x in ends), F.lit(0))
-    placed = counted.withColumn("block", block)
-    sizes = {r[0]: r[1] for r in placed.groupBy("block").agg(F.sum("n")).collect()}
-    total, base, bases = sum(sizes.values()), 0, {}
-    for b in sorted(sizes):
-        bases[b] = base
-        base += sizes[b]
-    ranks = [-(-total * i // n) for i in range(1, n)] if total else []
-    if not ranks:
-        return []
-    held = sorted({b for r in ranks for b in sizes if bases[b] < r <= bases[b] + sizes[b]})
-    upto = Window.partitionBy("block").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    start = F.create_map(*[F.lit(x) for b in held for x in (b, bases[b])])
-    ranked_values = placed.where(F.col("block").isin(held)).withColumn("upto", F.sum("n").over(upto) + start[F.col("block")])
-    hit = reduce(lambda a, b: a | b, [(F.col("upto") >= r) & (F.col("upto") - F.col("n") < r) for r in sorted(set(ranks))])
-    rows = ranked_values.where(hit).select("v", "upto", "n").collect()
-    found = {r: v for v, upto_, k in rows for r in ranks if upto_ - k < r <= upto_}
-    return [int(found[r]) if kind in ("int", "bigint", "smallint", "tinyint") else found[r] for r in ranks]
+    found = many_cuts(df, {c: [n] for c in columns})
+    return {c: found[c, n] for c in columns}
+
+
+def many_cuts(df: DataFrame, wanted: dict[str, list[int]]) -> dict[tuple[str, int], list]:
+    """The same for several columns and numbers of parts at once: (column, n) to its cut points.
+
+    One aggregation sketches all columns. A second pass ranks, for each cut, only the values that the
+    sketch leaves in doubt, and counts the others in bulk; where those are more than a task should rank,
+    they are sketched anew and narrowed first. Cut points are exact: what a sketch got wrong is noticed,
+    as no rank is found then, and narrowed again.
+    """
+    kinds = dict(df.dtypes)
+    out = {(c, n): [] for c, ns in wanted.items() for n in ns}
+    groups: dict[str, list[str]] = {}
+    for c, ns in wanted.items():
+        if any(n > 1 for n in ns):
+            kind = kinds[c]
+            groups.setdefault("bigint" if _KEYS.get(kind) == "bigint" else "double" if _KEYS.get(kind) == "double" else kind, []).append(c)
+    for kind, columns in groups.items():
+        out |= _group_cuts(df.select(*[F.col(c).cast(kind) for c in columns]), kind, {c: wanted[c] for c in columns})
+    return out
+
+
+def _group_cuts(df: DataFrame, kind: str, wanted: dict[str, list[int]]) -> dict[tuple[str, int], list]:
+    columns = list(wanted)
+    bounds: dict[str, list] = {c: [] for c in columns}
+    stats = _block_stats(df, kind, bounds)
+    nans = {c: stats[c].pop(-1, (0, []))[0] for c in columns}
+    total = {c: sum(n for n, _ in stats[c].values()) + nans[c] for c in columns}
+    ranks = {c: sorted({-(-total[c] * i // n) for n in wanted[c] for i in range(1, n)} if total[c] else ()) for c in columns}
+    fine = {c: [r for r in ranks[c] if r <= total[c] - nans[c]] for c in columns}
+    found: dict[str, dict] = {c: {r: float("nan") for r in ranks[c] if r not in set(fine[c])} for c in columns}
+    while any(len(found[c]) < len(ranks[c]) for c in columns):
+        open_ = {c: [r for r in fine[c] if r not in found[c]] for c in columns}
+        before = bounds
+        bounds, held, inside = _narrowed(kind, bounds, stats, open_)
+        if inside <= RANKED_VALUES or bounds == before:
+            for c, r, v in _ranked_values(df, kind, bounds, held, open_):
+                found[columns[c]][r] = v
+            if all(len(found[c]) == len(ranks[c]) for c in columns):
+                break
+        stats = _block_stats(df, kind, bounds)
+        for c in columns:
+            stats[c].pop(-1, None)
+    return {(c, n): [found[c][-(-total[c] * i // n)] for i in range(1, n)] if total[c] else [] for c in columns for n in wanted[c]}
+
+
+def _placed(df: DataFrame, kind: str, bounds: dict[str, list]) -> DataFrame:
+    """(c, block, key, v): a row a column and value; block -1 holds NaN."""
+    each = []
+    for i, (c, ends) in enumerate(bounds.items()):
+        key = _key(F.col(c), kind)
+        block = scalar.range_bucket(key, ends)
+        block = F.when(F.isnan(F.col(c)), -1).otherwise(block) if kind == "double" else block
+        each.append(F.struct(F.lit(i).alias("c"), block.alias("block"), key.alias("key"), F.col(c).alias("v")))
+    return df.select(F.explode(F.array(*each)).alias("r")).select("r.*").where("v IS NOT NULL")
+
+
+def _block_stats(df: DataFrame, kind: str, bounds: dict[str, list]) -> dict[str, dict[int, tuple[int, list]]]:
+    """For each column and block: rows, and values at even shares of them."""
+    of = "bigint" if kind in ("bigint", "date") else "double"
+    shares = [i / GRID for i in range(GRID + 1)]
+    columns = list(bounds)
+    out: dict[str, dict[int, tuple[int, list]]] = {c: {} for c in columns}
+    if not any(bounds.values()):
+        aggs = []
+        for i, c in enumerate(columns):
+            v = F.nanvl(F.col(c), F.lit(None)) if kind == "double" else F.col(c)
+            nan = F.count_if(F.isnan(F.col(c))) if kind == "double" else F.count_if(F.lit(False))
+            aggs += [F.count(v).alias(f"n{i}"), nan.alias(f"x{i}"), _sketch(_key(v, kind), of).alias(f"s{i}")]
+        row = df.agg(*aggs).select("*", *[F.when(F.col(f"n{i}") > 0, _asked(f"s{i}", of, shares)).alias(f"q{i}") for i in range(len(columns))]).drop(*[f"s{i}" for i in range(len(columns))]).first()
+        for i, c in enumerate(columns):
+            out[c] = {0: (row[f"n{i}"], row[f"q{i}"]), -1: (row[f"x{i}"], [])}
+        return out
+    rows = _placed(df, kind, bounds).where("block >= 0").groupBy("c", "block").agg(F.count(F.lit(1)).alias("n"), _sketch(F.col("key"), of).alias("s"))
+    for r in rows.select("c", "block", "n", _asked("s", of, shares).alias("q")).collect():  # a few rows a cut point
+        out[columns[r["c"]]][r["block"]] = (r["n"], r["q"])
+    return out
+
+
+def _narrowed(kind: str, bounds: dict[str, list], stats: dict, ranks: dict[str, list[int]]) -> tuple[dict, dict, int]:
+    """New blocks for each column, those of them in which the ranks are looked for, and about how many values those hold.
+
+    A block lies above its lower end and up to its upper one. The two ends that a sketch gives for a rank
+    are blocks of their own, so however often a value occurs, what lies between them is less than before.
+    """
+    new, held, inside = {}, {}, 0
+    slack = RANK_ERROR + 1 / GRID
+    whole = kind in ("bigint", "date")
+    for c in bounds:
+        base, at, spans = 0, [], set()
+        for b in sorted(stats[c]):
+            at.append((base, b))
+            base += stats[c][b][0]
+        for r in ranks[c]:
+            start, b = next(x for x in reversed(at) if x[0] < r)
+            n, grid = stats[c][b]
+            if n * len(ranks) <= RANKED_VALUES // 16:
+                lo, hi, k = grid[0], grid[-1], n
+            else:
+                share = (r - start) / n
+                lo, hi = grid[max(0, int((share - slack) * GRID))], grid[min(GRID, int((share + slack) * GRID) + 1)]
+                k = int(n * 2 * (slack + 1 / GRID)) + 1
+            spans.add((lo, hi, 1 if lo == hi else k))
+        inside += sum(k for *_, k in spans)
+        below = [v - 1 if whole else float(np.nextafter(v, -np.inf)) for lo, hi, _ in spans for v in (lo, hi)]
+        ends = sorted({x for x in (*below, *[v for lo, hi, _ in spans for v in (lo, hi)]) if not whole or x >= -(1 << 63)})
+        new[c] = ends
+        held[c] = {k for lo, hi, _ in spans for k in range(bisect_left(ends, lo), bisect_left(ends, hi) + 1)}
+    return new, held, inside
+
+
+def _ranked_values(df: DataFrame, kind: str, bounds: dict, held: dict, ranks: dict[str, list[int]]) -> list[tuple]:
+    """(place of column, rank, value) of the ranks that lie in held blocks; values of other blocks are only counted."""
+    inside = F.lit(False)
+    for i, c in enumerate(bounds):
+        inside = inside | ((F.col("c") == i) & F.col("block").isin(sorted(held[c])))
+    rows = _placed(df, kind, bounds).where("block >= 0").withColumn("v", F.when(inside, F.col("v")))
+    counted = rows.groupBy("c", "block", "v").agg(F.count(F.lit(1)).alias("n"))
+    upto = counted.withColumn("upto", F.sum("n").over(Window.partitionBy("c").orderBy("block", "v").rowsBetween(Window.unboundedPreceding, 0)))
+    asked = df.sparkSession.createDataFrame([(i, r) for i, c in enumerate(ranks) for r in ranks[c]] or [(-1, 0)], "c int, r long")
+    hit = upto.where("v IS NOT NULL").join(F.broadcast(asked), "c").where((F.col("r") <= F.col("upto")) & (F.col("r") > F.col("upto") - F.col("n")))  # a row a cut point
+    return [tuple(r) for r in hit.select("c", "r", "v").collect()]
 
 
 def uniform_cuts(df: DataFrame, column: str, n: int) -> list[float]:
@@ -186,20 +341,8 @@ def in_order(df: DataFrame, columns: list[str], out: str = "rank") -> DataFrame:
 
 
 def ranked(df: DataFrame, column: str, out: str = "rank") -> DataFrame:
-    """Rows with their place, from 1, in the order of a numeric column (ties by all other columns).
-
-    Two levels - blocks of the column's range, then rows inside one - so no task sees all rows; the
-    blocks' cut points are fixed first, so every use of them agrees.
-    """
-    parts = max(8, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    cuts = sorted(set(df.approxQuantile(column, [i / parts for i in range(1, parts)], 0.01)))
-    block = sum(((F.col(column) > F.lit(x)).cast("int") for x in cuts), F.lit(0))
-    b = df.withColumn("_block", F.coalesce(block, F.lit(-1)))
-    upto = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)  # a row a block
-    base = b.groupBy("_block").agg(F.count(F.lit(1)).alias("_n")).select("_block", F.coalesce(F.sum("_n").over(upto), F.lit(0)).alias("_base"))
-    inside = Window.partitionBy("_block").orderBy(column, *[c for c in df.columns if c != column])
-    placed = b.join(F.broadcast(base), "_block").withColumn(out, F.row_number().over(inside) + F.col("_base"))
-    return placed.drop("_block", "_base")
+    """Rows with their place, from 1, in the order of a column (ties by all other columns)."""
+    return in_order(df, [column], out)
 
 
 def id_chunks(df: DataFrame, n: int, column: str = "id") -> DataFrame:

@@ -10,11 +10,14 @@ from pyspark.sql import functions as F
 from ..functions import scalar
 from ..schema import main_point, root_columns
 from ..store import current, exists, replace, written
-from . import aggregates
+from . import aggregates, manifest
+
 
 @dataclass(frozen=True)
 class Layout:
-    """How one copy of a table lies: by ranges or a hash of a column, or by the Morton code of a point."""
+    """How one copy of a table lies: by ranges or a hash of a column, or by the Morton code of a point; in how
+    many files at least (as many as buckets unless told), and the columns that get a filter by file.
+    """
 
     name: str
     column: str
@@ -22,6 +25,8 @@ class Layout:
     n: int = 1
     bounds: tuple | None = None
     bloom: bool = False
+    files: int | None = None
+    filters: tuple[str, ...] = ()
 
 
 def with_code(df: DataFrame, spec: Layout) -> tuple[DataFrame, str]:
@@ -33,17 +38,15 @@ def with_code(df: DataFrame, spec: Layout) -> tuple[DataFrame, str]:
 
 
 def bounds_of(df: DataFrame, specs: list[Layout]) -> dict[str, list]:
-    """Cut points by layout name: given ones win; all range layouts of a table share one pass."""
+    """Cut points by layout name: given ones win; all range layouts of a table share their passes."""
     out = {s.name: list(s.bounds) for s in specs if s.bounds is not None}
     todo = [s for s in specs if s.bounds is None and s.kind in ("range", "morton")]
-    coded = df
-    cols = {}
+    coded, cols, wanted = df, {}, {}
     for s in todo:
         coded, cols[s.name] = with_code(coded, s)
-    for n in sorted({s.n for s in todo}):
-        mine = [s for s in todo if s.n == n]
-        cuts = aggregates.discrete_cuts(coded, list(dict.fromkeys(cols[s.name] for s in mine)), n)
-        out |= {s.name: cuts[cols[s.name]] for s in mine}
+        wanted.setdefault(cols[s.name], []).append(s.n)
+    cuts = aggregates.many_cuts(coded, wanted)
+    out |= {s.name: cuts[cols[s.name], s.n] for s in todo}
     for s in specs:
         if s.bounds is None and s.kind == "uniform":
             out[s.name] = aggregates.uniform_cuts(df, s.column, s.n)
@@ -60,15 +63,20 @@ def bucketed(df: DataFrame, spec: Layout, cuts: list) -> DataFrame:
 
 
 def write(df: DataFrame, spec: Layout, cuts: list, path: str) -> None:
-    """Write one layout: rows clustered by their bucket and, inside, by the column or code."""
+    """Write one layout: rows clustered by their bucket and, inside, by the column or code, and the files' manifest.
+
+    The id is the last key, so that the rows of one object or point are dealt to several tasks, too.
+    """
     part = f"{spec.column}_partition"
     rows = bucketed(df, spec, cuts)
     _, c = with_code(df.limit(0), spec)
-    files = rows.repartitionByRange(max(1, spec.n), part, c).sortWithinPartitions(part, c)
+    keys = [part, c, *(["id"] if "id" in rows.columns and c != "id" else [])]
+    files = rows.repartitionByRange(max(1, spec.files or spec.n), *keys).sortWithinPartitions(*keys)
     out = files.write.partitionBy(part).option("maxRecordsPerFile", 5_000_000)
     if spec.bloom:
         out = out.option(f"parquet.bloom.filter.enabled#{c}", "true").option(f"parquet.bloom.filter.fpp#{c}", "0.001")
     out.parquet(path)
+    manifest.write(df.sparkSession, path, rows.schema, c, tuple(dict.fromkeys((*spec.filters, *([c] if spec.bloom else [])))))
 
 
 def written_counting(df: DataFrame, path: str) -> int:
