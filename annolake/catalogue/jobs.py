@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..fixtures import VOXEL_SCALE, versions, versions_sql
-from ..operators import aggregates, filters, lineage
-from ..plans import live, maintain
+from ..operators import aggregates, bucketed, filters, lineage
+from ..plans import ledger, live, maintain
 from ..plans import versions as v
 from ..sources import columnfiles
 from ..store import current, shared_dir, written
@@ -21,6 +23,16 @@ V2, V4 = "1998-12-31 00:00:00", "2000-12-31 00:00:00"
 EARLY, SPLIT, MERGE, BETWEEN = "1996-01-01 00:00:00", "1997-01-01 00:00:00", "1999-06-01 00:00:00", "2000-03-01 00:00:00"
 
 
+_LOOKED = """SELECT p.id, max(CASE WHEN p.type = 'pre' THEN coalesce(v.supervoxel_id, 0) END) AS pre_pt_supervoxel_id, max(CASE WHEN p.type = 'post' THEN coalesce(v.supervoxel_id, 0) END) AS post_pt_supervoxel_id FROM (
+ SELECT id, 'pre' AS type, pre_pt_position_x AS x, pre_pt_position_y AS y, pre_pt_position_z AS z FROM {rows}
+ UNION ALL SELECT id, 'post', post_pt_position_x, post_pt_position_y, post_pt_position_z FROM {rows}) p
+ LEFT JOIN voxels v ON v.vx = CAST(floor(p.x / 2.0) AS INT) AND v.vy = CAST(floor(p.y / 2.0) AS INT) AND v.vz = p.z GROUP BY p.id"""
+_MISSING = "(SELECT a.* FROM anno a LEFT JOIN seg s USING (id) WHERE a.valid AND s.id IS NULL)"
+_INGESTED = f"""SELECT k.id, k.pre_pt_supervoxel_id, l.root_id AS pre_pt_root_id, k.post_pt_supervoxel_id, m.root_id AS post_pt_root_id FROM ({_LOOKED.format(rows=_MISSING)}) k
+LEFT JOIN lineage l ON l.supervoxel_id = k.pre_pt_supervoxel_id AND l.valid_from <= TIMESTAMP '{{when}}' AND TIMESTAMP '{{when}}' < l.valid_to
+LEFT JOIN lineage m ON m.supervoxel_id = k.post_pt_supervoxel_id AND m.valid_from <= TIMESTAMP '{{when}}' AND TIMESTAMP '{{when}}' < m.valid_to"""
+
+
 def _in_force(alias: str, when: str) -> str:
     return f"{alias}.valid_from <= TIMESTAMP '{when}' AND TIMESTAMP '{when}' < {alias}.valid_to"
 
@@ -103,6 +115,23 @@ def freeze_merged(t: Tables) -> DataFrame:
     return v.freeze_merged(t.anno, t.seg, ts(V2)).selectExpr("id", "valid", "tag", "size > 100000.0 AS large", *ROOTS)
 
 
+@query(
+    f"""SELECT a.id, a.tag, coalesce(s.pre_pt_root_id, n.pre_pt_root_id) AS pre_pt_root_id FROM anno a LEFT JOIN seg s USING (id) LEFT JOIN ({_INGESTED.format(when=V2)}) n ON n.id = a.id
+WHERE a.valid AND a.created <= TIMESTAMP '{V2}'""",
+    "anno", "seg", "voxels", "lineage",
+)
+def freeze_bucketed(t: Tables) -> DataFrame:
+    """Both tables by the same hash of the id, missing segmentation put into its buckets, merged without a shuffle."""
+    n = 8
+    paths = {x: shared_dir(t.spark, x) for x in ("anno", "seg")}
+    for name, path in paths.items():
+        bucketed.create(getattr(t, name), path, n)
+    new = written(maintain.ingested(t.anno, t.seg, POINTS, t.voxels, VOXEL_SCALE, t.lineage, ts(V2)), "new")
+    bucketed.update(t.spark, paths["seg"], new, n)
+    anno, seg = (bucketed.read(t.spark, paths[x], n) for x in ("anno", "seg"))
+    return v.freeze_merged(anno, seg, ts(V2)).select("id", "tag", "pre_pt_root_id")
+
+
 @query(f"SELECT a.id FROM anno a JOIN seg s USING (id) WHERE a.created <= TIMESTAMP '{V2}' AND (a.deleted IS NULL OR a.deleted > TIMESTAMP '{V2}')", "anno", "seg")
 def freeze_as_of(t: Tables) -> DataFrame:
     """The same with validity at that time."""
@@ -265,21 +294,12 @@ def missing_segmentation(t: Tables) -> DataFrame:
     return maintain.missing(t.anno, t.seg).select("id")
 
 
-_LOOKED = """SELECT p.id, max(CASE WHEN p.type = 'pre' THEN coalesce(v.supervoxel_id, 0) END) AS pre_pt_supervoxel_id, max(CASE WHEN p.type = 'post' THEN coalesce(v.supervoxel_id, 0) END) AS post_pt_supervoxel_id FROM (
- SELECT id, 'pre' AS type, pre_pt_position_x AS x, pre_pt_position_y AS y, pre_pt_position_z AS z FROM {rows}
- UNION ALL SELECT id, 'post', post_pt_position_x, post_pt_position_y, post_pt_position_z FROM {rows}) p
- LEFT JOIN voxels v ON v.vx = CAST(floor(p.x / 2.0) AS INT) AND v.vy = CAST(floor(p.y / 2.0) AS INT) AND v.vz = p.z GROUP BY p.id"""
-
-
 @query(_LOOKED.format(rows="anno"), "anno", "voxels")
 def point_lookup_pivot(t: Tables) -> DataFrame:
     """Supervoxels at all points."""
     return maintain.looked_up(t.anno, POINTS, t.voxels, VOXEL_SCALE)
 
 
-_MISSING = "(SELECT a.* FROM anno a LEFT JOIN seg s USING (id) WHERE a.valid AND s.id IS NULL)"
-
-
 @query(
     f"""SELECT k.id, k.pre_pt_supervoxel_id, l.root_id AS pre_pt_root_id, k.post_pt_supervoxel_id, m.root_id AS post_pt_root_id FROM ({_LOOKED.format(rows=_MISSING)}) k
 LEFT JOIN lineage l ON l.supervoxel_id = k.pre_pt_supervoxel_id AND {_in_force('l', V2)} LEFT JOIN lineage m ON m.supervoxel_id = k.post_pt_supervoxel_id AND {_in_force('m', V2)}""",
@@ -369,12 +389,12 @@ def spatial_lookup(t: Tables) -> DataFrame:
 @query(_LOOKED.format(rows="(SELECT * FROM anno WHERE valid)"), "anno", "voxels")
 def resumed_lookup(t: Tables) -> DataFrame:
     """The same by cells, a part of them a run, until none is left."""
-    ledger, target = shared_dir(t.spark, "ledger"), shared_dir(t.spark, "looked-up")
+    log, target = shared_dir(t.spark, "ledger"), shared_dir(t.spark, "looked-up")
     anno, voxels = written(t.anno, "anno"), written(t.voxels, "voxels")
     n = anno.selectExpr(*[f"floor({POINTS[0]}_{a} / 32768)" for a in "xyz"]).distinct().count()
-    while maintain.lookup_some(anno, POINTS, voxels, VOXEL_SCALE, ledger, target, 32_768, n // 2 + 1):
+    while maintain.lookup_some(anno, POINTS, voxels, VOXEL_SCALE, log, target, 32_768, n // 2 + 1):
         pass
-    return t.spark.read.parquet(target).drop("run")
+    return ledger.results(t.spark, log, target, maintain.CELL).drop("run", *maintain.CELL)
 
 
 _CELLS = "SELECT DISTINCT CAST(floor(pre_pt_position_x / 8192) AS BIGINT) AS cx, CAST(floor(pre_pt_position_y / 8192) AS BIGINT) AS cy FROM anno"
@@ -385,8 +405,32 @@ def remaining_chunks(t: Tables) -> DataFrame:
     """Cells still to do: those to try again first."""
     cells = t.anno.selectExpr("CAST(floor(pre_pt_position_x / 8192) AS BIGINT) AS cx", "CAST(floor(pre_pt_position_y / 8192) AS BIGINT) AS cy").distinct()
     status = F.when(F.expr("(cx + cy) % 4 = 0"), "completed").when(F.expr("(cx + cy) % 4 = 1"), "retryable").otherwise("failed")
-    ledger = cells.where("(cx + cy) % 4 < 3").withColumn("status", status)
-    return maintain.remaining(cells, ledger, ["cx", "cy"]).select("cx", "cy", "rank")
+    noted = cells.where("(cx + cy) % 4 < 3").withColumn("status", status)
+    return ledger.remaining(cells, noted, ["cx", "cy"]).select("cx", "cy", "rank")
+
+
+@query(
+    f"""SELECT cx, cy, CASE WHEN (cx + cy) % 5 = 0 THEN 'failed' ELSE 'completed' END AS status,
+ CASE (cx + cy) % 5 WHEN 0 THEN 3 WHEN 1 THEN 2 WHEN 2 THEN 2 ELSE 1 END AS tries FROM ({_CELLS})""",
+    "anno",
+)
+def worked_cells(t: Tables) -> DataFrame:
+    """Cells worked on until none is left, by their log (T19): of five kinds one always fails, one stalls at
+    first until its lease is over, one fails once, two succeed.
+    """
+    log, keys = shared_dir(t.spark, "ledger"), ["cx", "cy"]
+    cells = written(t.anno.selectExpr("CAST(floor(pre_pt_position_x / 8192) AS BIGINT) AS cx", "CAST(floor(pre_pt_position_y / 8192) AS BIGINT) AS cy").distinct(), "cells")
+    now, lease, hour = dt.datetime(2000, 1, 1), dt.timedelta(minutes=30), dt.timedelta(hours=1)
+    first = True
+    while True:
+        run, mine = ledger.claim(cells, log, keys, now=now, lease=lease)
+        if not mine.limit(1).count():
+            return ledger.folded(ledger.log(t.spark, log, keys), keys, now).select(*keys, "status", F.col("tries").cast("int").alias("tries"))
+        kind = F.expr("(cx + cy) % 5")
+        fails = (kind == 0) | ((kind == 2) & F.lit(first))
+        ledger.finish(mine.where(fails), log, keys, run, ok=False, now=now)
+        ledger.finish(mine.where(~fails & ~((kind == 1) & F.lit(first))), log, keys, run, now=now)
+        now, first = now + hour, False
 
 
 _FULL = f"""SELECT * FROM seg UNION ALL SELECT k.id, k.pre_pt_supervoxel_id, l.root_id, k.post_pt_supervoxel_id, m.root_id FROM ({_LOOKED.format(rows=_MISSING)}) k
@@ -459,14 +503,14 @@ FROM seg s LEFT JOIN lineage l ON l.supervoxel_id = s.pre_pt_supervoxel_id AND {
     "seg", "lineage",
 )
 def stream_refresh(t: Tables) -> DataFrame:
-    """Lineage changes as a stream of files (R2): the newest rows come first, then all others, closed
-    ones and ones that are late among them; a file a batch, and the deltas put together at the end.
+    """Lineage changes as a stream with keyed state (R2): the newest rows come first, then all others, closed
+    ones and ones that are late among them; the deltas are put together at the end.
     """
     source, target, check = (shared_dir(t.spark, x) for x in ("changes", "seg", "stream"))
     newest = F.col("valid_from") == ts(MERGE)
     t.seg.write.parquet(target)
     for rows in (t.lineage.where(newest), t.lineage.where(~newest)):
-        rows.coalesce(1).write.mode("append").parquet(source)
-        streams.refresh(t.spark, source, t.lineage.schema, target, check, ROOTS, V4, files_per_batch=1).awaitTermination()
-    streams.compacted(t.spark, target)
-    return streams.latest_rows(t.spark, target).select("id", *ROOTS)
+        rows.write.mode("append").parquet(source)
+        streams.refresh(t.spark, source, t.lineage.schema, target, check, ROOTS, V4).awaitTermination()
+    streams.compacted(t.spark, target, ROOTS)
+    return streams.latest_rows(t.spark, target, ROOTS).select("id", *ROOTS)

@@ -67,6 +67,23 @@ def level_cells(t: Tables) -> DataFrame:
     return cells.groupBy("level", "cx", "cy", "cz").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _levels_sql(grids: list[tuple[int, int]]) -> str:
+    """Levels as a chain of tables: each ranks what the one before left over."""
+    parts = ["most AS (SELECT count(*) // 40 + 1 AS m FROM anno)", "r0 AS (SELECT id, pre_pt_position_x AS x, pre_pt_position_y AS y, CAST('0x' || substr(md5('0:' || id), 1, 8) AS BIGINT) AS v FROM anno)"]
+    for k, (g, h) in enumerate(grids):
+        cell = f"CAST(least({g - 1}, floor(x * {g} / 100000.0)) AS INT) AS cx, CAST(least({h - 1}, floor(y * {h} / 80000.0)) AS INT) AS cy"
+        parts.append(f"l{k} AS (SELECT *, row_number() OVER (PARTITION BY cx, cy ORDER BY v, id) AS place FROM (SELECT *, {cell} FROM r{k}))")
+        parts.append(f"r{k + 1} AS (SELECT id, x, y, v FROM l{k}, most WHERE place > m)")
+    rows = " UNION ALL ".join(f"SELECT {k} AS level, cx, cy, 0 AS cz, id FROM l{k}, most WHERE place <= m" for k in range(len(grids)))
+    return ", " + ", ".join(parts) + " " + rows
+
+
+@query(_levels_sql([(1, 1), (2, 2), (4, 4), (8, 8), (16, 16), (32, 32)]), "anno")
+def spread_levels(t: Tables) -> DataFrame:
+    """Every row on one level of a pyramid whose cells hold their limit, here a fortieth of the table (V2)."""
+    return report.spread_levels(t.anno, POINT, _BOX, t.anno.count() // 40 + 1)
+
+
 @query(
     f"SELECT id FROM anno, (SELECT count(*) AS total FROM anno) WHERE pre_pt_position_x < 50000 AND pre_pt_position_y < 40000 AND pre_pt_position_z < 4000 AND (greatest(100, total // 40) * 100.0 / (total * 0.25) >= 100 OR {_VALUE} % greatest(2, CAST(floor(CAST(floor(total * 0.25) AS INT) / CAST(greatest(100, total // 40) AS DOUBLE)) AS INT)) = 0)",
     "anno",

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalar
 from ..operators import aggregates, filters, lineage
 from ..schema import AXES, supervoxel_of
-from ..store import children, current, exists, replace, written
+from ..store import current, exists, replace, written
+from . import ledger
 
 
 def missing(anno: DataFrame, seg: DataFrame) -> DataFrame:
@@ -104,37 +107,34 @@ def whole_lookup(anno: DataFrame, seg: DataFrame, points: list[str], voxels: Dat
     return upserted_positive(seg, new)
 
 
-def remaining(cells: DataFrame, ledger: DataFrame, keys: list[str]) -> DataFrame:
-    """Cells still to do, in order: failed ones that may be tried again first, then untouched ones.
-
-    ``ledger``: keys and status, one row a cell (pending, processing, retryable, failed, completed).
-    """
-    rows = cells.join(ledger, keys, "left").withColumn("status", F.coalesce("status", F.lit("pending")))
-    rank = F.when(F.col("status") == "retryable", 0).when(F.col("status") == "pending", 1)
-    return rows.withColumn("rank", rank).where("rank IS NOT NULL")
+#: Keys of a cell.
+CELL = ["cx", "cy", "cz"]
 
 
-def lookup_some(anno: DataFrame, points: list[str], voxels: DataFrame, scale: tuple, ledger: str, target: str, size: int, cells: int) -> int:
-    """Look up the points of the next ``cells`` cells still to do, and note them in the ledger; gives how many.
+def lookup_some(
+    anno: DataFrame, points: list[str], voxels: DataFrame, scale: tuple, path: str, target: str, size: int, cells: int | None = None,
+    now: dt.datetime | None = None, lease: dt.timedelta = ledger.LEASE, most: int = ledger.MOST_TRIES,
+) -> int:
+    """Claim the next ``cells`` cells still to do (all of them if not told), look up their points, and note
+    them in the ledger at ``path``; gives how many. ``ledger.results`` reads what was looked up.
 
-    A run's rows are written before its cells are noted, both under the run's number: a run that
-    stopped in between is done again and writes the same place. Call until it gives 0.
+    A run's rows lie under its own name, and count once the ledger says that it completed their cell. A
+    run that stops leaves claims that others may take up when the lease is over; one that fails says so.
     """
-    spark = anno.sparkSession
-    keys = [f"c{a}" for a in AXES]
     # rows without the first point have no cell of their own
     places = [F.coalesce(F.floor(F.col(f"{points[0]}_{a}") / size).cast("long"), F.lit(0)).alias(f"c{a}") for a in AXES]
     keyed = filters.valid(anno).select("*", *places)
-    runs = [n for n in children(spark, ledger) if n.startswith("run=") and exists(spark, f"{ledger}/{n}/_SUCCESS")]
-    kind = ", ".join(f"{k} long" for k in keys) + ", status string"
-    noted = spark.read.schema(kind).parquet(*[f"{ledger}/{n}" for n in runs]) if runs else spark.createDataFrame([], kind)
-    todo = remaining(keyed.select(*keys).distinct(), noted, keys).orderBy("rank", *keys).limit(cells)
-    some = written(todo.select(*keys), "cells")
+    run, some = ledger.claim(keyed.select(*CELL), path, CELL, cells, now, lease, most)
     n = some.count()
     if n:
-        rows = keyed.join(some, keys, "left_semi").drop(*keys)
-        looked_up(rows, points, voxels, scale).write.mode("overwrite").parquet(f"{target}/run={len(runs)}")
-        some.withColumn("status", F.lit("completed")).write.mode("overwrite").parquet(f"{ledger}/run={len(runs)}")
+        try:
+            rows = keyed.join(some, CELL, "left_semi")
+            found = looked_up(rows.drop(*CELL), points, voxels, scale)
+            found.join(rows.select("id", *CELL), "id").write.mode("overwrite").parquet(f"{target}/run={run}")
+        except Exception:
+            ledger.finish(some, path, CELL, run, ok=False, now=now)
+            raise
+        ledger.finish(some, path, CELL, run, now=now)
     return n
 
 

@@ -6,12 +6,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalar
 from ..operators import aggregates, filters
 from ..schema import AXES, point_columns
+from ..store import written
 
 #: Columns that are no property of a row.
 NOT_PROPERTIES = ("id", "valid", "target_id", "created", "deleted", "superceded_id")
@@ -53,6 +54,51 @@ def pyramid(df: DataFrame, point: str, box: tuple[tuple, tuple], grids: list[tup
     return each.select("p.level", "p.cx", "p.cy", "p.cz", "id")
 
 
+#: Parts that a cell's rows are ranked in before the parts are put together.
+SALT = 64
+
+
+def spread_levels(df: DataFrame, point: str, box: tuple[tuple, tuple], limit: int, first: tuple[int, int, int] = (1, 1, 1), most: int = 21) -> DataFrame:
+    """(level, cx, cy, cz, id): every row in the box on exactly one level, at most ``limit`` of them in a cell.
+
+    From a grid of ``first`` cells on, each level takes from each of its cells the rows of the smallest digests
+    of their ids; the others go on to the next level, whose long axes have twice as many cells. Levels are
+    added as long as rows are left, so dense places go deeper; only where a cell is no larger than one
+    unit, or after ``most`` levels, does the last one take all that is left.
+
+    A cell's rows are ranked in parts first and only each part's first ``limit`` meet, so that no cell is one task;
+    rows learn by the last rank taken in their cell whether they go on.
+    """
+    low, high = box
+    size = [h - l for l, h in zip(low, high, strict=True)]
+    digest = scalar.drawn(F.col("id"), 0)
+    at = [F.col(f"{point}_{a}") for a in AXES]
+    rest = written(filters.box(df, point, low, high).select("id", digest.alias("v"), *[(x - lo).alias(a) for x, lo, a in zip(at, low, AXES, strict=True)]), "level-rows")
+    grid, level, out = list(first), 0, None
+    while True:
+        # the box is closed: its upper faces belong to the last cells
+        cell = [F.least(F.lit(g - 1), F.floor(F.col(a) * g / s)).cast("int").alias(f"c{a}") for a, g, s in zip(AXES, grid, size, strict=True)]
+        rows = rest.select("*", *cell)
+        keys = ["cx", "cy", "cz"]
+        edges = [s / g for s, g in zip(size, grid, strict=True)]
+        if level + 1 >= most or max(edges) <= 1:
+            taken, rest = rows, None
+        else:
+            salted = rows.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALT)))
+            some = salted.withColumn("r", F.row_number().over(Window.partitionBy(*keys, "salt").orderBy("v", "id"))).where(F.col("r") <= limit)
+            ranked = some.withColumn("r", F.row_number().over(Window.partitionBy(*keys).orderBy("v", "id"))).where(F.col("r") <= limit)
+            taken = written(ranked.select(*keys, "id", "v"), "level-taken")
+            last = taken.groupBy(*keys).agg(F.max(F.struct("v", "id")).alias("last"), F.count(F.lit(1)).alias("n")).where(F.col("n") == limit).select(*keys, "last")
+            # a row a full cell: few cells are broadcast, many are joined by a shuffle, as Spark finds best
+            rest = written(rows.join(last, keys).where(F.struct("v", "id") > F.col("last")).select("id", "v", *AXES), "level-rows")
+        part = taken.select(F.lit(level).alias("level"), *keys, "id")
+        out = part if out is None else out.unionAll(part)
+        if rest is None or not rest.limit(1).count():
+            return out
+        grid = [g * 2 if e > max(edges) / 2 and e > 1 else g for g, e in zip(grid, edges, strict=True)]
+        level += 1
+
+
 def cutout(df: DataFrame, point: str, low: tuple, high: tuple, rows: int, max_points: int, volume_share: float) -> DataFrame:
     """Rows of one cell, thinned by the sampling policy."""
     kind, x = filters.sampling(rows, max_points, volume_share)

@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from ..plans import maintain
 from ..schema import supervoxel_of
-from ..store import children, current, exists, remove, replace, written
+from ..store import children, current, exists, remove, replace, shared_dir, written
 
 
 def _current(spark: SparkSession, path: str, schema) -> DataFrame:
@@ -36,62 +37,133 @@ def ingest(
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+#: Parts that the rows of a supervoxel are dealt to, so that one which very many rows have is several keys.
+SALT = 8
+#: Stands for no root in a state.
+_NONE = -1
+
+
+class Refresher(StatefulProcessor):
+    """What is known of one supervoxel (and salt): its newest lineage row, and the root of each row that has it.
+
+    Events of kind 0 are lineage rows, of kind 1 table rows. Gives (id, place, root_id) of what changed.
+    """
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.newest = handle.getValueState("newest", "root_id long, since long")
+        self.rows = handle.getMapState("rows", "id long, place int", "root_id long")
+
+    def _taken(self, frames: Iterator[pd.DataFrame]) -> tuple[tuple | None, tuple | None, list[tuple]]:
+        """The newest lineage row before and after some events, and the table rows among them."""
+        before = tuple(self.newest.get()) if self.newest.exists() else None
+        now, new = before, []
+        for f in frames:
+            kind = f["kind"].to_numpy()
+            for root, since in f.loc[kind == 0, ["root_id", "since"]].itertuples(index=False, name=None):
+                if now is None or (since, root) > (now[1], now[0]):
+                    now = (root, since)
+            for i, place, root in f.loc[kind == 1, ["id", "place", "root_id"]].itertuples(index=False, name=None):
+                self.rows.updateValue((i, place), (root,))
+                new.append(((i, place), root))
+        if now != before:
+            self.newest.update(now)
+        return before, now, new
+
+    def handleInitialState(self, key: tuple, initialState: pd.DataFrame, timerValues: object) -> None:
+        self._taken(iter([initialState]))
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
+        before, now, new = self._taken(rows)
+        if now is None:
+            return
+        moved = before is None or now[0] != before[0]
+        held = [(k, v[0]) for k, v in self.rows.iterator()] if moved else new
+        stale = [k for k, root in held if root != now[0]]
+        for k in stale:
+            self.rows.updateValue(k, (now[0],))
+        if stale:
+            yield pd.DataFrame({"id": [k[0] for k in stale], "place": pd.array([k[1] for k in stale], "int32"), "root_id": [now[0]] * len(stale)})
+
+    def close(self) -> None:
+        pass
+
+
+def _line_events(lines: DataFrame, when: str, salt: int) -> DataFrame:
+    """Lineage rows in force at a time, for every salt; closed ones end here."""
+    at = F.lit(when).cast("timestamp_ntz")
+    now = lines.where((F.col("valid_from") <= at) & (at < F.col("valid_to")) & F.col("supervoxel_id").isNotNull())
+    since = F.unix_micros(F.col("valid_from").cast("timestamp"))
+    salts = F.explode(F.sequence(F.lit(0), F.lit(salt - 1)))
+    return now.select("supervoxel_id", salts.alias("salt"), F.lit(0).alias("kind"), F.lit(0).cast("long").alias("id"), F.lit(0).alias("place"), F.coalesce("root_id", F.lit(_NONE)).alias("root_id"), since.alias("since"))
+
+
+def _row_events(rows: DataFrame, roots: list[str], salt: int) -> DataFrame:
+    """A table's rows as events of the supervoxels that they have."""
+    each = [F.struct(F.col(supervoxel_of(r)).alias("supervoxel_id"), F.lit(i).alias("place"), F.coalesce(r, F.lit(_NONE)).cast("long").alias("root_id")) for i, r in enumerate(roots)]
+    wide = rows.select("id", F.explode(F.array(*each)).alias("r")).where("r.supervoxel_id > 0")
+    return wide.select("r.supervoxel_id", F.pmod(F.xxhash64("id"), F.lit(salt)).cast("int").alias("salt"), F.lit(1).alias("kind"), "id", "r.place", "r.root_id", F.lit(0).cast("long").alias("since"))
+
+
 def refresh(
     spark: SparkSession, source: str, schema, target: str, checkpoint: str, roots: list[str], when: str, lines: DataFrame | None = None, files_per_batch: int = 100,
+    arrivals: str | None = None, salt: int = SALT,
 ) -> StreamingQuery:
-    """Bring roots up to date as lineage rows arrive: of the rows in force at ``when``, the latest of
+    """Bring roots up to date as lineage rows arrive: of the rows in force at ``when``, the newest of
     each supervoxel counts - among those that arrive, those of earlier batches, and ``lines``, what
-    was known before. So a closed row, or one that comes late, changes nothing.
-
-    Each batch writes only the rows it changes, as a delta beside the table (``latest_rows`` reads
-    both, ``compacted`` puts them together), and the lineage rows it took. Both lie under the batch's
-    number, so a batch that is run again writes the same. The checkpoint belongs to one target.
+    was known before. So a closed row, or one that comes late or again, changes nothing.
+
+    The stream keeps state by supervoxel: its newest row and the roots of the table's rows that have it.
+    The table and ``lines`` are the state's beginning; new rows of the table come from ``arrivals``, a
+    folder of parquet. A batch touches only the supervoxels that it brings, whatever the table's size.
+    What it changes is written as a delta (id, place of the root column, root) under its number, so a batch
+    that is run again writes the same; ``latest_rows`` reads table and deltas, ``compacted`` puts them
+    together. The checkpoint belongs to one target, list of roots and salt.
     """
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(source)
+    own = spark.newSession()  # its state store is no setting of the caller's session
+    own.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    for k in ("spark.sql.shuffle.partitions", "spark.sql.session.timeZone"):
+        own.conf.set(k, spark.conf.get(k))
+    begin = _row_events(own.read.parquet(current(own, target)), roots, salt)
+    if lines is not None:
+        known = shared_dir(spark, "lines")
+        lines.write.parquet(known)
+        begin = begin.unionByName(_line_events(own.read.schema(lines.schema).parquet(known), when, salt))
+    stream = _line_events(own.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(source), when, salt)
+    if arrivals:
+        table = own.read.parquet(current(own, target)).schema
+        stream = stream.unionByName(_row_events(own.readStream.schema(table).option("maxFilesPerTrigger", files_per_batch).parquet(arrivals), roots, salt))
+    key = ["supervoxel_id", "salt"]
+    changed = stream.groupBy(*key).transformWithStateInPandas(Refresher(), "id long, place int, root_id long", "Update", "None", initialState=begin.groupBy(*key))
 
     def batch(df: DataFrame, number: int) -> None:
-        s = df.sparkSession
-        at = F.lit(when).cast("timestamp_ntz")
-        now = df.where((F.col("valid_from") <= at) & (at < F.col("valid_to"))).select("supervoxel_id", "root_id", "valid_from")
-        now.write.mode("overwrite").parquet(f"{target}.lines/{number}")
-        taken = [n for n in children(s, f"{target}.lines") if n.isdigit() and int(n) <= number]
-        known = s.read.schema(now.schema).parquet(*[f"{target}.lines/{n}" for n in taken])
-        if lines is not None:
-            before = lines.where((F.col("valid_from") <= at) & (at < F.col("valid_to"))).select(*now.columns)
-            known = known.unionByName(before)
-        touched = s.read.schema(now.schema).parquet(f"{target}.lines/{number}").select("supervoxel_id").distinct()
-        last = known.join(touched, "supervoxel_id", "left_semi").groupBy("supervoxel_id").agg(F.max_by("root_id", "valid_from").alias("_root"))
-        seg = latest_rows(s, target, before=number)
-        out, changed = seg, F.lit(False)
-        for i, r in enumerate(roots):
-            m = last.select(F.col("supervoxel_id").alias(f"_sv{i}"), F.col("_root").alias(f"_root{i}"))
-            out = out.join(m, F.col(supervoxel_of(r)) == F.col(f"_sv{i}"), "left")
-            changed |= F.col(f"_root{i}").isNotNull() & ~F.col(f"_root{i}").eqNullSafe(F.col(r))
-        new = {r: F.coalesce(f"_root{i}", r) for i, r in enumerate(roots)}
-        out.where(changed).withColumns(new).select(*seg.columns).write.mode("overwrite").parquet(f"{target}.delta/{number}")
+        df.write.mode("overwrite").parquet(f"{target}.delta/{number}")
 
-    return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return changed.writeStream.foreachBatch(batch).outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def latest_rows(spark: SparkSession, target: str, before: int | None = None) -> DataFrame:
-    """A table's rows with those that deltas (of batches before a number) changed, each once."""
+def latest_rows(spark: SparkSession, target: str, roots: list[str], arrivals: str | None = None) -> DataFrame:
+    """A table's rows, and those that arrived since, with the roots that deltas brought, the newest of each."""
     base = spark.read.parquet(current(spark, target))
+    if arrivals:
+        base = base.unionByName(spark.read.schema(base.schema).parquet(arrivals).join(base.select("id"), "id", "left_anti").select(*base.columns))
     numbers = sorted(int(n) for n in children(spark, f"{target}.delta") if n.isdigit())
-    numbers = [n for n in numbers if (before is None or n < before) and exists(spark, f"{target}.delta/{n}/_SUCCESS")]
+    numbers = [n for n in numbers if exists(spark, f"{target}.delta/{n}/_SUCCESS")]
     if not numbers:
         return base
-    parts = [spark.read.schema(base.schema).parquet(f"{target}.delta/{n}").withColumn("_n", F.lit(n)) for n in numbers]
-    deltas = reduce(lambda a, b: a.unionAll(b), parts)
-    newest = deltas.groupBy("id").agg(F.max_by(F.struct(*base.columns), "_n").alias("r")).select("r.*")
-    return base.join(newest.select("id"), "id", "left_anti").unionByName(newest)
+    delta = spark.read.schema("id long, place int, root_id long").parquet(*[f"{target}.delta/{n}" for n in numbers])
+    number = F.regexp_extract(F.col("_metadata.file_path"), r"\.delta/(\d+)/", 1).cast("long")
+    newest = delta.select("id", "place", "root_id", number.alias("n")).groupBy("id").agg(*[F.max_by("root_id", F.when(F.col("place") == i, F.col("n"))).alias(f"_r{i}") for i in range(len(roots))])
+    out = base.join(newest, "id", "left")
+    # a column that no delta of the row names has no number, and so no root here
+    return out.withColumns({r: F.when(F.col(f"_r{i}") == _NONE, None).otherwise(F.coalesce(f"_r{i}", r)) for i, r in enumerate(roots)}).select(*base.columns)
 
 
-def compacted(spark: SparkSession, target: str) -> None:
-    """Write table and deltas as the table's next version, then remove the deltas it holds. To be
+def compacted(spark: SparkSession, target: str, roots: list[str], arrivals: str | None = None) -> None:
+    """Write table, arrivals and deltas as the table's next version, then remove the deltas it holds. To be
     called while no batch runs; deltas that stay after a stop in between are merged once more.
     """
     numbers = [n for n in children(spark, f"{target}.delta") if n.isdigit()]
-    rows = written(latest_rows(spark, target), "compacted")
+    rows = written(latest_rows(spark, target, roots, arrivals), "compacted")
     replace(rows, target)
     for n in numbers:
         remove(spark, f"{target}.delta/{n}")
