@@ -86,6 +86,27 @@ def roots_translate_future(t: Tables) -> DataFrame:
     return lineage.translate(t.lineage.select("root_id"), t.lineage, ts(EARLY), ts(V4))
 
 
+_WALKED = """SELECT DISTINCT a.root_id, a.root_id AS other_root, 0 AS depth, CAST(a.root_id AS VARCHAR) AS path, NOT EXISTS (SELECT 1 FROM lineage x WHERE x.supervoxel_id = a.supervoxel_id AND x.valid_from > a.valid_from) AS last FROM lineage a
+UNION ALL SELECT DISTINCT a.root_id, b.root_id, 1, a.root_id || '>' || b.root_id, b.valid_to > TIMESTAMP '9000-01-01' FROM lineage a JOIN lineage b ON b.supervoxel_id = a.supervoxel_id AND b.valid_from = a.valid_to
+UNION ALL SELECT a.root_id, c.root_id, 2, min(a.root_id || '>' || b.root_id || '>' || c.root_id), true FROM lineage a JOIN lineage b ON b.supervoxel_id = a.supervoxel_id AND b.valid_from = a.valid_to JOIN lineage c ON c.supervoxel_id = b.supervoxel_id AND c.valid_from = b.valid_to GROUP BY 1, 2"""
+
+
+@query(_WALKED, "lineage")
+def root_histories(t: Tables) -> DataFrame:
+    """Descendants of every object over all edits, with depth and shortest path."""
+    edges = lineage.edit_edges(t.lineage)
+    found = lineage.histories(t.lineage.select("root_id"), edges, ts("1980-01-01 00:00:00"), ts("2100-01-01 00:00:00"))
+    return found.withColumn("path", F.array_join(F.col("path").cast("array<string>"), ">"))
+
+
+@query(_translated(V4, EARLY), "lineage")
+def roots_walked_back(t: Tables) -> DataFrame:
+    """Objects in force to those they came of, by walking the graph of edits back to its ends between both times."""
+    now = lineage.at_time(t.lineage, ts(V4)).select("root_id")
+    found = lineage.histories(now, lineage.edit_edges(t.lineage), ts(EARLY), ts(V4), forward=False)
+    return found.where("last").select("root_id", "other_root")
+
+
 @query("SELECT id, CASE WHEN post_pt_root_id BETWEEN 200000 AND 200079 AND post_pt_root_id % 2 = 0 THEN post_pt_root_id + 5000 ELSE post_pt_root_id END AS post_pt_root_id FROM seg", "seg")
 def replace_by_map(t: Tables) -> DataFrame:
     """Old roots by a map to new ones."""
@@ -370,6 +391,34 @@ def upsert_by_key(t: Tables) -> DataFrame:
     return maintain.upserted(t.seg.select("id", "pre_pt_root_id"), new)
 
 
+_BATCH = """(SELECT CASE WHEN id % 11 = 0 THEN NULL WHEN id % 13 = 0 THEN '99999999999999999999' WHEN id % 17 = 0 THEN '-' || id ELSE CAST(id AS VARCHAR) END AS id, id * 10 AS pre_pt_root_id FROM anno
+ UNION ALL SELECT CAST(id AS VARCHAR), id * 10 FROM anno WHERE id % 3 = 0 AND id % 11 <> 0 AND id % 13 <> 0
+ UNION ALL SELECT CAST(id AS VARCHAR), id * 10 + 1 FROM anno WHERE id % 19 = 0)"""
+_JUDGED = f"""(SELECT id, pre_pt_root_id, CASE WHEN id IS NULL THEN 'no key' WHEN TRY_CAST(id AS BIGINT) IS NULL THEN 'id is no bigint' WHEN CAST(id AS BIGINT) < 1 THEN 'key out of range' WHEN n > 1 THEN 'repeated key' END AS reason
+ FROM (SELECT *, count(*) OVER (PARTITION BY id) AS n FROM (SELECT DISTINCT * FROM {_BATCH})))"""
+
+
+def _bad_batch(t: Tables) -> DataFrame:
+    """Annotations' ids as text with objects: some null, too large, below 1, or given twice, with one object or two."""
+    key = F.expr("CASE WHEN id % 11 = 0 THEN NULL WHEN id % 13 = 0 THEN '99999999999999999999' WHEN id % 17 = 0 THEN '-' || id ELSE CAST(id AS STRING) END")
+    first = t.anno.select(key.alias("id"), (F.col("id") * 10).alias("pre_pt_root_id"))
+    again = t.anno.where("id % 3 = 0 AND id % 11 <> 0 AND id % 13 <> 0").selectExpr("CAST(id AS STRING) AS id", "id * 10 AS pre_pt_root_id")
+    other = t.anno.where("id % 19 = 0").selectExpr("CAST(id AS STRING) AS id", "id * 10 + 1 AS pre_pt_root_id")
+    return first.unionAll(again).unionAll(other)
+
+
+@query(f"SELECT coalesce(s.id, n.id) AS id, CASE WHEN n.id IS NOT NULL THEN n.pre_pt_root_id ELSE s.pre_pt_root_id END AS pre_pt_root_id FROM seg s FULL JOIN (SELECT CAST(id AS BIGINT) AS id, pre_pt_root_id FROM {_JUDGED} WHERE reason IS NULL) n ON n.id = s.id", "seg", "anno")
+def upsert_checked(t: Tables) -> DataFrame:
+    """An upsert of which bad rows cost no other row its place."""
+    return maintain.upserted_checked(t.seg.select("id", "pre_pt_root_id"), _bad_batch(t), low=1)[0]
+
+
+@query(f"SELECT id, pre_pt_root_id, reason FROM {_JUDGED} WHERE reason IS NOT NULL", "anno")
+def upsert_rejects(t: Tables) -> DataFrame:
+    """The rows that the same upsert could not take, and why."""
+    return maintain.upserted_checked(t.seg.select("id", "pre_pt_root_id"), _bad_batch(t), low=1)[1]
+
+
 @query("SELECT a.id, s.pre_pt_root_id FROM anno a JOIN seg s USING (id) WHERE a.tag = '1-URGENT'", "anno", "seg")
 def known_roots(t: Tables) -> DataFrame:
     """Natural join with known segmentation on the shared columns."""

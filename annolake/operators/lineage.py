@@ -9,10 +9,11 @@ from __future__ import annotations
 from functools import reduce
 from operator import or_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import supervoxel_of
+from ..store import written
 
 
 def at_time(lineage: DataFrame, when: Column) -> DataFrame:
@@ -67,6 +68,39 @@ def translate(roots: DataFrame, lineage: DataFrame, at: Column, to: Column) -> D
     return here.join(there, "supervoxel_id").select("root_id", "other_root").distinct()
 
 
+def edit_edges(lineage: DataFrame) -> DataFrame:
+    """(earlier, later, at) of every two roots that a supervoxel had one after the other: the graph of edits, a row an
+    edge however many supervoxels went along it.
+    """
+    w = Window.partitionBy("supervoxel_id").orderBy("valid_from")
+    steps = lineage.select(F.lag("root_id").over(w).alias("earlier"), F.col("root_id").alias("later"), F.col("valid_from").alias("at"))
+    return steps.where("earlier IS NOT NULL AND earlier <> later").distinct()
+
+
+def histories(roots: DataFrame, edges: DataFrame, after: Column, upto: Column, forward: bool = True) -> DataFrame:
+    """(root_id, other_root, depth, path, last) of all roots that edits in (after, upto] lead to from each root, itself
+    included at depth 0; backward, of those that led to it. ``last``: no such edit leads on from there.
+
+    Frontiers are walked a depth at a time, each written, so a step's work is that of its frontier and the
+    graph's edges; lineage by supervoxel is read once, for the edges. A root that several ways lead to has
+    the shortest, of equal ones the smallest path. Two objects that were merged and split again are connected
+    though they may share no supervoxel: which supervoxels went where is ``translate``'s to say.
+    """
+    a, b = ("earlier", "later") if forward else ("later", "earlier")
+    step = written(edges.where((F.col("at") > after) & (F.col("at") <= upto)).select(F.col(a).alias("node"), F.col(b).alias("next")).distinct(), "edits")
+    front = roots.select("root_id").where("root_id IS NOT NULL").distinct().select("root_id", F.col("root_id").alias("other_root"), F.lit(0).alias("depth"), F.array("root_id").alias("path"))
+    known = front = written(front, "histories")
+    depth = 0
+    while front.limit(1).count():
+        depth += 1
+        on = front.join(step, front["other_root"] == step["node"]).select("root_id", F.col("next").alias("other_root"), F.lit(depth).alias("depth"), F.concat("path", F.array("next")).alias("path"))
+        shortest = on.groupBy("root_id", "other_root").agg(F.min("depth").alias("depth"), F.min("path").alias("path"))
+        front = written(shortest.join(known.select("root_id", "other_root"), ["root_id", "other_root"], "left_anti"), "histories")
+        known = known.unionByName(front)
+    leads = step.select(F.col("node").alias("other_root")).distinct().withColumn("_on", F.lit(True))
+    return known.join(leads, "other_root", "left").select("root_id", "other_root", "depth", "path", F.col("_on").isNull().alias("last"))
+
+
 def replaced(df: DataFrame, column: str, mapping: DataFrame) -> DataFrame:
     """A column's values by a map (old, new); values that the map lacks stay."""
     m = mapping.select(F.col("old").alias("_old"), F.col("new").alias("_new"))

@@ -51,6 +51,34 @@ def upserted(old: DataFrame, new: DataFrame, key: str = "id") -> DataFrame:
     return joined.select(key, *cols)
 
 
+def checked(new: DataFrame, kinds: dict[str, str], key: str = "id", low: int = 0, high: int = (1 << 63) - 1) -> tuple[DataFrame, DataFrame]:
+    """Rows that a table of these column types can take, and the others as they came with a ``reason``.
+
+    Rejected are rows with a null key, a key outside [low, high], a value that its column's type does not
+    hold, and all rows of a key that comes with different values; equal rows of one key are one row.
+    """
+    cols = [c for c in new.columns if c in kinds]
+    given = new.select(*cols).distinct()
+    cast = {c: F.col(c).try_cast(kinds[c]) for c in cols}
+    reason = F.when(F.col(key).isNull(), "no key")
+    for c in cols:
+        reason = reason.when(F.col(c).isNotNull() & cast[c].isNull(), f"{c} is no {kinds[c]}")
+    reason = reason.when(~cast[key].between(low, high), "key out of range")
+    marked = given.withColumn("reason", reason)
+    fine = marked.where("reason IS NULL").select(*[cast[c].alias(c) for c in cols], F.struct(*cols).alias("_given"))
+    several = fine.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(key)
+    repeated = fine.join(several, key, "left_semi").select("_given.*", F.lit("repeated key").alias("reason"))
+    return fine.join(several, key, "left_anti").select(*cols), marked.where("reason IS NOT NULL").unionByName(repeated)
+
+
+def upserted_checked(old: DataFrame, new: DataFrame, key: str = "id", low: int = 0, high: int = (1 << 63) - 1) -> tuple[DataFrame, DataFrame]:
+    """The table after an upsert of the rows that it can take, and those it cannot with their reasons: one bad row
+    costs no other its place.
+    """
+    good, rejects = checked(new, dict(old.dtypes), key, low, high)
+    return upserted(old, good, key), rejects
+
+
 def upserted_positive(old: DataFrame, new: DataFrame, key: str = "id") -> DataFrame:
     """The same, but a new value counts only if above 0; columns that a side lacks are 0."""
     n = new.select(F.col(key), *[F.col(c).alias(f"_n_{c}") for c in new.columns if c != key])
