@@ -11,7 +11,7 @@ from ..fixtures import VOXEL_SCALE, versions, versions_sql
 from ..operators import aggregates, bucketed, filters, lineage
 from ..plans import ledger, live, maintain
 from ..plans import versions as v
-from ..sources import columnfiles
+from ..sources import columnfiles, volume
 from ..store import current, shared_dir, written
 from ..streaming import jobs as streams
 from .base import Tables, query, ts
@@ -321,6 +321,14 @@ def point_lookup_pivot(t: Tables) -> DataFrame:
     return maintain.looked_up(t.anno, POINTS, t.voxels, VOXEL_SCALE)
 
 
+@query(_LOOKED.format(rows="anno"), "anno", "voxels")
+def point_lookup_blocks(t: Tables) -> DataFrame:
+    """The same from compressed blocks, each decoded where its points come to."""
+    path = shared_dir(t.spark, "volume")
+    volume.write(t.voxels, path, 8)
+    return maintain.looked_up_blocks(t.anno, POINTS, path, 8, VOXEL_SCALE)
+
+
 @query(
     f"""SELECT k.id, k.pre_pt_supervoxel_id, l.root_id AS pre_pt_root_id, k.post_pt_supervoxel_id, m.root_id AS post_pt_root_id FROM ({_LOOKED.format(rows=_MISSING)}) k
 LEFT JOIN lineage l ON l.supervoxel_id = k.pre_pt_supervoxel_id AND {_in_force('l', V2)} LEFT JOIN lineage m ON m.supervoxel_id = k.post_pt_supervoxel_id AND {_in_force('m', V2)}""",

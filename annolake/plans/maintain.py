@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import scalar
 from ..operators import aggregates, filters, lineage
 from ..schema import AXES, supervoxel_of
+from ..sources import volume
 from ..store import current, exists, replace, written
 from . import ledger
 
@@ -19,16 +20,29 @@ def missing(anno: DataFrame, seg: DataFrame) -> DataFrame:
     return filters.valid(anno).join(seg.select("id"), "id", "left_anti")
 
 
-def looked_up(anno: DataFrame, points: list[str], voxels: DataFrame, scale: tuple[float, float, float]) -> DataFrame:
-    """(id, {point}_supervoxel_id, ...): the voxel at each point, 0 where there is none."""
+def _voxel_points(anno: DataFrame, points: list[str], scale: tuple[float, float, float]) -> DataFrame:
+    """(id, type, vx, vy, vz): the voxel of each point."""
     stacked = aggregates.stacked_points(anno, points)
-    at = stacked.select("id", "type", *[scalar.scaled(F.col(a), s).cast("int").alias(f"v{a}") for a, s in zip("xyz", scale, strict=True)])
-    found = at.join(voxels, ["vx", "vy", "vz"], "left")
+    return stacked.select("id", "type", *[scalar.scaled(F.col(a), s).cast("int").alias(f"v{a}") for a, s in zip("xyz", scale, strict=True)])
+
+
+def _by_point(found: DataFrame, points: list[str]) -> DataFrame:
+    """(id, {point}_supervoxel_id, ...) of looked-up points (id, type, supervoxel_id), 0 where there is none."""
     types = [p.removesuffix("_position") for p in points]
     wide = found.groupBy("id").pivot("type", types).agg(F.first(F.coalesce("supervoxel_id", F.lit(0))))
     return wide.select("id", *[F.coalesce(F.col(t), F.lit(0)).cast("long").alias(supervoxel_name(t)) for t in types])
 
 
+def looked_up(anno: DataFrame, points: list[str], voxels: DataFrame, scale: tuple[float, float, float]) -> DataFrame:
+    """(id, {point}_supervoxel_id, ...): the voxel at each point, 0 where there is none."""
+    return _by_point(_voxel_points(anno, points, scale).join(voxels, ["vx", "vy", "vz"], "left"), points)
+
+
+def looked_up_blocks(anno: DataFrame, points: list[str], path: str, buckets: int, scale: tuple[float, float, float]) -> DataFrame:
+    """The same from a volume of compressed blocks."""
+    return _by_point(volume.supervoxels(anno.sparkSession, _voxel_points(anno, points, scale), path, buckets), points)
+
+
 def supervoxel_name(point: str) -> str:
     """The supervoxel column of a point; names without "pt" get it."""
     return f"{point if point.endswith('pt') else f'{point}_pt'}_supervoxel_id"
