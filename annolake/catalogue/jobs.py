@@ -183,16 +183,8 @@ _ROW_TIMES = "(SELECT o_orderkey AS id, o_orderdate AS t FROM orders)"
  (SELECT version FROM {versions_sql()} WHERE valid AND time_stamp >= r.t ORDER BY time_stamp LIMIT 1) AS future FROM {_ROW_TIMES} r"""
 )
 def closest_version(t: Tables) -> DataFrame:
-    """For every order's time the newest valid version before and the oldest after it (J17): the
-    catalogue's few times become literals, so this is one scan.
-    """
-    rows = versions(t.spark).where("valid").orderBy("time_stamp").select("version", F.date_format("time_stamp", "yyyy-MM-dd HH:mm:ss").alias("s")).collect()
-    past, future = F.lit(None).cast("int"), F.lit(None).cast("int")
-    for r in rows:
-        past = F.when(F.col("o_orderdate") >= ts(r["s"]), r["version"]).otherwise(past)
-    for r in reversed(rows):
-        future = F.when(F.col("o_orderdate") <= ts(r["s"]), r["version"]).otherwise(future)
-    return t.orders.select(F.col("o_orderkey").alias("id"), past.alias("past"), future.alias("future"))
+    """For every order's time the newest valid version before and the oldest after it (J17): one scan."""
+    return v.closest_each(t.orders.select(F.col("o_orderkey").alias("id"), "o_orderdate"), "o_orderdate", versions(t.spark)).select("id", "past", "future")
 
 
 @query(
@@ -226,6 +218,29 @@ def retention_plan(t: Tables) -> DataFrame:
     return v.retention(_order_versions(t), ts(now), keep=10)
 
 
+_MONTHS = """(SELECT year(o_orderdate) * 12 + month(o_orderdate) AS version, max(o_orderdate) AS time_stamp, count(*) % 3 > 0 AS valid,
+ max(o_orderdate) + INTERVAL 900 DAY AS expires_on, count(*) AS n FROM orders GROUP BY 1)"""
+
+
+@query(
+    f"""WITH m AS {_MONTHS}, gone AS (SELECT version, row_number() OVER (ORDER BY time_stamp, version) AS place FROM m, (SELECT max(o_orderdate) AS now FROM orders), (SELECT max(time_stamp) AS newest FROM m WHERE valid)
+ WHERE (expires_on < now OR NOT valid) AND NOT (valid AND time_stamp = newest))
+SELECT version, n FROM m WHERE version NOT IN (SELECT version FROM gone WHERE place <= (SELECT count(*) FROM m) - 40)"""
+)
+def retention_removed(t: Tables) -> DataFrame:
+    """A stored version a month of orders, and what is left of them after the removal of expired and invalid ones."""
+    root = shared_dir(t.spark, "versions")
+    version = F.year("o_orderdate") * 12 + F.month("o_orderdate")
+    t.orders.withColumn("version", version).write.partitionBy("version").parquet(root)
+    of = t.orders.groupBy(version.alias("version")).agg(F.max("o_orderdate").alias("time_stamp"), (F.count(F.lit(1)) % 3 > 0).alias("valid"))
+    of = written(of.withColumn("expires_on", F.expr("time_stamp + INTERVAL 900 DAY")), "months")
+    now = t.orders.agg(F.date_format(F.max("o_orderdate"), "yyyy-MM-dd HH:mm:ss")).first()[0]
+    plan = v.retention(of, ts(now), keep=40)
+    v.removed(t.spark, plan.withColumn("version", F.concat(F.lit("version="), F.col("version").cast("string"))), root)
+    left = t.spark.read.parquet(root)
+    return left.groupBy(F.col("version").cast("long").alias("version")).agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("SELECT o_orderkey AS version FROM orders WHERE o_orderstatus <> 'F' ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 1")
 def newest_version(t: Tables) -> DataFrame:
     """The newest valid version."""

@@ -216,8 +216,8 @@ def export_view(t: Tables) -> DataFrame:
 
 
 @query(
-    """SELECT v.layout, count(*) AS n, CAST(sum(a.id) AS BIGINT) AS ids FROM anno a JOIN seg s USING (id),
- (VALUES ('id'), ('pre_pt_root_id'), ('post_pt_root_id'), ('post_pt_position')) v(layout) GROUP BY 1""",
+    """SELECT v.layout, a.id, a.tag, a.post_pt_position_x, s.post_pt_root_id FROM anno a JOIN seg s USING (id),
+ (VALUES ('id'), ('pre_pt_root_id'), ('post_pt_root_id'), ('post_pt_position')) v(layout)""",
     "anno", "seg",
 )
 def export_discovered(t: Tables) -> DataFrame:
@@ -228,8 +228,7 @@ def export_discovered(t: Tables) -> DataFrame:
     layout.export(flat, specs, root)
     out = None
     for s in specs:
-        part = t.spark.read.parquet(f"{root}/{s.name}").agg(F.count(F.lit(1)).alias("n"), F.sum("id").alias("ids"))
-        part = part.select(F.lit(s.name).alias("layout"), "n", "ids")
+        part = t.spark.read.parquet(f"{root}/{s.name}").select(F.lit(s.name).alias("layout"), "id", "tag", "post_pt_position_x", "post_pt_root_id")
         out = part if out is None else out.unionAll(part)
     return out
 

@@ -109,12 +109,23 @@ def by_relationship(t: Tables) -> DataFrame:
     return found.groupBy("root_id").agg(F.sum("n").alias("n"), F.min(F.element_at("ids", 1)).alias("first_id"), F.max(F.element_at("ids", -1)).alias("last_id"))
 
 
-@query("SELECT 'LINE' AS geometry, 'pre_pt_root_id,post_pt_root_id' AS relationships, 'tag' AS enums, 'size' AS numbers, count(*) AS n FROM anno", "anno")
+@query(
+    """SELECT 'geometry' AS kind, 'LINE' AS name, count(*) AS n, count(pre_pt_position_x) AS n_values FROM anno
+UNION ALL SELECT 'relationship', 'pre_pt_root_id', count(s.pre_pt_root_id), count(DISTINCT s.pre_pt_root_id) FROM anno LEFT JOIN seg s USING (id)
+UNION ALL SELECT 'relationship', 'post_pt_root_id', count(s.post_pt_root_id), count(DISTINCT s.post_pt_root_id) FROM anno LEFT JOIN seg s USING (id)
+UNION ALL SELECT 'enum', 'tag', count(tag), count(DISTINCT tag) FROM anno UNION ALL SELECT 'number', 'size', count(size), count(DISTINCT size) FROM anno""",
+    "anno", "seg",
+)
 def property_discovery(t: Tables) -> DataFrame:
-    """What a table gives a viewer, by its schema (V5)."""
-    found = report.discovered(t.anno.join(t.seg, "id", "left"))
-    said = {"geometry": found["geometry"], "relationships": ",".join(found["relationships"]), "enums": ",".join(found["enums"]), "numbers": ",".join(found["numbers"])}
-    return t.anno.agg(F.count(F.lit(1)).alias("n")).select(*[F.lit(x).alias(c) for c, x in said.items()], "n")
+    """What a table gives a viewer, by its schema, with rows and distinct values of each (V5)."""
+    df = t.anno.join(t.seg, "id", "left")
+    found = report.discovered(df)
+    named = [("relationship", c) for c in found["relationships"]] + [("enum", c) for c in found["enums"]] + [("number", c) for c in found["numbers"]]
+    aggs = [F.count(c).alias(f"n{i}") for i, (_, c) in enumerate(named)] + [F.count_distinct(c).alias(f"d{i}") for i, (_, c) in enumerate(named)]
+    one = df.agg(F.count(F.lit(1)).alias("n"), F.count(f"{found['points'][0]}_x").alias("d"), *aggs)
+    rows = [F.struct(F.lit(k).alias("kind"), F.lit(c).alias("name"), F.col(f"n{i}").alias("n"), F.col(f"d{i}").alias("n_values")) for i, (k, c) in enumerate(named)]
+    whole = F.struct(F.lit("geometry").alias("kind"), F.lit(found["geometry"]).alias("name"), F.col("n").alias("n"), F.col("d").alias("n_values"))
+    return one.select(F.explode(F.array(whole, *rows)).alias("r")).select("r.*")
 
 
 @query(

@@ -31,27 +31,26 @@ def combined(frozen: DataFrame, delta: DataFrame, version_time: Column, query_ti
     return stay.unionByName(enter.select(*frozen.columns), allowMissingColumns=True)
 
 
-def rewritten(spec: dict[str, dict], roots: DataFrame) -> dict[str, dict]:
-    """Filters on roots at one time as filters at another: (root_id, other_root) says which.
+def asked_then(df: DataFrame, spec: dict[str, dict], roots: DataFrame) -> DataFrame:
+    """Rows that satisfy filters given for one time at another: (root_id, other_root) says which roots were which.
 
-    An "equal" on a root becomes an "in" of all it maps to; a root that maps to nothing matches
-    nothing. Only root columns are rewritten.
+    An "equal" on a root asks for all it maps to, however many; a root that maps to nothing matches
+    nothing. What roots map to is joined and never leaves the executors. Only root columns are rewritten.
     """
-    to: dict[int, list[int]] = {}
-    for a, b in roots.collect():  # ids named in filters, not rows
-        to.setdefault(a, []).append(b)
-    out = {k: dict(v) for k, v in without_roots(spec).items()}
+    out = filters.apply(df, without_roots(spec))
     for kind, by in spec.items():
         for c, value in by.items():
             if not c.endswith("root_id"):
                 continue
             if kind not in ("equal", "in", "notin"):
                 raise ValueError(f"a root cannot be translated in a filter {kind!r}")
-            named = [value] if kind == "equal" else value
-            there = {b for a in named for b in to.get(a, [])}
-            into = out.setdefault("notin" if kind == "notin" else "in", {})
-            into[c] = sorted(there & set(into[c]) if c in into else there)
-    return {k: v for k, v in out.items() if v}
+            named = [value] if kind == "equal" else list(value)
+            there = filters.is_in(roots, "root_id", named).select(F.col("other_root").alias("_then")).distinct()
+            if kind == "notin":
+                out = out.where(F.col(c).isNotNull()).join(there, F.col(c) == F.col("_then"), "left_anti")
+            else:
+                out = out.join(there, F.col(c) == F.col("_then"), "left_semi")
+    return out
 
 
 def without_roots(spec: dict[str, dict]) -> dict[str, dict]:
@@ -83,7 +82,7 @@ def at_time(
     spark = frozen.sparkSession
     roots = spark.createDataFrame([(r,) for r in named_roots(spec)], "root_id long")
     then = lineage.translate(roots, table, query_time, version_time) if named_roots(spec) else spark.createDataFrame([], "root_id long, other_root long")
-    asked = filters.apply(frozen, rewritten(spec, then))
+    asked = asked_then(frozen, spec, then)
     early, late = (version_time, query_time) if forward else (query_time, version_time)
     edited = filters.edited_between(anno, early, late)
     delta = filters.apply(edited, without_roots(spec)).join(seg, "id")
