@@ -1,7 +1,7 @@
 """A volume of supervoxels as compressed blocks, and lookups that decode each block they need once.
 
 A block of 64 x 64 x 64 voxels is keyed by the Morton code of its place and holds its supervoxels as one
-compressed array; places without a supervoxel are 0. The blocks lie in buckets by their key, so that
+compressed array; places without a supervoxel are 0. One with few of them holds their places and numbers. The blocks lie in buckets by their key, so that
 points, dealt to their blocks, come to them: the shuffle carries points and keys, never voxels.
 """
 
@@ -21,6 +21,8 @@ from ..operators import bucketed
 #: Bits of a block's edge.
 BITS = 6
 SIZE = 1 << (3 * BITS)
+#: Voxels below which a block is stored by places.
+SPARSE = SIZE // 8
 #: Points that are looked up with one decoding of their block.
 PER_PART = 65_536
 
@@ -32,6 +34,27 @@ def _place(axes: list[Column]) -> tuple[Column, Column]:
     return block, inside[0].bitwiseOR(F.shiftleft(inside[1], BITS)).bitwiseOR(F.shiftleft(inside[2], 2 * BITS))
 
 
+def _encoded(at: np.ndarray, sv: np.ndarray) -> bytes:
+    """A block's bytes: a letter for its form, then what is compressed."""
+    if len(at) < SPARSE:
+        order = np.argsort(at)
+        return b"S" + zlib.compress(at[order].astype("<i4").tobytes() + sv[order].astype("<i8").tobytes(), 1)
+    whole = np.zeros(SIZE, "<i8")
+    whole[at] = sv
+    return b"D" + zlib.compress(whole.tobytes(), 1)
+
+
+def _looked_up(data: bytes, at: np.ndarray) -> np.ndarray:
+    """Supervoxels at places of a block."""
+    raw = zlib.decompress(data[1:])
+    if data[:1] == b"D":
+        return np.frombuffer(raw, "<i8")[at]
+    n = len(raw) // 12
+    places, sv = np.frombuffer(raw, "<i4", n), np.frombuffer(raw, "<i8", n, 4 * n)
+    where = np.minimum(np.searchsorted(places, at), n - 1)
+    return np.where(places[where] == at, sv[where], 0)
+
+
 def blocks(voxels: DataFrame) -> DataFrame:
     """(block, data) of voxels (vx, vy, vz, supervoxel_id); of several at one place the largest counts."""
     block, at = _place([F.col("vx"), F.col("vy"), F.col("vz")])
@@ -44,9 +67,7 @@ def blocks(voxels: DataFrame) -> DataFrame:
             data = []
             for v in b.column(1):
                 s = v.values
-                whole = np.zeros(SIZE, "<i8")
-                whole[np.asarray(s.field("at"))] = np.asarray(s.field("sv"))
-                data.append(zlib.compress(whole.tobytes(), 1))
+                data.append(_encoded(np.asarray(s.field("at")), np.asarray(s.field("sv"))))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(data, pa.binary())], ["block", "data"])
 
     return held.mapInArrow(run, "block long, data binary")
@@ -68,14 +89,27 @@ def supervoxels(spark: SparkSession, points: DataFrame, path: str, buckets: int)
     parts = rows.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / PER_PART).alias("parts"))
     dealt = rows.join(parts, "block").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")))
     held = dealt.groupBy("block", "part").agg(F.collect_list(F.struct("id", "type", "at")).alias("p"))
-    found = held.join(bucketed.read(spark, path, buckets, "block"), "block", "left")
+    with_data = held.join(bucketed.read(spark, path, buckets, "block"), "block", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, types, found, n = [], [], [], 0
+
+        def flushed() -> pa.RecordBatch:
+            cols = [pa.concat_arrays(ids), pa.concat_arrays(types), pa.array(np.concatenate(found).astype(np.int64))]
+            return pa.RecordBatch.from_arrays(cols, ["id", "type", "supervoxel_id"])
+
         for b in batches:
             for p, data in zip(b.column(0), b.column(1), strict=True):
                 s = p.values
                 at = np.asarray(s.field("at"))
-                sv = np.frombuffer(zlib.decompress(data.as_py()), "<i8")[at] if data.is_valid else np.zeros(len(at), np.int64)
-                yield pa.RecordBatch.from_arrays([s.field("id"), s.field("type"), pa.array(sv.astype(np.int64))], ["id", "type", "supervoxel_id"])
-
-    return found.select("p", "data").mapInArrow(run, "id long, type string, supervoxel_id long")
+                ids.append(s.field("id"))
+                types.append(s.field("type"))
+                found.append(_looked_up(data.as_py(), at) if data.is_valid else np.zeros(len(at), np.int64))
+                n += len(at)
+                if n >= PER_PART:
+                    yield flushed()
+                    ids, types, found, n = [], [], [], 0
+        if n:
+            yield flushed()
+
+    return with_data.select("p", "data").mapInArrow(run, "id long, type string, supervoxel_id long")

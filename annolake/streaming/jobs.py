@@ -37,8 +37,9 @@ def ingest(
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-#: Parts that the rows of a supervoxel are dealt to, so that one which very many rows have is several keys.
-SALT = 8
+#: Parts that the rows of a hot supervoxel are dealt to, each a key of its own; hot is one that more than this
+#: share of a table's places have at the stream's beginning.
+SALT, HOT = 16, 0.01
 #: Stands for no root in a state.
 _NONE = -1
 
@@ -51,7 +52,7 @@ class Refresher(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.newest = handle.getValueState("newest", "root_id long, since long")
-        self.rows = handle.getMapState("rows", "id long, place int", "root_id long")
+        self.rows = handle.getListState("rows", "id long, place int, root_id long")
 
     def _taken(self, frames: Iterator[pd.DataFrame]) -> tuple[tuple | None, tuple | None, list[tuple]]:
         """The newest lineage row before and after some events, and the table rows among them."""
@@ -62,51 +63,64 @@ class Refresher(StatefulProcessor):
             for root, since in f.loc[kind == 0, ["root_id", "since"]].itertuples(index=False, name=None):
                 if now is None or (since, root) > (now[1], now[0]):
                     now = (root, since)
-            for i, place, root in f.loc[kind == 1, ["id", "place", "root_id"]].itertuples(index=False, name=None):
-                self.rows.updateValue((i, place), (root,))
-                new.append(((i, place), root))
+            new += f.loc[kind == 1, ["id", "place", "root_id"]].itertuples(index=False, name=None)
         if now != before:
             self.newest.update(now)
         return before, now, new
 
     def handleInitialState(self, key: tuple, initialState: pd.DataFrame, timerValues: object) -> None:
-        self._taken(iter([initialState]))
+        _, _, new = self._taken(iter([initialState]))
+        if new:
+            self.rows.appendList(new)
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
         before, now, new = self._taken(rows)
-        if now is None:
-            return
-        moved = before is None or now[0] != before[0]
-        held = [(k, v[0]) for k, v in self.rows.iterator()] if moved else new
-        stale = [k for k, root in held if root != now[0]]
-        for k in stale:
-            self.rows.updateValue(k, (now[0],))
+        moved = now is not None and (before is None or now[0] != before[0])
+        held = [tuple(r) for r in self.rows.get()] if moved else []
+        stale = [r for r in (*held, *new) if now is not None and r[2] != now[0]]
+        if moved and held:  # a list is written again only where its supervoxel's root changed
+            self.rows.put([(i, place, now[0]) for i, place, _ in (*held, *new)])
+        elif new:
+            self.rows.appendList([(i, place, root if now is None else now[0]) for i, place, root in new])
         if stale:
-            yield pd.DataFrame({"id": [k[0] for k in stale], "place": pd.array([k[1] for k in stale], "int32"), "root_id": [now[0]] * len(stale)})
+            yield pd.DataFrame({"id": [r[0] for r in stale], "place": pd.array([r[1] for r in stale], "int32"), "root_id": [now[0]] * len(stale)})
 
     def close(self) -> None:
         pass
 
 
-def _line_events(lines: DataFrame, when: str, salt: int) -> DataFrame:
-    """Lineage rows in force at a time, for every salt; closed ones end here."""
+def _line_events(lines: DataFrame, when: str, hot: list[int]) -> DataFrame:
+    """Lineage rows in force at a time, one for each salt of their supervoxel; closed ones end here."""
     at = F.lit(when).cast("timestamp_ntz")
     now = lines.where((F.col("valid_from") <= at) & (at < F.col("valid_to")) & F.col("supervoxel_id").isNotNull())
     since = F.unix_micros(F.col("valid_from").cast("timestamp"))
-    salts = F.explode(F.sequence(F.lit(0), F.lit(salt - 1)))
+    salts = F.explode(F.sequence(F.lit(0), F.when(F.col("supervoxel_id").isin(hot), SALT - 1).otherwise(0)))
     return now.select("supervoxel_id", salts.alias("salt"), F.lit(0).alias("kind"), F.lit(0).cast("long").alias("id"), F.lit(0).alias("place"), F.coalesce("root_id", F.lit(_NONE)).alias("root_id"), since.alias("since"))
 
 
-def _row_events(rows: DataFrame, roots: list[str], salt: int) -> DataFrame:
+def _row_events(rows: DataFrame, roots: list[str], hot: list[int]) -> DataFrame:
     """A table's rows as events of the supervoxels that they have."""
     each = [F.struct(F.col(supervoxel_of(r)).alias("supervoxel_id"), F.lit(i).alias("place"), F.coalesce(r, F.lit(_NONE)).cast("long").alias("root_id")) for i, r in enumerate(roots)]
     wide = rows.select("id", F.explode(F.array(*each)).alias("r")).where("r.supervoxel_id > 0")
-    return wide.select("r.supervoxel_id", F.pmod(F.xxhash64("id"), F.lit(salt)).cast("int").alias("salt"), F.lit(1).alias("kind"), "id", "r.place", "r.root_id", F.lit(0).cast("long").alias("since"))
+    salt = F.when(F.col("r.supervoxel_id").isin(hot), F.pmod(F.xxhash64("id"), F.lit(SALT)).cast("int")).otherwise(0)
+    return wide.select("r.supervoxel_id", salt.alias("salt"), F.lit(1).alias("kind"), "id", "r.place", "r.root_id", F.lit(0).cast("long").alias("since"))
+
+
+def _hot(table: DataFrame, roots: list[str], checkpoint: str) -> list[int]:
+    """Supervoxels, fewer than 1 / ``HOT``, that many rows have. They stay those of the stream's first start, as
+    a key must not change while its state is kept.
+    """
+    spark, path = table.sparkSession, f"{checkpoint}.hot"
+    if not exists(spark, f"{path}/_SUCCESS"):
+        each = _row_events(table, roots, []).groupBy("supervoxel_id").agg(F.count(F.lit(1)).alias("n"))
+        total = each.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+        each.where(F.col("n") > max(HOT * total, SALT)).select("supervoxel_id").write.mode("overwrite").parquet(path)
+    return [r[0] for r in spark.read.schema("supervoxel_id long").parquet(path).collect()]
 
 
 def refresh(
     spark: SparkSession, source: str, schema, target: str, checkpoint: str, roots: list[str], when: str, lines: DataFrame | None = None, files_per_batch: int = 100,
-    arrivals: str | None = None, salt: int = SALT,
+    arrivals: str | None = None,
 ) -> StreamingQuery:
     """Bring roots up to date as lineage rows arrive: of the rows in force at ``when``, the newest of
     each supervoxel counts - among those that arrive, those of earlier batches, and ``lines``, what
@@ -117,21 +131,22 @@ def refresh(
     folder of parquet. A batch touches only the supervoxels that it brings, whatever the table's size.
     What it changes is written as a delta (id, place of the root column, root) under its number, so a batch
     that is run again writes the same; ``latest_rows`` reads table and deltas, ``compacted`` puts them
-    together. The checkpoint belongs to one target, list of roots and salt.
+    together. The checkpoint belongs to one target and list of roots.
     """
     own = spark.newSession()  # its state store is no setting of the caller's session
     own.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     for k in ("spark.sql.shuffle.partitions", "spark.sql.session.timeZone"):
         own.conf.set(k, spark.conf.get(k))
-    begin = _row_events(own.read.parquet(current(own, target)), roots, salt)
+    table = own.read.parquet(current(own, target))
+    hot = _hot(table, roots, checkpoint)
+    begin = _row_events(table, roots, hot)
     if lines is not None:
         known = shared_dir(spark, "lines")
         lines.write.parquet(known)
-        begin = begin.unionByName(_line_events(own.read.schema(lines.schema).parquet(known), when, salt))
-    stream = _line_events(own.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(source), when, salt)
+        begin = begin.unionByName(_line_events(own.read.schema(lines.schema).parquet(known), when, hot))
+    stream = _line_events(own.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(source), when, hot)
     if arrivals:
-        table = own.read.parquet(current(own, target)).schema
-        stream = stream.unionByName(_row_events(own.readStream.schema(table).option("maxFilesPerTrigger", files_per_batch).parquet(arrivals), roots, salt))
+        stream = stream.unionByName(_row_events(own.readStream.schema(table.schema).option("maxFilesPerTrigger", files_per_batch).parquet(arrivals), roots, hot))
     key = ["supervoxel_id", "salt"]
     changed = stream.groupBy(*key).transformWithStateInPandas(Refresher(), "id long, place int, root_id long", "Update", "None", initialState=begin.groupBy(*key))
 
