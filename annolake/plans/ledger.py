@@ -84,8 +84,8 @@ def claim(cells: DataFrame, path: str, keys: list[str], count: int | None = None
         todo = todo.orderBy("rank", *keys).limit(count)
     _append(written(todo.select(*keys), "claims"), path, keys, "claimed", run, now, now + lease)
     events = log(spark, path, keys)
-    ended = events.where("status <> 'claimed'").groupBy(*keys).agg(F.max("at").alias("ended"))
-    live = events.where((F.col("status") == "claimed") & (F.col("until") > _time(now))).join(ended, keys, "left").where("ended IS NULL OR at >= ended")
+    ended = events.where("status <> 'claimed'").select(*keys, "run").distinct()
+    live = events.where((F.col("status") == "claimed") & (F.col("until") > _time(now))).join(ended, [*keys, "run"], "left_anti")
     first = live.groupBy(*keys).agg(F.min(F.struct("at", "run")).alias("m"))
     return run, written(first.where(F.col("m.run") == run).select(*keys), "claimed")
 
