@@ -104,9 +104,11 @@ def _sketch(key: Column, kind: str) -> Column:
     return (F.kll_sketch_agg_bigint if kind == "bigint" else F.kll_sketch_agg_double)(key, SKETCH_K)
 
 
-def _asked(sketch: str, kind: str, shares: list[float]) -> Column:
+def _asked(sketch: str, kind: str, n: int) -> Column:
+    """The values at even shares, 0 to 1 in ``n`` steps, of a sketch."""
     quantile = F.kll_sketch_get_quantile_bigint if kind == "bigint" else F.kll_sketch_get_quantile_double
-    return quantile(sketch, F.array(*map(F.lit, shares)))
+    shares = ",".join(str(i / n) for i in range(n + 1))  # one constant, not a column a share
+    return quantile(sketch, F.split(F.lit(shares), ",").cast("array<double>"))
 
 
 def sketched(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -134,11 +136,10 @@ def merged_sketches(sketches: DataFrame) -> DataFrame:
 
 def sketched_cuts(sketches: DataFrame, n: int) -> DataFrame:
     """(column_name, i, cut): n - 1 cut points of each column, each within ``RANK_ERROR`` of its rank."""
-    shares = [i / n for i in range(1, n)]
     out = None
     for key in ("bigint", "double"):
         mine = sketches.where((F.col("key") == key) & (F.col("n") > 0))
-        cuts = mine.select("column_name", F.posexplode(_asked("sketch", key, shares)).alias("i", "cut")).select("column_name", (F.col("i") + 1).alias("i"), F.col("cut").cast("double").alias("cut"))
+        cuts = mine.select("column_name", F.posexplode(_asked("sketch", key, n)).alias("i", "cut")).where(F.col("i").between(1, n - 1)).select("column_name", "i", F.col("cut").cast("double").alias("cut"))
         out = cuts if out is None else out.unionAll(cuts)
     return out
 
@@ -210,7 +211,6 @@ def _placed(df: DataFrame, kind: str, bounds: dict[str, list]) -> DataFrame:
 def _block_stats(df: DataFrame, kind: str, bounds: dict[str, list]) -> dict[str, dict[int, tuple[int, list]]]:
     """For each column and block: rows, and values at even shares of them."""
     of = "bigint" if kind in ("bigint", "date") else "double"
-    shares = [i / GRID for i in range(GRID + 1)]
     columns = list(bounds)
     out: dict[str, dict[int, tuple[int, list]]] = {c: {} for c in columns}
     if not any(bounds.values()):
@@ -219,12 +219,12 @@ def _block_stats(df: DataFrame, kind: str, bounds: dict[str, list]) -> dict[str,
             v = F.nanvl(F.col(c), F.lit(None)) if kind == "double" else F.col(c)
             nan = F.count_if(F.isnan(F.col(c))) if kind == "double" else F.count_if(F.lit(False))
             aggs += [F.count(v).alias(f"n{i}"), nan.alias(f"x{i}"), _sketch(_key(v, kind), of).alias(f"s{i}")]
-        row = df.agg(*aggs).select("*", *[F.when(F.col(f"n{i}") > 0, _asked(f"s{i}", of, shares)).alias(f"q{i}") for i in range(len(columns))]).drop(*[f"s{i}" for i in range(len(columns))]).first()
+        row = df.agg(*aggs).select("*", *[F.when(F.col(f"n{i}") > 0, _asked(f"s{i}", of, GRID)).alias(f"q{i}") for i in range(len(columns))]).drop(*[f"s{i}" for i in range(len(columns))]).first()
         for i, c in enumerate(columns):
             out[c] = {0: (row[f"n{i}"], row[f"q{i}"]), -1: (row[f"x{i}"], [])}
         return out
     rows = _placed(df, kind, bounds).where("block >= 0").groupBy("c", "block").agg(F.count(F.lit(1)).alias("n"), _sketch(F.col("key"), of).alias("s"))
-    for r in rows.select("c", "block", "n", _asked("s", of, shares).alias("q")).collect():  # a few rows a cut point
+    for r in rows.select("c", "block", "n", _asked("s", of, GRID).alias("q")).collect():  # a few rows a cut point
         out[columns[r["c"]]][r["block"]] = (r["n"], r["q"])
     return out
 
@@ -269,9 +269,13 @@ def _ranked_values(df: DataFrame, kind: str, bounds: dict, held: dict, ranks: di
     rows = _placed(df, kind, bounds).where("block >= 0").withColumn("v", F.when(inside, F.col("v")))
     counted = rows.groupBy("c", "block", "v").agg(F.count(F.lit(1)).alias("n"))
     upto = counted.withColumn("upto", F.sum("n").over(Window.partitionBy("c").orderBy("block", "v").rowsBetween(Window.unboundedPreceding, 0)))
-    asked = df.sparkSession.createDataFrame([(i, r) for i, c in enumerate(ranks) for r in ranks[c]] or [(-1, 0)], "c int, r long")
-    hit = upto.where("v IS NOT NULL").join(F.broadcast(asked), "c").where((F.col("r") <= F.col("upto")) & (F.col("r") > F.col("upto") - F.col("n")))  # a row a cut point
-    return [tuple(r) for r in hit.select("c", "r", "v").collect()]
+    hit = F.lit(False)
+    for i, c in enumerate(bounds):
+        if ranks[c]:
+            hit = hit | ((F.col("c") == i) & F.exists(F.array(*map(F.lit, ranks[c])), lambda r: (r <= F.col("upto")) & (r > F.col("upto") - F.col("n"))))
+    columns = list(bounds)
+    rows = upto.where("v IS NOT NULL").where(hit).select("c", "v", "upto", "n").collect()  # a row a cut point
+    return [(i, r, v) for i, v, upto_, n in rows for r in ranks[columns[i]] if upto_ - n < r <= upto_]
 
 
 def uniform_cuts(df: DataFrame, column: str, n: int) -> list[float]:

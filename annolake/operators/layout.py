@@ -16,7 +16,8 @@ from . import aggregates, manifest
 @dataclass(frozen=True)
 class Layout:
     """How one copy of a table lies: by ranges or a hash of a column, or by the Morton code of a point; in how
-    many files at least (as many as buckets unless told), and the columns that get a filter by file.
+    many files at least (as many as buckets unless told), the columns that get a filter by file, and whether
+    the column it goes by gets one of parquet's own, by row group (the files' ends tell those apart already).
     """
 
     name: str
@@ -76,7 +77,7 @@ def write(df: DataFrame, spec: Layout, cuts: list, path: str) -> None:
     if spec.bloom:
         out = out.option(f"parquet.bloom.filter.enabled#{c}", "true").option(f"parquet.bloom.filter.fpp#{c}", "0.001")
     out.parquet(path)
-    manifest.write(df.sparkSession, path, rows.schema, c, tuple(dict.fromkeys((*spec.filters, *([c] if spec.bloom else [])))))
+    manifest.write(df.sparkSession, path, rows.schema, c, spec.filters)
 
 
 def written_counting(df: DataFrame, path: str) -> int:

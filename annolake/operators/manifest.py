@@ -13,7 +13,7 @@ from __future__ import annotations
 import heapq
 import math
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -72,12 +72,15 @@ def morton_ranges(low: tuple[int, int, int], high: tuple[int, int, int], most: i
     return out
 
 
-def _positions(value: Column, bits: Column) -> Column:
-    """Places of a value in a filter of so many bits, from two hashes."""
-    one, two = F.xxhash64(value), F.xxhash64(value, F.lit(1))
-    # the low 32 bits of either hash, so that no sum overflows
+def _positions(df: DataFrame, value: str, *keep: str) -> DataFrame:
+    """(keep, bits, word, mask) of each place that a text value has in a filter of ``bits`` bits: from two hashes,
+    of which the low 32 bits are taken, so that no sum overflows.
+    """
     low = lambda h: h.bitwiseAND(F.lit(0xFFFFFFFF))
-    return F.transform(F.sequence(F.lit(0), F.lit(HASHES - 1)), lambda i: (low(one) * 31 + (i + i * i) * low(two)).bitwiseAND(bits - 1))
+    hashed = df.select(*keep, "bits", low(F.xxhash64(value)).alias("h1"), low(F.xxhash64(value, F.lit(1))).alias("h2"))
+    each = hashed.select(*keep, "bits", "h1", "h2", F.explode(F.array(*map(F.lit, range(HASHES)))).alias("i"))
+    at = each.select(*keep, "bits", (F.col("h1") * 31 + (F.col("i") + F.col("i") * F.col("i")) * F.col("h2")).bitwiseAND(F.col("bits") - 1).alias("at"))
+    return at.select(*keep, "bits", F.shiftright("at", 6).alias("word"), F.expr("shiftleft(1L, CAST(at & 63 AS INT))").alias("mask"))
 
 
 def write(spark: SparkSession, path: str, schema: StructType, key: str, blooms: tuple[str, ...] = ()) -> None:
@@ -98,10 +101,8 @@ def write(spark: SparkSession, path: str, schema: StructType, key: str, blooms:
     bits = files.selectExpr("file", f"stack({len(blooms)}, {sizes}) AS (column, d)").select("file", "column", F.pow(F.lit(2.0), power).cast("long").alias("bits"))
     each = rows.selectExpr("file", f"stack({len(blooms)}, {values}) AS (column, v)").where("v IS NOT NULL").distinct()
     # a file's filter is one row of ``bits``: small beside the values
-    at = each.join(bits, ["file", "column"]).select("column", "bits", "file", F.explode(_positions(F.col("v"), F.col("bits"))).alias("at"))
-    word = at.select("column", "bits", "file", F.shiftright("at", 6).alias("word"), F.expr("shiftleft(1L, CAST(at & 63 AS INT))").alias("mask"))
-    masks = word.groupBy("column", "bits", "file", "word").agg(F.bit_or("mask").alias("mask"))
-    masks.repartitionByRange("column", "bits", "word").sortWithinPartitions("column", "bits", "word").write.parquet(f"{path}.bloom")
+    masks = _positions(each.join(bits, ["file", "column"]), "v", "column", "file").groupBy("column", "bits", "file", "word").agg(F.bit_or("mask").alias("mask"))
+    masks.sortWithinPartitions("column", "bits", "word").write.parquet(f"{path}.bloom")
 
 
 def _rows(spark: SparkSession, path: str, files: list[str]) -> DataFrame:
@@ -125,9 +126,8 @@ def may_hold(spark: SparkSession, path: str, column: str, values: DataFrame) ->
     asked = values.select("value").where("value IS NOT NULL").distinct().withColumn("text", F.col("value").cast("string"))
     masks = spark.read.parquet(f"{path}.bloom").where(F.col("column") == column)
     sizes = masks.select("bits").distinct()  # a few powers of two
-    at = asked.crossJoin(F.broadcast(sizes)).select("value", "bits", F.explode(F.array_distinct(_positions(F.col("text"), F.col("bits")))).alias("at"))
+    at = _positions(asked.crossJoin(F.broadcast(sizes)), "text", "value").withColumnRenamed("mask", "bit").distinct()
     need = at.groupBy("value", "bits").agg(F.count(F.lit(1)).alias("need"))
-    at = at.select("value", "bits", F.shiftright("at", 6).alias("word"), F.expr("shiftleft(1L, CAST(at & 63 AS INT))").alias("bit"))
     hit = at.join(masks.select("bits", "word", "file", "mask"), ["bits", "word"]).where(F.col("mask").bitwiseAND(F.col("bit")) != 0)
     found = hit.groupBy("value", "bits", "file").agg(F.count(F.lit(1)).alias("have")).join(need, ["value", "bits"])
     return found.where("have = need").select("value", "file")
