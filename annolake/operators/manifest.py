@@ -85,16 +85,17 @@ def _positions(df: DataFrame, value: str, *keep: str) -> DataFrame:
 
 def write(spark: SparkSession, path: str, schema: StructType, key: str, blooms: tuple[str, ...] = ()) -> None:
     """Write the manifest of the parquet files under ``path``: one aggregation by file over the key and the
-    columns that get a filter, and one job for the filters. The schema lies in ``{path}.schema``.
+    columns that get a filter, and one job for the filters. A null of the table's type tells its schema.
     """
-    spark.createDataFrame([], schema).write.parquet(f"{path}.schema")
     rows = spark.read.schema(schema).parquet(path).select(F.col("_metadata.file_path").alias("file"), F.col(key).alias("key"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(blooms)])
     distinct = [F.approx_count_distinct(f"c{i}", 0.02).alias(f"d{i}") for i in range(len(blooms))]
     files = rows.groupBy("file").agg(F.count(F.lit(1)).alias("rows"), F.min("key").alias("least"), F.max("key").alias("greatest"), *distinct)
-    files = written(files, "files")
-    files.select("file", "rows", "least", "greatest").write.parquet(f"{path}.files")
+    told = ("file", "rows", "least", "greatest", F.lit(None).cast(schema).alias("schema"))
     if not blooms:
+        files.select(*told).write.parquet(f"{path}.files")
         return
+    files = written(files, "files")
+    files.select(*told).write.parquet(f"{path}.files")
     values = ", ".join(f"'{c}', CAST(c{i} AS STRING)" for i, c in enumerate(blooms))
     sizes = ", ".join(f"'{c}', d{i}" for i, c in enumerate(blooms))
     power = F.ceil(F.log2(F.greatest(F.lit(64.0), F.col("d") * float(BITS_PER_VALUE))))
@@ -107,7 +108,7 @@ def write(spark: SparkSession, path: str, schema: StructType, key: str, blooms:
 
 def _rows(spark: SparkSession, path: str, files: list[str]) -> DataFrame:
     """The rows of some of a table's files; the others are not even listed."""
-    schema = spark.read.parquet(f"{path}.schema").schema
+    schema = spark.read.parquet(f"{path}.files").schema["schema"].dataType
     return spark.read.schema(schema).option("basePath", path).parquet(*files) if files else spark.createDataFrame([], schema)
 
 
