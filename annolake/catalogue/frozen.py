@@ -9,7 +9,7 @@ from ..fixtures import RESOLUTION
 from ..functions import scalar
 from ..operators import filters, projections
 from ..plans import query as q
-from ..plans import versions
+from ..plans import versions, views
 from ..schema import SYNAPSE, Table
 from ..sources import csv
 from ..store import shared_dir, written
@@ -207,19 +207,37 @@ def flat_scan(t: Tables) -> DataFrame:
 @query("SELECT tag, count(*) AS n, CAST(sum(pre_pt_position_x) AS BIGINT) AS sum_x FROM anno WHERE valid GROUP BY tag HAVING count(*) > 10", "anno")
 def view_scan(t: Tables) -> DataFrame:
     """A view with its own resolution, filtered and limited as a table is."""
-    views = q.Views()
-    views.add("by_tag", lambda anno: anno.where("valid").groupBy("tag").agg(F.count(F.lit(1)).alias("n"), F.sum("pre_pt_position_x").alias("sum_x")), (1.0, 1.0, 1.0))
+    made = q.Views()
+    made.add("by_tag", lambda anno: anno.where("valid").groupBy("tag").agg(F.count(F.lit(1)).alias("n"), F.sum("pre_pt_position_x").alias("sum_x")), (1.0, 1.0, 1.0))
     spec = q.QuerySpec(filters={"by_tag": {"greater": {"n": 10}}}, order=None)
-    return q.run({"by_tag": views.table("by_tag", t.anno)}, spec).df
+    return q.run({"by_tag": made.table("by_tag", t.anno)}, spec).df
 
 
 @query("SELECT id, (pre_pt_position_x // 2) * 8.0 AS pre_pt_position_x, (pre_pt_position_y // 2) * 8.0 AS pre_pt_position_y, pre_pt_position_z * 40.0 AS pre_pt_position_z FROM anno WHERE valid", "anno")
 def view_positions(t: Tables) -> DataFrame:
     """Positions of a view in its own units, given in nanometres."""
-    views = q.Views()
+    made = q.Views()
     halved = ["id", "CAST(pre_pt_position_x DIV 2 AS INT) AS pre_pt_position_x", "CAST(pre_pt_position_y DIV 2 AS INT) AS pre_pt_position_y", "pre_pt_position_z"]
-    views.add("halved", lambda anno: filters.valid(anno).selectExpr(*halved), (8.0, 8.0, 40.0))
-    return q.run({"halved": views.table("halved", t.anno)}, q.QuerySpec(resolution=(1.0, 1.0, 1.0))).df
+    made.add("halved", lambda anno: filters.valid(anno).selectExpr(*halved), (8.0, 8.0, 40.0))
+    return q.run({"halved": made.table("halved", t.anno)}, q.QuerySpec(resolution=(1.0, 1.0, 1.0))).df
+
+
+@query(
+    """SELECT pre_pt_root_id, count(*) AS n, min(pre_pt_position_x) * 4.0 AS low_position_x, min(pre_pt_position_y) * 4.0 AS low_position_y, min(pre_pt_position_z) * 40.0 AS low_position_z,
+ 'objects in force only' AS notice FROM anno JOIN seg USING (id) WHERE valid AND pre_pt_root_id > 0 GROUP BY 1 HAVING count(*) > 10""",
+    "anno", "seg",
+)
+def kept_view(t: Tables) -> DataFrame:
+    """A view saved twice, asked by name in another session with its own units and notice."""
+    path = shared_dir(t.spark, "views")
+    low = ", ".join(f"min(pre_pt_position_{a}) AS low_position_{a}" for a in "xyz")
+    text = f"SELECT pre_pt_root_id, count(*) AS n, {low} FROM {{anno}} JOIN {{seg}} USING (id) WHERE %s GROUP BY 1"
+    views.save(t.spark, path, "objects", text % "true", (1.0, 1.0, 1.0))
+    views.save(t.spark, path, "objects", text % "valid AND pre_pt_root_id > 0", RESOLUTION, "objects in force only")
+    other = Tables(t.spark.newSession(), t.dir)
+    view = views.table(other.spark, path, "objects", {"anno": other.anno, "seg": other.seg})
+    found = q.run({"objects": view}, q.QuerySpec(filters={"objects": {"greater": {"n": 10}}}, resolution=(1.0, 1.0, 1.0), order=None))
+    return found.df.withColumn("notice", F.lit("; ".join(found.warnings)))
 
 
 @query(

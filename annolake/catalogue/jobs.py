@@ -442,10 +442,18 @@ def upsert_rejects(t: Tables) -> DataFrame:
     return maintain.upserted_checked(t.seg.select("id", "pre_pt_root_id"), _bad_batch(t), low=1)[1]
 
 
-@query("SELECT a.id, s.pre_pt_root_id FROM anno a JOIN seg s USING (id) WHERE a.tag = '1-URGENT'", "anno", "seg")
+@query(
+    """SELECT s.id, s.pre_pt_supervoxel_id, s.post_pt_supervoxel_id, s.pre_pt_root_id, s.post_pt_root_id FROM seg s JOIN orders o ON o.o_orderkey = s.id
+WHERE s.pre_pt_supervoxel_id = 1000 + o.o_custkey AND s.post_pt_supervoxel_id = 1000 + (o.o_orderkey + (o.o_orderkey % 7 = 0)::INT) * 13 % 150""",
+    "seg",
+)
 def known_roots(t: Tables) -> DataFrame:
-    """Natural join with known segmentation on the shared columns."""
-    return maintain.known_roots(t.anno.where("tag = '1-URGENT'").select("id"), t.seg).select("id", "pre_pt_root_id")
+    """Natural join with known segmentation on all shared columns (J13): a row that a new lookup put into another
+    supervoxel has no known root.
+    """
+    anew = (F.col("o_orderkey") + (F.col("o_orderkey") % 7 == 0).cast("int")) * 13 % 150
+    looked = t.orders.select(F.col("o_orderkey").alias("id"), (1000 + F.col("o_custkey")).alias("pre_pt_supervoxel_id"), (1000 + anew).alias("post_pt_supervoxel_id"))
+    return maintain.known_roots(looked, t.seg)
 
 
 @query(

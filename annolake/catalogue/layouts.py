@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar
 from ..operators import aggregates, layout, manifest
+from ..sources import footers
 from ..store import children, current, shared_dir, written
 from .base import Tables, query, ts
 
@@ -59,6 +60,20 @@ def extent_aligned(t: Tables) -> DataFrame:
     return aggregates.extent(t.anno, 512)
 
 
+@query(
+    """SELECT CAST(floor(least(min(pre_pt_position_x), min(post_pt_position_x)) / 512) * 512 AS BIGINT) AS min_x, CAST(ceil((greatest(max(pre_pt_position_x), max(post_pt_position_x)) + 1) / 512) * 512 AS BIGINT) AS max_x,
+ CAST(floor(least(min(pre_pt_position_y), min(post_pt_position_y)) / 512) * 512 AS BIGINT) AS min_y, CAST(ceil((greatest(max(pre_pt_position_y), max(post_pt_position_y)) + 1) / 512) * 512 AS BIGINT) AS max_y,
+ CAST(floor(least(min(pre_pt_position_z), min(post_pt_position_z)) / 512) * 512 AS BIGINT) AS min_z, CAST(ceil((greatest(max(pre_pt_position_z), max(post_pt_position_z)) + 1) / 512) * 512 AS BIGINT) AS max_z FROM anno""",
+    "anno",
+)
+def footer_extent(t: Tables) -> DataFrame:
+    """The same of a stored table, from its files' footers."""
+    root = shared_dir(t.spark, "lake")
+    t.anno.write.parquet(root)
+    row = footers.asked(t.spark, root, lambda df: aggregates.extent(df, 512))
+    return t.spark.createDataFrame([row], ", ".join(f"{e}_{a} long" for a in "xyz" for e in ("min", "max")))
+
+
 @query(
     """SELECT cx, cy, cz, count(*) AS n FROM (
  SELECT CAST(floor(pre_pt_position_x / 8192.0) AS BIGINT) AS cx, CAST(floor(pre_pt_position_y / 8192.0) AS BIGINT) AS cy, CAST(floor(pre_pt_position_z / 8192.0) AS BIGINT) AS cz FROM anno
@@ -233,6 +248,37 @@ def export_discovered(t: Tables) -> DataFrame:
     return out
 
 
+_OWN_CUTS = "len([c FOR c IN list_distinct([{cuts}]) IF c < {v}])"
+
+
+def _by_own(name: str, source: str, column: str) -> str:
+    cuts = ", ".join(f"(SELECT quantile_disc({column}, {k / 4}) FROM {source})" for k in (1, 2, 3))
+    part = f"CASE WHEN {column} IS NOT NULL THEN {_OWN_CUTS.format(cuts=cuts, v=column)} END"
+    return f"SELECT '{name}' AS layout, '{source}' AS source, id, CAST({part} AS INT) AS part FROM anno JOIN seg USING (id)"
+
+
+_POST = [x.replace("pre_pt", "post_pt") for x in (_MORTON, _code("min"), _code("max"))]
+
+
+@query(
+    " UNION ALL ".join([_by_own("id", "anno", "id"), _by_own("size", "anno", "size"), _by_own("post_pt_root_id", "seg", "post_pt_root_id")])
+    + f""" UNION ALL SELECT 'post_pt_position_morton', 'anno', id, CAST(CAST({_POST[0]} > lo + (hi - lo) // 4 AS INT) + CAST({_POST[0]} > lo + (hi - lo) * 2 // 4 AS INT) + CAST({_POST[0]} > lo + (hi - lo) * 3 // 4 AS INT) AS INT)
+FROM anno JOIN seg USING (id), (SELECT {_POST[1]} AS lo, {_POST[2]} AS hi FROM anno) e""",
+    "anno", "seg",
+)
+def export_searched(t: Tables) -> DataFrame:
+    """Layouts by what each table is searched by, cut by its own rows; the buckets of the joined rows."""
+    root = shared_dir(t.spark, "lake")
+    tables = {"anno": t.anno, "seg": t.seg}
+    specs = layout.searched(tables, {"anno": [POINT, "post_pt_position", "created", "size"], "seg": ["post_pt_root_id"]}, 4)
+    layout.export(t.anno.join(t.seg, "id"), specs, root, tables)
+    out = None
+    for s in specs:
+        part = t.spark.read.parquet(f"{root}/{s.name}").select(F.lit(s.name).alias("layout"), F.lit(s.source).alias("source"), "id", F.col(f"{s.column}_partition").cast("int").alias("part"))
+        out = part if out is None else out.unionAll(part)
+    return out
+
+
 @query("SELECT id, pre_pt_position_x, true AS fewer FROM anno", "anno")
 def compacted_table(t: Tables) -> DataFrame:
     """Many small files as few, clustered along the Morton curve; read by the table's newest version."""

@@ -95,6 +95,17 @@ def cell_cutout(t: Tables) -> DataFrame:
     return report.cutout(t.anno, POINT, (0, 0, 0), (50_000, 40_000, 4_000), rows, max(100, rows // 40), 0.25).select("id")
 
 
+@query(
+    """SELECT id FROM anno, (SELECT count(*) AS total FROM anno) WHERE pre_pt_position_x < 50000 AND pre_pt_position_y < 40000 AND pre_pt_position_z < 4000
+ AND CAST('0x' || substr(md5('42:' || id), 1, 8) AS BIGINT) < CAST(floor(CAST(total // 100 AS INT) * CAST(100 AS DOUBLE) / (total * CAST(0.25 AS DOUBLE)) / 100 * 4294967296) AS BIGINT)""",
+    "anno",
+)
+def thinned_cutout(t: Tables) -> DataFrame:
+    """One cell of which a small share is shown (V2, F20): the policy's percent branch, a hundredth of the table's rows."""
+    rows = t.anno.count()
+    return report.cutout(t.anno, POINT, (0, 0, 0), (50_000, 40_000, 4_000), rows, rows // 100, 0.25).select("id")
+
+
 @query("SELECT a.id, a.tag, r.id AS id_ref, r.label FROM anno a JOIN ref r ON r.target_id = a.id WHERE a.id IN (4, 8, 12, 400, 404)", "anno", "ref")
 def by_id(t: Tables) -> DataFrame:
     """Rows by id with what refers to them (V3)."""

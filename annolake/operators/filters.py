@@ -140,6 +140,11 @@ def sampling(rows: int, max_points: int, volume_share: float = 1.0) -> tuple[str
     return ("percent", pct) if pct < 5 else ("hash", float(sample_factor(int(rows * volume_share), max_points)))
 
 
+def share_sampled(df: DataFrame, pct: float, seed: int = 42, key: str = "id") -> DataFrame:
+    """About ``pct`` of a hundred rows, drawn by their key and the seed alone."""
+    return df.where(scalar.drawn(F.col(key), seed) < F.lit(int(pct / 100 * 2**32)))
+
+
 def percent_sampled(df: DataFrame, wanted: int, stored_rows: int, seed: int = 42, key: str = "id") -> DataFrame:
     """About ``wanted`` rows of a table by its stored row count; all of them if it has no more.
 
@@ -153,7 +158,7 @@ def percent_sampled(df: DataFrame, wanted: int, stored_rows: int, seed: int = 42
         raise FilterError(f"not a percentage: {pct}")
     if key not in df.columns:
         return df.sample(fraction=pct / 100, seed=seed)
-    return df.where(scalar.drawn(F.col(key), seed) < F.lit(int(pct / 100 * 2**32)))
+    return share_sampled(df, pct, seed, key)
 
 
 def apply(df: DataFrame, filters: dict[str, dict]) -> DataFrame:

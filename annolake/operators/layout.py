@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalar
-from ..schema import main_point, root_columns
+from ..schema import main_point, point_columns, point_rank, root_columns
 from ..store import current, exists, replace, written
 from . import aggregates, manifest
 
@@ -17,7 +17,8 @@ from . import aggregates, manifest
 class Layout:
     """How one copy of a table lies: by ranges or a hash of a column, or by the Morton code of a point; in how
     many files at least (as many as buckets unless told), the columns that get a filter by file, and whether
-    the column it goes by gets one of parquet's own, by row group (the files' ends tell those apart already).
+    the column it goes by gets one of parquet's own, by row group (the files' ends tell those apart already);
+    and of several joined tables the one that has the column.
     """
 
     name: str
@@ -28,6 +29,7 @@ class Layout:
     bloom: bool = False
     files: int | None = None
     filters: tuple[str, ...] = ()
+    source: str | None = None
 
 
 def with_code(df: DataFrame, spec: Layout) -> tuple[DataFrame, str]:
@@ -100,9 +102,18 @@ def guard(spark: SparkSession, path: str, rows: int) -> None:
         raise FileExistsError(f"{path} is there ({found})")
 
 
-def export(df: DataFrame, specs: list[Layout], root: str) -> dict[str, list]:
+def bounds_by_source(tables: dict[str, DataFrame], specs: list[Layout]) -> dict[str, list]:
+    """Cut points by layout name, those of each table from its own rows, without a join."""
+    out: dict[str, list] = {}
+    for name in dict.fromkeys(s.source for s in specs):
+        out |= bounds_of(tables[name], [s for s in specs if s.source == name])
+    return out
+
+
+def export(df: DataFrame, specs: list[Layout], root: str, tables: dict[str, DataFrame] | None = None) -> dict[str, list]:
     """Write every layout of a table under ``root/name``, all from one flat copy in the shared folder, so
-    the table is computed once and a lost executor costs only its tasks. Gives the cut points.
+    the table is computed once and a lost executor costs only its tasks. Gives the cut points: those of
+    the copy, or where ``tables`` has the layouts' sources, of these.
     """
     names = [s.name for s in specs]
     if len(set(names)) < len(names):
@@ -112,7 +123,7 @@ def export(df: DataFrame, specs: list[Layout], root: str) -> dict[str, list]:
         if exists(spark, f"{root}/{s.name}"):
             raise FileExistsError(f"{root}/{s.name}")
     flat = written(df, "flat")
-    cuts = bounds_of(flat, specs)
+    cuts = bounds_of(flat, specs) if tables is None else bounds_by_source(tables, specs)
     for s in specs:
         write(flat, s, cuts.get(s.name, []), f"{root}/{s.name}")
     return cuts
@@ -158,3 +169,28 @@ def discovered(columns: list[str], rows: int, bytes_per_row: float = 200) -> lis
     out += [Layout(c, c, "hash", n, bloom=True) for c in root_columns(columns)]
     point = main_point(columns)
     return [*out, Layout(point, point, "morton", n)] if point else out
+
+
+def searched(tables: dict[str, DataFrame], by: dict[str, list[str]], n: int) -> list[Layout]:
+    """Layouts of tables of the same ids by what each is searched by, each noting the table of its column:
+    the id of the first table, every searched number, and one of the searched points, that which comes
+    first among main points, along the Morton curve. Times are metadata and get none, and of one column in
+    two tables the first counts.
+    """
+    first = next(iter(tables))
+    out = [Layout("id", "id", "range", n, source=first)] if "id" in tables[first].columns else []
+    points = []
+    for name, columns in by.items():
+        kinds = dict(tables[name].dtypes)
+        bases = point_columns(tables[name].columns)
+        for c in columns:
+            if c in bases:
+                points.append((point_rank(c), c, name))
+            elif c not in kinds:
+                raise KeyError(f"no column {c!r} of {name}")
+            elif not kinds[c].startswith("timestamp") and c not in [s.column for s in out]:
+                out.append(Layout(c, c, "range", n, source=name))
+    if points:
+        _, c, name = min(points, key=lambda p: p[0])
+        out.append(Layout(f"{c}_morton", c, "morton_uniform", n, source=name))
+    return out

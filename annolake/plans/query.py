@@ -108,10 +108,11 @@ def run(tables: dict[str, Table], spec: QuerySpec) -> QueryResult:
             if spec.sentinel and c.endswith(("root_id", "supervoxel_id")):
                 x = F.coalesce(x, F.lit(1))
             cols.append(x.alias(to))
-    if spec.count:
-        return QueryResult(out.agg(F.count(F.lit(1)).alias("count")), names, want)
     over = spec.limit is not None and spec.cap is not None and spec.limit > spec.cap
-    warnings = (f"limit {spec.limit} is above the cap of {spec.cap} rows",) if over else ()
+    warnings = tuple(tables[n].extra["notice"] for n in used if tables[n].extra.get("notice"))
+    warnings += (f"limit {spec.limit} is above the cap of {spec.cap} rows",) if over else ()
+    if spec.count:
+        return QueryResult(out.agg(F.count(F.lit(1)).alias("count")), names, want, warnings)
     limit = min((n for n in (spec.limit, spec.cap) if n is not None), default=None)
     if limit is not None or spec.offset:
         key = f"{first}.{spec.order}"

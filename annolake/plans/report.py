@@ -100,12 +100,14 @@ def spread_levels(df: DataFrame, point: str, box: tuple[tuple, tuple], limit: in
 
 
 def cutout(df: DataFrame, point: str, low: tuple, high: tuple, rows: int, max_points: int, volume_share: float) -> DataFrame:
-    """Rows of one cell, thinned by the sampling policy."""
+    """Rows of one cell, thinned by the sampling policy: by digests of the point or, for a small share, of the
+    id, so the same rows come however the table is split.
+    """
     kind, x = filters.sampling(rows, max_points, volume_share)
     inside = filters.half_open_box(df, point, low, high)
     if kind == "hash":
         return filters.hash_sampled(inside, point, int(x))
-    return inside.sample(x / 100, seed=42) if kind == "percent" else inside
+    return filters.share_sampled(inside, x) if kind == "percent" else inside
 
 
 def by_id(df: DataFrame, ids: list[int], ref: DataFrame | None = None) -> DataFrame:

@@ -67,17 +67,20 @@ def supervoxel_of(root: str) -> str:
     return root.replace("root_id", "supervoxel_id")
 
 
-#: Order in which a table's main point is looked for when several could serve.
+# The order in which a table's main point is looked for when several could serve.
 _MAIN = ("ctr", "post", "pre", "pt", "bb")
 
 
+def point_rank(point: str) -> int:
+    """A point's place in that order, by the beginning of its name; others come last."""
+    return next((i for i, m in enumerate(_MAIN) if point.startswith(m)), len(_MAIN))
+
+
 def main_point(columns: list[str]) -> str | None:
     """The point that stands for a row: one with a root first, then by the usual names."""
     points = point_columns(columns)
 
     def place(p: str) -> tuple[bool, int]:
-        base = p.removesuffix("_position")
-        named = next((i for i, m in enumerate(_MAIN) if base.startswith(m)), len(_MAIN))
-        return f"{base}_root_id" not in columns, named
+        return f"{p.removesuffix('_position')}_root_id" not in columns, point_rank(p)
 
     return min(points, key=place, default=None)
