@@ -4,7 +4,8 @@ A notice of which at most k letters are changed, added or missing holds one of i
 unchanged, so exact search for all notices' pieces (one Aho-Corasick pass) finds every place that
 may hold one; there the regex library's bounded-error matching decides, and tells the span. The
 words that tell one licence from another must match within a bound of their own, so that "released
-under the bsd license" is no misspelt "mit license". Where notices overlap, the one with the most
+under the bsd license" is no misspelt "mit license". The plain phrases are notices, too, but for "cc by",
+too short for errors; "mit license" takes one, as two would find the German words for "with lens". Where notices overlap, the one with the most
 matched letters counts. Texts are compared as words of ASCII letters and digits and of all other
 characters, lowered, joined by one space.
 
@@ -43,6 +44,8 @@ BASE = {
 NOTICES = (
     ("licensed under the gnu general public license", "gpl", 4, "gnu general", 1),
     ("gnu general public license", "gpl", 2, "gnu general", 1),
+    ("apache license", "apache", 2, "apache", 1),
+    ("mit license", "mit", 1, "mit", 0),
     ("gnu lesser general public license", "lgpl", 3, "lesser", 1),
     ("gnu affero general public license", "agpl", 3, "affero", 1),
     ("licensed under the apache license version 2 0", "apache", 4, "apache", 1),
@@ -89,14 +92,16 @@ class Notice:
         self.name_pattern = regex.compile(b"(?<![^ ])(?:" + regex.escape(self.name) + b"){e<=%d}(?![^ ])" % name_errors)
 
     def match(self, w: bytes) -> tuple[int, int, int] | None:
-        """(from, to, errors) of the best match that begins in a window's first 2k + 1 places, if its name is right."""
-        if len(w) < len(self.said) - self.errors or not any(p in w for p in self.name_pieces):
+        """(from, to, errors) of the best match that begins in a window's first 2k + 1 places after the letter
+        before it, if its name is right.
+        """
+        if len(w) <= len(self.said) - self.errors or not any(p in w for p in self.name_pieces):
             return None
         held = {w[i : i + 2] for i in range(len(w) - 1)}
         if sum(p not in held for p in self.pairs) > 2 * self.errors:
             return None
         best = None
-        for s in range(2 * self.errors + 1):
+        for s in range(1, 2 * self.errors + 2):
             m = self.pattern.match(w, s)
             if m and (best is None or sum(m.fuzzy_counts) < best[2]) and self.named(w, *m.span()):
                 best = (*m.span(), sum(m.fuzzy_counts))
@@ -113,15 +118,15 @@ class Notice:
         done = 0
         for p in sorted(places):
             s = max(0, p - self.errors, done)
-            w = joined[s : p + len(self.said) + self.errors + 1]
+            w = (joined[s - 1 : s] or b" ") + joined[s : p + len(self.said) + self.errors + 1]
             if w not in self.seen:
                 if len(self.seen) >= MEMORY:
                     self.seen.clear()
                 self.seen[w] = self.match(w)
             m = self.seen[w]
             if m:
-                out.append((s + m[0], s + m[1], m[2]))
-                done = s + m[1]
+                out.append((s + m[0] - 1, s + m[1] - 1, m[2]))
+                done = s + m[1] - 1
         return out
 
 
