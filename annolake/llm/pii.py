@@ -1,7 +1,7 @@
 """Personal data under disguise, with spans of the source text.
 
-Finite transducers rewrite a text step by step - character references, look-alike letters, spelled
-digits, spelled "at" and "dot" - and each keeps the segments it changed, so that a span found in the
+Finite transducers rewrite a text step by step - character references, characters that do not show,
+look-alike letters, spelled digits, letters for digits, spelled "at" and "dot" - and each keeps the segments it changed, so that a span found in the
 last text maps back through every step to characters of the first. Plain detection runs on the
 source text; what only shows after rewriting is added to it, also where it is a wider form of a
 plain one. White space around a disguised sign counts up to ``GAP`` characters.
@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import unicodedata
 from bisect import bisect_right
 from collections.abc import Iterator
 
@@ -76,14 +77,32 @@ def detect(t: str) -> list[tuple[int, int, str]]:
 
 # Look-alikes of Latin letters and marks, in pairs of look-alike and letter.
 _LOOK_ALIKES = (
-    "аa вb сc еe нh іi јj кk мm оo рp ѕs тt уy хx АA ВB СC ЕE НH ІI ЈJ КK МM ОO РP ЅS ТT УY ХX "
-    "αa βb εe ιi κk νv οo ρp τt υu χx ΑA ΒB ΕE ΗH ΙI ΚK ΜM ΝN ΟO ΡP ΤT ΥY ΧX ΖZ ․. 。. ﹫@ ﹢+ ‐- ‑- −-"
+    "аa вb сc еe нh іi јj кk мm оo рp ѕs тt уy хx ԁd ԛq ԝw ӏl пn гr АA ВB СC ЕE НH ІI ЈJ КK МM ОO РP ЅS ТT УY ХX "
+    "αa βb εe ιi κk νv οo ρp τt υu χx ηn γy ΑA ΒB ΕE ΗH ΙI ΚK ΜM ΝN ΟO ΡP ΤT ΥY ΧX ΖZ "
+    "օo ոn սu հh ցg զq ıi ɑa ɡg ᴀa ʙb ᴄc ᴅd ᴇe ɢg ʜh ɪi ᴊj ᴋk ʟl ᴍm ɴn ᴏo ᴘp ʀr ᴛt ᴜu ᴠv ᴡw ʏy ᴢz ․. 。. ‐- ‑- −-"
 )
-LOOK_ALIKES = {ord(p[0]): p[1] for p in _LOOK_ALIKES.split(" ")} | {c: chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)}
-# Arabic-Indic and other decimal digits by their rule: ten in a row from a zero.
-LOOK_ALIKES |= {z + d: str(d) for z in (0x0660, 0x06F0, 0x0966, 0x1D7CE, 0x1D7D8, 0x1D7E2, 0x1D7EC, 0x1D7F6) for d in range(10)}
-_LOOK_ALIKE = frozenset(map(chr, LOOK_ALIKES))
-_LOOKS = re.compile("[" + "".join(re.escape(chr(c)) for c in sorted(LOOK_ALIKES)) + "]")
+
+
+def _variants() -> Iterator[tuple[str, str]]:
+    """Characters that are an ASCII one in another font, width or circle, or another script's decimal digit."""
+    for n in range(0x80, 0x20000):
+        c = chr(n)
+        if unicodedata.category(c) == "Nd":
+            yield c, str(unicodedata.digit(c))
+        elif unicodedata.decomposition(c).startswith(("<font>", "<wide>", "<small>", "<circle>")):
+            plain = unicodedata.normalize("NFKC", c)
+            if len(plain) == 1 and "!" <= plain <= "~":
+                yield c, plain
+
+
+LOOK_ALIKES = dict(_variants()) | {p[0]: p[1] for p in _LOOK_ALIKES.split(" ")}
+_LOOK_ALIKE = frozenset(LOOK_ALIKES)
+# Characters that do not show, and marks that only change how the one before is drawn.
+_UNSEEN = re.compile("[\u00ad\u034f\u061c\u180b-\u180f\u200b-\u200f\u202a-\u202e\u2060-\u206f\u20e3\ufe00-\ufe0f\ufeff\U000e0000-\U000e0fff]+")
+# Letters that stand for digits.
+_FOR_DIGITS = {"O": "0", "o": "0", "l": "1", "I": "1"}
+_BESIDE = re.compile(r"[0-9][OolI]|[OolI][0-9]")
+_MIXED = re.compile(r"(?<![A-Za-z0-9])[0-9OolI][0-9OolI .()-]{5,}[0-9OolI](?![A-Za-z0-9])")
 
 # The digits' names in English, German, French and Spanish.
 _NAMES = {
@@ -100,17 +119,20 @@ _NAMES = {
 }
 DIGIT_NAMES = {name: d for d, names in _NAMES.items() for name in names.split()}
 _NAME = "(?:" + "|".join(sorted(DIGIT_NAMES, key=len, reverse=True)) + ")"
-_UNIT = rf"(?:{_NAME}(?![^\W_])|[0-9]+)"
+_TIMES = {"double": 2, "triple": 3}
+_UNIT = rf"(?:(?:(?:double|triple)[\s-]+)?{_NAME}(?![^\W_])|[0-9]+)"
 _SPELLED = re.compile(rf"(?<![^\W_])(?:plus[\s-]+|\+\s*)?(?:(?:{_UNIT})(?:[\s,.-]{{1,3}}{_UNIT}){{3,}})")  # of lowered text
 _PLUS = re.compile(r"plus[\s-]+", re.I)
-_TOKEN = re.compile(rf"({_NAME})(?![^\W_])|([0-9]+)|([\s,.-]+)|(\+\s*)", re.I)
+_TOKEN = re.compile(rf"(?:(?P<times>double|triple)[\s-]+)?(?P<name>{_NAME})(?![^\W_])|[0-9]+|(?P<gap>[\s,.-]+)|(?P<plus>\+\s*)", re.I)
 #: Most white space on a side of a disguised sign, and inside its brackets.
 GAP = 3
 _S0, _S1 = rf"\s{{0,{GAP}}}", rf"\s{{1,{GAP}}}"
-_AT = rf"(?:{_S0}[\[({{<]{_S0}(?:at|@){_S0}[\])}}>]{_S0}|{_S1}at{_S1})"
-_DOT = rf"(?:{_S0}[\[({{<]{_S0}(?:dot|\.){_S0}[\])}}>]{_S0}|{_S1}dot{_S1})"
+# Names of both signs in English, German, French and Spanish; the shortest German one only in brackets.
+_AT_NAMES, _DOT_NAMES = "at|arobase|arroba", "dot|punkt|point|punto"
+_AT = rf"(?:{_S0}[\[({{<]{_S0}(?:{_AT_NAMES}|ät|@){_S0}[\])}}>]{_S0}|{_S1}(?:{_AT_NAMES}){_S1})"
+_DOT = rf"(?:{_S0}[\[({{<]{_S0}(?:{_DOT_NAMES}|\.){_S0}[\])}}>]{_S0}|{_S1}(?:{_DOT_NAMES}){_S1})"
 _AT_SIGN = re.compile(rf"{_AT}|{_S0}@{_S0}", re.I)
-_AT_CORE = re.compile(r"@|(?<![^\W_])at(?![^\W_])")  # of lowered text
+_AT_CORE = re.compile(rf"@|(?<![^\W_])(?:{_AT_NAMES}|ät)(?![^\W_])")  # of lowered text
 _APART = re.compile(r"\s+@\s+")
 _DOT_OR_POINT = re.compile(rf"(?:{_DOT}|\.)", re.I)
 _DOT_SIGN = re.compile(_DOT, re.I)
@@ -119,7 +141,9 @@ _ENDINGS = "com|org|net|edu|gov|io|co|uk|de|fr|es|eu|info|biz|ca|au|nl|ch|se|pl|
 _ENDING = re.compile(_ENDINGS, re.I)
 _APART_DOT = re.compile(rf"{_S1}\.{_S1}(?=(?:{_ENDINGS})(?![A-Za-z0-9-]))", re.I)
 _LABEL = re.compile(r"[A-Za-z0-9-]+")
-_LONGEST_DOT = 4 * GAP + 5  # characters: four gaps, brackets, "dot"
+_LONGEST_DOT = 4 * GAP + 7  # characters: four gaps, brackets, the longest name
+_JOINED = re.compile(r"(?<=[a-z0-9])([_-])at\1[a-z0-9]+(?:\1dot\1[a-z0-9]+)+(?![a-z0-9]|\1)")  # of lowered text
+_JOINED_DOT = re.compile(r"[_-]dot[_-]")
 # References by name.
 _NAMED = {"commat": "@", "period": ".", "plus": "+", "hyphen": "-", "dash": "-"}
 _REFERENCE = re.compile(r"&(?:#([0-9]{2,3})|#[xX]([0-9a-fA-F]{2})|(" + "|".join(_NAMED) + "));")
@@ -178,10 +202,15 @@ def lowered(t: str) -> str:
     return low if len(low) == len(t) else "".join(c if len(c.lower()) > 1 else c.lower() for c in t)
 
 
+def unseen(t: str) -> list[tuple[int, int, str]]:
+    """Characters that do not show are left out."""
+    return [] if t.isascii() else [(m.start(), m.end(), "") for m in _UNSEEN.finditer(t)]
+
+
 def look_alikes(t: str) -> list[tuple[int, int, str]]:
     if t.isascii() or _LOOK_ALIKE.isdisjoint(t):
         return []
-    return [(m.start(), m.end(), LOOK_ALIKES[ord(m[0])]) for m in _LOOKS.finditer(t)]
+    return [(i, i + 1, LOOK_ALIKES[c]) for i, c in enumerate(t) if c in _LOOK_ALIKE]
 
 
 def spelled_digits(t: str) -> list[tuple[int, int, str]]:
@@ -194,12 +223,13 @@ def spelled_digits(t: str) -> list[tuple[int, int, str]]:
             found.append((at, plus.end(), "+"))
             at = plus.end()
         while at < m.end() and (x := _TOKEN.match(t, at, m.end())):
-            if x[1]:
-                names += 1
-                found.append((x.start(), x.end(), DIGIT_NAMES[x[1].lower()]))
-            elif x[3] and x[3] != " ":
+            if x["name"]:
+                times = _TIMES[x["times"].lower()] if x["times"] else 1
+                names += times
+                found.append((x.start(), x.end(), DIGIT_NAMES[x["name"].lower()] * times))
+            elif x["gap"] and x["gap"] != " ":
                 found.append((x.start(), x.end(), " "))
-            elif x[4] and x[4] != "+":
+            elif x["plus"] and x["plus"] != "+":
                 found.append((x.start(), x.end(), "+"))
             at = x.end()
         if names >= 3:
@@ -207,6 +237,28 @@ def spelled_digits(t: str) -> list[tuple[int, int, str]]:
     return out
 
 
+def letters_for_digits(t: str) -> list[tuple[int, int, str]]:
+    """Letters that look like digits, in numbers of which at most a third is such letters."""
+    out = []
+    for m in _MIXED.finditer(t) if _BESIDE.search(t) else ():
+        at = [i for i in range(m.start(), m.end()) if t[i] in _FOR_DIGITS]
+        if at and 2 * len(at) <= sum("0" <= c <= "9" for c in m[0]):
+            out += [(i, i + 1, _FOR_DIGITS[t[i]]) for i in at]
+    return out
+
+
+def joined_addresses(t: str) -> list[tuple[int, int, str]]:
+    """"at" and "dot" between hyphens or low lines, before a usual ending."""
+    low = lowered(t)
+    if not _JOINED_DOT.search(low):
+        return []
+    out = []
+    for m in _JOINED.finditer(low):
+        if _ENDING.fullmatch(low, m.end() - len(re.split("[_-]", m[0])[-1]), m.end()):
+            out += [(m.start(), m.start() + 4, "@"), *[(d.start(), d.end(), ".") for d in _JOINED_DOT.finditer(low, m.start() + 4, m.end())]]
+    return out
+
+
 def _signs(t: str) -> Iterator[re.Match]:
     """Places that may be an "at", from left to right, with the space and brackets around them."""
     done = 0
@@ -271,7 +323,7 @@ def spelled_points(t: str) -> list[tuple[int, int, str]]:
     return [(d.start(), d.end(), ".") for m in _POINTS.finditer(t) for d in _DOT_SIGN.finditer(t, m.start(), m.end())]
 
 
-TRANSDUCERS = (references, look_alikes, spelled_digits, spelled_addresses, spelled_points)
+TRANSDUCERS = (references, unseen, look_alikes, spelled_digits, letters_for_digits, joined_addresses, spelled_addresses, spelled_points)
 
 
 def added(t: str, base: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
