@@ -186,6 +186,41 @@ def store(docs: DataFrame, shard: Column, out: str) -> DataFrame:
     return docs.sparkSession.read.schema(rows.schema).parquet(out)
 
 
+#: Copies of one row, and places of a shard, that are numbered and joined together.
+RUN = 256
+
+
+def _copies(keyed: DataFrame, target: DataFrame) -> DataFrame:
+    """(document, shard, slot) of repeated rows: which copy goes where.
+
+    Equal rows are counted, not numbered; rows of one doc_id and text that differ elsewhere follow one
+    another by a digest. The plan's places are numbered by runs of slots, and both meet by runs of
+    numbers, so a row that is repeated without end is dealt to many tasks, its text once a run.
+    """
+    digest = F.sha2(F.to_json("document"), 256)
+    kinds = written(keyed.groupBy("own_id", "own_crc", "document").agg(F.count(F.lit(1)).alias("n")).withColumn("digest", digest), "shard-copies")
+    own, block = ["own_id", "own_crc"], F.substring("digest", 1, 3)
+    sums = kinds.groupBy(*own, block.alias("block")).agg(F.sum("n").alias("in_block"))
+    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.withColumn("base", F.coalesce(F.sum("in_block").over(before(Window.partitionBy(*own).orderBy("block"))), F.lit(0)))
+    base = sums.select(F.col("own_id").alias("s_id"), F.col("own_crc").alias("s_crc"), "block", "base")
+    inside = F.coalesce(F.sum("n").over(before(Window.partitionBy(*own, block).orderBy("digest"))), F.lit(0))
+    first = kinds.withColumn("inside", inside).join(base, F.col("own_id").eqNullSafe(F.col("s_id")) & (F.col("own_crc") == F.col("s_crc")) & (block == F.col("block")))
+    first = first.withColumn("first", F.col("base") + F.col("inside")).withColumn("end", F.col("first") + F.col("n"))
+    runs = F.sequence(F.floor(F.col("first") / RUN), F.floor((F.col("end") - 1) / RUN))
+    ranges = first.select(*own, "document", "first", "end", F.explode(runs).alias("own_run"))
+    same = ["doc_id", "text_crc32"]
+    places = target.withColumn("at", F.floor(F.col("slot") / RUN))
+    held = places.groupBy(*same, "shard", "at").agg(F.count(F.lit(1)).alias("held"))
+    held = held.withColumn("base", F.coalesce(F.sum("held").over(before(Window.partitionBy(*same).orderBy("shard", "at"))), F.lit(0)))
+    held = held.select(F.col("doc_id").alias("h_id"), F.col("text_crc32").alias("h_crc"), F.col("shard").alias("h_shard"), F.col("at").alias("h_at"), "base")
+    there = F.col("doc_id").eqNullSafe(F.col("h_id")) & (F.col("text_crc32") == F.col("h_crc")) & (F.col("shard") == F.col("h_shard")) & (F.col("at") == F.col("h_at"))
+    number = F.row_number().over(Window.partitionBy(*same, "shard", "at").orderBy("slot")) - 1
+    numbered = places.withColumn("number", number).join(held, there).withColumn("copy", F.col("base") + F.col("number")).withColumn("run", F.floor(F.col("copy") / RUN))
+    meets = F.col("own_id").eqNullSafe(F.col("doc_id")) & (F.col("own_crc") == F.col("text_crc32")) & (F.col("own_run") == F.col("run"))
+    return numbered.join(ranges, meets & (F.col("copy") >= F.col("first")) & (F.col("copy") < F.col("end"))).select("document", "shard", "slot")
+
+
 def rewrite(docs: DataFrame, placed: DataFrame, out: str, affected: list[int] | None = None) -> str:
     """Write documents as ``out/shard=N`` folders by a plan; with ``affected``, only those shards.
 
@@ -196,16 +231,24 @@ def rewrite(docs: DataFrame, placed: DataFrame, out: str, affected: list[int] |
     crc = F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
     keyed = docs.select(F.struct(*names).alias("document"), F.col("doc_id").alias("own_id"), crc.alias("own_crc"))
     target = placed.select("doc_id", "text_crc32", "shard", "slot")
-    on = [keyed["own_id"].eqNullSafe(target["doc_id"]), keyed["own_crc"] == target["text_crc32"]]
-    if placed.groupBy("doc_id", "text_crc32").count().where("count > 1").limit(1).count():
-        # repeated rows are told apart by their number among equals
-        keyed = keyed.withColumn("own_copy", F.row_number().over(Window.partitionBy("own_id", "own_crc").orderBy(F.lit(0))))
-        target = target.withColumn("copy", F.row_number().over(Window.partitionBy("doc_id", "text_crc32").orderBy("shard", "slot")))
-        on = [keyed["own_id"].eqNullSafe(target["doc_id"]), keyed["own_crc"] == target["text_crc32"], keyed["own_copy"] == target["copy"]]
-    if affected is not None:
-        target = target.where(F.col("shard").isin(affected))
-    joined = keyed.join(target, on).select("document.*", "shard", "slot")
-    files = joined.write.option("partitionOverwriteMode", "dynamic").option("compression", "zstd").mode("overwrite")
+
+    def joined(rows: DataFrame, places: DataFrame) -> DataFrame:
+        on = [F.col("own_id").eqNullSafe(F.col("doc_id")), F.col("own_crc") == F.col("text_crc32")]
+        return rows.join(places, on).select("document", "shard", "slot")
+
+    def some(places: DataFrame) -> DataFrame:
+        return places if affected is None else places.where(F.col("shard").isin(affected))
+
+    repeated = written(placed.groupBy("doc_id", "text_crc32").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("doc_id").alias("r_id"), F.col("text_crc32").alias("r_crc")), "shard-repeated")
+    if repeated.limit(1).count():
+        own = F.col("own_id").eqNullSafe(F.col("r_id")) & (F.col("own_crc") == F.col("r_crc"))
+        place = F.col("doc_id").eqNullSafe(F.col("r_id")) & (F.col("text_crc32") == F.col("r_crc"))
+        once = joined(keyed.join(repeated, own, "left_anti"), some(target.join(repeated, place, "left_anti")))
+        # copies are numbered over all their places, then those of affected shards are taken
+        rows = once.unionAll(some(_copies(keyed.join(repeated, own, "left_semi"), target.join(repeated, place, "left_semi"))))
+    else:
+        rows = joined(keyed, some(target))
+    files = rows.select("document.*", "shard", "slot").write.option("partitionOverwriteMode", "dynamic").option("compression", "zstd").mode("overwrite")
     files.partitionBy("shard").parquet(out)
     return out
 
