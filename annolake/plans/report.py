@@ -54,8 +54,8 @@ def pyramid(df: DataFrame, point: str, box: tuple[tuple, tuple], grids: list[tup
     return each.select("p.level", "p.cx", "p.cy", "p.cz", "id")
 
 
-#: Parts that a cell's rows are ranked in before the parts are put together.
-SALT = 64
+#: Bits of a digest (of 32) that tell a cell's rows apart before any are ranked: equal shares of a cell, nearly.
+SHARE_BITS = 16
 
 
 def spread_levels(df: DataFrame, point: str, box: tuple[tuple, tuple], limit: int, first: tuple[int, int, int] = (1, 1, 1), most: int = 21) -> DataFrame:
@@ -66,8 +66,8 @@ def spread_levels(df: DataFrame, point: str, box: tuple[tuple, tuple], limit: in
     added as long as rows are left, so dense places go deeper; only where a cell is no larger than one
     unit, or after ``most`` levels, does the last one take all that is left.
 
-    A cell's rows are ranked in parts first and only each part's first ``limit`` meet, so that no cell is one task;
-    rows learn by the last rank taken in their cell whether they go on.
+    A cell's rows are counted by the first bits of their digests, which tell where its limit lies; only the rows
+    of that one share, about a 65,536th of the cell, are ranked, so no cell and no limit is one task.
     """
     low, high = box
     size = [h - l for l, h in zip(low, high, strict=True)]
@@ -84,13 +84,18 @@ def spread_levels(df: DataFrame, point: str, box: tuple[tuple, tuple], limit: in
         if level + 1 >= most or max(edges) <= 1:
             taken, rest = rows, None
         else:
-            salted = rows.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALT)))
-            some = salted.withColumn("r", F.row_number().over(Window.partitionBy(*keys, "salt").orderBy("v", "id"))).where(F.col("r") <= limit)
-            ranked = some.withColumn("r", F.row_number().over(Window.partitionBy(*keys).orderBy("v", "id"))).where(F.col("r") <= limit)
-            taken = written(ranked.select(*keys, "id", "v"), "level-taken")
-            last = taken.groupBy(*keys).agg(F.max(F.struct("v", "id")).alias("last"), F.count(F.lit(1)).alias("n")).where(F.col("n") == limit).select(*keys, "last")
-            # a row a full cell: few cells are broadcast, many are joined by a shuffle, as Spark finds best
-            rest = written(rows.join(last, keys).where(F.struct("v", "id") > F.col("last")).select("id", "v", *AXES), "level-rows")
+            shared = rows.withColumn("share", F.shiftright("v", 32 - SHARE_BITS))
+            counts = shared.groupBy(*keys, "share").agg(F.count(F.lit(1)).alias("n"))
+            upto = counts.withColumn("upto", F.sum("n").over(Window.partitionBy(*keys).orderBy("share").rowsBetween(Window.unboundedPreceding, 0)))
+            # a row a cell that has more rows than it takes: written, so that their number is known and few are broadcast
+            edge = upto.where((F.col("upto") > limit) & (F.col("upto") - F.col("n") <= limit)).select(*keys, F.col("share").alias("edge"), (limit - F.col("upto") + F.col("n")).alias("room"))
+            marked = shared.join(written(edge, "level-edges"), keys, "left")
+            at = marked.where(F.col("share") == F.col("edge"))
+            ranked = at.withColumn("taken", F.row_number().over(Window.partitionBy(*keys).orderBy("v", "id")) <= F.col("room"))
+            sure = marked.where(F.col("edge").isNull() | (F.col("share") != F.col("edge"))).withColumn("taken", F.col("edge").isNull() | (F.col("share") < F.col("edge")))
+            cols = [*keys, "id", "v", *AXES, "taken"]
+            decided = written(sure.select(*cols).unionByName(ranked.select(*cols)), "level-rows")
+            taken, rest = decided.where("taken"), decided.where("NOT taken").select("id", "v", *AXES)
         part = taken.select(F.lit(level).alias("level"), *keys, "id")
         out = part if out is None else out.unionAll(part)
         if rest is None or not rest.limit(1).count():
