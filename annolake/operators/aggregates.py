@@ -91,6 +91,8 @@ RANK_ERROR = 0.0024
 GRID = 512
 #: Distinct values of a column that one task may rank.
 RANKED_VALUES = 1 << 20
+#: Parts beyond which a column's values are put in order instead: so many cuts leave most of them in doubt.
+MANY_PARTS = 32
 
 _KEYS = {"tinyint": "bigint", "smallint": "bigint", "int": "bigint", "bigint": "bigint", "float": "double", "double": "double"}
 
@@ -159,17 +161,56 @@ def many_cuts(df: DataFrame, wanted: dict[str, list[int]]) -> dict[tuple[str, in
     One aggregation sketches all columns. A second pass ranks, for each cut, only the values that the
     sketch leaves in doubt, and counts the others in bulk; where those are more than a task should rank,
     they are sketched anew and narrowed first. Cut points are exact: what a sketch got wrong is noticed,
-    as no rank is found then, and narrowed again.
+    as no rank is found then, and narrowed again. Columns in more than ``MANY_PARTS`` parts are put in order,
+    range by range, as that many cuts leave little that a sketch could spare.
     """
     kinds = dict(df.dtypes)
     out = {(c, n): [] for c, ns in wanted.items() for n in ns}
     groups: dict[str, list[str]] = {}
     for c, ns in wanted.items():
+        many = [n for n in ns if n > MANY_PARTS]
+        if many:
+            out |= {(c, n): cuts for n, cuts in _ordered_cuts(df, c, many).items()}
+            ns = [n for n in ns if n <= MANY_PARTS]
         if any(n > 1 for n in ns):
             kind = kinds[c]
             groups.setdefault("bigint" if _KEYS.get(kind) == "bigint" else "double" if _KEYS.get(kind) == "double" else kind, []).append(c)
     for kind, columns in groups.items():
-        out |= _group_cuts(df.select(*[F.col(c).cast(kind) for c in columns]), kind, {c: wanted[c] for c in columns})
+        few = {c: [n for n in wanted[c] if n <= MANY_PARTS] for c in columns}
+        out |= _group_cuts(df.select(*[F.col(c).cast(kind) for c in columns]), kind, few)
+    return out
+
+
+def _ordered_cuts(df: DataFrame, column: str, parts: list[int]) -> dict[int, list]:
+    """Cut points of one column for each number of parts, from its distinct values in order.
+
+    Values are counted first, so one that very many rows have is one row, then dealt to ranges; the rows
+    up to each value are those of the ranges before and of its own.
+    """
+    counted = df.select(F.col(column).alias("v")).where("v IS NOT NULL").groupBy("v").agg(F.count(F.lit(1)).alias("n"))
+    ranges = max(8, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt = written(counted.repartitionByRange(ranges, "v").withColumn("block", F.spark_partition_id()), "values")
+    held = dealt.groupBy("block").agg(F.sum("n").alias("n")).orderBy("block").collect()  # a row a range
+    total, bases = 0, []
+    for r in held:
+        bases.append((r["block"], total))
+        total += r["n"]
+    if not total:
+        return {n: [] for n in parts}
+    base = F.broadcast(df.sparkSession.createDataFrame(bases, "block int, base long"))
+    inside = F.sum("n").over(Window.partitionBy("block").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
+    upto = dealt.join(base, "block").select("v", (F.col("base") + inside).alias("upto"), "n")
+    # the i-th of n cuts has rank ceil(total * i / n): a value holds those with total * i / n in (upto - n, upto]
+    parted = lambda x: [F.round((x * n - (x * n) % total) / total).cast("long") for n in parts]
+    below, reached = parted(F.col("upto") - F.col("n")), parted(F.col("upto"))
+    some = upto.select("v", F.array(*below).alias("below"), F.array(*reached).alias("upto"))
+    hits = some.where(F.exists(F.arrays_zip("below", "upto"), lambda x: x["below"] < x["upto"]))
+    rows = hits.collect()  # a row a cut point at most
+    out: dict[int, list] = {n: [None] * (n - 1) for n in parts}
+    for r in rows:
+        for n, lo, hi in zip(parts, r["below"], r["upto"], strict=True):
+            for i in range(lo + 1, min(hi, n - 1) + 1):
+                out[n][i - 1] = r["v"]
     return out
 
 
@@ -238,6 +279,7 @@ def _narrowed(kind: str, bounds: dict[str, list], stats: dict, ranks: dict[str,
     new, held, inside = {}, {}, 0
     slack = RANK_ERROR + 1 / GRID
     whole = kind in ("bigint", "date")
+    sought = sum(map(len, ranks.values()))
     for c in bounds:
         base, at, spans = 0, [], set()
         for b in sorted(stats[c]):
@@ -246,7 +288,7 @@ def _narrowed(kind: str, bounds: dict[str, list], stats: dict, ranks: dict[str,
         for r in ranks[c]:
             start, b = next(x for x in reversed(at) if x[0] < r)
             n, grid = stats[c][b]
-            if n * len(ranks) <= RANKED_VALUES // 16:
+            if n * sought <= RANKED_VALUES // 16:
                 lo, hi, k = grid[0], grid[-1], n
             else:
                 share = (r - start) / n

@@ -65,16 +65,21 @@ def bucketed(df: DataFrame, spec: Layout, cuts: list) -> DataFrame:
     return coded.withColumn(f"{spec.column}_partition", bucket)
 
 
-def write(df: DataFrame, spec: Layout, cuts: list, path: str) -> None:
+#: Rows that a task of a layout sorts and writes, about, where their number is known.
+TASK_ROWS = 1_000_000
+
+
+def write(df: DataFrame, spec: Layout, cuts: list, path: str, count: int = 0) -> None:
     """Write one layout: rows clustered by their bucket and, inside, by the column or code, and the files' manifest.
 
-    The id is the last key, so that the rows of one object or point are dealt to several tasks, too.
+    The id is the last key, so that the rows of one object or point are dealt to several tasks, too. Tables of
+    more than ``TASK_ROWS`` rows a file, if their ``count`` is given, are dealt to more tasks.
     """
     part = f"{spec.column}_partition"
     rows = bucketed(df, spec, cuts)
     _, c = with_code(df.limit(0), spec)
     keys = [part, c, *(["id"] if "id" in rows.columns and c != "id" else [])]
-    files = rows.repartitionByRange(max(1, spec.files or spec.n), *keys).sortWithinPartitions(*keys)
+    files = rows.repartitionByRange(max(1, spec.files or spec.n, -(-count // TASK_ROWS)), *keys).sortWithinPartitions(*keys)
     out = files.write.partitionBy(part).option("maxRecordsPerFile", 5_000_000)
     if spec.bloom:
         out = out.option(f"parquet.bloom.filter.enabled#{c}", "true").option(f"parquet.bloom.filter.fpp#{c}", "0.001")
@@ -124,8 +129,9 @@ def export(df: DataFrame, specs: list[Layout], root: str, tables: dict[str, Data
             raise FileExistsError(f"{root}/{s.name}")
     flat = written(df, "flat")
     cuts = bounds_of(flat, specs) if tables is None else bounds_by_source(tables, specs)
+    count = flat.count()
     for s in specs:
-        write(flat, s, cuts.get(s.name, []), f"{root}/{s.name}")
+        write(flat, s, cuts.get(s.name, []), f"{root}/{s.name}", count)
     return cuts
 
 
@@ -147,7 +153,7 @@ def export_view(view: DataFrame, specs: list[Layout], root: str) -> tuple[int, d
     flat = view.sparkSession.read.parquet(f"{root}/flat")
     cuts = bounds_of(flat, specs)
     for s in specs:
-        write(flat, s, cuts.get(s.name, []), f"{root}/{s.name}")
+        write(flat, s, cuts.get(s.name, []), f"{root}/{s.name}", rows)
     return rows, cuts
 
 
