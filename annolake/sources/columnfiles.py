@@ -56,10 +56,19 @@ def describe(uri: str, columns: tuple[str, ...], first: int = 0) -> ColumnFile:
     return ColumnFile(uri, tuple(columns), shape[0], fields["descr"], fields["fortran_order"], at + size, first)
 
 
+_FACTS = "file int, path string, kind string, fortran boolean, begin long, rows long, first long"
+
+
 def chunks(spark: SparkSession, files: list[ColumnFile], size: int) -> DataFrame:
-    """(file, start, length): what tasks read."""
-    rows = [(k, s, min(size, f.rows - s)) for k, f in enumerate(files) for s in range(0, f.rows, size)]
-    return spark.createDataFrame(rows, "file int, start long, length long")
+    """What tasks read: each file's facts with (start, length) of its chunks, which Spark derives from the rows."""
+    facts = [(k, f.path, f.kind, f.fortran, f.start, f.rows, f.first) for k, f in enumerate(files)]
+    starts = F.sequence(F.lit(0).cast("long"), F.col("rows") - 1, F.lit(size).cast("long"))
+    each = spark.createDataFrame(facts, _FACTS).where("rows > 0").withColumn("start", F.explode(starts))
+    return each.withColumn("length", F.least(F.lit(size).cast("long"), F.col("rows") - F.col("start")))
+
+
+#: Rows that a task reads, about; chunks are smaller pieces of it, each read at once.
+TASK_ROWS = 1_000_000
 
 
 def read(spark: SparkSession, files: list[ColumnFile], size: int = 1_000_000) -> DataFrame:
@@ -70,7 +79,6 @@ def read(spark: SparkSession, files: list[ColumnFile], size: int = 1_000_000) ->
     lengths = {c: sum(files[k].rows for k in own) for c, own in sets.items()}
     if len(set(lengths.values())) > 1:
         raise ValueError("column files differ in length: " + ", ".join(f"{'/'.join(c)} {n}" for c, n in lengths.items()))
-    plan = chunks(spark, files, size)
     out = None
     for columns, own in sets.items():
         whole = all(np.dtype(files[k].kind).kind in "iub" for k in own)
@@ -79,22 +87,23 @@ def read(spark: SparkSession, files: list[ColumnFile], size: int = 1_000_000) ->
         def run(batches: Iterator[pa.RecordBatch], kind: pa.DataType = kind, columns: tuple[str, ...] = columns) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 for c in b.to_pylist():
-                    f = files[c["file"]]
-                    item, n, s, m = np.dtype(f.kind), len(columns), c["start"], c["length"]
-                    with _open(f.path) as file:
-                        if f.fortran or n == 1:
-                            cols = [np.frombuffer(file.read_at(m * item.itemsize, f.start + (i * f.rows + s) * item.itemsize), item) for i in range(n)]
+                    item, n, s, m, begin = np.dtype(c["kind"]), len(columns), c["start"], c["length"], c["begin"]
+                    with _open(c["path"]) as file:
+                        if c["fortran"] or n == 1:
+                            cols = [np.frombuffer(file.read_at(m * item.itemsize, begin + (i * c["rows"] + s) * item.itemsize), item) for i in range(n)]
                         else:
-                            block = np.frombuffer(file.read_at(m * n * item.itemsize, f.start + s * n * item.itemsize), item).reshape(m, n)
+                            block = np.frombuffer(file.read_at(m * n * item.itemsize, begin + s * n * item.itemsize), item).reshape(m, n)
                             cols = [block[:, i] for i in range(n)]
-                    arrays = [pa.array(np.arange(f.first + s, f.first + s + m)), *[pa.array(np.ascontiguousarray(x)).cast(kind) for x in cols]]
+                    arrays = [pa.array(np.arange(c["first"] + s, c["first"] + s + m)), *[pa.array(np.ascontiguousarray(x)).cast(kind) for x in cols]]
                     yield pa.RecordBatch.from_arrays(arrays, ["row_idx", *columns])
 
         schema = "row_idx long, " + ", ".join(f"`{c}` {'long' if whole else 'double'}" for c in columns)
-        mine = plan.where(F.col("file").isin(own))
-        tasks = sum(-(-files[k].rows // size) for k in own)
-        one = mine.repartition(max(1, tasks), "file", "start").mapInArrow(run, schema)
-        out = one if out is None else out.join(one, "row_idx")
+        mine = [files[k] for k in own]
+        tasks = -(-lengths[columns] // max(size, TASK_ROWS))
+        few = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        one = chunks(spark, mine, size).repartition(max(1, tasks, min(few, sum(-(-f.rows // size) for f in mine))), "file", "start").mapInArrow(run, schema)
+        # what tasks read is far larger than the list of chunks that Spark knows the size of: never broadcast
+        out = one if out is None else out.join(one.hint("merge"), "row_idx")
     return out
 
 
