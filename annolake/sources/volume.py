@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,6 +24,10 @@ BITS = 6
 SIZE = 1 << (3 * BITS)
 #: Voxels below which a block is stored by places.
 SPARSE = SIZE // 8
+#: Voxels below which a block is not compressed: many such blocks are written and looked up together.
+FEW = 256
+#: A voxel of a block that is not compressed.
+_RAW = np.dtype([("at", "<i4"), ("sv", "<i8")])
 #: Points that are looked up with one decoding of their block.
 PER_PART = 65_536
 
@@ -55,6 +60,35 @@ def _looked_up(data: bytes, at: np.ndarray) -> np.ndarray:
     return np.where(places[where] == at, sv[where], 0)
 
 
+def _packed(at: np.ndarray, sv: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """The bytes of many small blocks, one below another: a letter, then the voxels by place."""
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    order = np.lexsort((at, row))
+    voxels = np.empty(len(at), _RAW)
+    voxels["at"], voxels["sv"] = at[order], sv[order]
+    ends = np.cumsum(1 + sizes * _RAW.itemsize)
+    starts = np.concatenate([[0], ends]).astype("<i4")
+    raw = np.full(starts[-1], ord("R"), np.uint8)
+    body = np.ones(len(raw), bool)
+    body[starts[:-1]] = False
+    raw[body] = voxels.view(np.uint8)
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(starts), pa.py_buffer(raw)])
+
+
+def _looked_up_packed(data: pa.Array, at: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Supervoxels at places, so many for each of the small blocks one below another."""
+    starts = np.frombuffer(data.buffers()[1], "<i4", len(data) + 1, 4 * data.offset)
+    raw = np.frombuffer(data.buffers()[2], np.uint8)[starts[0] : starts[-1]]
+    body = np.ones(len(raw), bool)
+    body[starts[:-1] - starts[0]] = False
+    voxels = np.ascontiguousarray(raw[body]).view(_RAW)
+    row = np.repeat(np.arange(len(data), dtype=np.int64), (np.diff(starts) - 1) // _RAW.itemsize)
+    places = row * SIZE + voxels["at"]  # ascending: blocks one below another, voxels by place
+    asked = np.repeat(np.arange(len(data), dtype=np.int64), sizes) * SIZE + at
+    where = np.minimum(np.searchsorted(places, asked), len(places) - 1)
+    return np.where(places[where] == asked, voxels["sv"][where], 0)
+
+
 def blocks(voxels: DataFrame) -> DataFrame:
     """(block, data) of voxels (vx, vy, vz, supervoxel_id); of several at one place the largest counts."""
     block, at = _place([F.col("vx"), F.col("vy"), F.col("vz")])
@@ -64,11 +98,19 @@ def blocks(voxels: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            data = []
-            for v in b.column(1):
-                s = v.values
-                data.append(_encoded(np.asarray(s.field("at")), np.asarray(s.field("sv"))))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(data, pa.binary())], ["block", "data"])
+            sizes = np.asarray(b.column(1).value_lengths())
+            for few in (True, False):
+                some = b.filter(pa.array((sizes <= FEW) == few))
+                if not some.num_rows:
+                    continue
+                v = some.column(1).flatten()
+                at, sv, n = np.asarray(v.field("at")), np.asarray(v.field("sv")), sizes[(sizes <= FEW) == few]
+                if few:
+                    data = _packed(at, sv, n)
+                else:
+                    ends = np.cumsum(n)
+                    data = pa.array([_encoded(at[e - k : e], sv[e - k : e]) for e, k in zip(ends, n, strict=True)], pa.binary())
+                yield pa.RecordBatch.from_arrays([some.column(0), data], ["block", "data"])
 
     return held.mapInArrow(run, "block long, data binary")
 
@@ -92,24 +134,20 @@ def supervoxels(spark: SparkSession, points: DataFrame, path: str, buckets: int)
     with_data = held.join(bucketed.read(spark, path, buckets, "block"), "block", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, types, found, n = [], [], [], 0
-
-        def flushed() -> pa.RecordBatch:
-            cols = [pa.concat_arrays(ids), pa.concat_arrays(types), pa.array(np.concatenate(found).astype(np.int64))]
-            return pa.RecordBatch.from_arrays(cols, ["id", "type", "supervoxel_id"])
-
         for b in batches:
-            for p, data in zip(b.column(0), b.column(1), strict=True):
-                s = p.values
-                at = np.asarray(s.field("at"))
-                ids.append(s.field("id"))
-                types.append(s.field("type"))
-                found.append(_looked_up(data.as_py(), at) if data.is_valid else np.zeros(len(at), np.int64))
-                n += len(at)
-                if n >= PER_PART:
-                    yield flushed()
-                    ids, types, found, n = [], [], [], 0
-        if n:
-            yield flushed()
+            data = b.column(1)
+            first = np.asarray(pc.fill_null(pc.binary_slice(data, 0, 1), b"").cast(pa.string()).to_numpy(zero_copy_only=False))
+            for kind in np.unique(first.astype("U1")).tolist():
+                some = b.filter(pa.array(first == kind))
+                p, sizes = some.column(0).flatten(), np.asarray(some.column(0).value_lengths())
+                at = np.asarray(p.field("at"))
+                if kind == "":  # no such block
+                    found = np.zeros(len(at), np.int64)
+                elif kind == "R":
+                    found = _looked_up_packed(some.column(1), at, sizes)
+                else:
+                    ends = np.cumsum(sizes)
+                    found = np.concatenate([_looked_up(d.as_py(), at[e - k : e]) for d, e, k in zip(some.column(1), ends, sizes, strict=True)])
+                yield pa.RecordBatch.from_arrays([p.field("id"), p.field("type"), pa.array(found.astype(np.int64))], ["id", "type", "supervoxel_id"])
 
     return with_data.select("p", "data").mapInArrow(run, "id long, type string, supervoxel_id long")
